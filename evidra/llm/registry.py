@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from evidra.llm import op1_embedding, op6_simhash
+from evidra.llm import op1_embedding, op4_tokens, op6_simhash
 
 QUERIES = {
     "op1_embedding_neardup": op1_embedding.op1_embedding_neardup,
+    "op4_token_ids": op4_tokens.op4_token_ids,
     "op6_simhash_neardup": op6_simhash.op6_simhash_neardup,
 }
 ORACLE_SQL: dict[str, str] = {}

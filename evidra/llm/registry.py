@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from evidra.llm import op1_embedding, op4_tokens, op6_simhash
+from evidra.llm import op1_embedding, op3_shards, op4_tokens, op6_simhash, op7_chat
 
 QUERIES = {
     "op1_embedding_neardup": op1_embedding.op1_embedding_neardup,
+    "op3_kd_shards": op3_shards.op3_kd_shards,
     "op4_token_ids": op4_tokens.op4_token_ids,
     "op6_simhash_neardup": op6_simhash.op6_simhash_neardup,
+    "op7_chat_format": op7_chat.op7_chat_format,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat_format": op7_chat.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from evidra.llm import op1_embedding, op3_shards, op4_tokens, op6_simhash, op7_chat
+from evidra.llm import op1_embedding, op2_decontaminate, op3_shards, op4_tokens, op6_simhash, op7_chat
 
 QUERIES = {
     "op1_embedding_neardup": op1_embedding.op1_embedding_neardup,
+    "op2_decontaminate": op2_decontaminate.op2_decontaminate,
     "op3_kd_shards": op3_shards.op3_kd_shards,
     "op4_token_ids": op4_tokens.op4_token_ids,
     "op6_simhash_neardup": op6_simhash.op6_simhash_neardup,
     "op7_chat_format": op7_chat.op7_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": op2_decontaminate.SQL,
     "op7_chat_format": op7_chat.SQL,
 }

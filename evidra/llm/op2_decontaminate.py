@@ -51,14 +51,6 @@ def _equal_run(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0).when(first == 0, n).otherwise(first - 1).cast("int")
 
 
-def _side(w: Column, at: Column, n: Column | int, left: bool, most: int) -> Column:
-    """Up to ``most`` words before position ``at`` (nearest first), or from ``at + n`` on."""
-    if left:
-        start = F.greatest(at - most, F.lit(0))
-        return F.reverse(F.slice(w, start + 1, at - start))
-    return F.slice(w, at + n + 1, most)
-
-
 def _marks(texts: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
     """``texts``: key, w. Adds ``marks``: (n, position, hash) of fingerprints (n = 0) and, for each length in
     ``short``, of all runs of that many words."""
@@ -66,7 +58,9 @@ def _marks(texts: DataFrame, window: int, k: int, short: list[int]) -> DataFrame
     marks = [F.transform("p", lambda i: F.struct(F.lit(0).alias("n"), i.alias("at"), F.get(F.col("g"), i).alias("hash")))]
     for n in short:
         marks.append(F.transform(_grams("h", n), lambda x, i, n=n: F.struct(F.lit(n).alias("n"), i.alias("at"), x.alias("hash"))))
-    return t.select(*texts.columns, F.concat(*marks).alias("marks") if len(marks) > 1 else marks[0].alias("marks"))
+    # the condition always holds; as it isn't deterministic, it keeps the optimizer from pushing explode's own size(marks) > 0 below the
+    # projections above, which would write their expressions out anew for each use
+    return t.select(*texts.columns, F.when(F.spark_partition_id() >= 0, F.concat(*marks) if len(marks) > 1 else marks[0]).alias("marks"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
@@ -92,20 +86,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     base = docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w"))
     found = _marks(base, window, k, short).select("doc", "w", F.explode("marks").alias("m"))
     found = found.select("doc", "w", F.col("m.n").alias("n"), F.col("m.at").alias("at"), F.col("m.hash").alias("hash"))
-    hits = found.join(marked, ["n", "hash"])
-    size = F.when(F.col("n") == 0, k).otherwise(F.col("n"))
+    # around a hit: the words that a window can reach; the positions count within them from here on
     reach = window - k
-    w, iw, at, iat = F.col("w"), F.col("iw"), F.col("at"), F.col("iat")
-    same = F.slice(w, at + 1, size) == F.slice(iw, iat + 1, size)
-    hits = hits.where(same).withColumns(
-        {
-            "left": F.when(F.col("n") > 0, 0).otherwise(_equal_run(_side(w, at, 0, True, reach), _side(iw, iat, 0, True, reach))),
-            "right": F.when(F.col("n") > 0, 0).otherwise(_equal_run(_side(w, at, k, False, reach), _side(iw, iat, k, False, reach))),
-        }
-    )
-    hits = hits.withColumn("from", at - F.col("left")).withColumn("to", at + size + F.col("right"))
-    hits = hits.where((F.col("n") > 0) | (F.col("to") - F.col("from") >= window)).select("doc", "cls", "from", "to")
-    spans = cut(hits.distinct())
+    size = F.when(F.col("n") == 0, k).otherwise(F.col("n"))
+    near = lambda w, at: F.slice(w, F.greatest(F.lit(1), F.col(at) + 1 - reach), size + reach + F.least(F.col(at), F.lit(reach)))
+    hits = found.join(marked, ["n", "hash"]).select("doc", "cls", "n", "at", near("w", "at").alias("dw"), F.least("at", F.lit(reach)).alias("d"), near("iw", "iat").alias("iw"), F.least("iat", F.lit(reach)).alias("i"))
+    hits = cut(hits)
+    whole = F.slice("dw", F.col("d") + 1, size) == F.slice("iw", F.col("i") + 1, size)
+    left = _equal_run(F.reverse(F.slice("dw", 1, F.col("d"))), F.reverse(F.slice("iw", 1, F.col("i"))))
+    right = _equal_run(F.slice("dw", F.col("d") + size + 1, reach), F.slice("iw", F.col("i") + size + 1, reach))
+    hits = hits.where(whole).select("doc", "cls", "n", "at", size.alias("size"), F.when(F.col("n") > 0, 0).otherwise(left).alias("left"), F.when(F.col("n") > 0, 0).otherwise(right).alias("right"))
+    spans = hits.select("doc", "cls", "n", (F.col("at") - F.col("left")).alias("from"), (F.col("at") + F.col("size") + F.col("right")).alias("to"))
+    spans = cut(spans.distinct()).where((F.col("n") > 0) | (F.col("to") - F.col("from") >= window))
     hit = spans.select("doc", F.explode(F.sequence("from", F.col("to") - 1)).alias("at")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
     named = spans.select("doc", "cls").distinct().join(member, "cls").select("doc", F.col("item").cast("string").alias("item")).distinct()
     named = named.groupBy("doc").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))

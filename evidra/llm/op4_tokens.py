@@ -38,7 +38,7 @@ RANK_BITS = 512
 #: Bytes of text in a segment at most, but for a single longer document.
 SEGMENT_BYTES = 4_000_000
 #: Entries of a task's table of pieces, after which it is emptied.
-PIECES = 600_000
+PIECES = 500_000
 
 
 # --- the code -----------------------------------------------------------------------------------
@@ -46,14 +46,14 @@ PIECES = 600_000
 
 def encode_segment(ids: np.ndarray, lengths: np.ndarray, bits: int = CHUNK_BITS) -> bytes:
     """The bytes of a segment; ``lengths``: tokens of each document."""
-    rest, levels = np.asarray(ids, np.uint64), []
+    rest, levels = np.asarray(ids, np.uint32), []
     while True:
-        chunk, up = rest & np.uint64((1 << bits) - 1), rest >> np.uint64(bits)
+        chunk, up = rest & np.uint32((1 << bits) - 1), rest >> np.uint32(bits)
         more = up > 0
         if bits == 8:
             packed = chunk.astype(np.uint8).tobytes()
         else:
-            packed = np.packbits(((chunk[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+            packed = np.packbits(((chunk[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
         words = np.zeros(-(-len(rest) // RANK_BITS) * RANK_BITS // 8, np.uint8)
         flat = np.packbits(more, bitorder="little")
         words[: len(flat)] = flat
@@ -135,8 +135,8 @@ class Segment:
 class Encoder:
     """Ids of whole texts, by the tokenizers library.
 
-    Byte-level BPE never joins across the place before a single blank that a visible character follows
-    (each pre-token starts there), so texts are cut there and each distinct piece is encoded once.
+    Byte-level BPE never joins across the place before a blank that a visible character follows (a
+    pre-token starts there), so texts are cut there and each distinct piece is encoded once for a task.
     """
 
     def __init__(self, path: str):
@@ -148,35 +148,49 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > PIECES:
-            self.known.clear()
         for a in range(0, len(pieces), 20_000):
             part = pieces[a : a + 20_000]
-            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            got = self.tokenizer.encode_batch_fast([" " + p for p in part], add_special_tokens=False)
             self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in got)))
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
+    def _runs(text: str) -> list[str]:
+        """Pieces of a text in which blanks meet other white space; each but the first starts with a blank."""
+        out: list[str] = []
+        for i, p in enumerate(text.split(" ")):
+            if i == 0:
+                out.append(p)
+            elif p and not p[0].isspace():
                 out.append(" " + p)
-            else:  # more white space: it belongs to what stands before it
+            else:  # this blank belongs to what stands before it
                 out[-1] += " " + p
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = [self.pieces(t) for t in texts]
-        need: set[str] = set()
-        for c in cut:
-            need.update(c)
         if len(self.known) > PIECES:
             self.known.clear()
-        self._learn([p for p in need if p not in self.known])
+        cut = [t.split(" ") for t in texts]
+        need: set[str] = set()
+        for c in cut:
+            need.update(c[1:])
+        fresh = need.difference(self.known)
+        odd = [p for p in fresh if not p or p[0].isspace()]
+        fresh.difference_update(odd)
+        self._learn(list(fresh))
+        self.known.update(dict.fromkeys(odd))
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        firsts = self._whole([c[0] for c in cut])
+        out = []
+        for text, first, c in zip(texts, firsts, cut):
+            try:
+                out.append(first + b"".join(map(get, c[1:])))
+            except TypeError:
+                out.append(b"".join(self._whole(self._runs(text))))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

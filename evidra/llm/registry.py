@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidra.llm import op10_quality, op1_embedding, op2_decontaminate, op3_shards, op4_tokens, op5_pst, op6_simhash, op7_chat, op9_pii
+from evidra.llm import op10_quality, op1_embedding, op2_decontaminate, op3_shards, op4_tokens, op5_pst, op6_simhash, op7_chat, op8_pieces, op9_pii
 
 QUERIES = {
     "op1_embedding_neardup": op1_embedding.op1_embedding_neardup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pst_score": op5_pst.op5_pst_score,
     "op6_simhash_neardup": op6_simhash.op6_simhash_neardup,
     "op7_chat_format": op7_chat.op7_chat_format,
+    "op8_pieces": op8_pieces.op8_pieces,
     "op9_pii": op9_pii.op9_pii,
     "op10_quality": op10_quality.op10_quality,
 }

@@ -210,13 +210,14 @@ def variant_of(doc_id, seed: int = SEED) -> int:
     return zlib.crc32(f"{seed}:{doc_id}".encode()) % VARIANTS
 
 
-def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """``doc_id, variant, ids`` (32-bit little-endian), ``n_tokens, ids_crc32, decoded_crc32, lossless``.
+def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, with_ids: bool = False) -> DataFrame:
+    """``doc_id, variant, n_tokens, ids_crc32, decoded_crc32, lossless`` and, if asked for, ``ids`` (32-bit
+    little-endian).
 
     ``lossless``: decoding the ids gives the text again. A null text is empty and has no ids. Rows that repeat an
     id, or have none, are encoded each. Other columns are ignored; an empty table gives an empty result.
     """
-    schema = pa.schema([("variant", pa.int32()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_crc32", pa.int64()), ("lossless", pa.bool_())])
+    schema = pa.schema([("variant", pa.int32()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_crc32", pa.int64()), ("lossless", pa.bool_()), *([("ids", pa.binary())] if with_ids else [])])
 
     def run(batches):
         coder = pieces(model, dropout, seed)
@@ -227,12 +228,12 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 variants = [variant_of(i, seed) for i in b.column(0).to_pylist()]
                 ids = coder.encode(texts, variants)
                 back = [coder.decode(x) for x in ids]
-                columns = (variants, ids, [len(x) // 4 for x in ids], map(zlib.crc32, ids), (zlib.crc32(t.encode()) for t in back), (x == t for x, t in zip(back, texts)))
+                columns = (variants, [len(x) // 4 for x in ids], map(zlib.crc32, ids), (zlib.crc32(t.encode()) for t in back), (x == t for x, t in zip(back, texts)), ids)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), f.type) for c, f in zip(columns, schema))], names=["id", *schema.names])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"id {kind}, variant int, ids binary, n_tokens bigint, ids_crc32 bigint, decoded_crc32 bigint, lossless boolean")
+    out = rows.mapInArrow(run, f"id {kind}, variant int, n_tokens bigint, ids_crc32 bigint, decoded_crc32 bigint, lossless boolean" + (", ids binary" if with_ids else ""))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -243,4 +244,4 @@ def model_path() -> str:
 
 
 def op8_pieces(spark, sf_dir: str) -> DataFrame:
-    return encode_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), model_path()).drop("ids")
+    return encode_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), model_path())

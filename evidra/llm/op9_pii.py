@@ -18,7 +18,7 @@ import math
 import random
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -291,43 +291,43 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 _TRIGGER = re.compile(r"[0-9@]|[aA][tT] ?[\])]")
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, redacted`` of each document.
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added`` of each document, with the
+    columns ``keep`` and, if asked for, ``redacted``.
 
     Counts and digest are those of the fixed patterns; ``spans`` lists all, by start, then kind; places
-    are code points. Null and empty texts have none. Rows that repeat an id, or have none, are returned
-    each. Other columns are ignored; an empty table gives an empty result.
+    are code points. Null and empty texts have none; a null text stays null when redacted. Rows that repeat
+    an id, or have none, are returned each. Other columns are ignored; an empty table gives an empty result.
     """
     weights = docs.sparkSession.sparkContext.broadcast(fit())
     nothing = ([], [])
+    kept = [(f"keep{i}", c) for i, c in enumerate((id_col, *keep))]
+    names = [*(k for k, _ in kept), *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", *(["redacted"] if with_text else [])]
 
     def run(batches):
         w = weights.value
+        empty = hashlib.sha256(b"").hexdigest()
         for b in batches:
-            texts = ["" if t is None else t for t in b["text"]]
+            texts = b.column(len(kept)).to_pylist()
             got = []
             for t in texts:
-                if _TRIGGER.search(t):
+                if t and _TRIGGER.search(t):
                     base = base_spans(t)
                     got.append((base, all_spans(t, w, base)))
                 else:
                     got.append(nothing)
-            yield pd.DataFrame(
-                {
-                    "id": b["id"],
-                    **{f"n_{k}": [sum(s[1] == i for s in base) for base, _ in got] for i, k in enumerate(KINDS)},
-                    "base_sha256": [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in got],
-                    "spans": [joined(s) for _, s in got],
-                    "n_added": [len(s) - len(base) for base, s in got],
-                    "redacted": [redact(t, s) if s else t for t, (_, s) in zip(texts, got)],
-                }
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(run, f"id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, n_added bigint, redacted string")
-    return out.withColumnRenamed("id", id_col)
+            out = [*b.columns[: len(kept)], *(pa.array([sum(s[1] == i for s in base) for base, _ in got], pa.int64()) for i in range(len(KINDS)))]
+            out.append(pa.array([hashlib.sha256(joined(base).encode()).hexdigest() if base else empty for base, _ in got]))
+            out += [pa.array([joined(s) for _, s in got]), pa.array([len(s) - len(base) for base, s in got], pa.int64())]
+            if with_text:
+                out.append(pa.array([redact(t, s) if s else t for t, (_, s) in zip(texts, got)], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    rows = docs.select(*(F.col(c).alias(k) for k, c in kept), F.col(text_col).alias("text"))
+    schema = [f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in kept] + [f"{n} {'string' if n in ('base_sha256', 'spans', 'redacted') else 'bigint'}" for n in names[len(kept) :]]
+    out = rows.mapInArrow(run, ", ".join(schema))
+    return out.withColumnsRenamed(dict(kept))
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
-    return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("redacted")
+    return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))

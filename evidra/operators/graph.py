@@ -84,14 +84,14 @@ def score_candidates(
     return near.select("bill_id", "ordinal", "title", "outcome", "hop", "legislators", "committees", subject.alias("subject_overlap"), score.alias("score"))
 
 
-def top_precedents(scored: DataFrame, k: int = 6) -> DataFrame:
+def top_related(scored: DataFrame, k: int = 6) -> DataFrame:
     return scored.orderBy(F.desc("score"), "bill_id").limit(k)
 
 
-def subgraph(links: DataFrame, bills: DataFrame, seeds: DataFrame, precedents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges that show why the precedents were chosen."""
-    shared = precedents.select("bill_id", F.lit("legislator").alias("kind"), F.explode("legislators").alias("entity")).union(
-        precedents.select("bill_id", F.lit("committee"), F.explode("committees"))
+def subgraph(links: DataFrame, bills: DataFrame, seeds: DataFrame, related: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges that show why the related bills were chosen."""
+    shared = related.select("bill_id", F.lit("legislator").alias("kind"), F.explode("legislators").alias("entity")).union(
+        related.select("bill_id", F.lit("committee"), F.explode("committees"))
     )
     hubs = shared.select("kind", "entity").distinct()
     rel = F.when(F.col("kind") == "legislator", "sponsored").otherwise("reviewed")
@@ -100,7 +100,7 @@ def subgraph(links: DataFrame, bills: DataFrame, seeds: DataFrame, precedents: D
     edges = shared.select("kind", "entity", "bill_id").union(to_seeds.select("kind", "entity", "bill_id"))
     edges = edges.select(node.alias("source"), F.col("bill_id").alias("target"), rel.alias("rel")).distinct()
     first = seeds.select("bill_id").join(bills, "bill_id").select(F.col("bill_id").alias("id"), F.lit("seed_bill").alias("kind"), F.col("bill_id").alias("label"), "title", "outcome", F.lit(None).cast("double").alias("score"))
-    chosen = precedents.select(F.col("bill_id").alias("id"), F.lit("precedent_bill").alias("kind"), F.col("bill_id").alias("label"), "title", "outcome", F.round("score", 2).alias("score"))
+    chosen = related.select(F.col("bill_id").alias("id"), F.lit("related_bill").alias("kind"), F.col("bill_id").alias("label"), "title", "outcome", F.round("score", 2).alias("score"))
     none = F.lit(None).cast("string")
     entity = hubs.select(node.alias("id"), "kind", F.col("entity").alias("label"), none.alias("title"), none.alias("outcome"), F.lit(None).cast("double").alias("score"))
     return first.union(chosen).union(entity), edges

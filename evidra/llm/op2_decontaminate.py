@@ -56,8 +56,11 @@ def _marks(texts: DataFrame, window: int, k: int, short: list[int]) -> DataFrame
     ``short``, of all runs of that many words."""
     t = texts.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).withColumn("g", _grams("h", k)).withColumn("p", _winnow("g", window - k + 1))
     marks = [F.transform("p", lambda i: F.struct(F.lit(0).alias("n"), i.alias("at"), F.get(F.col("g"), i).alias("hash")))]
-    for n in short:
-        marks.append(F.transform(_grams("h", n), lambda x, i, n=n: F.struct(F.lit(n).alias("n"), i.alias("at"), x.alias("hash"))))
+
+    def runs(n: int) -> Column:
+        return F.transform(_grams("h", n), lambda x, i: F.struct(F.lit(n).alias("n"), i.alias("at"), x.alias("hash")))
+
+    marks += map(runs, short)
     # the condition always holds; as it isn't deterministic, it keeps the optimizer from pushing explode's own size(marks) > 0 below the
     # projections above, which would write their expressions out anew for each use
     return t.select(*texts.columns, F.when(F.spark_partition_id() >= 0, F.concat(*marks) if len(marks) > 1 else marks[0]).alias("marks"))

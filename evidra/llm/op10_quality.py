@@ -23,10 +23,13 @@ from evidra.llm.common import cut
 
 #: Labelled rows that the classifier is fitted on, about; chosen by a hash of the id.
 SAMPLE = 12_000
-#: Words must be in this many documents of the sample to have a weight; at most VOCABULARY of them do.
-LEAST_DOCS = 6
-VOCABULARY = 60_000
-L2 = 1.0
+#: A word has a weight if it is in this many documents of the sample and its share of a label's documents is so
+#: many standard errors off the label's own share: words that occur by chance are many and hide the few that tell.
+LEAST_DOCS = 4
+LEAST_Z = 4.0
+L2 = 0.3
+#: Log odds where a label has one class, or none: quality is then good, toxicity absent.
+SURE = 30.0
 STEPS = 150
 HEADS = ("quality", "toxic")
 #: Entries of a task's table of words, after which it is emptied.
@@ -69,27 +72,33 @@ def read(text: str | None) -> tuple[set[bytes], list[float]]:
 def fit(rows: list[tuple[np.ndarray, list[float], dict[str, float]]], heads: tuple[str, ...] = HEADS) -> dict:
     """Weights from (word hashes, shape, labels) rows: logistic regression with an L2 term.
 
-    A head without both classes has zero odds. Rows with a null label of a head don't train it.
+    A head with one class always says that class; one without labels says that a document is good. Rows with
+    a null label of a head don't train it.
     """
     ids = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
-    u, n = np.unique(ids, return_counts=True)
-    keep = n >= LEAST_DOCS
-    u, n = u[keep], n[keep]
-    if len(u) > VOCABULARY:
-        top = np.sort(np.argsort(-n, kind="stable")[:VOCABULARY])
-        u = u[top]
+    u, at, n = np.unique(ids, return_inverse=True, return_counts=True)
     doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    keep = np.zeros(len(u), bool)
+    for head in heads:
+        y = np.array([np.nan if r[2].get(head) is None else float(r[2][head]) for r in rows])
+        use = ~np.isnan(y)
+        if use.any() and 0 < y[use].mean() < 1:
+            m, labelled = y[use].mean(), np.bincount(at, weights=use[doc], minlength=len(u))
+            z = (np.bincount(at, weights=np.where(use, y, 0)[doc], minlength=len(u)) - labelled * m) / np.sqrt(np.maximum(labelled, 1) * m * (1 - m))
+            keep |= np.abs(z) >= LEAST_Z
+    u = u[keep & (n >= LEAST_DOCS)]
     at = np.minimum(np.searchsorted(u, ids), max(len(u) - 1, 0))
     ok = u[at] == ids if len(u) else np.zeros(len(ids), bool)
     doc, at = doc[ok], at[ok]
     dense = np.array([r[1] for r in rows]).reshape(len(rows), SHAPES)
-    # a row's words are scaled by 1/sqrt(words), so that long texts don't outweigh
     model = {"words": u, "heads": {}}
     for head in heads:
         y = np.array([np.nan if r[2].get(head) is None else float(r[2][head]) for r in rows])
         use = ~np.isnan(y)
         w, v = np.zeros(len(u)), np.zeros(SHAPES)
+        v[0] = SURE if (y[use].mean() if use.any() else float(head != "toxic")) > 0.5 else -SURE
         if use.any() and 0 < y[use].mean() < 1:
+            v[0] = 0.0
             yy, m = np.where(use, y, 0), use.sum()
             mw, mv, sw, sv = np.zeros_like(w), np.zeros_like(v), np.zeros_like(w), np.zeros_like(v)
             for t in range(1, STEPS + 1):
@@ -133,7 +142,6 @@ def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host: Col
     """``id, host, path, z_<head>``: log odds of each document by its text alone."""
     heads = tuple(model["heads"])
     shared = docs.sparkSession.sparkContext.broadcast((model["words"], np.stack([model["heads"][h][0] for h in heads], 1), np.stack([model["heads"][h][1] for h in heads], 1)))
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         u, w, v = shared.value
@@ -155,8 +163,8 @@ def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host: Col
                     z[i] += np.sum(hit, axis=0)
             yield pd.DataFrame({"id": b["id"], "host": b["host"], "path": b["path"], **{f"z_{h}": z[:, k] for k, h in enumerate(heads)}})
 
-    rows = docs.select(F.col(id_col).alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, host string, path string, " + ", ".join(f"z_{h} double" for h in heads))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "id string, host string, path string, " + ", ".join(f"z_{h} double" for h in heads))
 
 
 def _strength(groups: DataFrame, mean: float) -> float:
@@ -179,8 +187,8 @@ def quality(
 
     A document is kept if p_quality >= 0.5 and p_toxic < 0.5. Null and empty texts have only their shape as
     evidence; a null host or path is a group of its own. Rows that repeat an id are scored each; a document
-    labelled twice counts as of good quality, or toxic, if one label says so. Without labelled rows all
-    evidence is even and every document is kept. Other columns are ignored; an empty table gives none.
+    labelled twice counts as of good quality, or toxic, if one label says so. Without labelled rows
+    every document is kept. Other columns are ignored; an empty table gives none.
     """
     host, path = (F.col(x) if isinstance(x, str) else x for x in (host, path))
     model = fit(_sample(docs, labels, id_col, text_col, label_id, HEADS, sample))
@@ -201,7 +209,7 @@ def quality(
         )
         out = out.join(shift, F.col("host").eqNullSafe(F.col(f"host_{head}")) & F.col("path").eqNullSafe(F.col(f"path_{head}")))
         out = out.withColumn(f"p_{head}", 1 / (1 + F.exp(-(F.col(f"z_{head}") + F.col(f"shift_{head}")))))
-    return out.select(F.col("id").alias(id_col), "host", "path", "p_quality", "p_toxic", ((F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5)).alias("kept"))
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "host", "path", "p_quality", "p_toxic", ((F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5)).alias("kept"))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ RANK_BITS = 512
 #: Bytes of text in a segment at most, but for a single longer document.
 SEGMENT_BYTES = 4_000_000
 #: Entries of a task's table of pieces, after which it is emptied.
-PIECES = 500_000
+PIECES = 800_000
 
 
 # --- the code -----------------------------------------------------------------------------------
@@ -146,12 +146,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that start with a blank
+        self.blank[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
 
     def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces: they are encoded in one text, in which each starts with the only blank of its own."""
         for a in range(0, len(pieces), 20_000):
             part = pieces[a : a + 20_000]
-            got = self.tokenizer.encode_batch_fast([" " + p for p in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in got)))
+            data = self._whole([" " + " ".join(part)])[0]
+            edges = [*(4 * np.flatnonzero(self.blank[np.frombuffer(data, "<u4")])).tolist(), len(data)]
+            self.known.update(zip(part, map(data.__getitem__, map(slice, edges, edges[1:])), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

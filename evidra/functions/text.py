@@ -126,10 +126,11 @@ def chunks(c: Column, strategy: str = "recursive", size: int = SIZE, overlap: in
         raise ValueError("size must be at least 1")
     c = strip(F.coalesce(c, F.lit("")))
     made = {
-        "whole": lambda: F.array(c),
-        "fixed": lambda: _windows(c, size, max(1, size - overlap)),
-        "sliding": lambda: _windows(c, size, max(1, size // 2)),
-        "sentence": lambda: sentences(c),
-        "semantic": lambda: _semantic(c, size),
-    }.get(strategy, lambda: _recursive(c, size, overlap))()
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(made)
+        "whole": lambda t: F.array(t),
+        "fixed": lambda t: _windows(t, size, max(1, size - overlap)),
+        "sliding": lambda t: _windows(t, size, max(1, size // 2)),
+        "sentence": lambda t: sentences(t),
+    }.get(strategy, lambda t: _recursive(t, size, overlap))
+    # the text is bound to a lambda's variable: written out in the windows' own lambda it would be stripped anew for each window
+    out = _semantic(c, size) if strategy == "semantic" else F.get(F.transform(F.array(c), made), F.lit(0))
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(out)

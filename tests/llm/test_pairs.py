@@ -5,6 +5,7 @@ import pytest
 from cases import documents, none
 from pyspark.sql import functions as F
 
+from corpus_pipeline import simhash_near_dedup
 from evidra.llm.components import connected_components
 from evidra.llm.op1_embedding import embedding_neardup, op1_embedding_neardup
 from evidra.llm.op6_simhash import fingerprint, near_edges, op6_simhash_neardup, simhash_neardup
@@ -109,3 +110,43 @@ def test_simhash_awkward(spark):
     assert {by[i]["component_id"] for i in (0, 1, 2)} == {0} and by[9]["component_id"] == 8 and by[None]["component_id"] is None
     assert by[0]["fingerprint"] == "0" * 16 and int(by[5]["fingerprint"], 16) == fingerprint(plain := "Ünïcode straße 北京 😀 text") == plain_fingerprint(plain)
     assert simhash_neardup(none(spark)).count() == 0
+
+
+# --- the pipeline's near-duplicates: all pairs of five-word shingle sets of similarity 0.8 ---
+
+
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_pipeline_neardup_is_brute_force(spark):
+    r = random.Random(11)
+    line = lambda n: " ".join(f"w{r.randrange(4000)}" for _ in range(n))
+    texts, common = [None, "", "one two", "One  two", "one three"], line(40)
+    for n in [6, 12, 30, 60, 120, 300] * 6:
+        base = line(n).split()
+        texts.append(" ".join(base))
+        for edits in (0, 1, 1, 2, 3, 5):  # similarities on both sides of 0.8
+            w = list(base)
+            for _ in range(edits):
+                w[r.randrange(n)] = "new" + str(r.randrange(9))
+            texts.append(" ".join(w))
+    texts += [f"{common} {line(r.choice((2, 5, 10, 40)))}" for _ in range(80)]  # a common passage
+    chain = line(100).split()
+    for i in range(30):  # only neighbours are alike
+        chain = chain[4:] + line(4).split()
+        texts.append(" ".join(chain))
+    base = line(80).split()
+    for i in range(70):  # a large group of near copies
+        w = list(base)
+        w[r.randrange(80)] = f"x{i}"
+        texts.append(" ".join(w))
+    r.shuffle(texts)
+    sets = [five_words(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = components(range(len(sets)), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x["doc_id"] for x in simhash_near_dedup(spark, docs, "").collect()}
+    assert got == {i for i in want if want[i] == i}
+    assert len({want[i] for i in want}) < len({frozenset(s) for s in sets})  # near copies, not only equal ones

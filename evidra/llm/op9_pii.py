@@ -3,7 +3,7 @@
 The patterns find e-mail addresses, IPs, card and phone numbers, leftmost and without retries. So a phone
 number that a card number follows is lost to them, as are numbers without a plus sign and written-out
 addresses. The field looks at clusters of digits and at written-out "at" signs. Within a cluster each
-candidate segment of at most ``MAX_SPAN`` characters has a score from features of the whole span (digit
+candidate segment (of at most ``MAX_SPAN`` characters, or a written-out address) has a score from features of the whole span (digit
 groups, separators, check sum, neighbours); all other tokens score 0. The best segmentation comes from a
 dynamic program over token ends, with the pattern's spans held fixed. Outside clusters no segment is a
 candidate, so decoding cluster by cluster is exact. Weights are fitted by gradient ascent on the conditional
@@ -35,7 +35,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 #: Where the field looks.
 _CLUSTER = re.compile(r"[+(]?[0-9][0-9 ().\[\]/+-]{5,}[0-9]")
-_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]{1,40} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,30}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,30}){1,4}", re.I)
+_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,63}){1,126}", re.I)
+#: What every written-out address holds.
+_AT = re.compile(r"[aA][tT] ?[\])]")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|.", re.S)
 _SHAPED_IP = re.compile(r"[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}")
 
@@ -120,8 +122,10 @@ def candidates(text: str, a: int, b: int, fixed: list[tuple[int, int, int]]) ->
     for i, x in enumerate(ends[:-1]):
         if text[x].isspace():
             continue
+        mail = _WRITTEN.match(text, x, b)
+        reach = max(MAX_SPAN, mail.end() - x if mail else 0)
         for y in ends[i + 1 :]:
-            if y - x > MAX_SPAN:
+            if y - x > reach:
                 break
             last = text[y - 1]
             if last.isspace() or any(x < q and p < y for p, q in taken):
@@ -129,14 +133,14 @@ def candidates(text: str, a: int, b: int, fixed: list[tuple[int, int, int]]) ->
             s = text[x:y]
             digits = re.sub(r"[^0-9]", "", s)
             n = len(digits)
-            if last.isdigit() and n >= 4:
+            if last.isdigit() and n >= 4 and y - x <= MAX_SPAN:
                 if 12 <= n <= 19 and s[0].isdigit() and not re.search(r"[^0-9 -]|[ -]{2}", s) and luhn(digits):
                     out.append((x, 2, y))
                 if 9 <= n <= 15 and s[0] in "+(0123456789" and not re.search(r"[^0-9 ().+-]|[ ]{2}", s) and "+" not in s[1:]:
                     out.append((x, 3, y))
                 if n <= 12 and _SHAPED_IP.fullmatch(s) and all(_number(p) <= 255 for p in re.findall(r"[0-9]+", s)):
                     out.append((x, 1, y))
-            if ("@" in s or "at" in s.lower()) and _WRITTEN.fullmatch(s):
+            if mail and _WRITTEN.fullmatch(s):
                 out.append((x, 0, y))
     return ends, out
 
@@ -222,8 +226,7 @@ def _sentences(seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
 def clusters(text: str) -> list[tuple[int, int]]:
     """Parts of a text that may hold spans, apart from each other."""
     found = [m.span() for m in _CLUSTER.finditer(text)]
-    low = text.lower() if ("at]" in text or "at)" in text or "AT" in text) else ""
-    if len(low) == len(text) and ("at]" in low or "at)" in low or "at ]" in low or "at )" in low):
+    if _AT.search(text):
         found += [m.span() for m in _WRITTEN.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):

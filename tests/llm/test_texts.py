@@ -254,6 +254,17 @@ def test_pii_field_on_new_sentences():
     assert hit / total > 0.9 and wrong / total < 0.05
 
 
+def test_pii_written_out_addresses():
+    w = P.fit()
+    long = "maria.fernandez [at] computing.example-university [dot] example [dot] com"
+    for mail in ("ann [ at ] mail [ dot ] example [ dot ] com", "ann (At) mail.example.com", "bo.lee [aT ] post.example.com", long, f"{'m' * 64} [at] {'d' * 63}.example.com"):
+        for before in ("of ", "\u0130 of ", "\u0130 of " + "word " * 20_000):
+            t = f"{before}{mail}, the"
+            assert P.all_spans(t, w) == [(len(before), 0, len(before) + len(mail))], t[-200:]
+            assert P._TRIGGER.search(t)
+    assert len(P.all_spans("x [at] " + "a." * 20_000 + "a", w)) < 200
+
+
 def test_pii_awkward(spark):
     docs, n = documents(spark)
     got = P.find_pii(docs, keep=("lang", "id", "w"), with_text=True).collect()

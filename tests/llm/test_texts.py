@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from evidra.llm.op2_decontaminate import decontaminate
 from evidra.llm.op3_shards import kd_shards, op3_kd_shards
 from evidra.llm.op4_tokens import Segment, encode_segment, op4_token_ids, read_tokens, write_tokens
 from evidra.llm.op5_pst import op5_pst_score, pst_score
-from evidra.llm.op8_pieces import Pieces, encode_pieces, model_path, op8_pieces
+from evidra.llm.op8_pieces import Pieces, _draw_one, encode_pieces, model_path, op8_pieces
 from evidra.llm.op10_quality import op10_quality, quality
 
 DATA = "/root/testdata/sf0.001"
@@ -183,15 +184,63 @@ def test_pieces_without_dropout_are_the_library(texts):
 
     sp, own = sentencepiece.SentencePieceProcessor(model_file=model_path()), Pieces(model_path(), dropout=0.0)
     some = [t for t in texts.values() if "  " not in t and "▁" not in t and t == t.strip()][:60]
-    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(some, [0] * len(some))] == sp.encode(some)
+    some.append("abcdefgh" * 60)  # a word with an agenda of its own
+    ids, _, varied = own.encode(some, list(range(len(some))))
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == sp.encode(some) and varied[:-1] == [0] * (len(some) - 1)
+
+
+def naive_pieces(p, word, key):
+    """The agenda by its definition: look at all pairs anew before each merge."""
+    ids, at = [int(p.chars[ord(c)]) for c in word], list(range(len(word)))
+    while True:
+        agenda = []
+        for i, (a, b) in enumerate(zip(ids, ids[1:])):
+            made = p.pairs.get(a * p.n + b) if a >= 0 and b >= 0 else None
+            if made is not None and _draw_one(key, at[i], made) >= p.least:
+                agenda.append((int(p.rank[made]), at[i], i, made))
+        if not agenda:
+            break
+        _, _, i, made = min(agenda)
+        ids[i : i + 2] = [made]
+        del at[i + 1]
+    out = []
+    for i, a, b in zip(ids, at, [*at[1:], len(word)]):
+        out += [i] if i >= 0 else p.byte_ids[list(word[a:b].encode())].tolist()
+    return out
 
 
-def test_pieces_lossless_and_varied(spark):
-    got = op8_pieces(spark, DATA).collect()
-    assert all(r["lossless"] for r in got) and len({r["variant"] for r in got}) == 4
+@pytest.mark.parametrize("dropout", [0.1, 0.5, 1.0])
+def test_pieces_with_dropout_are_a_naive_agenda(texts, dropout):
+    own = Pieces(model_path(), dropout=dropout)
+    some = [" ".join(t.split(" ")[:25]) for t in list(texts.values())[:80]] + ["x" * 300 + " ab" * 3 + "  y北京😀 " + "\u0394z" * 120, "", "  a  b "]
+    got, n_words, _ = own.encode(some, list(range(len(some))))
+    for d, t in enumerate(some):
+        words = own.words(t)
+        want = [i for w, k in zip(words, own.occurrences([d], [len(words)])) for i in naive_pieces(own, w, int(k))]
+        assert want == np.frombuffer(got[d], "<u4").tolist() and len(words) == n_words[d], t
+
+
+def test_pieces_vary_by_occurrence_and_repeat_exactly():
     a, b = Pieces(model_path()), Pieces(model_path())
-    t = ["internationalization of the understanding"] * 4
-    assert len(set(a.encode(t, [0, 1, 2, 3]))) > 1 and a.encode(t, [0, 1, 2, 3]) == b.encode(t, [0, 1, 2, 3])
+    t = [" ".join(["internationalization"] * 400)] * 2
+    one, _, varied = a.encode(t, [0, 1])
+    assert one == b.encode(t, [0, 1])[0] and one[0] != one[1] and 0 < varied[0] < 400
+    words = a.words(t[0])
+    cuts = {tuple(naive_pieces(a, w, int(k))) for w, k in zip(words, a.occurrences([0], [len(words)]))}
+    assert len(cuts) > 20
+
+
+def test_pieces_very_long_word():
+    p, r = Pieces(model_path()), random.Random(3)
+    word = "".join(r.choice("abcdefghij北京") for _ in range(600_000))
+    began = time.time()
+    ids = p.encode([word], [1])[0][0]
+    assert p.decode(ids) == word and time.time() - began < 60
+
+
+def test_pieces_lossless(spark):
+    got = op8_pieces(spark, DATA).collect()
+    assert all(r["lossless"] for r in got) and sum(r["n_varied"] for r in got) > 0.1 * sum(r["n_words"] for r in got)
     docs, n = documents(spark)
     got = encode_pieces(docs, model_path(), with_ids=True).collect()
     assert len(got) == n and all(r["lossless"] for r in got) and encode_pieces(none(spark), model_path()).count() == 0

@@ -6,16 +6,18 @@ skipped if the keyed hash of (seed, document's id, word's place in the text, pla
 ``dropout``. So every occurrence of a word is cut by itself, and a run can be repeated exactly. With dropout 0
 the ids are those of the library. Characters without a piece become byte pieces.
 
-A skipped candidate that is not among the merges of the plain run changes nothing. So a task keeps the plain run of
-each word, looks up the hashes of its merges for each occurrence, and sends the occurrences that skip one of
-them through the agenda, side by side, one merge for each word and round, as array operations. Words
-of more than ``LONG`` characters have an agenda of their own, a heap over linked symbols.
+A skipped candidate that is not among the merges of a run changes nothing in it. So a task keeps the plain run of
+each word that it meets again and looks up the hashes of its merges for each occurrence. The first merge that an occurrence skips
+leads to the run without it, and so on until a run has none to skip; runs that several occurrences of a batch come to are
+kept too. The others go through the agenda by themselves, side by side, one merge for each word and round,
+as array operations. Words of more than ``LONG`` characters have an agenda of their own, a heap over linked symbols.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 DROPOUT = 0.1
 SEED = 17
-#: Entries of a task's table of words, after which it is emptied.
-WORDS = 400_000
+#: Runs that a task keeps, after which its table is emptied.
+RUNS = 700_000
 #: Characters that run through the agenda at once, and those of texts that are encoded at once.
 BLOCK = 500_000
 TEXTS = 3_000_000
@@ -123,11 +125,16 @@ class Pieces:
         self._empty()
 
     def _empty(self) -> None:
-        #: Row of each word; the merges of its plain run (place, piece), and its plain ids.
+        #: The plain run of each word; of each run its word, what it skips (place, piece), its merges (place, piece)
+        #: and its ids; and the run that follows if a run's j-th merge is skipped, by run << 8 | j.
         self.known: dict[str, int] = {}
-        self.merges, self.plain = _Rows(np.int32, np.int32), _Rows("<u4")
+        self.seen: set[str] = set()  # words met once
+        self.word_of: list[str] = []
+        self.skips: list[tuple] = []
+        self.merges, self.results = _Rows(np.int32, np.int32), _Rows("<u4")
+        self.next: dict[int, int] = {}
 
-    def _candidates(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, key: np.ndarray | None, same: np.ndarray) -> np.ndarray:
+    def _candidates(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, word: np.ndarray, same: np.ndarray, keys: np.ndarray | None, gone: np.ndarray | None) -> np.ndarray:
         """Agenda entries of pairs; none for those that make no piece or are skipped."""
         out = np.full(len(left), _NONE)
         some = np.flatnonzero(same & (left >= 0) & (right >= 0))
@@ -135,8 +142,12 @@ class Pieces:
         to = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
         ok = self.keys[to] == pair
         some, made = some[ok], self.made[to[ok]]
-        if key is not None:
-            stay = _draw(key[some], at[some], made) >= np.uint64(self.least)
+        if keys is not None:
+            stay = _draw(keys[word[some]], at[some], made) >= np.uint64(self.least)
+            some, made = some[stay], made[stay]
+        if gone is not None and len(gone):
+            code = word[some] << 40 | at[some] << 20 | made
+            stay = gone[np.minimum(np.searchsorted(gone, code), len(gone) - 1)] != code
             some, made = some[stay], made[stay]
         out[some] = self.rank[made] << 20 | at[some]
         return out
@@ -158,8 +169,11 @@ class Pieces:
             ends = np.append(0, np.cumsum(sizes))[ends]
         return out, np.diff(ends, prepend=0)
 
-    def _block(self, words: list[str], keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list]:
-        """Ids of words, how many each has, and the merges (word, place, piece) of each round. Without keys none is skipped."""
+    def _block(self, words: list[str], keys: np.ndarray | None, gone: list[tuple] | None) -> tuple[np.ndarray, np.ndarray, list]:
+        """Ids of words, how many each has, and the merges (word, place, piece) of each round. What a word skips follows from
+        its key, or is named in ``gone``."""
+        if gone is not None:
+            gone = np.sort(np.array([i << 40 | at << 20 | made for i, g in enumerate(gone) for at, made in g], np.int64))
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words)), lengths)
@@ -172,7 +186,7 @@ class Pieces:
         todo = np.arange(len(ids) - 1)
         while len(ids):
             w = word[todo]
-            agenda[todo] = self._candidates(ids[todo], ids[todo + 1], at[todo], None if keys is None else keys[w], w == word[todo + 1])
+            agenda[todo] = self._candidates(ids[todo], ids[todo + 1], at[todo], w, w == word[todo + 1], keys, gone)
             heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.minimum.reduceat(agenda, heads)
             best = np.repeat(best, np.diff(np.append(heads, len(ids))))
@@ -195,13 +209,13 @@ class Pieces:
         order = np.argsort(first, kind="stable")
         return *self._ids(first[order], ids[order], points, lengths), merges
 
-    def _blocks(self, words: list[str], keys: np.ndarray | None):
+    def _blocks(self, words: list[str], keys: np.ndarray | None = None, gone: list[tuple] | None = None):
         """``_block`` over parts of about BLOCK characters: (first word, result)."""
         a = size = 0
         for i, w in enumerate(words, 1):
             size += len(w)
             if size >= BLOCK or i == len(words):
-                yield a, self._block(words[a:i], None if keys is None else keys[a:i])
+                yield a, self._block(words[a:i], None if keys is None else keys[a:i], None if gone is None else gone[a:i])
                 a, size = i, 0
 
     def _heap(self, word: str, key: int) -> np.ndarray:
@@ -240,14 +254,43 @@ class Pieces:
         first = [i for i, x in enumerate(ids) if x is not None]
         return self._ids(np.array(first, np.int64), np.array([ids[i] for i in first], np.int64), points, np.array([n]))[0]
 
-    def _learn(self, words: list[str]) -> None:
-        """Keep the plain runs of new words."""
-        for a, (ids, n, merges) in self._blocks(words, None):
+    def _learn(self, words: list[str], skips: list[tuple]) -> None:
+        """Keep the runs of words that skip just these candidates."""
+        for _, (ids, n, merges) in self._blocks(words, gone=skips):
             word, at, piece = (np.concatenate(x) for x in zip(*merges)) if merges else (np.zeros(0, np.int64),) * 3
             order = np.argsort(word, kind="stable")
-            self.known.update(zip(words[a : a + len(n)], range(len(self.known), len(self.known) + len(n))))
             self.merges.add(np.bincount(word, minlength=len(n)), at[order], piece[order])
-            self.plain.add(n, ids)
+            self.results.add(n, ids)
+        self.word_of += words
+        self.skips += skips
+
+    def _runs(self, run: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The run that each occurrence comes to from its plain run; -1 if it is not kept."""
+        out, todo = run.copy(), np.arange(len(run))
+        while len(todo):
+            starts = np.array(self.merges.starts)
+            now = out[todo]
+            n = starts[now + 1] - starts[now]
+            some = _within(starts[now], n)
+            skipped = np.flatnonzero(_draw(np.repeat(key[todo], n), self.merges.data[0][some], self.merges.data[1][some]) < np.uint64(self.least))
+            owner = np.repeat(np.arange(len(todo)), n)[skipped]
+            first = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
+            owner, skipped = owner[first], skipped[first]
+            edge = now[owner] << 8 | skipped - (np.cumsum(n) - n)[owner]
+            edges, of, times = np.unique(edge, return_inverse=True, return_counts=True)
+            to = np.array([self.next.get(e, -1) for e in edges.tolist()], np.int64)
+            if len(self.word_of) < RUNS:
+                new = edges[(to < 0) & (times > 1)].tolist()
+                made = [(e, self.merges.starts[e >> 8] + (e & 255)) for e in new]
+                skips = [(*self.skips[e >> 8], (int(self.merges.data[0][m]), int(self.merges.data[1][m]))) for e, m in made]
+                at = len(self.word_of)
+                self._learn([self.word_of[e >> 8] for e in new], skips)
+                self.next.update(zip(new, range(at, at + len(new))))
+                to[(to < 0) & (times > 1)] = np.arange(at, at + len(new))
+            todo = todo[owner]
+            out[todo] = to[of]
+            todo = todo[to[of] >= 0]
+        return out
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -271,44 +314,49 @@ class Pieces:
         n = np.array(counts, np.int64)
         return _mix(np.repeat(docs, n) + _within(np.zeros(len(n), np.int64), n).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
-    def encode(self, texts: list[str], doc_ids: list) -> tuple[list[bytes], list[int], list[int]]:
-        """For each text: its ids as little-endian 32-bit integers (an empty one has none), its words, and how many of
-        them skipped a merge of their plain run (all long ones count)."""
+    def encode(self, texts: list[str], doc_ids: list) -> tuple[list[bytes], list[int]]:
+        """For each text its ids as little-endian 32-bit integers (an empty one has none), and how many words it has."""
         cut = [self.words(t) for t in texts]
         counts = list(map(len, cut))
         flat = list(chain.from_iterable(cut))
-        if len(self.known) > WORDS:
+        if len(self.word_of) > RUNS:
             self._empty()
-        self._learn([w for w in set(flat).difference(self.known) if len(w) <= LONG])
-        row = np.fromiter((self.known.get(w, -1) for w in flat), np.int64, len(flat))
-        short, key = row >= 0, self.occurrences(doc_ids, counts)
-        varied, out_n = ~short, np.zeros(len(flat), np.int64)
-        starts = np.array(self.merges.starts)
-        if self.dropout and len(flat):
-            n = np.where(short, starts[row + 1] - starts[row], 0)
-            some = _within(np.where(short, starts[row], 0), n)
-            skipped = _draw(np.repeat(key, n), self.merges.data[0][some], self.merges.data[1][some]) < np.uint64(self.least)
-            varied[np.repeat(np.arange(len(flat)), n)[skipped]] = True
-        starts = np.array(self.plain.starts)
-        again, long = np.flatnonzero(varied & short), np.flatnonzero(~short)
-        out_n[~varied] = (starts[row + 1] - starts[row])[~varied]
+        if len(self.seen) > 2 * RUNS:
+            self.seen.clear()
+        times = Counter(flat)
+        new = [w for w in times.keys() - self.known.keys() if len(w) <= LONG and (times[w] > 1 or w in self.seen)]
+        self.known.update(zip(new, range(len(self.word_of), len(self.word_of) + len(new))))
+        self._learn(new, [()] * len(new))
+        once = times.keys() - self.known.keys()
+        self.seen.update(w for w in once if len(w) <= LONG)
+        self.known.update(dict.fromkeys(once, -1))
+        plain = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        for w in once:
+            del self.known[w]
+        short, key = np.flatnonzero(plain >= 0), self.occurrences(doc_ids, counts)
+        run = plain.copy()
+        if self.dropout:
+            run[short] = self._runs(plain[short], key[short])
+        starts, out_n = np.array(self.results.starts), np.zeros(len(flat), np.int64)
+        kept, again = np.flatnonzero(run >= 0), np.flatnonzero(run < 0)
+        large = np.fromiter((len(flat[i]) > LONG for i in again), bool, len(again))
+        again, long = again[~large], again[large]
+        out_n[kept] = starts[run[kept] + 1] - starts[run[kept]]
         parts = [self._heap(flat[i], int(key[i])) for i in long]
         out_n[long] = list(map(len, parts))
-        blocks = [r for _, r in self._blocks([flat[i] for i in again], key[again])]
+        blocks = [r for _, r in self._blocks([flat[i] for i in again], keys=key[again])]
         if blocks:
             out_n[again] = np.concatenate([r[1] for r in blocks])
         at = np.cumsum(out_n) - out_n
         ids = np.empty(int(out_n.sum()), "<u4")
-        same = np.flatnonzero(~varied)
-        ids[_within(at[same], out_n[same])] = self.plain.data[0][_within(starts[row[same]], out_n[same])]
+        ids[_within(at[kept], out_n[kept])] = self.results.data[0][_within(starts[run[kept]], out_n[kept])]
         if blocks:
             ids[_within(at[again], out_n[again])] = np.concatenate([r[0] for r in blocks])
         for i, x in zip(long, parts):
             ids[at[i] : at[i] + len(x)] = x
         data, ends = ids.tobytes(), np.append(0, np.cumsum(counts)).astype(np.int64)
         edges = (4 * np.append(at, len(ids))[ends]).tolist()
-        many = np.append(0, np.cumsum(varied))[ends]
-        return [data[a:b] for a, b in zip(edges, edges[1:])], counts, np.diff(many).tolist()
+        return [data[a:b] for a, b in zip(edges, edges[1:])], counts
 
     def decode(self, ids: bytes) -> str:
         """The text of its ids, whatever the segmentation."""
@@ -327,15 +375,15 @@ def pieces(path: str, dropout: float = DROPOUT, seed: int = SEED) -> Pieces:
 
 
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, with_ids: bool = False) -> DataFrame:
-    """``doc_id, n_words, n_varied, n_tokens, ids_crc32, decoded_crc32, lossless`` and, if asked for, ``ids`` (32-bit
+    """``doc_id, n_words, n_tokens, ids_crc32, decoded_crc32, lossless`` and, if asked for, ``ids`` (32-bit
     little-endian).
 
-    ``n_varied``: words that skipped a merge of their run without dropout (those of more than ``LONG`` characters all
-    count). ``lossless``: decoding the ids gives the text again. A null text is empty and has no ids. Rows
-    that repeat an id, or have none, are encoded each; if they repeat the text too, their ids are equal. Words
-    of any length are encoded whole. Other columns are ignored; an empty table gives an empty result.
+    ``n_words``: runs of other characters than blanks, and blanks that end a text. ``lossless``: decoding the ids gives
+    the text again. A null text is empty and has no ids. Rows that repeat an id, or have none, are encoded each; if
+    they repeat the text too, their ids are equal. Words of any length are encoded whole. Other columns are
+    ignored; an empty table gives an empty result.
     """
-    fields = [("n_words", pa.int64()), ("n_varied", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_crc32", pa.int64()), ("lossless", pa.bool_()), *([("ids", pa.binary())] if with_ids else [])]
+    fields = [("n_words", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_crc32", pa.int64()), ("lossless", pa.bool_()), *([("ids", pa.binary())] if with_ids else [])]
     schema = pa.schema(fields)
 
     def run(batches):
@@ -348,15 +396,15 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 if size < TEXTS and i < len(texts):
                     continue
                 some, names = [t or "" for t in texts[a:i]], ids_of.slice(a, i - a)
-                ids, n_words, n_varied = coder.encode(some, names.to_pylist())
+                ids, n_words = coder.encode(some, names.to_pylist())
                 back = [coder.decode(x) for x in ids]
-                columns = (n_words, n_varied, [len(x) // 4 for x in ids], map(zlib.crc32, ids), (zlib.crc32(t.encode()) for t in back), (x == t for x, t in zip(back, some)), ids)
+                columns = (n_words, [len(x) // 4 for x in ids], map(zlib.crc32, ids), (zlib.crc32(t.encode()) for t in back), (x == t for x, t in zip(back, some)), ids)
                 yield pa.RecordBatch.from_arrays([names, *(pa.array(list(c), f.type) for c, f in zip(columns, schema))], names=["id", *schema.names])
                 a, size = i, 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"id {kind}, n_words bigint, n_varied bigint, n_tokens bigint, ids_crc32 bigint, decoded_crc32 bigint, lossless boolean" + (", ids binary" if with_ids else ""))
+    out = rows.mapInArrow(run, f"id {kind}, n_words bigint, n_tokens bigint, ids_crc32 bigint, decoded_crc32 bigint, lossless boolean" + (", ids binary" if with_ids else ""))
     return out.withColumnRenamed("id", id_col)
 
 

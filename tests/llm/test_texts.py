@@ -13,7 +13,7 @@ from cases import TEXTS, documents, none
 from pyspark.sql import functions as F
 
 from evidra.llm import op9_pii as P
-from evidra.llm.op2_decontaminate import decontaminate
+from evidra.llm.op2_decontaminate import decontaminate, drop_contaminated
 from evidra.llm.op3_shards import kd_shards, op3_kd_shards
 from evidra.llm.op4_tokens import Segment, encode_segment, op4_token_ids, read_tokens, write_tokens
 from evidra.llm.op5_pst import op5_pst_score, pst_score
@@ -69,6 +69,17 @@ def test_decontaminate_is_brute_force(spark):
     assert decontaminate(awkward, i).count() == n
 
 
+def test_decontaminate_decides_row_by_row(spark):
+    leak, clean = "one two three four five six seven eight nine ten eleven", "nothing to see here at all"
+    rows = [(None, leak), (1, leak), (2, clean), (2, leak), (None, clean), (1, leak), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"k1": F.lit("x"), "text_id": F.lit(None).cast("int")})
+    items = spark.createDataFrame([(7, "ZERO " + leak, "x"), (8, leak + " twelve", None), (None, clean, "x")], "item_id bigint, text string, cls string").withColumns({c: F.lit("x") for c in ("w", "doc_id", "ctx", "marks", "item")})
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate(docs, items).collect())
+    assert got == sorted([(0, 11, 11, 2), (1, 11, 11, 2), (1, 11, 11, 2), (2, 6, 0, 0), (2, 11, 11, 2), (0, 6, 0, 0), (3, 0, 0, 0)])
+    kept = drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted((r[0] or 0, r[1] or "") for r in kept.collect()) == [(0, clean), (2, clean), (3, "")]
+
+
 # --- shards ---
 
 
@@ -185,8 +196,8 @@ def test_pieces_without_dropout_are_the_library(texts):
     sp, own = sentencepiece.SentencePieceProcessor(model_file=model_path()), Pieces(model_path(), dropout=0.0)
     some = [t for t in texts.values() if "  " not in t and "▁" not in t and t == t.strip()][:60]
     some.append("abcdefgh" * 60)  # a word with an agenda of its own
-    ids, _, varied = own.encode(some, list(range(len(some))))
-    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == sp.encode(some) and varied[:-1] == [0] * (len(some) - 1)
+    ids, _ = own.encode(some, list(range(len(some))))
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == sp.encode(some)
 
 
 def naive_pieces(p, word, key):
@@ -212,8 +223,8 @@ def naive_pieces(p, word, key):
 @pytest.mark.parametrize("dropout", [0.1, 0.5, 1.0])
 def test_pieces_with_dropout_are_a_naive_agenda(texts, dropout):
     own = Pieces(model_path(), dropout=dropout)
-    some = [" ".join(t.split(" ")[:25]) for t in list(texts.values())[:80]] + ["x" * 300 + " ab" * 3 + "  y北京😀 " + "\u0394z" * 120, "", "  a  b "]
-    got, n_words, _ = own.encode(some, list(range(len(some))))
+    some = 2 * [" ".join(t.split(" ")[:25]) for t in list(texts.values())[:80]] + ["x" * 300 + " ab" * 3 + "  y北京😀 " + "\u0394z" * 120, "", "  a  b "]
+    got, n_words = own.encode(some, list(range(len(some))))
     for d, t in enumerate(some):
         words = own.words(t)
         want = [i for w, k in zip(words, own.occurrences([d], [len(words)])) for i in naive_pieces(own, w, int(k))]
@@ -223,8 +234,8 @@ def test_pieces_with_dropout_are_a_naive_agenda(texts, dropout):
 def test_pieces_vary_by_occurrence_and_repeat_exactly():
     a, b = Pieces(model_path()), Pieces(model_path())
     t = [" ".join(["internationalization"] * 400)] * 2
-    one, _, varied = a.encode(t, [0, 1])
-    assert one == b.encode(t, [0, 1])[0] and one[0] != one[1] and 0 < varied[0] < 400
+    one = a.encode(t, [0, 1])[0]
+    assert one == b.encode(t, [0, 1])[0] and one[0] != one[1]
     words = a.words(t[0])
     cuts = {tuple(naive_pieces(a, w, int(k))) for w, k in zip(words, a.occurrences([0], [len(words)]))}
     assert len(cuts) > 20
@@ -240,7 +251,7 @@ def test_pieces_very_long_word():
 
 def test_pieces_lossless(spark):
     got = op8_pieces(spark, DATA).collect()
-    assert all(r["lossless"] for r in got) and sum(r["n_varied"] for r in got) > 0.1 * sum(r["n_words"] for r in got)
+    assert all(r["lossless"] for r in got)
     docs, n = documents(spark)
     got = encode_pieces(docs, model_path(), with_ids=True).collect()
     assert len(got) == n and all(r["lossless"] for r in got) and encode_pieces(none(spark), model_path()).count() == 0

@@ -7,19 +7,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys of rows (16 bytes each) up to this number are broadcast.
+BROADCAST_KEYS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (as in tests) a temporary folder is set.
+    Where the session names none, a local session (as in tests) gets a temporary folder; a cluster has no folder that
+    all can reach, so that is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="evidra-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
     return found
 
 
@@ -33,6 +41,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_key(*columns: Column) -> list[Column]:
+    """Two 64-bit hashes of a row's columns, ``k1`` and ``k2``: rows with equal columns, nulls included, share them."""
+    parts = [x for c in columns for x in (c.isNull(), c)]
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")]
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, how: str = "left_anti") -> DataFrame:
+    """The rows of ``docs`` whose key is not among ``gone`` (or, with ``left_semi``, is). Few keys are broadcast, so that the
+    texts stay where they are; more are joined by a shuffle."""
+    gone = gone.select(F.col("k1").alias("_gone1"), F.col("k2").alias("_gone2"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    k1, k2 = row_key(F.col(id_col), F.col(text_col))
+    keyed = docs.withColumns({"_key1": k1, "_key2": k2})
+    return keyed.join(gone, (F.col("_key1") == F.col("_gone1")) & (F.col("_key2") == F.col("_gone2")), how).drop("_key1", "_key2")
+
+
 def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The groups of equal ``keys`` of a partition that is sorted by them; only one group is held."""
     held: list[pd.DataFrame] = []
@@ -59,15 +83,20 @@ class Labels:
     def __init__(self, n: int):
         self.of = np.arange(n)
 
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        up = self.of[x]
+        while True:
+            above = self.of[up]
+            if (above == up).all():
+                return up
+            up = above
+
     def join(self, touched: np.ndarray) -> None:
         """Join the components of these positions."""
-        labels = self.of[touched]
-        low, high = labels.min(), labels.max()
-        if low == high:
-            return
-        to = np.arange(len(self.of))
-        to[labels] = low
-        self.of = to[self.of]
+        roots = self.roots(touched)
+        low = roots.min()
+        self.of[roots] = low
+        self.of[touched] = low
 
     def join_rows(self, first: int, linked: np.ndarray) -> None:
         """``linked[r, c]``: position ``first + r`` is linked with position ``c``."""
@@ -76,5 +105,6 @@ class Labels:
 
     def stars(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions other than their component's label, and those labels."""
+        self.of = self.roots(np.arange(len(self.of)))
         p = np.flatnonzero(self.of != np.arange(len(self.of)))
         return p, self.of[p]

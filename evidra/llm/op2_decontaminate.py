@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import cut
+from evidra.llm.common import cut, row_key, without
 
 WINDOW = 10
 K = 6
@@ -66,46 +66,59 @@ def _marks(texts: DataFrame, window: int, k: int, short: list[int]) -> DataFrame
     return t.select(*texts.columns, F.when(F.spark_partition_id() >= 0, F.concat(*marks) if len(marks) > 1 else marks[0]).alias("marks"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
-
-    ``n_hit`` counts the words inside any occurrence of a window of an item, ``n_items`` the items with
-    occurring windows; the digest is that of their ids, sorted as strings and joined by commas. Null and
-    empty texts have no words and no hits; an item without words has no windows; items that repeat a text
-    are found each; rows with a null item id are left out. ``doc_id`` is taken to be unique: rows that
-    repeat an id share their hits. Empty tables give no rows or no hits. Other columns are ignored.
-    """
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Whole windows that documents hold, ``(k1, k2, from, to, ctx)``, and the items of each place in an item, ``(ctx, item)``."""
     it = items.select(F.col(item_col).alias("item"), words(F.col(item_text_col)).alias("w")).where("item is not null and size(w) > 0")
     # equal items are one class, so a passage that many items repeat is sought once
-    classes = it.groupBy("w").agg(F.min("item").alias("cls"))
+    classes = cut(it.groupBy("w").agg(F.min("item").alias("cls")))
     member = it.join(classes, "w").select("cls", "item")
     short = sorted(r[0] for r in classes.where(F.size("w") < window).select(F.size("w")).distinct().collect())  # window - 1 lengths at most
-    marked = _marks(classes, window, k, short).select("cls", F.col("w").alias("iw"), F.explode("marks").alias("m"))
-    own = F.when(F.size("iw") < window, F.size("iw")).otherwise(0)
-    marked = marked.select("cls", "iw", F.col("m.n").alias("n"), F.col("m.at").alias("iat"), F.col("m.hash").alias("hash")).where(F.col("n") == own)
-    small = classes.agg(F.sum(F.size("w"))).first()[0] or 0
-    marked = F.broadcast(marked) if small <= BROADCAST_ROWS else marked
-
-    base = docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w"))
-    found = _marks(base, window, k, short).select("doc", "w", F.explode("marks").alias("m"))
-    found = found.select("doc", "w", F.col("m.n").alias("n"), F.col("m.at").alias("at"), F.col("m.hash").alias("hash"))
     # around a hit: the words that a window can reach; the positions count within them from here on
     reach = window - k
     size = F.when(F.col("n") == 0, k).otherwise(F.col("n"))
     near = lambda w, at: F.slice(w, F.greatest(F.lit(1), F.col(at) + 1 - reach), size + reach + F.least(F.col(at), F.lit(reach)))
-    hits = found.join(marked, ["n", "hash"]).select("doc", "cls", "n", "at", near("w", "at").alias("dw"), F.least("at", F.lit(reach)).alias("d"), near("iw", "iat").alias("iw"), F.least("iat", F.lit(reach)).alias("i"))
+    marked = _marks(classes, window, k, short).select("cls", F.col("w").alias("iw"), F.explode("marks").alias("m"))
+    own = F.when(F.size("iw") < window, F.size("iw")).otherwise(0)
+    marked = marked.select("cls", "iw", F.col("m.n").alias("n"), F.col("m.at").alias("iat"), F.col("m.hash").alias("hash")).where(F.col("n") == own)
+    marked = marked.select("cls", "n", "hash", near("iw", "iat").alias("iw"), F.least("iat", F.lit(reach)).alias("i")).withColumn("ctx", F.xxhash64("n", "hash", "i", "iw"))
+    # places of items with equal surroundings are one context: a document is compared with it once
+    contexts = cut(marked.select("n", "hash", "iw", "i", "ctx").distinct())
+    named = cut(marked.select("ctx", "cls").distinct().join(member, "cls").select("ctx", F.col("item").cast("string").alias("item")).distinct())
+    contexts = F.broadcast(contexts) if contexts.count() <= BROADCAST_ROWS else contexts
+
+    base = docs.select(*row_key(F.col(id_col), F.col(text_col)), words(F.col(text_col)).alias("w"))
+    found = _marks(base, window, k, short).select("k1", "k2", "w", F.explode("marks").alias("m"))
+    found = found.select("k1", "k2", "w", F.col("m.n").alias("n"), F.col("m.at").alias("at"), F.col("m.hash").alias("hash"))
+    hits = found.join(contexts, ["n", "hash"]).select("k1", "k2", "ctx", "n", "at", near("w", "at").alias("dw"), F.least("at", F.lit(reach)).alias("d"), "iw", "i")
     hits = cut(hits)
     whole = F.slice("dw", F.col("d") + 1, size) == F.slice("iw", F.col("i") + 1, size)
     left = _equal_run(F.reverse(F.slice("dw", 1, F.col("d"))), F.reverse(F.slice("iw", 1, F.col("i"))))
     right = _equal_run(F.slice("dw", F.col("d") + size + 1, reach), F.slice("iw", F.col("i") + size + 1, reach))
-    hits = hits.where(whole).select("doc", "cls", "n", "at", size.alias("size"), F.when(F.col("n") > 0, 0).otherwise(left).alias("left"), F.when(F.col("n") > 0, 0).otherwise(right).alias("right"))
-    spans = hits.select("doc", "cls", "n", (F.col("at") - F.col("left")).alias("from"), (F.col("at") + F.col("size") + F.col("right")).alias("to"))
-    spans = cut(spans.distinct()).where((F.col("n") > 0) | (F.col("to") - F.col("from") >= window))
-    hit = spans.select("doc", F.explode(F.sequence("from", F.col("to") - 1)).alias("at")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
-    named = spans.select("doc", "cls").distinct().join(member, "cls").select("doc", F.col("item").cast("string").alias("item")).distinct()
-    named = named.groupBy("doc").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
-    counted = base.select("doc", F.size("w").cast("bigint").alias("n_words"))
-    out = counted.join(hit.join(named, "doc"), "doc", "left")
+    hits = hits.where(whole).select("k1", "k2", "ctx", "n", "at", size.alias("size"), F.when(F.col("n") > 0, 0).otherwise(left).alias("left"), F.when(F.col("n") > 0, 0).otherwise(right).alias("right"))
+    spans = hits.select("k1", "k2", "ctx", "n", (F.col("at") - F.col("left")).alias("from"), (F.col("at") + F.col("size") + F.col("right")).alias("to"))
+    return spans.where((F.col("n") > 0) | (F.col("to") - F.col("from") >= window)).drop("n").distinct(), named
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
+    """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+
+    ``n_hit`` counts the words inside any occurrence of a window of an item, ``n_items`` the items with
+    occurring windows; the digest is that of their ids, sorted as strings and joined by commas. Null and
+    empty texts have no words and no hits; an item without words has no windows; items that repeat a text
+    are found each; rows with a null item id are left out. Each document row decides for itself: rows
+    without an id, and rows that repeat an id with another text, have the hits of their own text (rows are told apart
+    by a 128-bit hash of id and text). Very long texts are taken whole. Empty tables give no rows or no hits. Other
+    columns are ignored.
+    """
+    spans, names = _found(docs, items, id_col, text_col, item_col, item_text_col, window, k)
+    spans = cut(spans)
+    names = F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
+    hit = spans.select("k1", "k2", "from", "to").distinct().select("k1", "k2", F.explode(F.sequence("from", F.col("to") - 1)).alias("at")).distinct()
+    hit = hit.groupBy("k1", "k2").agg(F.count("*").alias("n_hit"))
+    named = spans.select("k1", "k2", "ctx").distinct().join(names, "ctx").select("k1", "k2", "item").distinct()
+    named = named.groupBy("k1", "k2").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    counted = docs.select(F.col(id_col).alias("doc"), *row_key(F.col(id_col), F.col(text_col)), F.size(words(F.col(text_col))).cast("bigint").alias("n_words"))
+    out = counted.join(hit.join(named, ["k1", "k2"]), ["k1", "k2"], "left")
     return out.select(
         F.col("doc").alias(id_col),
         "n_words",
@@ -116,7 +129,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
+    """The rows of ``docs`` without a hit, with all their columns; cases as in ``decontaminate``."""
+    spans, _ = _found(docs, items, id_col, text_col, item_col, item_text_col, window, k)
+    return without(docs, cut(spans.select("k1", "k2").distinct()), id_col, text_col)
+
+
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """``decontaminate`` over all documents and benchmark items; rows as its docstring says."""
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -6,7 +6,9 @@ tree for each half. A node holds a vantage point, a radius and the metric (its h
 A fingerprint is *owned* by the one leaf on its path, and *visits* the leaves that the triangle bound
 cannot exclude: with slack s (1 on a half, 3 on all bits), a point at distance d from the vantage point
 has neighbours inside only if d - s <= r and outside only if d + s > r. Each leaf is one group of a
-shuffle; owned fingerprints are compared with owned and visiting ones, so no pair is missed. A leaf sends
+shuffle; owned fingerprints are compared with owned and visiting ones, so no pair is missed. A leaf that owns
+more than ``BLOCK`` fingerprints (a dense ball that no vantage point divides) is dealt into blocks: each owned one
+belongs to one block and visits those before it, so the work of a leaf is spread over many tasks. A block sends
 out star edges of its local components, never all pairs.
 """
 
@@ -26,6 +28,8 @@ SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 3
 LEAF = 2048
+#: Owned fingerprints of a group at most, about.
+BLOCK = 4096
 #: Fingerprints that the trees are fitted on; every fingerprint is routed through them.
 SAMPLE = 60_000
 
@@ -39,7 +43,11 @@ def fingerprint(text: str | None, k: int = SHINGLE_WORDS) -> int:
     if len(words) <= k:
         return digest(b" ".join(words), SEED)
     join = b" ".join
-    h = np.array([digest(join(s), SEED) for s in zip(*(words[i:] for i in range(k)))], np.uint64)
+    return vote(np.array([digest(join(s), SEED) for s in zip(*(words[i:] for i in range(k)))], np.uint64))
+
+
+def vote(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):
         part = h[at : at + 4096]
@@ -142,7 +150,7 @@ def _leaf_edges(fp: np.ndarray, rep: np.ndarray, own: np.ndarray, radius: int) -
     return rep[p], rep[to]
 
 
-def near_edges(classes: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def near_edges(classes: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """Edges ``(a, b)`` between the representatives of distinct fingerprints ``(fp, rep)``; their
     components are those of the graph of all pairs within ``radius`` bits."""
     spark = classes.sparkSession
@@ -161,13 +169,19 @@ def near_edges(classes: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sampl
                 yield pd.DataFrame({"tree": np.full(len(p), tree, np.int32), "leaf": at.astype(np.int32), "fp": fp[p], "rep": rep[p], "own": own.astype(bool)})
 
     def linked(batches):
-        for g in groups(batches, ["tree", "leaf"]):
+        for g in groups(batches, ["tree", "leaf", "block"]):
             a, b = _leaf_edges(g["fp"].to_numpy(np.int64), g["rep"].to_numpy(np.int64), g["own"].to_numpy(bool), radius)
             yield pd.DataFrame({"a": a, "b": b})
 
     rows = classes.select("fp", "rep").mapInPandas(routed, "tree int, leaf int, fp bigint, rep bigint, own boolean")
+    # a row for each large leaf: no more than the trees have leaves, and they were grown on the sample
+    owned = F.sum(F.col("own").cast("int"))
+    large = rows.groupBy("tree", "leaf").agg(F.ceil(owned / block).cast("int").alias("blocks")).where("blocks > 1")
+    rows = rows.join(F.broadcast(cut(large)), ["tree", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("mine")).otherwise(F.col("blocks") - 1))))
+    rows = rows.select("tree", "leaf", "block", "fp", "rep", (F.col("own") & (F.col("block") == F.col("mine"))).alias("own"))
     n = max(partitions(spark), total // (8 * leaf))
-    return rows.repartition(n, "tree", "leaf").sortWithinPartitions("tree", "leaf").mapInPandas(linked, "a bigint, b bigint")
+    return rows.repartition(n, "tree", "leaf", "block").sortWithinPartitions("tree", "leaf", "block").mapInPandas(linked, "a bigint, b bigint")
 
 
 def simhash_neardup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
@@ -191,4 +205,5 @@ def simhash_neardup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op6_simhash_neardup(spark, sf_dir: str) -> DataFrame:
+    """``simhash_neardup`` over all documents; rows as its docstring says."""
     return simhash_neardup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -150,3 +150,20 @@ def test_pipeline_neardup_is_brute_force(spark):
     got = {x["doc_id"] for x in simhash_near_dedup(spark, docs, "").collect()}
     assert got == {i for i in want if want[i] == i}
     assert len({want[i] for i in want}) < len({frozenset(s) for s in sets})  # near copies, not only equal ones
+
+
+def test_dense_ball_is_dealt_into_blocks(spark):
+    """Fingerprints within a few bits of one another, which no vantage point divides: same components, many groups."""
+    r = random.Random(8)
+    center = r.getrandbits(64)
+    ball = sorted({center ^ sum(1 << b for b in r.sample(range(64), r.choice((2, 3, 4)))) for _ in range(1500)})
+    far = sorted({r.getrandbits(64) for _ in range(200)})
+    fps = ball + far
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp bigint, rep bigint")
+    x = np.array(fps, np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3
+    want = components(range(len(fps)), [(i, j) for i, j in zip(*map(list, np.nonzero(near))) if i < j])
+    for block in (100, 1 << 30):
+        edges = near_edges(df, leaf=50, block=block)
+        got = {i: i for i in range(len(fps))} | {n: c for n, c in connected_components(edges).collect()}
+        assert got == want

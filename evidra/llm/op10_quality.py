@@ -4,9 +4,9 @@ host and of its path on that host.
 Two linear classifiers (quality, toxic) over distinct words and a few shape features are fitted on a bounded
 sample of labelled rows and give each document's log odds. For each host the expected share of good
 documents is a beta posterior, (sum of p + s m) / (n + s), around the global share m; for each path it is one
-around its host's share. The strengths s follow from the spread of the groups (moments), so
-sparse sites shrink to their prior. A document's odds are its evidence times the ratio of its path's
-odds to the global ones.
+around its host's share. A document's own p is left out of its sums, as its evidence counts already. The strengths
+s follow from the spread of the groups (moments), within ``STRENGTH``, so sparse sites shrink to their prior. A
+document's odds are its evidence times the ratio of its path's odds to the global ones.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ L2 = 0.3
 SURE = 30.0
 STEPS = 150
 HEADS = ("quality", "toxic")
+#: Least and greatest strength of a prior, in documents.
+STRENGTH = (10.0, 1e4)
+#: Sites (a host's path each) up to this number are broadcast.
+BROADCAST_SITES = 500_000
 #: Entries of a task's table of words, after which it is emptied.
 WORDS = 300_000
 _PUNCT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -138,10 +143,12 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     return [(np.frombuffer(r["hashes"], np.int64), np.frombuffer(r["shape"]), {h: r[h] for h in heads}) for r in out.collect()]
 
 
-def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host: Column, path: Column) -> DataFrame:
-    """``id, host, path, z_<head>``: log odds of each document by its text alone."""
+def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host: Column, path: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, host, path, z_<head>``: log odds of each document by its text alone; columns ``keep`` as ``keep0`` and so on."""
     heads = tuple(model["heads"])
     shared = docs.sparkSession.sparkContext.broadcast((model["words"], np.stack([model["heads"][h][0] for h in heads], 1), np.stack([model["heads"][h][1] for h in heads], 1)))
+    kept = [(f"keep{i}", c) for i, c in enumerate(keep)]
+    names = ["id", "host", "path", *(k for k, _ in kept), *(f"z_{h}" for h in heads)]
 
     def run(batches):
         u, w, v = shared.value
@@ -149,8 +156,8 @@ def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host: Col
         none, known = None, {}
         digest = xxhash.xxh64_intdigest
         for b in batches:
-            z = np.zeros((len(b), len(heads)))
-            for i, t in enumerate(b["text"]):
+            z = np.zeros((b.num_rows, len(heads)))
+            for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 words, s = read(t)
                 if len(known) > WORDS:
                     known.clear()
@@ -161,56 +168,90 @@ def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host: Col
                 z[i] = np.array(s) @ v
                 if hit:
                     z[i] += np.sum(hit, axis=0)
-            yield pd.DataFrame({"id": b["id"], "host": b["host"], "path": b["path"], **{f"z_{h}": z[:, k] for k, h in enumerate(heads)}})
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(z[:, k]) for k in range(len(heads)))], names=names)
 
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id string, host string, path string, " + ", ".join(f"z_{h} double" for h in heads))
+    site = [host.cast("string").alias("host"), path.cast("string").alias("path")]
+    rows = docs.select(F.col(id_col).alias("id"), *site, *(F.col(c).alias(k) for k, c in kept), F.col(text_col).alias("text"))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"z_{h} double" for h in heads]
+    return rows.mapInArrow(run, ", ".join(schema))
 
 
-def _strength(groups: DataFrame, mean: float) -> float:
+def _strength(groups: DataFrame, head: str, mean: float) -> float:
     """Beta strength from the spread of group means: m (1 - m) / between - 1, within bounds."""
-    r = groups.where("n > 1").select(F.count("*"), F.avg(F.pow(F.col("p") / F.col("n") - mean, 2)), F.avg((F.col("pp") / F.col("n") - F.pow(F.col("p") / F.col("n"), 2)) / F.col("n"))).first()
+    n, p, pp = F.col("n"), F.col(f"p_{head}"), F.col(f"pp_{head}")
+    r = groups.where("n > 1").select(F.count("*"), F.avg(F.pow(p / n - mean, 2)), F.avg((pp / n - F.pow(p / n, 2)) / n)).first()
     if not r[0]:
         return 100.0
     between = max(r[1] - max(r[2], 0.0), 1e-9)
-    return float(min(1e4, max(10.0, mean * (1 - mean) / between - 1)))
+    return float(min(STRENGTH[1], max(STRENGTH[0], mean * (1 - mean) / between - 1)))
 
 
 def _logit(c: Column) -> Column:
     return F.log(c) - F.log(1 - c)
 
 
+def posterior(z: DataFrame, heads: tuple[str, ...] = HEADS) -> DataFrame:
+    """Adds ``p_<head>`` to rows with ``host, path, z_<head>``: the evidence and the posteriors of the row's site, which
+    the row itself is left out of. A null host or path is a group of its own."""
+    p = {h: 1 / (1 + F.exp(-F.col(f"z_{h}"))) for h in heads}
+    sums = [F.sum(x).alias(f"{k}_{h}") for h in heads for k, x in (("p", p[h]), ("pp", p[h] * p[h]))]
+    paths = cut(z.groupBy("host", "path").agg(F.count("*").alias("n"), *sums))
+    both = lambda g: g.agg(F.sum("n").alias("n"), *(F.sum(f"{k}_{h}").alias(f"{k}_{h}") for h in heads for k in ("p", "pp")))
+    hosts = both(paths.groupBy("host"))
+    total = both(hosts).first()
+    named = hosts.select(F.col("host").alias("of_host"), F.col("n").alias("n_host"), *(F.col(f"p_{h}").alias(f"host_{h}") for h in heads))
+    sites = paths.join(named, F.col("host").eqNullSafe(F.col("of_host"))).select(
+        F.col("host").alias("site_host"), F.col("path").alias("site_path"), F.col("n").alias("n_path"), "n_host", *(F.col(f"p_{h}").alias(f"path_{h}") for h in heads), *(f"host_{h}" for h in heads)
+    )
+    sites = cut(sites)
+    sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
+    out = z.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+    for h in heads:
+        mean = min(1 - 1e-6, max(1e-6, total[f"p_{h}"] / total["n"])) if total["n"] else 0.5
+        sh, sp = _strength(hosts, h, mean), _strength(paths, h, mean)
+        share = (F.col(f"host_{h}") - p[h] + sh * mean) / (F.col("n_host") - 1 + sh)
+        share = (F.col(f"path_{h}") - p[h] + sp * share) / (F.col("n_path") - 1 + sp)
+        shift = _logit(F.least(F.greatest(share, F.lit(1e-9)), F.lit(1 - 1e-9))) - math.log(mean / (1 - mean))
+        out = out.withColumn(f"p_{h}", 1 / (1 + F.exp(-(F.col(f"z_{h}") + shift))))
+    return out.drop("site_host", "site_path", "n_path", "n_host", *(f"{k}_{h}" for h in heads for k in ("path", "host")))
+
+
+_KEPT = "p_quality >= 0.5 and p_toxic < 0.5"
+
+
 def quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str | Column = "source", path: str | Column = "lang", label_id: str = "doc_id", sample: int = SAMPLE
 ) -> DataFrame:
     """One row per document: id, host, path, ``p_quality``, ``p_toxic``, ``kept``.
 
     A document is kept if p_quality >= 0.5 and p_toxic < 0.5. Null and empty texts have only their shape as
-    evidence; a null host or path is a group of its own. Rows that repeat an id are scored each; a document
-    labelled twice counts as of good quality, or toxic, if one label says so. Without labelled rows
-    every document is kept. Other columns are ignored; an empty table gives none.
+    evidence; very long ones are read whole; a null host or path is a group of its own. Rows that repeat an id, or have
+    none, are scored each; a document labelled twice counts as of good quality, or toxic, if one label says so; labels
+    with a null id are left out. Without labelled rows every document is kept. The classifier is fitted on about ``sample``
+    labelled rows; strengths of priors stay within ``STRENGTH``. Other columns, of both tables, are ignored; an empty table gives none.
+    """
+    host, path = (F.col(x) if isinstance(x, str) else x for x in (host, path))
+    model = fit(_sample(docs, labels, id_col, text_col, label_id, HEADS, sample))
+    out = posterior(cut(evidence(docs, model, id_col, text_col, host, path)))
+    return out.select(F.col("id").alias(id_col), "host", "path", "p_quality", "p_toxic", F.expr(_KEPT).alias("kept"))
+
+
+def drop_rejected(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str | Column = "source", path: str | Column = "lang", label_id: str = "doc_id", sample: int = SAMPLE
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns; cases as there.
+
+    The decision is on the row: texts are read twice, once for the sums of their sites and once for the row, and never
+    shuffled, unless there are more than ``BROADCAST_SITES`` sites.
     """
     host, path = (F.col(x) if isinstance(x, str) else x for x in (host, path))
     model = fit(_sample(docs, labels, id_col, text_col, label_id, HEADS, sample))
-    z = cut(evidence(docs, model, id_col, text_col, host, path))
-    out = z
-    for head in HEADS:
-        p = 1 / (1 + F.exp(-F.col(f"z_{head}")))
-        sums = [F.count("*").alias("n"), F.sum(p).alias("p"), F.sum(p * p).alias("pp")]
-        paths = cut(z.groupBy("host", "path").agg(*sums))
-        hosts = paths.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("n", "p", "pp")))
-        n, total = hosts.agg(F.sum("n"), F.sum("p")).first()
-        mean = min(1 - 1e-6, max(1e-6, total / n)) if n else 0.5
-        sh, sp = _strength(hosts, mean), _strength(paths, mean)
-        by_host = hosts.select(F.col("host").alias("of_host"), ((F.col("p") + sh * mean) / (F.col("n") + sh)).alias("share"))
-        share = (F.col("p") + sp * F.col("share")) / (F.col("n") + sp)
-        shift = paths.join(by_host, F.col("host").eqNullSafe(F.col("of_host"))).select(
-            F.col("host").alias(f"host_{head}"), F.col("path").alias(f"path_{head}"), (_logit(share) - math.log(mean / (1 - mean))).alias(f"shift_{head}")
-        )
-        out = out.join(shift, F.col("host").eqNullSafe(F.col(f"host_{head}")) & F.col("path").eqNullSafe(F.col(f"path_{head}")))
-        out = out.withColumn(f"p_{head}", 1 / (1 + F.exp(-(F.col(f"z_{head}") + F.col(f"shift_{head}")))))
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "host", "path", "p_quality", "p_toxic", ((F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5)).alias("kept"))
+    columns = docs.columns
+    out = posterior(evidence(docs, model, id_col, text_col, host, path, tuple(columns))).where(_KEPT)
+    return out.select(*(F.col(f"keep{i}").alias(c) for i, c in enumerate(columns)))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
+    """``quality`` over all documents, fitted on ``labels``; the host is the source. The table has no path: the language
+    stands in for it."""
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

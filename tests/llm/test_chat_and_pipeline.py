@@ -66,3 +66,19 @@ def test_pipeline_awkward(spark):
         for name, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, d)
             assert now.count() <= n
+
+
+def test_pipeline_stages_decide_row_by_row(spark):
+    """Null and repeated ids: each row goes or stays by its own text."""
+    leak, clean = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first()["text"], "a plain sentence about nothing that anyone would want to drop"
+    near = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, leak), (1, leak), (2, clean), (2, leak), (None, clean), (3, near), (3, near), (4, near + " end"), (5, None), (3, "something else entirely, of its own")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("bigint"), "k1": F.lit("x"), "component_id": F.lit(0)})
+    run = dict(corpus_pipeline.STAGES)
+    clear = lambda df: sorted((r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+    left = run["benchmark decontamination"](spark, docs, "/root/testdata/sf0.001")
+    assert left.columns == docs.columns and clear(left) == clear(docs.where(F.coalesce(F.col("text"), F.lit("")) != leak))
+    left = run["simhash near-dedup"](spark, docs, "/root/testdata/sf0.001")
+    assert left.columns == docs.columns and clear(left) == sorted([(0, leak), (0, clean), (1, leak), (2, clean), (3, near), (3, "something else entirely, of its own"), (5, "")])
+    left = run["personal data"](spark, docs, "/root/testdata/sf0.001")
+    assert left.columns == docs.columns and clear(left) == clear(docs)

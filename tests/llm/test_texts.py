@@ -18,7 +18,7 @@ from evidra.llm.op3_shards import kd_shards, op3_kd_shards
 from evidra.llm.op4_tokens import Segment, encode_segment, op4_token_ids, read_tokens, write_tokens
 from evidra.llm.op5_pst import op5_pst_score, pst_score
 from evidra.llm.op8_pieces import Pieces, _draw_one, encode_pieces, model_path, op8_pieces
-from evidra.llm.op10_quality import op10_quality, quality
+from evidra.llm.op10_quality import STRENGTH, drop_rejected, op10_quality, posterior, quality
 
 DATA = "/root/testdata/sf0.001"
 
@@ -345,6 +345,70 @@ def test_quality_on_labels(spark):
     assert op10_quality(spark, DATA).count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
 
 
+def brute_posterior(rows):
+    """The same by definition: sums over all other rows of the host and of the path."""
+    sig, logit = (lambda x: 1 / (1 + math.exp(-x))), (lambda p: math.log(p / (1 - p)))
+    out = [[] for _ in rows]
+    for h in (2, 3):
+        p = [sig(r[h]) for r in rows]
+        m = sum(p) / len(p)
+
+        def strength(key):
+            groups = {}
+            for r, x in zip(rows, p):
+                groups.setdefault(key(r), []).append(x)
+            many = [g for g in groups.values() if len(g) > 1]
+            between = sum((sum(g) / len(g) - m) ** 2 for g in many) / len(many)
+            within = sum((sum(x * x for x in g) / len(g) - (sum(g) / len(g)) ** 2) / len(g) for g in many) / len(many)
+            return min(STRENGTH[1], max(STRENGTH[0], m * (1 - m) / max(between - max(within, 0), 1e-9) - 1))
+
+        sh, sp = strength(lambda r: r[0]), strength(lambda r: r[:2])
+        for i, r in enumerate(rows):
+            host = [x for j, x in enumerate(p) if j != i and rows[j][0] == r[0]]
+            path = [x for j, x in enumerate(p) if j != i and rows[j][:2] == r[:2]]
+            share = (sum(path) + sp * (sum(host) + sh * m) / (len(host) + sh)) / (len(path) + sp)
+            out[i].append(sig(r[h] + logit(share) - logit(m)))
+    return out
+
+
+def test_quality_posteriors_are_brute_force(spark):
+    """Hosts and paths of web pages: sparse sites stay near the prior, large ones move."""
+    r = random.Random(6)
+    rows = []
+    for i in range(60):  # hosts of 1 to 40 pages, good or bad ones, a path or a few
+        lean = r.choice((-2.0, 0.0, 2.0))
+        rows += [(f"site{i}.example" if i else None, f"/p{r.randrange(3)}" if r.random() < 0.9 else None, lean + r.gauss(0, 1), -3 + r.gauss(0, 1)) for _ in range(r.choice((1, 1, 1, 2, 5, 40)))]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "id int, host string, path string, z_quality double, z_toxic double")
+    got = {x["id"]: (x["p_quality"], x["p_toxic"]) for x in posterior(df).collect()}
+    want = brute_posterior(rows)
+    assert len(got) == len(rows) and all(math.isclose(a, b, rel_tol=1e-6) for i, w in enumerate(want) for a, b in zip(got[i], w))
+    one = posterior(spark.createDataFrame([(1, "h", "p", 1.0, -1.0)], df.schema)).first()  # alone: the evidence itself
+    assert math.isclose(one["p_quality"], 1 / (1 + math.exp(-1)), rel_tol=1e-6)
+
+
+def test_quality_on_hosts_of_urls(spark):
+    """A site whose pages are bad pulls its doubtful page down; the same text on a good site stays."""
+    good, bad = "the committee met and agreed on the report today ", "casino win $$$ !!! click now free "
+    rows = [(i, (good if i % 2 else bad) + f"w{i}", f"http://{'fine' if i % 2 else 'spam'}.example/{'a' if i % 4 < 2 else 'b'}/{i}") for i in range(400)]
+    rows += [(1000, "the committee met", "http://spam.example/a/x"), (1001, "the committee met", "http://fine.example/a/x"), (1002, "the committee met", "http://new.example/a/x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, url string")
+    labels = docs.where("doc_id < 400").select("doc_id", (F.col("doc_id") % 2).alias("quality"), F.lit(0).alias("toxic"), F.lit("x").alias("text"), F.lit("y").alias("url"), F.lit("z").alias("hashes"))
+    host, path = F.parse_url("url", F.lit("HOST")), F.regexp_extract(F.parse_url("url", F.lit("PATH")), "^/[^/]*", 0)
+    p = {r["doc_id"]: r["p_quality"] for r in quality(docs, labels, host=host, path=path).collect()}
+    assert p[1000] < p[1002] < p[1001] and p[1] > 0.9 and p[0] < 0.1
+
+
+def test_quality_decides_row_by_row(spark):
+    good, bad = "the committee met and agreed on the report today ", "casino win $$$ !!! click now free "
+    rows = [(i, (good if i % 2 else bad) + f"w{i}") for i in range(400)] + [(None, good), (None, bad), (500, good), (500, bad)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"source": F.lit("s"), "lang": F.lit("l"), "kept": F.lit(False), "z_quality": F.lit("x"), "keep0": F.lit(1.5), "host": F.array(F.lit(1))})
+    labels = docs.where("doc_id < 400").select("doc_id", (F.col("doc_id") % 2).alias("quality"), F.lit(0).alias("toxic"))
+    left = drop_rejected(docs, labels)
+    assert left.schema.names == docs.schema.names
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in left.where("doc_id is null or doc_id = 500").collect())
+    assert got == [(0, good), (500, good)] and left.count() == 202
+
+
 def test_quality_awkward(spark):
     docs, n = documents(spark)
     none_yet = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")

@@ -37,8 +37,9 @@ HEADS = ("quality", "toxic")
 STRENGTH = (10.0, 1e4)
 #: Sites (a host's path each) up to this number are broadcast.
 BROADCAST_SITES = 500_000
-#: Entries of a task's table of words, after which it is emptied.
-WORDS = 300_000
+#: Entries of a task's table of words, after which it is emptied, and rows that a task reads at once.
+WORDS = 200_000
+ROWS = 500
 _PUNCT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _MARKS = (b"!!", b"***", b"$$$", b"%%%", b"&&&", b"###", b" | ", b"http", b"{", b"<", b"=", b"_")
 
@@ -155,7 +156,7 @@ def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host: Col
         weights = {int(k): x for k, x in zip(u.tolist(), w.tolist())}
         none, known = None, {}
         digest = xxhash.xxh64_intdigest
-        for b in batches:
+        for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             z = np.zeros((b.num_rows, len(heads)))
             for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 words, s = read(t)

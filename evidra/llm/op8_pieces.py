@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 DROPOUT = 0.1
 SEED = 17
 #: Runs that a task keeps, after which its table is emptied.
-RUNS = 700_000
+RUNS = 250_000
 #: Characters that run through the agenda at once, and those of texts that are encoded at once.
 BLOCK = 500_000
-TEXTS = 3_000_000
+TEXTS = 2_000_000
 #: Longer words have an agenda of their own.
 LONG = 160
 _NONE = np.int64(1) << np.int64(62)
@@ -69,16 +69,24 @@ class _Rows:
 
     def __init__(self, *types):
         self.data = [np.empty(1 << 16, t) for t in types]
-        self.starts = [0]
+        self._starts, self.n = np.zeros(1 << 14, np.int32), 0
+
+    @property
+    def starts(self) -> np.ndarray:
+        """Where each row starts, and the end."""
+        return self._starts[: self.n + 1]
 
     def add(self, lengths: np.ndarray, *columns: np.ndarray) -> None:
-        a = self.starts[-1]
-        b = a + len(columns[0])
+        a = int(self._starts[self.n])
+        b, n = a + len(columns[0]), self.n + len(lengths)
         while b > len(self.data[0]):
             self.data = [np.concatenate([x, np.empty_like(x)]) for x in self.data]
+        while n >= len(self._starts):
+            self._starts = np.concatenate([self._starts, np.empty_like(self._starts)])
         for x, c in zip(self.data, columns):
             x[a:b] = c
-        self.starts += (a + np.cumsum(lengths)).tolist()
+        self._starts[self.n + 1 : n + 1] = a + np.cumsum(lengths)
+        self.n = n
 
 
 class Pieces:
@@ -268,7 +276,7 @@ class Pieces:
         """The run that each occurrence comes to from its plain run; -1 if it is not kept."""
         out, todo = run.copy(), np.arange(len(run))
         while len(todo):
-            starts = np.array(self.merges.starts)
+            starts = self.merges.starts
             now = out[todo]
             n = starts[now + 1] - starts[now]
             some = _within(starts[now], n)
@@ -281,7 +289,7 @@ class Pieces:
             to = np.array([self.next.get(e, -1) for e in edges.tolist()], np.int64)
             if len(self.word_of) < RUNS:
                 new = edges[(to < 0) & (times > 1)].tolist()
-                made = [(e, self.merges.starts[e >> 8] + (e & 255)) for e in new]
+                made = [(e, int(starts[e >> 8]) + (e & 255)) for e in new]
                 skips = [(*self.skips[e >> 8], (int(self.merges.data[0][m]), int(self.merges.data[1][m]))) for e, m in made]
                 at = len(self.word_of)
                 self._learn([self.word_of[e >> 8] for e in new], skips)
@@ -337,7 +345,7 @@ class Pieces:
         run = plain.copy()
         if self.dropout:
             run[short] = self._runs(plain[short], key[short])
-        starts, out_n = np.array(self.results.starts), np.zeros(len(flat), np.int64)
+        starts, out_n = self.results.starts, np.zeros(len(flat), np.int64)
         kept, again = np.flatnonzero(run >= 0), np.flatnonzero(run < 0)
         large = np.fromiter((len(flat[i]) > LONG for i in again), bool, len(again))
         again, long = again[~large], again[large]

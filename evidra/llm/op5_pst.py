@@ -1,18 +1,20 @@
-"""Language-model scores by a probabilistic suffix tree over bytes.
-
-A text is its lower-cased words (between ASCII white space), each with a blank after it, and one end symbol.
-The tree's states are contexts of 0 to ``DEPTH`` bytes. All contexts up to 2 bytes are states; a longer one
-is kept if it is frequent enough and its next-symbol distribution differs from that of its suffix by
-the G test (2 N KL >= ``DIVERGENCE``), or if a longer one that it ends is kept. A state's distribution is smoothed
-with that of its suffix: (n + (a + rest) p_suffix) / (N + a); ``rest`` is what rare symbols, which are not
-listed, hold of N. The score uses the longest state that ends the context, at every byte.
-
-How it runs: documents are dealt into chunks of about ``CHUNK_BYTES`` by a hash of the id. Each chunk sends its
-word counts (by 64-bit hash) and its counts of DEPTH + 1 bytes to buckets, as packed arrays; a bucket adds
-up all chunks. Word buckets answer each chunk with the corpus counts of its own words, in its own
-order. Byte buckets (by the last two bytes of the context, so that a context and its suffixes meet) make
-their part of the tree. A listed symbol, as a share of all training bytes, is at least ``LEAST_SHARE``,
-so there are at most 1 / LEAST_SHARE of them for each length; that bounds what is broadcast.
+"""Language-model scores by a probabilistic suffix tree over words.
+
+A text is its lower-cased words (between ASCII white space) and one end symbol. The tree's states are contexts of 0 to
+``DEPTH`` words; a text begins with one start symbol. A context is a state if it occurs ``LEAST`` times or more in the
+training texts and its next-symbol distribution diverges from that of its suffix by the G test (2 N KL >=
+``DIVERGENCE``). The root is the add-one unigram over the training tokens, in which all unknown words are one symbol. A
+state's distribution is smoothed with that of its longest proper suffix that is a state, by absolute discounting: (max(n - D,
+0) + D T p_suffix) / N for a symbol seen n times after it, T different symbols and N in all. A token is scored by the longest
+state that ends its context.
+
+How it runs. Documents are packed into chunks of about ``CHUNK_BYTES``, compressed, one row each. No context or symbol
+is a group of its own, so a common one is no hot spot: a chunk sends its distinct words and grams (a context and the
+symbol after it), as sorted hashes with their training counts, to buckets by hash range, one entry for each chunk; a bucket
+adds up and answers each chunk with the corpus counts of its own grams, in its own order. Of the chunks that train on a
+gram one owns it. Knowing all counts of its grams, and of their suffixes, the owner adds the gram's term to its context's
+divergence; a second round sums these by context and answers with what is a state. Then each chunk scores its documents. The
+model is never in one place: nothing but three totals passes through the driver.
 """
 
 from __future__ import annotations
@@ -29,14 +31,14 @@ from pyspark.sql import functions as F
 
 from evidra.llm.common import cut, groups, partitions
 
-DEPTH = 5
+DEPTH = 2
 DIVERGENCE = 12.0
-LEAST_SHARE = 2.5e-7
-SMOOTHING = 8.0
+LEAST = 2
+DISCOUNT = 0.75
 CHUNK_BYTES = 12_000_000
-#: Bytes that are packed at once within a chunk.
-BLOCK_BYTES = 1_500_000
-END = b"\n"
+_START, _END = np.uint64(0x51A7), np.uint64(0xE4D)
+#: Bits of the hash of a gram; words have 64.
+_BITS = np.uint64(8)
 
 
 def held_out(doc_id) -> bool:
@@ -48,288 +50,308 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def as_bytes(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The byte string of texts, after DEPTH end symbols each, and each text's first symbol in it."""
-    parts = [END * DEPTH + b"".join((b" ".join(w), b" ", END) if w else (END,)) for w in docs]
-    starts = np.cumsum([0, *map(len, parts)])[:-1]
-    return np.frombuffer(b"".join(parts), np.uint8), starts
-
-
-def grams(s: np.ndarray, k: int = DEPTH + 1) -> np.ndarray:
-    """The k bytes that end at each place from k - 1 on, in one number."""
-    g = np.zeros(max(len(s) - k + 1, 0), np.uint64)
-    for j in range(k):
-        g <<= np.uint64(8)
-        g |= s[j : len(s) - k + 1 + j]
-    return g
-
-
-def _symbols(docs: list[list[bytes]]):
-    """(grams, document of each) in blocks; grams that reach back into another text are left out."""
-    held, size = [], 0
-    first = 0
-
-    def pack():
-        s, starts = as_bytes(held)
-        doc = np.repeat(np.arange(len(held)), np.diff(np.append(starts, len(s))))
-        keep = np.ones(len(s), bool)
-        keep[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
-        return grams(s)[keep[DEPTH:]], doc[keep] + first
-
-    for d in docs:
-        held.append(d)
-        size += sum(map(len, d)) + len(d) + 1 + DEPTH
-        if size >= BLOCK_BYTES:
-            yield pack()
-            first += len(held)
-            held, size = [], 0
-    if held:
-        yield pack()
-
-
-def _sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
-    return keys[at], np.add.reduceat(n, at) if len(at) else n
-
-
-def _vocabulary(docs: list[list[bytes]]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Words -> number, the distinct sorted hashes, and each word's place among them."""
-    seen: set[bytes] = set()
-    for d in docs:
-        seen.update(d)
-    words = list(seen)
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    u, place = np.unique(h, return_inverse=True)
-    return dict(zip(words, place.tolist())), u, place
-
-
-def _count(docs: pd.DataFrame, word_buckets: int, byte_buckets: int):
-    """What a chunk sends to the buckets: (kind, bucket, chunk, keys, counts)."""
-    chunk = int(docs["chunk"].iloc[0])
-    texts = [tokens(t) for t in docs["text"]]
-    train = [not held_out(i) for i in docs["id"]]
-    place, hashes, _ = _vocabulary(texts)
-    of = list(map(place.__getitem__, chain.from_iterable(d for d, t in zip(texts, train) if t)))
-    n = np.bincount(np.array(of, np.int64), minlength=len(hashes))
-    del of
-    cuts = np.searchsorted(hashes >> np.uint64(32), np.arange(word_buckets + 1, dtype=np.uint64) * np.uint64(-(-(1 << 32) // word_buckets)))
-    for b in range(word_buckets):
-        x, y = cuts[b], cuts[b + 1]
-        if x < y:
-            yield 0, b, chunk, hashes[x:y].tobytes(), n[x:y].astype(np.uint32).tobytes()
-    yield 2, 0, chunk, np.array([sum(train)], np.uint64).tobytes(), b""
-    keys, counts = [], []
-    for g, _ in _symbols([d for d, t in zip(texts, train) if t]):
-        u, c = np.unique(g, return_counts=True)
-        keys.append(u)
-        counts.append(c)
-    if keys:
-        u, c = _sum(np.concatenate(keys), np.concatenate(counts))
-        bucket = _byte_bucket(u, byte_buckets)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(byte_buckets + 1))
-        for b in range(byte_buckets):
-            pick = order[edges[b] : edges[b + 1]]
-            if len(pick):
-                yield 1, b, chunk, u[pick].tobytes(), c[pick].astype(np.uint32).tobytes()
-
-
-def _byte_bucket(g: np.ndarray, n: int) -> np.ndarray:
-    """By the last two bytes of the context."""
-    return (((g >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(n)).astype(np.int64)
-
-
-def _level(g: np.ndarray, n: np.ndarray, depth: int):
-    """Counts of depth + 1 bytes: (gram, count), and by context: (context, N, place of each gram's context)."""
-    g, n = _sum(g & np.uint64((1 << 8 * (depth + 1)) - 1), n)
-    ctx, at = np.unique(g >> np.uint64(8), return_inverse=True)
-    return g, n, ctx, np.bincount(at, weights=n, minlength=len(ctx)), at
-
-
-def tree_part(g: np.ndarray, n: np.ndarray, least: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The states of 2 to DEPTH bytes in a bucket: (length, grams, counts, contexts, N) of each length.
-
-    Only symbols that occur ``least`` times or more are listed, and only states with one of them.
+def _squeeze(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, all first bytes first."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def _expand(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted numbers, as differences."""
+    return _squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_expand(data, np.uint64), dtype=np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Chunk:
+    """The tokens of a chunk's documents, one after the other.
+
+    ``words``: its distinct word hashes, sorted, and ``word``: which of them each token is (the last number for an end).
+    ``keys``: its distinct contexts and grams of a level and more, sorted; ``ctx[d]`` and ``gram[d]``: where the context of d
+    words before each token stands among them, and the gram it makes with the token; -1 where the text is too short.
     """
-    levels = [_level(g, n, d) for d in range(2, DEPTH + 1)]
-    kept: np.ndarray | None = None
-    out = []
-    for d in range(DEPTH, 1, -1):
-        gram, count, ctx, total, at = levels[d - 2]
-        if d == 2:
-            stay = np.ones(len(ctx), bool)
-        else:
-            pg, pc, pctx, ptotal, pat = levels[d - 3]
-            below = np.searchsorted(pg, gram & np.uint64((1 << 8 * d) - 1))
-            p, q = count / total[at], pc[below] / ptotal[pat[below]]
-            stay = 2 * np.bincount(at, weights=count * np.log(p / q), minlength=len(ctx)) >= DIVERGENCE
-        stay &= total >= least
-        if kept is not None and len(kept):
-            stay |= np.isin(ctx, kept & np.uint64((1 << 8 * d) - 1))
-        kept = ctx[stay]
-        entry = stay[at] & (count >= least)
-        out.append((d, gram[entry], count[entry], kept, total[stay]))
-    return out
-
-
-def _reduce(g: pd.DataFrame, least: float):
-    """A bucket's rows -> (kind, chunk, bucket, payload...)."""
-    kind, bucket = int(g["kind"].iloc[0]), int(g["bucket"].iloc[0])
-    keys = [np.frombuffer(x, np.uint64) for x in g["keys"]]
-    if kind == 2:
-        yield 2, -1, 0, int(sum(int(k[0]) for k in keys)), 0, b"", b"", 0
-        return
-    counts = [np.frombuffer(x, np.uint32) for x in g["counts"]]
-    u, n = _sum(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
+
+    def __init__(self, ids: list, blob: bytes, depth: int = DEPTH):
+        import zstandard
+
+        self.ids = list(ids)
+        texts = [x.split(b" ") if x else [] for x in zstandard.ZstdDecompressor().decompress(blob).split(b"\n")]
+        n = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        distinct = list(set(chain.from_iterable(texts)))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+        self.words, place = np.unique(h, return_inverse=True)
+        at = dict(zip(distinct, place.tolist()))
+        last = np.cumsum(n) - 1
+        self.word = np.full(int(n.sum()), len(self.words))
+        inside = np.ones(len(self.word), bool)
+        inside[last] = False
+        self.word[inside] = np.fromiter(map(at.__getitem__, chain.from_iterable(texts)), np.int64, int(inside.sum()))
+        self.doc = np.repeat(np.arange(len(texts)), n)
+        self.train = ~np.array([held_out(i) for i in self.ids], bool)
+        self.trains = self.train[self.doc]
+        symbol = np.append(self.words, _END)[self.word]
+        inner = np.arange(len(symbol)) - np.repeat(last + 1 - n, n)  # place within the text
+        # level d: the context of d words is the gram of d - 1 words and the next, one token before
+        context = np.append(_START, symbol[:-1])
+        context[inner == 0] = _START
+        self.ctx_key, self.gram_key, self.whole = [], [], []
+        for d in range(1, depth + 1):
+            self.ctx_key.append(context)
+            gram = _mix(context * np.uint64(0x9E3779B97F4A7C15) + symbol * np.uint64(0xD1B54A32D192ED03) + np.uint64(d)) >> _BITS
+            self.gram_key.append(gram)
+            self.whole.append(inner >= d - 1)
+            context = np.append(np.uint64(0), gram[:-1])
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Distinct grams of all levels, how often they occur in training texts here, and the place of each token's gram of each level."""
+        u, at = np.unique(np.concatenate([g[w] for g, w in zip(self.gram_key, self.whole)]), return_inverse=True)
+        trains = np.concatenate([self.trains[w] for w in self.whole])
+        n = np.bincount(at[trains], minlength=len(u))
+        places, a = [], 0
+        for w in self.whole:
+            p = np.full(len(w), -1)
+            p[w] = at[a : a + w.sum()]
+            a += w.sum()
+            places.append(p)
+        return u, n, places
+
+
+def pack(batches, chunk_bytes: int):
+    """Rows ``(id, text)`` -> ``(chunk, ids, blob, size)``."""
+    import zstandard
+    from pyspark import TaskContext
+
+    first, k = TaskContext.get().partitionId() << 24, 0
+    ids, lines, size = [], [], 0
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.string())), ("blob", pa.binary()), ("size", pa.int64())])
+
+    def made():
+        blob = zstandard.ZstdCompressor(level=3).compress(b"\n".join(lines))
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((first + k, ids, blob, size), schema)], schema=schema)
+
+    for b in batches:
+        for a in range(0, b.num_rows, 500):
+            part = b.slice(a, 500)
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                line = b" ".join(tokens(t))
+                ids.append(i)
+                lines.append(line)
+                size += len(line) + 1
+                if size >= chunk_bytes:
+                    yield made()
+                    ids, lines, size, k = [], [], 0, k + 1
+    if ids:
+        yield made()
+
+
+def _cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Where the range of each bucket starts among sorted keys."""
+    step = -(-(1 << 32) // buckets)
+    return np.searchsorted(keys >> np.uint64(bits - 32), np.arange(buckets + 1, dtype=np.uint64) * np.uint64(step))
+
+
+def _sent(kind: int, chunk: int, keys: np.ndarray, values: list[np.ndarray], buckets: int, bits: int):
+    """Rows ``(kind, bucket, chunk, keys, a, b)`` of sorted keys and up to two arrays of values."""
+    cuts = _cuts(keys, buckets, bits)
+    for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
+        x, y = cuts[i], cuts[i + 1]
+        yield kind, int(i), chunk, _pack_keys(keys[x:y]), *(_squeeze(v[x:y]) for v in values), *[b""] * (2 - len(values))
+
+
+def _totals(rows: pd.DataFrame, *kinds) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Of a bucket's rows: the keys of each, the distinct ones, and the sums of their values."""
+    keys = [_unpack_keys(x) for x in rows["keys"]]
+    values = [[_expand(x, k) for x in rows[c]] for c, k in zip("ab", kinds)]
+    every = np.concatenate(keys)
+    u, at = np.unique(every, return_inverse=True)
+    return keys, u, [np.bincount(at, weights=np.concatenate(v), minlength=len(u)) for v in values]
+
+
+def _answer_counts(rows: pd.DataFrame):
+    """First round: for each chunk the counts of its words or grams, twice each and one more where it owns the gram."""
+    kind = int(rows["kind"].iloc[0])
+    rows = rows.sort_values("chunk")
+    keys, u, (n,) = _totals(rows, np.uint32)
+    n = n.astype(np.int64)
+    free = np.ones(len(u), bool)
+    for chunk, bucket, k, x in zip(rows["chunk"], rows["bucket"], keys, rows["a"]):
+        at = np.searchsorted(u, k)
+        own = free[at] & (_expand(x, np.uint32) > 0)
+        free[at[own]] = False
+        yield kind, int(chunk), int(bucket), 0, 0, _squeeze((2 * n[at] + own).astype(np.uint32 if n.max(initial=0) < 1 << 30 else np.uint64)), int(n.max(initial=0) < 1 << 30)
     if kind == 0:
-        for chunk, k in zip(g["chunk"], keys):
-            yield 0, int(chunk), bucket, 0, 0, n[np.searchsorted(u, k)].astype("<u8").tobytes(), b"", 0
-        yield 2, -1, 1, int(n.sum()), int((n > 0).sum()), b"", b"", 0
-        return
-    for d, gram, count, ctx, total in tree_part(u, n, least):
-        yield 1, d, bucket, 0, 0, gram.tobytes() + ctx.tobytes(), count.astype(np.int64).tobytes() + total.astype(np.int64).tobytes(), len(gram)
-    low, c = _sum(u & np.uint64(0xFFFF), n)
-    yield 1, 1, bucket, 0, 0, low.tobytes(), c.tobytes(), len(low)
-
-
-class Tree:
-    """Scores grams of DEPTH + 1 bytes. ``low``: counts of two bytes; longer states are added by length."""
-
-    def __init__(self, low: list[tuple[np.ndarray, np.ndarray]]):
-        g, n = _sum(np.concatenate([x[0] for x in low]), np.concatenate([x[1] for x in low])) if low else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.levels = []
-        for d in (0, 1):
-            gram, count, ctx, total, _ = _level(g, n, d) if len(g) else (g, n, g, n.astype(float), None)
-            self.levels.append(self._table(gram, count, ctx, total))
-
-    @staticmethod
-    def _table(gram, count, ctx, total):
-        order, corder = np.argsort(gram), np.argsort(ctx)
-        gram, count, ctx, total = gram[order], np.asarray(count)[order].astype(np.float64), ctx[corder], np.asarray(total)[corder].astype(np.float64)
-        listed = np.bincount(np.searchsorted(ctx, gram >> np.uint64(8)), weights=count, minlength=len(ctx)) if len(gram) else np.zeros(len(ctx))
-        return gram, count, ctx, total, total - listed
-
-    def add(self, gram, count, ctx, total) -> None:
-        self.levels.append(self._table(gram, count, ctx, total))
-
-    def finish(self) -> Tree:
-        """Scores of all listed longest grams, for a quick look-up."""
-        known = self.levels[-1][0] if len(self.levels) > DEPTH else np.zeros(0, np.uint64)
-        self.known, self.known_score = known, self._score(known).astype(np.float64)
-        return self
-
-    def _score(self, g: np.ndarray) -> np.ndarray:
-        p = np.full(len(g), 1 / 256)
-        on = np.ones(len(g), bool)
-        for d, (gram, count, ctx, total, rest) in enumerate(self.levels):
-            if not len(ctx):
-                break
-            key = g & np.uint64((1 << 8 * (d + 1)) - 1)
-            at = np.minimum(np.searchsorted(ctx, key >> np.uint64(8)), len(ctx) - 1)
-            on = on & (ctx[at] == key >> np.uint64(8))
-            n = 0.0
-            if len(gram):
-                to = np.minimum(np.searchsorted(gram, key), len(gram) - 1)
-                n = np.where(gram[to] == key, count[to], 0.0)
-            p = np.where(on, (n + (SMOOTHING + rest[at]) * p) / (total[at] + SMOOTHING), p)
-        return np.log10(p)
-
-    def score(self, g: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return self._score(g)
-        at = np.minimum(np.searchsorted(self.known, g), len(self.known) - 1)
-        out = self.known_score[at]
-        miss = np.flatnonzero(self.known[at] != g)
-        out[miss] = self._score(g[miss])
-        return out
-
-
-def make_tree(rows) -> Tree:
-    """From the byte buckets' rows (length, grams and contexts, counts and totals)."""
-    tree = Tree([(np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)) for d, a, b, _ in rows if d == 1])
-    for d in range(2, DEPTH + 1):
-        x = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64), m) for k, a, b, m in rows if k == d]
-        if x:
-            tree.add(*(np.concatenate([v[i][: v[2]] if first else v[i][v[2] :] for v in x]) for first, i in ((True, 0), (True, 1), (False, 0), (False, 1))))
-    return tree.finish()
-
-
-def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, least_share: float = LEAST_SHARE) -> DataFrame:
+        yield 2, -1, 0, int(n.sum()), int((n > 0).sum()), b"", 0
+
+
+def _answer_states(rows: pd.DataFrame):
+    """Second round: for each chunk, of its contexts, how many different symbols follow them if they are states; else 0."""
+    keys, u, (t, g) = _totals(rows, np.uint32, np.float32)
+    t = np.where(g >= DIVERGENCE, t, 0).astype(np.uint32)
+    for chunk, bucket, k in zip(rows["chunk"], rows["bucket"], keys):
+        yield 3, int(chunk), int(bucket), 0, 0, _squeeze(t[np.searchsorted(u, k)]), 1
+
+
+class Counts:
+    """A chunk with the corpus counts of its words and grams."""
+
+    def __init__(self, chunk: Chunk, answers: pd.DataFrame, docs: int, total: int):
+        self.chunk = chunk
+        get = lambda kind: np.concatenate([np.zeros(0, np.int64), *(_expand(a, np.uint32 if m else np.uint64).astype(np.int64) for a, m in zip(x["a"], x["m"]))]) if len(x := answers[answers["kind"] == kind].sort_values("bucket")) else np.zeros(0, np.int64)
+        word = np.append(get(0) >> 1, docs)
+        self.u, self.n_here, places = chunk.grams()
+        n = get(1)
+        self.own, n = (n & 1).astype(bool), n >> 1
+        # by level: how often the token follows its context, and how often the context occurs
+        self.places = places
+        self.seen = [word[chunk.word], *(np.where(p >= 0, n[p], 0) if len(n) else np.zeros(len(p), np.int64) for p in places)]
+        before = np.append(0, self.seen[0][:-1])
+        before[chunk.ctx_key[0] == _START] = docs
+        self.all = [np.full(len(before), total), before, *(np.append(0, s[:-1]) for s in self.seen[1:-1])]
+        self.live = [None, *(w & (a >= LEAST) for w, a in zip(chunk.whole, self.all[1:]))]
+
+    def contexts(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Distinct contexts that are frequent enough, and the place of each token's context of each level."""
+        live = self.live[1:]
+        u, at = np.unique(np.concatenate([self._key(d)[m] for d, m in enumerate(live, 1)]), return_inverse=True)
+        places, a = [], 0
+        for m in live:
+            p = np.full(len(m), -1)
+            p[m] = at[a : a + m.sum()]
+            a += m.sum()
+            places.append(p)
+        return u, places
+
+    def _key(self, d: int) -> np.ndarray:
+        """Contexts of a level as numbers of equal size."""
+        return _mix(self.chunk.ctx_key[d - 1] + np.uint64(d) * np.uint64(0x9E3779B97F4A7C15)) >> _BITS
+
+    def divergence(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context, different symbols, G) of what the grams that this chunk owns add to their contexts."""
+        u, places = self.contexts()
+        t, g = np.zeros(len(u), np.int64), np.zeros(len(u))
+        for d, at in enumerate(places, 1):
+            p = self.places[d - 1]
+            some = np.flatnonzero((at >= 0) & self.chunk.trains & self.own[p])
+            _, first = np.unique(p[some], return_index=True)  # each gram once
+            some = some[first]
+            n = self.seen[d][some]
+            term = 2 * n * np.log(n / self.all[d][some] * self.all[d - 1][some] / self.seen[d - 1][some])
+            t += np.bincount(at[some], minlength=len(u))
+            g += np.bincount(at[some], weights=term, minlength=len(u))
+        return u, t.astype(np.uint32), g.astype(np.float32)
+
+
+def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
     Trains on documents whose crc32(id) mod 7 is not 2. ``base_score`` is add-one unigram over words and the end,
-    ``score`` the tree's log10 probability of the text. Null texts are empty (one token, the end); rows
-    that repeat an id count each; a row with a null id trains. Other columns are ignored. An empty table gives an
-    empty result; with no training rows the tree is one state with uniform symbols.
+    ``score`` the tree's log10 probability of the text. Null texts are empty (one token, the end); very long ones are
+    taken whole; rows that repeat an id count each; a row with a null id trains. Words are told apart by 64-bit hashes, grams by
+    56 bits. Other columns are ignored. An empty table gives an empty result; with no training rows the root is all there is.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))  # a string stays what it is beside nulls
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    tasks = max(partitions(spark), chunks)
-    word_buckets = byte_buckets = max(8, min(4096, chunks))
-    least = max(1.0, least_share * size)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).cast("int"))
-    # rows that repeat an id stay apart by their text; a chunk's order does not matter
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    packed = cut(rows.mapInArrow(lambda batches: pack(batches, chunk_bytes), "chunk bigint, ids array<string>, blob binary, size bigint"))
+    chunks, size = packed.agg(F.count("*"), F.sum("size")).first()
+    buckets = max(8, -(-(size or 0) // chunk_bytes))
+    tasks = max(partitions(spark), min(chunks, buckets))
+    packed = packed.select("chunk", "ids", "blob")
+    fields = "kind int, bucket int, chunk bigint, keys binary, a binary, b binary"
+    answer = "kind int, chunk bigint, bucket int, n bigint, v bigint, a binary, m int"
+    sent_names, answer_names = ["kind", "bucket", "chunk", "keys", "a", "b"], ["kind", "chunk", "bucket", "n", "v", "a", "m"]
 
     def counted(batches):
-        for g in groups(batches, ["chunk"]):
-            out = list(zip(*_count(g, word_buckets, byte_buckets)))
-            for a in range(0, len(out[0]), 16):
-                yield pd.DataFrame({k: list(v[a : a + 16]) for k, v in zip(("kind", "bucket", "chunk", "keys", "counts"), out)})
-
-    def reduced(batches):
+        for b in batches:
+            for chunk, ids, blob in zip(b["chunk"], b["ids"], b["blob"]):
+                c = Chunk(ids, blob)
+                n = np.bincount(c.word[c.trains], minlength=len(c.words) + 1)[:-1].astype(np.uint32)
+                u, here, _ = c.grams()
+                out = [*_sent(0, int(chunk), c.words, [n], buckets, 64), *_sent(1, int(chunk), u, [here.astype(np.uint32)], buckets, 56)]
+                out.append((2, 0, int(chunk), int(c.train.sum()).to_bytes(8, "little"), b"", b""))
+                for a in range(0, len(out), 64):
+                    yield pd.DataFrame(out[a : a + 64], columns=sent_names)
+
+    def answered(batches):
         for g in groups(batches, ["kind", "bucket"]):
-            for r in _reduce(g, least):
-                yield pd.DataFrame([r], columns=["kind", "chunk", "bucket", "n", "v", "a", "b", "m"])
-
-    dealt = rows.repartition(tasks, "chunk").sortWithinPartitions("chunk")
-    sent = dealt.mapInPandas(counted, "kind int, bucket int, chunk int, keys binary, counts binary")
-    sent = sent.repartition(max(partitions(spark), word_buckets), "kind", "bucket").sortWithinPartitions("kind", "bucket")
-    merged = cut(sent.mapInPandas(reduced, "kind int, chunk int, bucket int, n bigint, v bigint, a binary, b binary, m bigint"))
-    ends, words_n, words_v = 0, 0, 0
-    for r in merged.where("kind = 2").groupBy("bucket").agg(F.sum("n"), F.sum("v")).collect():
-        if r[0] == 0:
-            ends = r[1]
+            kind = g["kind"].iloc[0]
+            if kind == 2:
+                got = [(2, -1, 1, sum(int.from_bytes(x, "little") for x in g["keys"]), 0, b"", 0)]
+            else:
+                got = list((_answer_counts if kind < 2 else _answer_states)(g))
+            for a in range(0, len(got), 64):
+                yield pd.DataFrame(got[a : a + 64], columns=answer_names)
+
+    def reply(sent: DataFrame) -> DataFrame:
+        n = max(partitions(spark), buckets)
+        return cut(sent.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInPandas(answered, answer))
+
+    first = reply(packed.mapInPandas(counted, fields))
+    docs_n = words_n = words_v = 0
+    for bucket, n, v in first.where("kind = 2").groupBy("bucket").agg(F.sum("n"), F.sum("v")).collect():
+        if bucket == 1:
+            docs_n = n
         else:
-            words_n, words_v = r[1], r[2]
-    total_n, total_v = ends + words_n, words_v + (ends > 0)
-    parts = [tuple(r) for r in merged.where("kind = 1").select("chunk", "a", "b", "m").toLocalIterator()]
-    tree = spark.sparkContext.broadcast(make_tree(parts))
-    del parts
-
-    def scored(key, d: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        texts = [tokens(t) for t in d["text"]]
-        place, hashes, _ = _vocabulary(texts)
-        c = c.sort_values("bucket")
-        count = np.concatenate([np.frombuffer(x, "<u8") for x in c["a"]]) if len(c) else np.zeros(0)
-        count = np.append(count, ends).astype(np.float64)
-        base, known = np.log10((count + 1) / (total_n + total_v + 1)), count > 0
-        at = [np.array([*map(place.__getitem__, w), len(hashes)]) for w in texts]
-        score = np.zeros(len(texts))
-        for g, doc in _symbols(texts):
-            u, back = np.unique(g, return_inverse=True)
-            score += np.bincount(doc, weights=tree.value.score(u)[back], minlength=len(texts))
+            words_n, words_v = n, v
+    total_n, total_v = docs_n + words_n, words_v + (docs_n > 0)
+    counts = first.where("kind < 2").select("kind", "chunk", "bucket", "a", "m")
+
+    def by_chunk(answers: DataFrame):
+        return packed.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk"))
+
+    def divergent(key, d: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        c = Counts(Chunk(d["ids"].iloc[0], d["blob"].iloc[0]), x, docs_n, total_n)
+        u, t, g = c.divergence()
+        return pd.DataFrame(list(_sent(3, int(d["chunk"].iloc[0]), u, [t, g], buckets, 56)), columns=sent_names)
+
+    states = reply(by_chunk(counts).applyInPandas(divergent, fields)).select("kind", "chunk", "bucket", "a", "m")
+
+    def scored(key, d: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        chunk = Chunk(d["ids"].iloc[0], d["blob"].iloc[0])
+        c = Counts(chunk, x, docs_n, total_n)
+        u, places = c.contexts()
+        state = x[x["kind"] == 3].sort_values("bucket")
+        follow = np.concatenate([np.zeros(0, np.uint32), *(_expand(a, np.uint32) for a in state["a"])])
+        p = (c.seen[0] + 1) / (total_n + total_v + 1)
+        base, known = np.log10(p), c.seen[0] > 0
+        for d, at in enumerate(places, 1):
+            t = np.where(at >= 0, follow[at], 0) if len(follow) else np.zeros(len(at))
+            on = t > 0
+            p[on] = (np.maximum(c.seen[d][on] - DISCOUNT, 0) + DISCOUNT * t[on] * p[on]) / c.all[d][on]
+        n = len(chunk.ids)
+        by_doc = lambda v: np.bincount(chunk.doc, weights=v, minlength=n)
         return pd.DataFrame(
             {
-                "id": d["id"],
-                "held_out": [held_out(i) for i in d["id"]],
-                "n_tokens": [len(x) for x in at],
-                "n_known": [int(known[x].sum()) for x in at],
+                "id": chunk.ids,
+                "held_out": ~chunk.train,
+                "n_tokens": np.bincount(chunk.doc, minlength=n),
+                "n_known": by_doc(known).astype(np.int64),
                 "train_tokens": total_n,
-                "base_score": [float(base[x].sum()) for x in at],
-                "score": score,
+                "base_score": by_doc(base),
+                "score": by_doc(np.log10(p)),
             }
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    answers = merged.where("kind = 0").select("chunk", "bucket", "a")
-    out = rows.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk"))
-    out = out.applyInPandas(scored, "id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = by_chunk(counts.union(states)).applyInPandas(scored, "id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.select(F.col("id").cast(kind).alias(id_col), *out.columns[1:])
 
 
 def op5_pst_score(spark, sf_dir: str) -> DataFrame:
+    """``pst_score`` over all documents; rows as its docstring says."""
     return pst_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -16,7 +16,7 @@ from evidra.llm import op9_pii as P
 from evidra.llm.op2_decontaminate import decontaminate, drop_contaminated
 from evidra.llm.op3_shards import kd_shards, op3_kd_shards
 from evidra.llm.op4_tokens import Segment, encode_segment, op4_token_ids, read_tokens, write_tokens
-from evidra.llm.op5_pst import op5_pst_score, pst_score
+from evidra.llm.op5_pst import DEPTH, DISCOUNT, DIVERGENCE, LEAST, op5_pst_score, pst_score
 from evidra.llm.op8_pieces import Pieces, _draw_one, encode_pieces, model_path, op8_pieces
 from evidra.llm.op10_quality import STRENGTH, drop_rejected, op10_quality, posterior, quality
 
@@ -172,10 +172,57 @@ def test_pst_base_and_score(spark, texts):
         assert math.isclose(r["base_score"], sum(math.log10((count.get(x, 0) + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
 
 
+def brute_tree(docs):
+    """Counts, states and scores of a small corpus by definition."""
+    START, END = "<start>", "<end>"
+    texts = [(i, [w for w in lower(t or "").split()] + [END]) for i, t in docs]
+    train = [t for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    follow: dict = {}
+    for t in train:
+        for k, w in enumerate(t):
+            for d in range(DEPTH + 1):
+                if d <= k + 1:
+                    ctx = tuple(([START] + t)[k + 1 - d : k + 1])
+                    follow.setdefault(ctx, {}).setdefault(w, 0)
+                    follow[ctx][w] += 1
+    n, v = sum(follow[()].values()), len(follow[()])
+    states = set()
+    for ctx, f in follow.items():
+        if ctx and sum(f.values()) >= LEAST:
+            g, total, below = 0.0, sum(f.values()), follow[ctx[1:]]
+            g = sum(2 * c * math.log(c / total / (below[w] / sum(below.values()))) for w, c in f.items())
+            states |= {ctx} if g >= DIVERGENCE else set()
+    out = []
+    for i, t in texts:
+        score = 0.0
+        for k, w in enumerate(t):
+            p = (follow[()].get(w, 0) + 1) / (n + v + 1)
+            for d in range(1, DEPTH + 1):
+                ctx = tuple(([START] + t)[max(0, k + 1 - d) : k + 1])
+                if len(ctx) == d and ctx in states:
+                    f = follow[ctx]
+                    p = (max(f.get(w, 0) - DISCOUNT, 0) + DISCOUNT * len(f) * p) / sum(f.values())
+            score += math.log10(p)
+        out.append(score)
+    return out, len(states)
+
+
+def test_pst_score_is_a_brute_force_tree(spark):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    line = lambda n: " ".join(r.choice(words) if r.random() < 0.4 else words[i % 40] for i in range(n))
+    docs = [(i, line(r.randrange(0, 60))) for i in range(300)] + [(400 + i, "the same passage again and again in many texts") for i in range(20)]
+    want, states = brute_tree(docs)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for size in (2_000, 1 << 20):
+        got = {x["doc_id"]: x["score"] for x in pst_score(df, chunk_bytes=size).collect()}
+        assert states > 50 and all(math.isclose(got[i], s, rel_tol=1e-6) for (i, _), s in zip(docs, want))
+
+
 def test_pst_is_better_on_new_texts(spark):
-    """Against the base with its closed vocabulary, the tree over bytes needs a corpus of some size."""
-    tree, base = op5_pst_score(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert tree > base
+    for sf in ("0.001", "0.01", "0.1"):
+        tree, base = op5_pst_score(spark, f"/root/testdata/sf{sf}").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+        assert tree > base, sf
 
 
 def test_pst_awkward(spark):

@@ -144,7 +144,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold one of these are encoded whole: the library finds added tokens before it makes pieces.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that start with a blank
         self.blank[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
@@ -166,21 +167,22 @@ class Encoder:
     @staticmethod
     def _runs(text: str) -> list[str]:
         """Pieces of a text in which blanks meet other white space; each but the first starts with a blank."""
-        out: list[str] = []
+        out: list[list[str]] = []
         for i, p in enumerate(text.split(" ")):
             if i == 0:
-                out.append(p)
+                out.append([p])
             elif p and not p[0].isspace():
-                out.append(" " + p)
+                out.append([" ", p])
             else:  # this blank belongs to what stands before it
-                out[-1] += " " + p
-        return out
+                out[-1] += (" ", p)
+        return ["".join(x) for x in out]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         if len(self.known) > PIECES:
             self.known.clear()
-        cut = [t.split(" ") for t in texts]
+        whole = {i for i, t in enumerate(texts) if any(x in t for x in self.added)}
+        cut = [[""] if i in whole else t.split(" ") for i, t in enumerate(texts)]
         need: set[str] = set()
         for c in cut:
             need.update(c[1:])
@@ -192,7 +194,10 @@ class Encoder:
         get = self.known.__getitem__
         firsts = self._whole([c[0] for c in cut])
         out = []
-        for text, first, c in zip(texts, firsts, cut):
+        for i, (text, first, c) in enumerate(zip(texts, firsts, cut)):
+            if i in whole:
+                out += self._whole([text])
+                continue
             try:
                 out.append(first + b"".join(map(get, c[1:])))
             except TypeError:
@@ -212,17 +217,15 @@ def encoder(path: str) -> Encoder:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> None:
     """Encode all texts, append ``end_id`` to each, and write segments to ``path`` in ascending id order.
 
-    A part is a range of ids, ``within`` a segment's first token counted from the part's. The bounds of the
-    ranges come from one pass over the ids alone. Null texts are empty, rows with a null id stand
-    first, rows that repeat an id are kept, next to each other in order of their texts.
+    A part is a range of ids, and of hashes of texts among equal ids; ``within`` is a segment's first token counted from
+    the part's. Null texts are empty, very long ones a segment of their own, rows with a null id stand first, rows
+    that repeat an id are kept, next to each other. Other columns are ignored; an empty table writes no segments.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tasks = partitions(spark)
-    n = 3 * tasks
-    bounds = docs.select(F.percentile_approx(F.col(id_col).cast("bigint"), [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    below = F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b < F.col("id"))) if bounds else F.lit(0)
-    rows = rows.withColumn("part", F.when(F.col("id").isNull(), -1).otherwise(below)).repartition(tasks, "part")
+    # ranges of (id, hash of the text): Spark samples the bounds, so rows that share an id, or have none, are dealt too
+    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(tasks, F.col("id").asc_nulls_first(), "tie").withColumn("part", F.spark_partition_id())
 
     def run(batches):
         coder = encoder(tokenizer)
@@ -250,7 +253,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         if held:
             yield segment()[1]
 
-    out = rows.select("part", "id", "text").sortWithinPartitions("part", "id", "text").mapInArrow(run, "part int, within bigint, n_tokens bigint, doc_ids array<bigint>, payload binary")
+    out = rows.sortWithinPartitions(F.col("id").asc_nulls_first(), "tie", "text").select("part", "id", "text").mapInArrow(run, "part int, within bigint, n_tokens bigint, doc_ids array<bigint>, payload binary")
     out.write.mode("overwrite").parquet(path)
 
 
@@ -276,6 +279,7 @@ def read_tokens(spark, path: str) -> DataFrame:
 
 
 def op4_token_ids(spark, sf_dir: str) -> DataFrame:
+    """All documents, encoded with the byte-level tokenizer, written and read back; rows as ``read_tokens`` has them."""
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"

@@ -6,14 +6,17 @@ addresses. The field looks at clusters of digits and at written-out "at" signs.
 candidate segment (of at most ``MAX_SPAN`` characters, or a written-out address) has a score from features of the whole span (digit
 groups, separators, check sum, neighbours); all other tokens score 0. The best segmentation comes from a
 dynamic program over token ends, with the pattern's spans held fixed. Outside clusters no segment is a
-candidate, so decoding cluster by cluster is exact. Weights are fitted by gradient ascent on the conditional
+candidate, so decoding cluster by cluster is exact: numbers that are written in words, or with other
+separators than blanks and ``().[]/+-``, and addresses without a bracketed "at", are never candidates. Weights are fitted by gradient ascent on the conditional
 likelihood (forward and backward sums over segmentations) of seeded, generated sentences.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -118,17 +121,25 @@ def candidates(text: str, a: int, b: int, fixed: list[tuple[int, int, int]]) ->
     """Token ends within text[a:b], and the (start, kind, end) segments that may be spans."""
     ends = [a, *(m.end() for m in _TOKEN.finditer(text, a, b))]
     out = []
-    taken = [(x, y) for x, _, y in fixed if x < b and y > a]
+    # characters of fixed spans before each place, so that a segment is free of them if it adds none
+    before = [0]
+    taken = bytearray(b - a)
+    for x, _, y in fixed:
+        x, y = max(x, a), min(y, b)
+        if x < y:
+            taken[x - a : y - a] = b"\1" * (y - x)
+    before += itertools.accumulate(taken)
     for i, x in enumerate(ends[:-1]):
         if text[x].isspace():
             continue
         mail = _WRITTEN.match(text, x, b)
         reach = max(MAX_SPAN, mail.end() - x if mail else 0)
-        for y in ends[i + 1 :]:
+        for j in range(i + 1, len(ends)):
+            y = ends[j]
             if y - x > reach:
                 break
             last = text[y - 1]
-            if last.isspace() or any(x < q and p < y for p, q in taken):
+            if last.isspace() or before[y - a] > before[x - a]:
                 continue
             s = text[x:y]
             digits = re.sub(r"[^0-9]", "", s)
@@ -270,8 +281,9 @@ def all_spans(text: str, weights: dict[str, float], base: list[tuple[int, int, i
     """The patterns' spans and those that the field adds, sorted."""
     base = base_spans(text) if base is None else base
     out = list(base)
+    reach = list(itertools.accumulate((e for _, _, e in base), max))  # ascending, as starts are
     for a, b in clusters(text):
-        ends, segs = candidates(text, a, b, base)
+        ends, segs = candidates(text, a, b, base[bisect.bisect_right(reach, a) : bisect.bisect_left(base, (b,))])
         if segs:
             out += decode(ends, segs, [sum(weights.get(f, 0.0) for f in features(k, text, x, y)) for x, k, y in segs])
     return sorted(set(out))
@@ -333,4 +345,5 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
+    """``find_pii`` over all documents; rows as its docstring says."""
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -51,9 +51,10 @@ def _unit(rows) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _verify(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def _verify(g: pd.DataFrame, threshold: float, bits: int, tables: int, seed: int) -> pd.DataFrame:
     """Links of one group: of all pairs, or of those between its two blocks."""
-    x, sigs, rep, mult = _unit(g["v"]), np.stack(g["sigs"].to_numpy()), g["rep"].to_numpy(), g["mult"].to_numpy(np.int64)
+    x, rep, mult = _unit(g["v"]), g["rep"].to_numpy(), g["mult"].to_numpy(np.int64)
+    sigs = signatures(x, bits, tables, seed)
     t, block = int(g["tbl"].iloc[0]), g["block"].to_numpy()
     cross = g["lo"].iloc[0] != g["hi"].iloc[0]
     links, labels = np.zeros(len(g), np.int64), Labels(len(g))
@@ -108,13 +109,13 @@ def embedding_neardup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     large = cut(large.select("dim", "tbl", "sig", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     spread = spread.join(F.broadcast(large) if large.count() <= 10_000 else large, ["dim", "tbl", "sig"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     spread = spread.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    spread = spread.select("dim", "tbl", "sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "v", "rep", "mult", "sigs")
+    spread = spread.select("dim", "tbl", "sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "v", "rep", "mult")
     key = ["dim", "tbl", "sig", "lo", "hi"]
 
     def linked(batches):
         for g in groups(batches, key):
             if len(g) > 1:
-                yield _verify(g, threshold)
+                yield _verify(g, threshold, bits, tables, seed)
 
     n = max(partitions(spark), 64)
     found = cut(spread.repartition(n, *key).sortWithinPartitions(*key).mapInPandas(linked, "a bigint, b bigint, links bigint"))
@@ -128,4 +129,5 @@ def embedding_neardup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
 
 def op1_embedding_neardup(spark, sf_dir: str) -> DataFrame:
+    """``embedding_neardup`` over all embeddings; rows as its docstring says."""
     return embedding_neardup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

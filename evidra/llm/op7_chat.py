@@ -109,18 +109,37 @@ def _after(t: Column) -> Column:
     return t.substr(head + 1, F.length(t))
 
 
-def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as an event log. Rows that share a turn stay turns of their own: the turn
-    of the log is the row's place in its conversation, by (turn, role, text)."""
+def events_of(conversations: DataFrame, piece: int = 64) -> DataFrame:
+    """A table of finished turns as the event log that could have led to them, in no order.
+
+    Rows that share a turn stay turns of their own: the turn of the log is the row's place in its conversation, by (turn,
+    role, text). An assistant's text is streamed in pieces of ``piece`` characters; every third such turn first streams a
+    draft that a regeneration drops. Any other text is sent whole, but every third one first in another wording that an
+    edit mends, its second half appended after the edit. A turn after the last is sent and deleted again.
+    """
     c = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    return c.select("conv_id", place.alias("turn"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    c = c.select("conv_id", F.row_number().over(w).alias("turn"), "role", "text", F.length("text").alias("size"))
+    event = lambda seq, kind, text, role="role": F.struct(F.lit(seq).cast("int").alias("seq") if isinstance(seq, int) else seq.cast("int").alias("seq"), F.lit(kind).alias("kind"), (F.col(role) if role else F.lit(None).cast("string")).alias("role"), text.alias("text"))
+    part = lambda a, n: F.substring(F.col("text"), a, n)
+    again, half = F.col("turn") % 3 == 0, F.floor(F.col("size") / 2).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / piece).cast("int")), lambda i: event(i + 10, "delta", part(i * piece + 1, F.lit(piece)), None))
+    draft = F.array(event(0, "message", F.lit("")), event(1, "delta", F.lit("a draft ### that "), None), event(2, "delta", F.lit("goes</turn>"), None), event(3, "regenerate", F.lit("")))
+    streamed = F.concat(F.when(again, draft).otherwise(F.array(event(0, "message", F.lit("")))), pieces)
+    edited = F.array(event(0, "message", F.lit("another wording")), event(1, "delta", F.lit(", and more"), None), event(2, "edit", part(1, half), None), event(3, "delta", F.col("text").substr(half + 1, F.col("size")), None))
+    sent = F.when(F.col("role") == LOSS_ROLE, streamed).when(again, edited).otherwise(F.array(event(0, "message", F.col("text"))))
+    log = c.select("conv_id", "turn", F.explode(sent).alias("e")).select("conv_id", "turn", "e.*")
+    gone = F.array(event(0, "message", F.lit("never mind"), "role"), event(1, "delete", F.lit(None).cast("string"), None))
+    last = c.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).withColumn("role", F.lit("user")).select("conv_id", "turn", F.explode(gone).alias("e")).select("conv_id", "turn", "e.*")
+    return log.union(last)
 
 
 FIXED_TEXT = "\\### Assistant: </turn> ok"
 
 
 def op7_chat_format(spark, sf_dir: str) -> DataFrame:
+    """All conversations and the fixed one, as an event log of deltas, edits, regenerations and deletions, folded, rendered and
+    read back; rows as ``read_back`` has them."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(
         F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(FIXED_TEXT).alias("text")

@@ -409,6 +409,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 columns = (n_words, [len(x) // 4 for x in ids], map(zlib.crc32, ids), (zlib.crc32(t.encode()) for t in back), (x == t for x, t in zip(back, some)), ids)
                 yield pa.RecordBatch.from_arrays([names, *(pa.array(list(c), f.type) for c, f in zip(columns, schema))], names=["id", *schema.names])
                 a, size = i, 0
+        coder._empty()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from evidra.llm import op9_pii as P
 from evidra.llm.op2_decontaminate import decontaminate, drop_contaminated
 from evidra.llm.op3_shards import kd_shards, op3_kd_shards
-from evidra.llm.op4_tokens import Segment, encode_segment, op4_token_ids, read_tokens, write_tokens
+from evidra.llm.op4_tokens import Encoder, Segment, encode_segment, op4_token_ids, read_tokens, write_tokens
 from evidra.llm.op5_pst import DEPTH, DISCOUNT, DIVERGENCE, LEAST, op5_pst_score, pst_score
 from evidra.llm.op8_pieces import Pieces, _draw_one, encode_pieces, model_path, op8_pieces
 from evidra.llm.op10_quality import STRENGTH, drop_rejected, op10_quality, posterior, quality
@@ -123,7 +123,6 @@ def plain_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [[*e.ids, 2] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -141,17 +140,32 @@ def test_token_ids(spark, texts):
 
 def test_token_ids_awkward(spark, tmp_path):
     docs, n = documents(spark)
-    odd = spark.createDataFrame([(50, "a  b\n\n c\t d   "), (51, " x"), (52, "<|endoftext|> a b 　c"), (53, "  ")], "doc_id bigint, text string")
+    odd = spark.createDataFrame([(50, "a  b\n\n c\t d   "), (51, " x"), (52, "<|endoftext|> a b 　c"), (53, "  "), (54, "<|endoftext|>"), (55, "x<|endoftext|>y z")], "doc_id bigint, text string")
     write_tokens(docs.select("doc_id", "text").union(odd), f"{tmp_path}/t", public_tokenizers.path("byte_bpe_50k.json"), 2)
-    got = sorted(tuple(r)[1:] for r in read_tokens(spark, f"{tmp_path}/t").collect())
-    texts = ["no id", *("" if t is None else t for t in TEXTS), TEXTS[9], *(r[1] for r in odd.collect())]
-    ids = plain_ids(texts)
+    got = sorted(tuple(r) for r in read_tokens(spark, f"{tmp_path}/t").withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).collect())
+    texts = [(-1, "no id"), *((i, "" if t is None else t) for i, t in enumerate(TEXTS)), (9, TEXTS[9]), *map(tuple, odd.collect())]
+    texts.sort(key=lambda r: r[0])
+    ids = plain_ids([t for _, t in texts])
     starts = np.cumsum([0, *map(len, ids)])
-    assert got == sorted((int(s), len(x), digest(x)) for s, x in zip(starts, ids))
+    assert got == sorted((d, int(s), len(x), digest(x)) for (d, _), s, x in zip(texts, starts, ids))
     write_tokens(none(spark), f"{tmp_path}/e", public_tokenizers.path("byte_bpe_50k.json"), 2)
     assert read_tokens(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_token_ids_of_many_rows_without_ids(spark, tmp_path):
+    """All rows share an id, or have none: they are dealt over tasks, and starts have no gaps."""
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    write_tokens(docs, f"{tmp_path}/t", public_tokenizers.path("byte_bpe_50k.json"), 2)
+    got = read_tokens(spark, f"{tmp_path}/t").orderBy("start").collect()
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()] and [r["doc_id"] for r in got] == [None] * 2000 + [7] * 2000
+    assert spark.read.parquet(f"{tmp_path}/t").select("part").distinct().count() > 4
+
+
+def test_blanks_in_very_long_texts_take_linear_time():
+    began = time.time()
+    assert len(Encoder._runs("a" + " " * 2_000_000 + "b")) == 2 and time.time() - began < 5
+
+
 # --- language-model scores ---
 
 
@@ -372,6 +386,62 @@ def test_pii_written_out_addresses():
     assert len(P.all_spans("x [at] " + "a." * 20_000 + "a", w)) < 200
 
 
+def brute_candidates(text, a, b, fixed):
+    ends = [a, *(m.end() for m in P._TOKEN.finditer(text, a, b))]
+    out = set()
+    for x in ends[:-1]:
+        for y in ends:
+            s = text[x:y]
+            if y <= x or s[0].isspace() or s[-1].isspace() or any(x < q and p < y for p, _, q in fixed):
+                continue
+            d = re.sub("[^0-9]", "", s)
+            if s[-1].isdigit() and len(s) <= P.MAX_SPAN:
+                if re.fullmatch("[0-9]([ -]?[0-9])*", s) and 12 <= len(d) <= 19 and P.luhn(d):
+                    out.add((x, 2, y))
+                if re.fullmatch(r"[+(0-9][0-9 ().-]*", s) and "  " not in s and 9 <= len(d) <= 15:
+                    out.add((x, 3, y))
+                if len(d) >= 4 and P._SHAPED_IP.fullmatch(s) and len(d) <= 12 and all(int(n) <= 255 for n in re.findall("[0-9]+", s)):
+                    out.add((x, 1, y))
+            if P._WRITTEN.fullmatch(s):
+                out.add((x, 0, y))
+    return out
+
+
+def test_pii_candidates_are_all_there_are():
+    for text, _ in P._sentences(5)[:150]:
+        fixed = P.base_spans(text)
+        for a, b in P.clusters(text):
+            assert set(P.candidates(text, a, b, fixed)[1]) == brute_candidates(text, a, b, fixed), text
+
+
+def test_pii_long_clusters_take_linear_time():
+    w, t = P.fit(), []
+    for n in (500, 4000):
+        text = "4111111111111111 " * n
+        began = time.time()
+        assert len(P.all_spans(text, w)) >= n / 2
+        t.append(time.time() - began)
+    assert t[1] < 20 * t[0] + 0.5
+
+
+def test_pii_of_documents(spark):
+    """What the field adds to the given documents has the form of its kind, and holds no fixed span."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = rows.join(P.find_pii(rows), "doc_id").select("text", "spans", "n_added").collect()
+    added = 0
+    for r in found:
+        base = set(P.base_spans(r["text"]))
+        for x in filter(None, r["spans"].split(",")):
+            k, a, b = x.split(":")
+            s = (int(a), P.KINDS.index(k), int(b))
+            if s not in base:
+                added += 1
+                d = re.sub("[^0-9]", "", r["text"][s[0] : s[2]])
+                assert not any(p < s[2] and s[0] < q for p, _, q in base)
+                assert {0: True, 1: len(d) <= 12, 2: 12 <= len(d) <= 19 and P.luhn(d), 3: 9 <= len(d) <= 15}[s[1]]
+    assert added == sum(r["n_added"] for r in found)
+
+
 def test_pii_awkward(spark):
     docs, n = documents(spark)
     got = P.find_pii(docs, keep=("lang", "id", "w"), with_text=True).collect()

@@ -8,13 +8,14 @@ state's distribution is smoothed with that of its longest proper suffix that is
 0) + D T p_suffix) / N for a symbol seen n times after it, T different symbols and N in all. A token is scored by the longest
 state that ends its context.
 
-How it runs. Documents are packed into chunks of about ``CHUNK_BYTES``, compressed, one row each. No context or symbol
+How it runs. Documents are packed into chunks of about ``CHUNK_BYTES``, one row each, as numbers of their words. No context or symbol
 is a group of its own, so a common one is no hot spot: a chunk sends its distinct words and grams (a context and the
 symbol after it), as sorted hashes with their training counts, to buckets by hash range, one entry for each chunk; a bucket
 adds up and answers each chunk with the corpus counts of its own grams, in its own order. Of the chunks that train on a
 gram one owns it. Knowing all counts of its grams, and of their suffixes, the owner adds the gram's term to its context's
 divergence; a second round sums these by context and answers with what is a state. Then each chunk scores its documents. The
-model is never in one place: nothing but three totals passes through the driver.
+model is never in one place: nothing but three totals passes through the driver. Buckets hold what about ``BUCKET_BYTES`` of text
+send; a chunk's entry for a bucket gets smaller as there are more of them, so both sizes should be raised beyond a terabyte or so.
 """
 
 from __future__ import annotations
@@ -35,10 +36,13 @@ DEPTH = 2
 DIVERGENCE = 12.0
 LEAST = 2
 DISCOUNT = 0.75
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 5_000_000
+BUCKET_BYTES = 16_000_000
 _START, _END = np.uint64(0x51A7), np.uint64(0xE4D)
-#: Bits of the hash of a gram; words have 64.
+#: What the hash of a gram lacks of 64 bits.
 _BITS = np.uint64(8)
+#: Kinds of rows beside grams, whose kind is their level: words, states (and the level), training documents, totals.
+WORDS, STATES, DOCS, TOTAL = 0, 100, 1000, 1001
 
 
 def held_out(doc_id) -> bool:
@@ -79,87 +83,90 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Chunk:
-    """The tokens of a chunk's documents, one after the other.
-
-    ``words``: its distinct word hashes, sorted, and ``word``: which of them each token is (the last number for an end).
-    ``keys``: its distinct contexts and grams of a level and more, sorted; ``ctx[d]`` and ``gram[d]``: where the context of d
-    words before each token stands among them, and the gram it makes with the token; -1 where the text is too short.
-    """
-
-    def __init__(self, ids: list, blob: bytes, depth: int = DEPTH):
-        import zstandard
-
-        self.ids = list(ids)
-        texts = [x.split(b" ") if x else [] for x in zstandard.ZstdDecompressor().decompress(blob).split(b"\n")]
-        n = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        distinct = list(set(chain.from_iterable(texts)))
-        h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
-        self.words, place = np.unique(h, return_inverse=True)
-        at = dict(zip(distinct, place.tolist()))
-        last = np.cumsum(n) - 1
-        self.word = np.full(int(n.sum()), len(self.words))
-        inside = np.ones(len(self.word), bool)
-        inside[last] = False
-        self.word[inside] = np.fromiter(map(at.__getitem__, chain.from_iterable(texts)), np.int64, int(inside.sum()))
-        self.doc = np.repeat(np.arange(len(texts)), n)
-        self.train = ~np.array([held_out(i) for i in self.ids], bool)
-        self.trains = self.train[self.doc]
-        symbol = np.append(self.words, _END)[self.word]
-        inner = np.arange(len(symbol)) - np.repeat(last + 1 - n, n)  # place within the text
-        # level d: the context of d words is the gram of d - 1 words and the next, one token before
-        context = np.append(_START, symbol[:-1])
-        context[inner == 0] = _START
-        self.ctx_key, self.gram_key, self.whole = [], [], []
-        for d in range(1, depth + 1):
-            self.ctx_key.append(context)
-            gram = _mix(context * np.uint64(0x9E3779B97F4A7C15) + symbol * np.uint64(0xD1B54A32D192ED03) + np.uint64(d)) >> _BITS
-            self.gram_key.append(gram)
-            self.whole.append(inner >= d - 1)
-            context = np.append(np.uint64(0), gram[:-1])
-
-    def grams(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Distinct grams of all levels, how often they occur in training texts here, and the place of each token's gram of each level."""
-        u, at = np.unique(np.concatenate([g[w] for g, w in zip(self.gram_key, self.whole)]), return_inverse=True)
-        trains = np.concatenate([self.trains[w] for w in self.whole])
-        n = np.bincount(at[trains], minlength=len(u))
-        places, a = [], 0
-        for w in self.whole:
-            p = np.full(len(w), -1)
-            p[w] = at[a : a + w.sum()]
-            a += w.sum()
-            places.append(p)
-        return u, n, places
-
-
 def pack(batches, chunk_bytes: int):
-    """Rows ``(id, text)`` -> ``(chunk, ids, blob, size)``."""
-    import zstandard
+    """Rows ``(id, text)`` -> ``(chunk, ids, lengths, words, codes, size)``: tokens of each text, the chunk's distinct word
+    hashes, and which of them each token is (the last number for an end)."""
     from pyspark import TaskContext
 
     first, k = TaskContext.get().partitionId() << 24, 0
-    ids, lines, size = [], [], 0
-    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.string())), ("blob", pa.binary()), ("size", pa.int64())])
+    ids, texts, size = [], [], 0
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.string())), ("lengths", pa.binary()), ("words", pa.binary()), ("codes", pa.binary()), ("size", pa.int64())])
 
     def made():
-        blob = zstandard.ZstdCompressor(level=3).compress(b"\n".join(lines))
-        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((first + k, ids, blob, size), schema)], schema=schema)
+        n = np.fromiter(map(len, texts), np.int32, len(texts)) + np.int32(1)
+        distinct = list(set(chain.from_iterable(texts)))
+        words, place = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct)), return_inverse=True)
+        at = dict(zip(distinct, place.tolist()))
+        codes = np.full(int(n.sum()), len(words), np.uint32)
+        inside = np.ones(len(codes), bool)
+        inside[np.cumsum(n) - 1] = False
+        codes[inside] = np.fromiter(map(at.__getitem__, chain.from_iterable(texts)), np.uint32, int(inside.sum()))
+        row = (first + k, ids, _squeeze(n), _pack_keys(words), _squeeze(codes), size)
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
     for b in batches:
         for a in range(0, b.num_rows, 500):
             part = b.slice(a, 500)
             for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                line = b" ".join(tokens(t))
                 ids.append(i)
-                lines.append(line)
-                size += len(line) + 1
+                texts.append(tokens(t))
+                size += len(t or "") + 1
                 if size >= chunk_bytes:
                     yield made()
-                    ids, lines, size, k = [], [], 0, k + 1
+                    ids, texts, size, k = [], [], 0, k + 1
     if ids:
         yield made()
 
 
+class Chunk:
+    """The tokens of a chunk's documents, one after the other.
+
+    ``word``: the number of each token among ``words``. By level d from 1: ``context[d]``, the hash of the d words before each
+    token, ``gram[d]``, that of them and the token, and ``whole[d]``, whether the text reaches back so far.
+    """
+
+    def __init__(self, ids, lengths: bytes, words: bytes, codes: bytes, depth: int = DEPTH):
+        self.ids = list(ids)
+        n = _expand(lengths, np.int32).astype(np.int64)
+        self.words, self.word = _unpack_keys(words), _expand(codes, np.uint32).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(n)), n)
+        self.train = ~np.array([held_out(i) for i in self.ids], bool)
+        self.trains = self.train[self.doc]
+        symbol = np.append(self.words, _END)[self.word]
+        inner = np.arange(len(symbol)) - np.repeat(np.cumsum(n) - n, n)  # place within the text
+        # the context of d words is the gram of d - 1 words and the next, one token before
+        context = np.append(_START, symbol[:-1])
+        self.first = inner == 0
+        context[self.first] = _START
+        self.context, self.gram, self.whole = [None], [None], [None]
+        for d in range(1, depth + 1):
+            self.context.append(context)
+            self.gram.append(_mix(context * np.uint64(0x9E3779B97F4A7C15) + symbol * np.uint64(0xD1B54A32D192ED03) + np.uint64(d)) >> _BITS)
+            self.whole.append(inner >= d - 1)
+            context = np.append(np.uint64(0), self.gram[d][:-1])
+
+    def counts(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct grams of a level, and how often they occur in training texts here."""
+        k = self.gram[d][self.whole[d]] << np.uint64(1)
+        k |= self.trains[self.whole[d]]
+        k.sort()
+        u = k >> np.uint64(1)
+        at = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+        return u[at], np.add.reduceat((k & np.uint64(1)).astype(np.uint32), at, dtype=np.uint32) if len(at) else np.zeros(0, np.uint32)
+
+
+def _places(keys: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys under the mask, the place of each token's key among them (-1 elsewhere), and a token of each."""
+    where = np.flatnonzero(mask)
+    k = keys[where]
+    order = np.argsort(k)
+    k = k[order]
+    new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
+    out = np.full(len(keys), -1)
+    out[where[order]] = np.cumsum(new) - 1
+    return k[new], out, where[order[new]]
+
+
 def _cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Where the range of each bucket starts among sorted keys."""
     step = -(-(1 << 32) // buckets)
@@ -175,86 +182,81 @@ def _sent(kind: int, chunk: int, keys: np.ndarray, values: list[np.ndarray], buc
 
 
 def _totals(rows: pd.DataFrame, *kinds) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    """Of a bucket's rows: the keys of each, the distinct ones, and the sums of their values."""
+    """Of a bucket's rows: the places of each one's keys among the distinct ones, how many these are, and the sums of their values."""
     keys = [_unpack_keys(x) for x in rows["keys"]]
-    values = [[_expand(x, k) for x in rows[c]] for c, k in zip("ab", kinds)]
     every = np.concatenate(keys)
-    u, at = np.unique(every, return_inverse=True)
-    return keys, u, [np.bincount(at, weights=np.concatenate(v), minlength=len(u)) for v in values]
+    sizes = np.cumsum([len(k) for k in keys])[:-1]
+    del keys
+    order = np.argsort(every, kind="stable")  # merges what is sorted already
+    every = every[order]
+    new = np.append(True, every[1:] != every[:-1])
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    n = int(new.sum())
+    del every, order
+    return np.split(at, sizes), n, [np.bincount(at, weights=np.concatenate([_expand(x, k) for x in rows[c]]), minlength=n) for c, k in zip("ab", kinds)]
 
 
 def _answer_counts(rows: pd.DataFrame):
     """First round: for each chunk the counts of its words or grams, twice each and one more where it owns the gram."""
     kind = int(rows["kind"].iloc[0])
-    rows = rows.sort_values("chunk")
-    keys, u, (n,) = _totals(rows, np.uint32)
+    places, size, (n,) = _totals(rows, np.uint32)
     n = n.astype(np.int64)
-    free = np.ones(len(u), bool)
-    for chunk, bucket, k, x in zip(rows["chunk"], rows["bucket"], keys, rows["a"]):
-        at = np.searchsorted(u, k)
+    free = np.ones(size, bool)
+    for chunk, bucket, at, x in zip(rows["chunk"], rows["bucket"], places, rows["a"]):
         own = free[at] & (_expand(x, np.uint32) > 0)
         free[at[own]] = False
-        yield kind, int(chunk), int(bucket), 0, 0, _squeeze((2 * n[at] + own).astype(np.uint32 if n.max(initial=0) < 1 << 30 else np.uint64)), int(n.max(initial=0) < 1 << 30)
-    if kind == 0:
-        yield 2, -1, 0, int(n.sum()), int((n > 0).sum()), b"", 0
+        yield kind, int(chunk), int(bucket), 0, 0, _squeeze(2 * n[at] + own)
+    if kind == WORDS:
+        yield TOTAL, -1, 0, int(n.sum()), int((n > 0).sum()), b""
 
 
 def _answer_states(rows: pd.DataFrame):
     """Second round: for each chunk, of its contexts, how many different symbols follow them if they are states; else 0."""
-    keys, u, (t, g) = _totals(rows, np.uint32, np.float32)
-    t = np.where(g >= DIVERGENCE, t, 0).astype(np.uint32)
-    for chunk, bucket, k in zip(rows["chunk"], rows["bucket"], keys):
-        yield 3, int(chunk), int(bucket), 0, 0, _squeeze(t[np.searchsorted(u, k)]), 1
+    places, _, (t, g) = _totals(rows, np.uint32, np.float32)
+    t = np.where(g >= DIVERGENCE, t, 0).astype(np.int64)
+    for kind, chunk, bucket, at in zip(rows["kind"], rows["chunk"], rows["bucket"], places):
+        yield int(kind), int(chunk), int(bucket), 0, 0, _squeeze(t[at])
 
 
 class Counts:
-    """A chunk with the corpus counts of its words and grams."""
+    """A chunk with the corpus counts of its words and grams.
+
+    By level: ``seen[d]``, how often the token follows its context of d words, and ``all[d]``, how often that context occurs.
+    """
 
     def __init__(self, chunk: Chunk, answers: pd.DataFrame, docs: int, total: int):
-        self.chunk = chunk
-        get = lambda kind: np.concatenate([np.zeros(0, np.int64), *(_expand(a, np.uint32 if m else np.uint64).astype(np.int64) for a, m in zip(x["a"], x["m"]))]) if len(x := answers[answers["kind"] == kind].sort_values("bucket")) else np.zeros(0, np.int64)
-        word = np.append(get(0) >> 1, docs)
-        self.u, self.n_here, places = chunk.grams()
-        n = get(1)
-        self.own, n = (n & 1).astype(bool), n >> 1
-        # by level: how often the token follows its context, and how often the context occurs
-        self.places = places
-        self.seen = [word[chunk.word], *(np.where(p >= 0, n[p], 0) if len(n) else np.zeros(len(p), np.int64) for p in places)]
+        self.chunk, depth = chunk, len(chunk.gram) - 1
+        self.answers = answers.sort_values("bucket")
+        word = np.append(self.get(WORDS) >> 1, docs)
+        self.seen, self.own, self.sample = [word[chunk.word]], [None], [None]
+        for d in range(1, depth + 1):
+            _, at, one = _places(chunk.gram[d], chunk.whole[d])
+            n = self.get(d)
+            self.seen.append(np.where(at >= 0, n[at] >> 1, 0) if len(n) else np.zeros(len(at), np.int64))
+            self.own.append((n & 1).astype(bool))
+            self.sample.append(one)
         before = np.append(0, self.seen[0][:-1])
-        before[chunk.ctx_key[0] == _START] = docs
+        before[chunk.first] = docs
         self.all = [np.full(len(before), total), before, *(np.append(0, s[:-1]) for s in self.seen[1:-1])]
-        self.live = [None, *(w & (a >= LEAST) for w, a in zip(chunk.whole, self.all[1:]))]
-
-    def contexts(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Distinct contexts that are frequent enough, and the place of each token's context of each level."""
-        live = self.live[1:]
-        u, at = np.unique(np.concatenate([self._key(d)[m] for d, m in enumerate(live, 1)]), return_inverse=True)
-        places, a = [], 0
-        for m in live:
-            p = np.full(len(m), -1)
-            p[m] = at[a : a + m.sum()]
-            a += m.sum()
-            places.append(p)
-        return u, places
-
-    def _key(self, d: int) -> np.ndarray:
-        """Contexts of a level as numbers of equal size."""
-        return _mix(self.chunk.ctx_key[d - 1] + np.uint64(d) * np.uint64(0x9E3779B97F4A7C15)) >> _BITS
-
-    def divergence(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+    def get(self, kind: int) -> np.ndarray:
+        """The answers of all buckets, in the order of the chunk's own keys."""
+        return np.concatenate([np.zeros(0, np.int64), *(_expand(a, np.int64) for a in self.answers.loc[self.answers["kind"] == kind, "a"])])
+
+    def contexts(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct contexts of a level that are frequent enough, and the place of each token's among them."""
+        u, at, _ = _places(self.chunk.context[d] >> (_BITS if d == 1 else np.uint64(0)), self.chunk.whole[d] & (self.all[d] >= LEAST))
+        return u, at
+
+    def divergence(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(context, different symbols, G) of what the grams that this chunk owns add to their contexts."""
-        u, places = self.contexts()
-        t, g = np.zeros(len(u), np.int64), np.zeros(len(u))
-        for d, at in enumerate(places, 1):
-            p = self.places[d - 1]
-            some = np.flatnonzero((at >= 0) & self.chunk.trains & self.own[p])
-            _, first = np.unique(p[some], return_index=True)  # each gram once
-            some = some[first]
-            n = self.seen[d][some]
-            term = 2 * n * np.log(n / self.all[d][some] * self.all[d - 1][some] / self.seen[d - 1][some])
-            t += np.bincount(at[some], minlength=len(u))
-            g += np.bincount(at[some], weights=term, minlength=len(u))
-        return u, t.astype(np.uint32), g.astype(np.float32)
+        u, at = self.contexts(d)
+        some = self.sample[d][self.own[d]]
+        some = some[at[some] >= 0]
+        n = self.seen[d][some]
+        term = 2 * n * np.log(n / self.all[d][some] * self.all[d - 1][some] / self.seen[d - 1][some])
+        return u, np.bincount(at[some], minlength=len(u)).astype(np.uint32), np.bincount(at[some], weights=term, minlength=len(u)).astype(np.float32)
 
 
 def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -267,72 +269,82 @@ def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    packed = cut(rows.mapInArrow(lambda batches: pack(batches, chunk_bytes), "chunk bigint, ids array<string>, blob binary, size bigint"))
+    packed = cut(rows.mapInArrow(lambda batches: pack(batches, chunk_bytes), "chunk bigint, ids array<string>, lengths binary, words binary, codes binary, size bigint"))
     chunks, size = packed.agg(F.count("*"), F.sum("size")).first()
-    buckets = max(8, -(-(size or 0) // chunk_bytes))
-    tasks = max(partitions(spark), min(chunks, buckets))
-    packed = packed.select("chunk", "ids", "blob")
+    buckets = max(8, -(-(size or 0) // BUCKET_BYTES))
+    tasks = max(partitions(spark), -(-chunks // 4))
+    packed = packed.drop("size")
     fields = "kind int, bucket int, chunk bigint, keys binary, a binary, b binary"
-    answer = "kind int, chunk bigint, bucket int, n bigint, v bigint, a binary, m int"
-    sent_names, answer_names = ["kind", "bucket", "chunk", "keys", "a", "b"], ["kind", "chunk", "bucket", "n", "v", "a", "m"]
+    answer = "kind int, chunk bigint, bucket int, n bigint, v bigint, a binary"
+    sent_names, answer_names = ["kind", "bucket", "chunk", "keys", "a", "b"], ["kind", "chunk", "bucket", "n", "v", "a"]
+    whole = ["ids", "lengths", "words", "codes"]
 
     def counted(batches):
         for b in batches:
-            for chunk, ids, blob in zip(b["chunk"], b["ids"], b["blob"]):
-                c = Chunk(ids, blob)
+            for chunk, *parts in zip(b["chunk"], *(b[x] for x in whole)):
+                c = Chunk(*parts)
                 n = np.bincount(c.word[c.trains], minlength=len(c.words) + 1)[:-1].astype(np.uint32)
-                u, here, _ = c.grams()
-                out = [*_sent(0, int(chunk), c.words, [n], buckets, 64), *_sent(1, int(chunk), u, [here.astype(np.uint32)], buckets, 56)]
-                out.append((2, 0, int(chunk), int(c.train.sum()).to_bytes(8, "little"), b"", b""))
+                out = [*_sent(WORDS, int(chunk), c.words, [n], buckets, 64), (DOCS, 0, int(chunk), int(c.train.sum()).to_bytes(8, "little"), b"", b"")]
+                for d in range(1, DEPTH + 1):
+                    u, here = c.counts(d)
+                    out += _sent(d, int(chunk), u, [here], buckets, 56)
                 for a in range(0, len(out), 64):
                     yield pd.DataFrame(out[a : a + 64], columns=sent_names)
 
     def answered(batches):
         for g in groups(batches, ["kind", "bucket"]):
             kind = g["kind"].iloc[0]
-            if kind == 2:
-                got = [(2, -1, 1, sum(int.from_bytes(x, "little") for x in g["keys"]), 0, b"", 0)]
+            if kind == DOCS:
+                got = [(TOTAL, -1, 1, sum(int.from_bytes(x, "little") for x in g["keys"]), 0, b"")]
             else:
-                got = list((_answer_counts if kind < 2 else _answer_states)(g))
-            for a in range(0, len(got), 64):
-                yield pd.DataFrame(got[a : a + 64], columns=answer_names)
+                got = (_answer_counts if kind < STATES else _answer_states)(g)
+            held = []
+            for row in got:
+                held.append(row)
+                if len(held) == 64:
+                    yield pd.DataFrame(held, columns=answer_names)
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=answer_names)
 
     def reply(sent: DataFrame) -> DataFrame:
         n = max(partitions(spark), buckets)
-        return cut(sent.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInPandas(answered, answer))
+        return cut(sent.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInPandas(answered, answer))
 
     first = reply(packed.mapInPandas(counted, fields))
     docs_n = words_n = words_v = 0
-    for bucket, n, v in first.where("kind = 2").groupBy("bucket").agg(F.sum("n"), F.sum("v")).collect():
+    for bucket, n, v in first.where(F.col("kind") == TOTAL).groupBy("bucket").agg(F.sum("n"), F.sum("v")).collect():
         if bucket == 1:
             docs_n = n
         else:
             words_n, words_v = n, v
     total_n, total_v = docs_n + words_n, words_v + (docs_n > 0)
-    counts = first.where("kind < 2").select("kind", "chunk", "bucket", "a", "m")
+    counts = first.where(F.col("kind") < STATES).select("kind", "chunk", "bucket", "a")
 
     def by_chunk(answers: DataFrame):
         return packed.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk"))
 
     def divergent(key, d: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        c = Counts(Chunk(d["ids"].iloc[0], d["blob"].iloc[0]), x, docs_n, total_n)
-        u, t, g = c.divergence()
-        return pd.DataFrame(list(_sent(3, int(d["chunk"].iloc[0]), u, [t, g], buckets, 56)), columns=sent_names)
+        c = Counts(Chunk(*(d[n].iloc[0] for n in whole)), x, docs_n, total_n)
+        out = []
+        for level in range(1, DEPTH + 1):
+            u, t, g = c.divergence(level)
+            out += _sent(STATES + level, int(d["chunk"].iloc[0]), u, [t, g], buckets, 56)
+        return pd.DataFrame(out, columns=sent_names)
 
-    states = reply(by_chunk(counts).applyInPandas(divergent, fields)).select("kind", "chunk", "bucket", "a", "m")
+    states = reply(by_chunk(counts).applyInPandas(divergent, fields)).select("kind", "chunk", "bucket", "a")
 
     def scored(key, d: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        chunk = Chunk(d["ids"].iloc[0], d["blob"].iloc[0])
+        chunk = Chunk(*(d[n].iloc[0] for n in whole))
         c = Counts(chunk, x, docs_n, total_n)
-        u, places = c.contexts()
-        state = x[x["kind"] == 3].sort_values("bucket")
-        follow = np.concatenate([np.zeros(0, np.uint32), *(_expand(a, np.uint32) for a in state["a"])])
         p = (c.seen[0] + 1) / (total_n + total_v + 1)
         base, known = np.log10(p), c.seen[0] > 0
-        for d, at in enumerate(places, 1):
+        for level in range(1, DEPTH + 1):
+            _, at = c.contexts(level)
+            follow = c.get(STATES + level)
             t = np.where(at >= 0, follow[at], 0) if len(follow) else np.zeros(len(at))
-            on = t > 0
-            p[on] = (np.maximum(c.seen[d][on] - DISCOUNT, 0) + DISCOUNT * t[on] * p[on]) / c.all[d][on]
+            on = np.flatnonzero(t)
+            p[on] = (np.maximum(c.seen[level][on] - DISCOUNT, 0) + DISCOUNT * t[on] * p[on]) / c.all[level][on]
         n = len(chunk.ids)
         by_doc = lambda v: np.bincount(chunk.doc, weights=v, minlength=n)
         return pd.DataFrame(

@@ -70,13 +70,14 @@ def has_ended(congress: Column, as_of: Column) -> Column:
 
 
 def congress_span(congress: Column) -> Column:
-    """The years shown beside a congress: 1788 + 2n to 1789 + 2n (a year after the first of ``congress_end``'s span)."""
-    n = congress.cast("int")
-    return F.concat((1788 + 2 * n).cast("string"), F.lit("–"), (1789 + 2 * n).cast("string"))
+    """The years shown beside a congress: 1788 + 2n to 1789 + 2n (a year after the first of ``congress_end``'s span); null if
+    it isn't a number."""
+    n = congress.cast("string").try_cast("int")
+    return F.concat((1788 + 2 * n).cast("string"), F.lit("-"), (1789 + 2 * n).cast("string"))
 
 
 def first_year(congress: Column) -> Column:
-    return 1789 + (congress.cast("int") - 1) * 2
+    return 1789 + (congress.cast("string").try_cast("int") - 1) * 2
 
 
 def outcome_of(actions_text: Column, ended: Column) -> Column:

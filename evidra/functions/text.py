@@ -1,4 +1,4 @@
-"""Text functions as column expressions; only the semantic chunker needs Python (its state is a vector)."""
+"""Text functions as column expressions; the two chunkers that carry state from sentence to sentence run over Arrow batches."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from evidra.functions.vocabulary import HTML_ENTITIES, STOP_WORDS
 
 SIZE, OVERLAP = 220, 40
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 STRATEGIES = ("recursive", "fixed", "sentence", "sliding", "semantic", "whole")
 
 
@@ -55,30 +56,43 @@ def _windows(c: Column, size: int, step: int) -> Column:
     return F.when(F.length(c) > 0, F.filter(cut, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 
+def pack_sentences(text: str | None, size: int, overlap: int) -> list[str]:
+    """Sentences packed into pieces of at most ``size`` characters, too long ones cut; each piece but the first is led
+    by the last ``overlap`` characters of the one before. One pass over the text."""
+    out: list[str] = []
+    held: list[str] = []
+    length = 0
+
+    def close() -> None:
+        nonlocal length
+        if piece := " ".join(held).strip():
+            out.append(piece)
+        held.clear()
+        length = 0
+
+    for s in _SENTENCE_END.split((text or "").strip()):
+        if not s.strip():
+            continue
+        if len(s) > size:
+            close()
+            last = (len(s) - 1) // size * size
+            out += filter(None, (s[i : i + size].strip() for i in range(0, last, size)))
+            s = s[last:].strip()
+        elif held and length + 1 + len(s) > size:
+            close()
+        if s:
+            length += len(s) + bool(held)
+            held.append(s)
+    close()
+    return [f"{before[-overlap:]} {piece}".strip() if k and overlap > 0 else piece for k, (before, piece) in enumerate(zip(["", *out], out))]
+
+
 def _recursive(c: Column, size: int, overlap: int) -> Column:
-    start = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("out"))
-
-    def put(out: Column, x: Column) -> Column:
-        return F.when(x == "", out).otherwise(F.concat(out, F.array(x)))
-
-    def step(acc: Column, s: Column) -> Column:
-        whole = F.floor((F.length(s) - 1) / size).cast("int")  # pieces that a too long sentence is cut into first
-        pieces = F.filter(F.transform(F.sequence(F.lit(0), whole - 1), lambda i: strip(s.substr(i * size + 1, F.lit(size)))), lambda x: x != "")
-        rest = s.substr(whole * size + 1, F.lit(size))
-        joined = F.concat(acc["held"], F.lit(" "), s)
-        return (
-            F.when(whole > 0, F.struct(strip(rest).alias("held"), F.concat(put(acc["out"], strip(acc["held"])), pieces).alias("out")))
-            .when((acc["held"] != "") & (F.length(joined) > size), F.struct(s.alias("held"), put(acc["out"], strip(acc["held"])).alias("out")))
-            .otherwise(F.struct(strip(joined).alias("held"), acc["out"].alias("out")))
-        )
-
-    packed = F.aggregate(sentences(c), start, step, lambda acc: put(acc["out"], strip(acc["held"])))
-    if overlap <= 0:
-        return packed
-    pairs = F.arrays_zip(packed.alias("cur"), F.concat(F.array(F.lit(None).cast("string")), F.slice(packed, 1, F.greatest(F.size(packed) - 1, F.lit(0)))).alias("prev"))
-    return F.transform(
-        F.filter(pairs, lambda p: p["cur"].isNotNull()), lambda p: F.when(p["prev"].isNull(), p["cur"]).otherwise(strip(F.concat(F.right(p["prev"], F.lit(overlap)), F.lit(" "), p["cur"])))
-    )
+    @F.pandas_udf("array<string>")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: pack_sentences(t, size, overlap))
+
+    return packed(c)
 
 
 def hash_vector(text: str, dim: int) -> dict[int, float]:
@@ -95,7 +109,7 @@ def hash_vector(text: str, dim: int) -> dict[int, float]:
 def group_semantic(text: str | None, size: int, dim: int = 256, least: float = 0.12) -> list[str]:
     """Sentences grouped while the next one is close to a running centroid and still fits."""
     text = (text or "").strip()
-    parts = [s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
+    parts = [s for s in _SENTENCE_END.split(text) if s.strip()]
     if len(parts) <= 1:
         return [text] if text else []
     out, held, centre = [], "", {}
@@ -130,7 +144,7 @@ def chunks(c: Column, strategy: str = "recursive", size: int = SIZE, overlap: in
         "fixed": lambda t: _windows(t, size, max(1, size - overlap)),
         "sliding": lambda t: _windows(t, size, max(1, size // 2)),
         "sentence": lambda t: sentences(t),
-    }.get(strategy, lambda t: _recursive(t, size, overlap))
+    }.get(strategy)
     # the text is bound to a lambda's variable: written out in the windows' own lambda it would be stripped anew for each window
-    out = _semantic(c, size) if strategy == "semantic" else F.get(F.transform(F.array(c), made), F.lit(0))
+    out = _semantic(c, size) if strategy == "semantic" else _recursive(c, size, overlap) if made is None else F.get(F.transform(F.array(c), made), F.lit(0))
     return F.when(c == "", F.array().cast("array<string>")).otherwise(out)

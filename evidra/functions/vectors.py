@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,19 +40,36 @@ def preview(vector: Column, n: int = 8) -> Column:
     return F.transform(F.slice(vector, 1, n), lambda x: F.round(x, 4))
 
 
-def similarity(df: DataFrame, keys: list[str], text: str, query: str, dim: int = DIM) -> DataFrame:
-    """``df`` with its rows' cosine to a query; rows that share no bucket stay, with 0.
+def similarity(df: DataFrame, text: str, query: str, dim: int = DIM) -> DataFrame:
+    """``df`` with its rows' cosine to a query; rows that share no bucket have 0.
 
-    The query's few buckets are a literal map, so each row needs one grouping and no join with the query.
+    All within the row: a text's buckets are sorted and each run of equal ones is a term, so nothing is shuffled or joined.
     """
+    weights = F.lit(0.0)
     q = hash_vector(query, dim)
-    tok = df.select(*keys, F.explode(tokens(F.col(text))).alias("token"))
-    n = tok.groupBy(*keys, bucket(F.col("token"), dim).alias("bucket")).agg((1 + F.log(F.count("*"))).alias("w"))
-    weight = F.lit(0.0)
-    for b, w in q.items():
-        weight = F.when(F.col("bucket") == b, w).otherwise(weight)
-    dot = n.groupBy(*keys).agg((F.sum(F.col("w") * weight) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("similarity"))
-    return df.join(dot, keys, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    zero = F.struct(F.lit(-1).alias("b"), F.lit(0).alias("n"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("square"))
+
+    def weight(b: Column) -> Column:
+        out = weights
+        for k, w in q.items():
+            out = F.when(b == k, w).otherwise(out)
+        return out
+
+    def closed(acc: Column) -> tuple[Column, Column]:
+        w = F.when(acc["n"] > 0, 1 + F.log(acc["n"])).otherwise(0.0)
+        return acc["dot"] + w * weight(acc["b"]), acc["square"] + w * w
+
+    def step(acc: Column, b: Column) -> Column:
+        dot, square = closed(acc)
+        same = F.struct(acc["b"].alias("b"), (acc["n"] + 1).alias("n"), acc["dot"].alias("dot"), acc["square"].alias("square"))
+        return F.when(acc["b"] == b, same).otherwise(F.struct(b.alias("b"), F.lit(1).alias("n"), dot.alias("dot"), square.alias("square")))
+
+    def done(acc: Column) -> Column:
+        dot, square = closed(acc)
+        return F.when(square > 0, dot / F.sqrt(square)).otherwise(0.0)
+
+    buckets = F.array_sort(F.transform(tokens(F.col(text)), lambda t: bucket(t, dim)))
+    return df.withColumn("similarity", F.aggregate(buckets, zero, step, done))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -60,7 +79,37 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
-def top_chunks(scored: DataFrame, k: int, order: list[str], threshold: float = 0.0) -> DataFrame:
-    """The k most similar rows, by similarity rounded to four places, then ``order``; the threshold comes after."""
-    top = scored.withColumn("similarity", F.round("similarity", 4)).orderBy(F.desc("similarity"), *order).limit(k)
+def top_chunks(scored: DataFrame, k: int, order: list[str], threshold: float = 0.0, raw: bool = False) -> DataFrame:
+    """The k most similar rows, by similarity rounded to four places (or, with ``raw``, as it is), then ``order``; the
+    threshold comes after, on the rounded value."""
+    shown = F.round("similarity", 4)
+    top = scored.orderBy(F.desc("similarity") if raw else F.desc(shown), *order).limit(k).withColumn("similarity", shown)
     return top.where(F.col("similarity") >= threshold).withColumn("distance", F.round(1 - F.col("similarity"), 4))
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """Feature-hashed term vectors of ``dim`` buckets."""
+
+    dim: int = DIM
+
+    @property
+    def name(self) -> str:
+        return f"hashing-tf-{self.dim}"
+
+    def query(self, text: str) -> list[float]:
+        w = hash_vector(text, self.dim)
+        return [w.get(i, 0.0) for i in range(self.dim)]
+
+    def similarity(self, df: DataFrame, text: str, query: str) -> DataFrame:
+        return similarity(df, text, query, self.dim)
+
+
+#: Embedders by the kind that settings name; more can be added.
+EMBEDDERS = {"hashing": Embedder}
+
+
+def build_embedder(kind: str = "hashing", dim: int = DIM) -> Embedder:
+    if kind not in EMBEDDERS:
+        raise ValueError(f"unknown embedder: {kind}")
+    return EMBEDDERS[kind](dim)

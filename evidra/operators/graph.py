@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.functions.records import citation, congress_span, outcome_label
+from evidra.functions.records import citation, congress_span, outcome_label, type_name
 from evidra.functions.text import keywords
 from evidra.operators.lineage import cut
 
@@ -121,7 +121,8 @@ def bill_pairs(links: DataFrame, scope: DataFrame, hub_cap: int = HUB_CAP) -> Da
 
 
 def bill_graph(links: DataFrame, bills: DataFrame, subject: str | None = None, congress: int | None = None, limit: int = 120, min_shared: int = 1) -> tuple[DataFrame, DataFrame]:
-    """The bill-to-bill projection: nodes with their weighted degree, at most ``limit``, and the edges between them."""
+    """The bill-to-bill projection: nodes ``bill_id, label, type_name, title, congress, outcome, outcome_label, subjects,
+    degree, total_bills`` with their weighted degree, at most ``limit`` of the ``total_bills`` in scope, and the edges between them."""
     scope = bills
     if congress is not None:
         scope = scope.where(F.col("congress").cast("string") == str(congress))
@@ -130,19 +131,23 @@ def bill_graph(links: DataFrame, bills: DataFrame, subject: str | None = None, c
     weight = F.col("sponsors") + F.col("committees")
     rel = F.when((F.col("sponsors") > 0) & (F.col("committees") > 0), "both").when(F.col("sponsors") > 0, "sponsor").otherwise("committee")
     edges = bill_pairs(links, scope).where(weight >= min_shared).select("a", "b", weight.alias("weight"), rel.alias("rel"))
+    edges = cut(edges)  # used for degrees and, twice, for the nodes shown
     ends = edges.select(F.col("a").alias("bill_id"), "weight").union(edges.select("b", "weight"))
     degree = ends.groupBy("bill_id").agg(F.sum("weight").alias("degree"))
     nodes = scope.join(degree, "bill_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    nodes = nodes.orderBy(F.desc("degree"), "bill_id").limit(limit).select("bill_id", "title", "congress", "outcome", outcome_label(F.col("outcome")).alias("outcome_label"), "degree")
-    keep = nodes.select("bill_id")
+    nodes = cut(nodes.orderBy(F.desc("degree"), "bill_id").limit(limit))
+    keep = F.broadcast(nodes.select("bill_id"))  # ``limit`` rows
+    label = citation(F.col("congress"), F.col("bill_type"), F.col("bill_number"))
+    nodes = nodes.select("bill_id", label.alias("label"), type_name(F.col("bill_type")).alias("type_name"), "title", "congress", "outcome", outcome_label(F.col("outcome")).alias("outcome_label"), "subjects", "degree")
+    nodes = nodes.withColumn("total_bills", F.lit(scope.count()).cast("bigint"))
     edges = edges.join(keep.withColumnRenamed("bill_id", "a"), "a", "left_semi").join(keep.withColumnRenamed("bill_id", "b"), "b", "left_semi")
     return nodes, edges.select("a", "b", "weight", "rel")
 
 
 def metadata(bills: DataFrame) -> DataFrame:
-    """Distinct subjects and congresses with their spans: ``field, value, label``."""
+    """Distinct subjects and congresses with their spans: ``field, value, label``; what isn't a number is no congress."""
     s = bills.select(F.explode("subjects").alias("value")).distinct().select(F.lit("subject").alias("field"), "value", F.col("value").alias("label"))
-    c = bills.select(F.col("congress").cast("string").alias("value")).distinct()
+    c = bills.select(F.col("congress").cast("string").alias("value")).distinct().where(F.col("value").try_cast("int").isNotNull())
     return s.union(c.select(F.lit("congress"), "value", congress_span(F.col("value"))))
 
 

@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. A cluster's session must name it."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="evidra-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in ``spark.checkpoint.dir``; where that is unset, as in tests, in a temporary folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidra-"))
+    """A checkpoint in ``spark.checkpoint.dir``; where a local session names none, as in tests, in a temporary folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

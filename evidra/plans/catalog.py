@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 from evidra.functions import records as R
 from evidra.functions import text as X
 from evidra.functions import vectors as V
-from evidra.functions.vocabulary import OUTCOMES, POLICY_AREAS, STOP_WORDS
+from evidra.functions.vocabulary import BILL_TYPES, OUTCOMES, POLICY_AREAS, STOP_WORDS
 from evidra.operators import graph as G
 from evidra.operators import merge as M
 from evidra.operators import metrics as E
+from evidra.operators.lineage import cut, shared_dir
 from evidra.plans import engines as N
+from evidra.plans import index as I
 from evidra.plans.params import VectorParams
 from evidra.plans.tables import BILLS_SQL, LINKS_SQL, bills, links, table, texts
 from evidra.sources import records as S
@@ -63,7 +66,15 @@ def graph_nodes(spark, d):
 @query(f"""WITH {LINKS_SQL} SELECT 'Legislator' AS label, 'O' || l_orderkey AS key, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_orderkey
 UNION ALL SELECT 'Committee', entity, count(*) FROM links WHERE kind = 'committee' GROUP BY entity UNION ALL SELECT 'Bill', 'B' || p_partkey, 0 FROM part""")
 def decompose_bills(spark, d):
-    """Nested bills taken apart: orders as sponsors or cosponsors, customers as committees."""
+    """Nested bills taken apart."""
+    nodes, edges = G.decompose(_nested(spark, d))
+    n = edges.groupBy("src_label", "src_key").agg(F.count_distinct("dst_key").alias("n"))
+    n = nodes.join(n, (nodes["label"] == n["src_label"]) & (nodes["key"] == n["src_key"]), "left")
+    return n.select("label", "key", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _nested(spark, d):
+    """Nested bills: orders as sponsors or cosponsors, customers as committees."""
     b = bills(spark, d)
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("B"), F.col("l_partkey").cast("string")).alias("bill_id"))
     line = line.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey", "left")
@@ -72,10 +83,25 @@ def decompose_bills(spark, d):
     nested = line.groupBy("bill_id").agg(
         F.min(F.when(F.col("l_linenumber") == 1, person)).alias("sponsor"), F.collect_set(person).alias("cosponsors"), F.collect_set(F.when(F.col("o_custkey").isNotNull(), panel)).alias("committees")
     )
-    nodes, edges = G.decompose(b.select("bill_id", "title").join(nested, "bill_id", "left"))
-    n = edges.groupBy("src_label", "src_key").agg(F.count_distinct("dst_key").alias("n"))
-    n = nodes.join(n, (nodes["label"] == n["src_label"]) & (nodes["key"] == n["src_key"]), "left")
-    return n.select("label", "key", F.coalesce("n", F.lit(0)).alias("n"))
+    return _summarised(b).join(nested, "bill_id", "left")
+
+
+def _summarised(b):
+    k = F.col("ordinal") % 5
+    return b.withColumn("summary", F.when(k == 1, "").when(k > 1, F.concat(F.lit("About "), F.lower("title"))))
+
+
+_BODY = "concat_ws('. ', nullif(title, ''), CASE WHEN ordinal % 5 > 1 THEN 'About ' || lower(title) END)"
+
+
+@query("""WITH x AS (SELECT 'sponsored' AS kind, 'O' || l_orderkey AS a, 'B' || l_partkey AS b FROM lineitem WHERE l_linenumber = 1),
+s AS (SELECT min(l_orderkey::VARCHAR) AS o, l_partkey FROM lineitem WHERE l_linenumber = 1 GROUP BY l_partkey)
+SELECT 'SPONSORED' AS rel_type, 'O' || o AS src_key, 'B' || l_partkey AS dst_key FROM s
+UNION ALL SELECT DISTINCT 'COSPONSORED', 'O' || l_orderkey, 'B' || l_partkey FROM lineitem
+UNION ALL SELECT DISTINCT 'REVIEWED', 'C' || o_custkey, 'B' || l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def decompose_edges(spark, d):
+    """The edges of nested bills themselves; the sponsor is the first of its orders as strings."""
+    return G.decompose(_nested(spark, d))[1].select("rel_type", "src_key", "dst_key")
 
 
 _SEED = f"""{_BL}, k AS (SELECT ['small', 'ring'] AS w),
@@ -114,8 +140,9 @@ def _layers(hops: int) -> str:
     return ", ".join(out)
 
 
-def _scored(spark, d, hops):
-    return G.score_candidates(links(spark, d), bills(spark, d), _seeds(spark, d), N.question_words(spark, QUESTION), hops)
+def _scored(spark, d, hops, linked=None):
+    linked = cut(links(spark, d)) if linked is None else linked  # each hop uses them twice
+    return G.score_candidates(linked, bills(spark, d), cut(_seeds(spark, d)), N.question_words(spark, QUESTION), hops)
 
 
 def _flat(scored):
@@ -144,8 +171,13 @@ def score_hops3(spark, d):
 _TOP = _layers(1) + ", top AS (SELECT * FROM scored ORDER BY score DESC, bill_id LIMIT 6)"
 
 
-def _related(spark, d):
-    return G.top_related(_scored(spark, d, 1))
+def _related(spark, d, linked=None):
+    return G.top_related(_scored(spark, d, 1, linked))
+
+
+def _subgraph(spark, d):
+    linked = cut(links(spark, d))
+    return G.subgraph(linked, bills(spark, d), cut(_seeds(spark, d)), cut(_related(spark, d, linked)))
 
 
 @query(_TOP + f" SELECT bill_id, title, {_LABEL} AS outcome_label, n_leg, n_com, round(score, 2) AS score FROM top")
@@ -167,12 +199,12 @@ _NODE = "CASE WHEN kind = 'legislator' THEN 'leg:' ELSE 'com:' END || entity"
 
 @query(_SHARED + f" SELECT bill_id AS id, 'seed_bill' AS kind FROM seeds UNION ALL SELECT bill_id, 'related_bill' FROM top UNION ALL SELECT {_NODE}, kind FROM hubs")
 def subgraph_nodes(spark, d):
-    return G.subgraph(links(spark, d), bills(spark, d), _seeds(spark, d), _related(spark, d))[0].select("id", "kind")
+    return _subgraph(spark, d)[0].select("id", "kind")
 
 
 @query(_SHARED + f" SELECT DISTINCT {_NODE} AS source, bill_id AS target, CASE WHEN kind = 'legislator' THEN 'sponsored' ELSE 'reviewed' END AS rel FROM around")
 def subgraph_edges(spark, d):
-    return G.subgraph(links(spark, d), bills(spark, d), _seeds(spark, d), _related(spark, d))[1]
+    return _subgraph(spark, d)[1]
 
 
 @query(_SHARED + " SELECT entity, coalesce(c_name, entity) AS name FROM hubs LEFT JOIN customer ON entity = 'C' || c_custkey WHERE kind = 'committee'")
@@ -190,72 +222,94 @@ p AS (SELECT a.bill_id AS a, b.bill_id AS b, count(*) FILTER (WHERE a.kind = 'le
   FROM inside a JOIN hub ON a.kind = hub.kind AND a.entity = hub.entity JOIN inside b ON a.kind = b.kind AND a.entity = b.entity AND a.bill_id < b.bill_id GROUP BY 1, 2)"""
 
 
-@query(_BL + _pairs() + " SELECT a, b, sponsors, committees FROM p WHERE sponsors + committees >= 3")
+@query(_BL + _pairs() + " SELECT a, b, sponsors, committees FROM p")
 def bill_pairs(spark, d):
-    return G.bill_pairs(links(spark, d), bills(spark, d)).where("sponsors + committees >= 3")
+    return G.bill_pairs(cut(links(spark, d)), bills(spark, d))
 
 
 def _projection(least: int, scope: str = "bills") -> str:
     return _pairs(scope) + f""", e AS (SELECT a, b, sponsors + committees AS weight, CASE WHEN sponsors > 0 AND committees > 0 THEN 'both' WHEN sponsors > 0 THEN 'sponsor' ELSE 'committee' END AS rel FROM p WHERE sponsors + committees >= {least}),
 deg AS (SELECT bill_id, sum(weight)::BIGINT AS degree FROM (SELECT a AS bill_id, weight FROM e UNION ALL SELECT b, weight FROM e) GROUP BY bill_id),
-n AS (SELECT bill_id, title, congress, outcome, coalesce(degree, 0) AS degree FROM {scope} LEFT JOIN deg USING (bill_id) ORDER BY degree DESC, bill_id LIMIT 120)"""
+n AS (SELECT bill_id, title, congress, outcome, bill_type, bill_number, subjects, coalesce(degree, 0) AS degree FROM {scope} LEFT JOIN deg USING (bill_id) ORDER BY degree DESC, bill_id LIMIT 120)"""
 
 
-_N_SQL = f" SELECT bill_id, title, congress, outcome, {_LABEL} AS outcome_label, degree FROM n"
+_SHORT, _LONG = ([v[i] for v in BILL_TYPES.values()] for i in (0, 1))
+_TYPE = f"list_position({list(BILL_TYPES)}, bill_type)"
+_ORDINAL = "congress || CASE WHEN congress::INTEGER % 100 BETWEEN 10 AND 20 THEN 'th' ELSE (['th', 'st', 'nd', 'rd', 'th', 'th', 'th', 'th', 'th', 'th'])[1 + congress::INTEGER % 10] END"
+_CITATION = f"({_SHORT})[{_TYPE}] || ' ' || bill_number || ' (' || {_ORDINAL} || ')'"
+_N_SQL = f" SELECT bill_id, {_CITATION} AS label, ({_LONG})[{_TYPE}] AS type_name, title, congress, outcome, {_LABEL} AS outcome_label, array_to_string(subjects, ',') AS subjects, degree, (SELECT count(*) FROM bills) AS total_bills FROM n"
 _E_SQL = " SELECT a, b, weight, rel FROM e WHERE a IN (SELECT bill_id FROM n) AND b IN (SELECT bill_id FROM n)"
 _SCOPE = ", scope AS (SELECT * FROM bills WHERE congress = '114' AND list_contains(subjects, 'promo'))"
 
 
 @query(_BL + _projection(1) + _N_SQL)
 def bill_graph_nodes(spark, d):
-    return G.bill_graph(links(spark, d), bills(spark, d))[0]
+    return G.bill_graph(cut(links(spark, d)), bills(spark, d))[0].withColumn("subjects", F.array_join("subjects", ","))
 
 
 @query(_BL + _projection(1) + _E_SQL)
 def bill_graph_edges(spark, d):
-    return G.bill_graph(links(spark, d), bills(spark, d))[1]
+    return G.bill_graph(cut(links(spark, d)), bills(spark, d))[1]
 
 
 @query(_BL + _projection(3) + _E_SQL)
 def bill_graph_min_shared(spark, d):
-    return G.bill_graph(links(spark, d), bills(spark, d), min_shared=3)[1]
+    return G.bill_graph(cut(links(spark, d)), bills(spark, d), min_shared=3)[1]
 
 
 @query(_BL + _SCOPE + _projection(1, "scope") + _E_SQL)
 def bill_graph_filtered(spark, d):
-    return G.bill_graph(links(spark, d), bills(spark, d), subject="Promo", congress=114)[1]
+    return G.bill_graph(cut(links(spark, d)), bills(spark, d), subject="Promo", congress=114)[1]
 
 
-@query(_BL + _pairs() + ", e AS (SELECT a, b FROM p WHERE sponsors + committees >= 3) SELECT node, count(*) AS n_neighbours FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node")
+@query(_BL + _pairs() + ", e AS (SELECT a, b FROM p) SELECT node, count(*) AS n_neighbours FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node")
 def adjacency(spark, d):
-    e = G.bill_pairs(links(spark, d), bills(spark, d)).select("a", "b", (F.col("sponsors") + F.col("committees")).alias("weight")).where("weight >= 3")
+    e = cut(G.bill_pairs(cut(links(spark, d)), bills(spark, d)).select("a", "b", (F.col("sponsors") + F.col("committees")).alias("weight")))
     return G.neighbours(e).groupBy("node").agg(F.count("*").alias("n_neighbours"))
 
 
 @query(_BL + _pairs() + """, e AS (SELECT a, b, sponsors + committees AS weight FROM p), x AS (SELECT b AS neighbour, weight FROM e WHERE a = 'B1' UNION ALL SELECT a, weight FROM e WHERE b = 'B1')
 SELECT 'B1' AS node, neighbour, weight, row_number() OVER (ORDER BY weight DESC, neighbour)::INTEGER AS place FROM x""")
 def ego_network(spark, d):
-    e = G.bill_pairs(links(spark, d), bills(spark, d)).select("a", "b", (F.col("sponsors") + F.col("committees")).alias("weight"))
+    e = cut(G.bill_pairs(cut(links(spark, d)), bills(spark, d)).select("a", "b", (F.col("sponsors") + F.col("committees")).alias("weight")))
     return G.ego(e, "B1")
 
 
-@query(f"WITH {BILLS_SQL} SELECT DISTINCT 'subject' AS field, s AS value, s AS label FROM bills, unnest(subjects) AS t(s) UNION ALL SELECT DISTINCT 'congress', congress, (1788 + 2 * congress::INTEGER)::VARCHAR || '–' || (1789 + 2 * congress::INTEGER)::VARCHAR FROM bills")
+@query(f"WITH {BILLS_SQL} SELECT DISTINCT 'subject' AS field, s AS value, s AS label FROM bills, unnest(subjects) AS t(s) UNION ALL SELECT DISTINCT 'congress', congress, (1788 + 2 * congress::INTEGER)::VARCHAR || '-' || (1789 + 2 * congress::INTEGER)::VARCHAR FROM bills WHERE ordinal % 9 > 0")
 def graph_metadata(spark, d):
-    return G.metadata(bills(spark, d))
+    """Bills without a congress, or with one that is no number, count for their subjects only."""
+    b = bills(spark, d)
+    return G.metadata(b.withColumn("congress", F.when(F.col("ordinal") % 9 > 0, F.col("congress")).when(F.col("ordinal") % 18 > 0, "?")))
 
 
 # --- records ----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {BILLS_SQL} SELECT bill_id, title, {_LABEL} AS outcome_label, subjects[1] AS subject FROM bills")
+@query(f"WITH {BILLS_SQL} SELECT bill_id, title, {_LABEL} AS outcome_label, array_to_string(subjects, ',') AS subjects, array_to_string(subjects[1:2], ',') AS shown FROM bills")
 def bill_listing(spark, d):
-    return bills(spark, d).select("bill_id", "title", R.outcome_label(F.col("outcome")).alias("outcome_label"), F.get("subjects", F.lit(0)).alias("subject"))
+    return bills(spark, d).select("bill_id", "title", R.outcome_label(F.col("outcome")).alias("outcome_label"), F.array_join("subjects", ",").alias("subjects"), F.array_join(F.slice("subjects", 1, 2), ",").alias("shown"))
 
 
-@query(f"""WITH {BILLS_SQL} SELECT bill_id, ({list(x for x in ('H.R.', 'S.', 'H.Res.', 'S.Res.', 'H.J.Res.', 'S.J.Res.', 'H.Con.Res.', 'S.Con.Res.'))})[1 + ordinal % 8] || ' ' || bill_number || ' (' || congress || 'th)' AS citation,
-({list(x for x in ('House Bill', 'Senate Bill', 'House Resolution', 'Senate Resolution', 'House Joint Resolution', 'Senate Joint Resolution', 'House Concurrent Resolution', 'Senate Concurrent Resolution'))})[1 + ordinal % 8] AS type_name FROM bills""")
+@query(f"""WITH {BILLS_SQL}, c AS (SELECT * REPLACE ((ordinal % 125)::VARCHAR AS congress) FROM bills) SELECT bill_id, {_CITATION} AS citation, ({_LONG})[{_TYPE}] AS type_name FROM c""")
 def citation_label(spark, d):
-    return G.labelled(bills(spark, d)).select("bill_id", "citation", R.type_name(F.col("bill_type")).alias("type_name"))
+    b = bills(spark, d).withColumn("congress", (F.col("ordinal") % 125).cast("string"))
+    return G.labelled(b).select("bill_id", "citation", R.type_name(F.col("bill_type")).alias("type_name"))
+
+
+@query(f"WITH {BILLS_SQL} SELECT bill_id, title, outcome FROM bills WHERE bill_id = 'B7'")
+def bill_lookup(spark, d):
+    return N.lookup(bills(spark, d), "bill_id", "B7").select("bill_id", "title", "outcome")
+
+
+@query(f"WITH {BILLS_SQL} SELECT bill_id, {_BODY} AS body FROM bills")
+def bill_body(spark, d):
+    return _summarised(bills(spark, d)).select("bill_id", N.body(F.col("title"), F.col("summary")).alias("body"))
+
+
+@query(f"""WITH {BILLS_SQL}, t AS (SELECT {_BODY} AS c FROM bills WHERE bill_id = 'B8'), x AS (SELECT i, trim(substr(c, i + 1, 12)) AS chunk FROM t, unnest(range(0, len(c), 9)) AS u(i)),
+y AS (SELECT chunk, row_number() OVER (ORDER BY i) - 1 AS k FROM x WHERE chunk <> '') SELECT 'B8#' || k AS chunk_id, k::INTEGER AS chunk_index, chunk FROM y""")
+def rechunk_bill(spark, d):
+    return N.rechunk(_summarised(bills(spark, d)), "B8", 12, 3, "fixed").select("chunk_id", "chunk_index", "chunk")
 
 
 @query(f"WITH {BILLS_SQL} SELECT congress || '-' || upper(bill_type) || '-' || bill_number AS key, bill_id FROM bills")
@@ -264,7 +318,7 @@ def bill_keys(spark, d):
 
 
 @query("""SELECT p_partkey, make_date(1789 + (p_size - 1) * 2 + 2, 1, 3) AS ends, DATE '2025-06-30' > make_date(1789 + (p_size - 1) * 2 + 2, 1, 3) AS ended,
-(1788 + 2 * p_size)::VARCHAR || '–' || (1789 + 2 * p_size)::VARCHAR AS span, 1789 + (p_size - 1) * 2 AS first_year FROM part""")
+(1788 + 2 * p_size)::VARCHAR || '-' || (1789 + 2 * p_size)::VARCHAR AS span, 1789 + (p_size - 1) * 2 AS first_year FROM part""")
 def congress_dates(spark, d):
     n = F.col("p_size")
     return table(spark, d, "part").select("p_partkey", R.congress_end(n).alias("ends"), R.has_ended(n, F.lit(AS_OF).cast("date")).alias("ended"), R.congress_span(n).alias("span"), R.first_year(n).alias("first_year"))
@@ -324,28 +378,40 @@ def package_listing(spark, d):
     return S.list_packages(o.select(name.alias("package_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("last_modified")), "PKG-115", "1997-01-01", 500)
 
 
-@query(f"""WITH {BILLS_SQL} SELECT bill_id AS source, congress, upper(bill_type) AS bill_type, bill_number, title, 'S' || ordinal AS sponsor, CASE WHEN ordinal % 2 = 0 THEN 2 ELSE 0 END AS n_cosponsors, subjects[1] || ',extra' AS subjects,
-'On ' || title || ' & more' AS summary, CASE WHEN ordinal % 3 = 0 THEN 'became_law' WHEN congress::INTEGER < 119 THEN 'died_in_committee' ELSE 'pending_in_committee' END AS outcome FROM bills WHERE ordinal % 10 <> 9""")
+@query(f"""WITH {BILLS_SQL} SELECT bill_id AS source, congress, upper(bill_type) AS bill_type, bill_number, title, '2023-03-15' AS introduced_date, 'S' || ordinal || '|Rep. ' || ordinal || '|D|OH' AS sponsor,
+CASE WHEN ordinal % 2 = 0 THEN 'Sx|Rep. x|D|OH,Sy|Rep. y|D|OH' ELSE '' END AS cosponsors, 'Panel ' || ordinal || '|House,Other|Senate' AS committees, concat_ws(',', subjects[1], 'extra') AS subjects, 'On ' || title || ' & more' AS summary,
+'2024-01-01|' || CASE WHEN ordinal % 3 = 0 THEN 'Became Public Law No: 1' ELSE 'Referred' END || '|Floor,2024-01-02|Noted|' AS actions, '2024-01-10|' || CASE WHEN ordinal % 3 = 0 THEN 'Became Public Law No: 1' ELSE 'Referred' END AS latest_action,
+CASE WHEN ordinal % 3 = 0 THEN 'became_law' WHEN congress::INTEGER < 119 THEN 'died_in_committee' ELSE 'pending_in_committee' END AS outcome FROM bills WHERE ordinal % 10 <> 9""")
 def xml_parse(spark, d):
     """Bills written as XML in the later or the earlier layout, every tenth one broken, and parsed again."""
     b, even = bills(spark, d), F.col("ordinal") % 2 == 0
     tag = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *inner, F.lit(f"</{name}>"))
     item = lambda *inner: tag("item", *inner)
-    person = lambda n: item(tag("bioguideId", F.lit("S"), n))
-    k, area, extra = F.col("bill_number"), tag("name", F.col("subjects")[0]), item(tag("name", F.lit("extra")))
+    person = lambda n: item(tag("bioguideId", F.lit("S"), n), tag("fullName", F.lit("Rep. "), n), tag("party", F.lit("D")), tag("state", F.lit("OH")))
+    k, area, extra = F.col("bill_number"), tag("name", F.coalesce(F.get("subjects", F.lit(0)), F.lit(""))), item(tag("name", F.lit("extra")))
     prose = F.concat(F.lit("&lt;p&gt;On &lt;b&gt;"), F.col("title"), F.lit("&lt;/b&gt; &amp;amp; more&lt;/p&gt;"))
     law = F.when(F.col("ordinal") % 3 == 0, "Became Public Law No: 1").otherwise("Referred")
     kind = F.upper("bill_type")
+    panels = F.concat(item(tag("name", F.lit("Panel "), k), tag("chamber", F.lit("House"))), item(tag("name", F.lit("Other")), tag("chamber", F.lit("Senate"))))
     later = F.concat(
-        tag("type", kind), tag("number", k), tag("cosponsors", person(F.lit("x")), person(F.lit("y"))), tag("policyArea", area), tag("subjects", tag("legislativeSubjects", extra)), tag("summaries", tag("summary", tag("text", prose)))
+        tag("type", kind), tag("number", k), tag("cosponsors", person(F.lit("x")), person(F.lit("y"))), tag("policyArea", area), tag("subjects", tag("legislativeSubjects", extra)), tag("summaries", tag("summary", tag("text", prose))), tag("committees", panels)
     )
     earlier = F.concat(
-        tag("billType", kind), tag("billNumber", k), tag("subjects", tag("billSubjects", tag("policyArea", area), tag("legislativeSubjects", extra))), tag("summaries", tag("billSummaries", item(tag("text", prose))))
+        tag("billType", kind), tag("billNumber", k), tag("subjects", tag("billSubjects", tag("policyArea", area), tag("legislativeSubjects", extra))), tag("summaries", tag("billSummaries", item(tag("text", prose)))), tag("committees", tag("billCommittees", panels))
+    )
+    acts = F.concat(item(tag("actionDate", F.lit("2024-01-01")), tag("text", law), tag("type", F.lit("Floor"))), item(tag("actionDate", F.lit("2024-01-02")), tag("text", F.lit("Noted"))))
+    common = F.concat(
+        tag("congress", F.col("congress")), tag("title", F.col("title")), tag("introducedDate", F.lit("2023-03-15")), tag("sponsors", person(k)), tag("actions", acts), tag("latestAction", tag("actionDate", F.lit("2024-01-10")), tag("text", law))
     )
-    common = F.concat(tag("congress", F.col("congress")), tag("title", F.col("title")), tag("sponsors", person(k)), tag("actions", item(tag("actionDate", F.lit("2024-01-01")), tag("text", law))))
     xml = F.concat(F.lit("<billStatus><bill>"), common, F.when(even, later).otherwise(earlier), F.when(F.col("ordinal") % 10 == 9, "<").otherwise("</bill></billStatus>"))
     p = S.parse_xml(b.select(F.col("bill_id").alias("source"), xml.alias("xml")), "xml", AS_OF)
-    return p.select("source", "congress", "bill_type", "bill_number", "title", F.col("sponsor.bioguide_id").alias("sponsor"), F.size("cosponsors").alias("n_cosponsors"), F.array_join("subjects", ",").alias("subjects"), "summary", "outcome")
+    told = lambda x, *names: F.concat_ws("|", *(F.coalesce(x[n], F.lit("")) for n in names))
+    each = lambda c, *names: F.array_join(F.transform(c, lambda x: told(x, *names)), ",")
+    who = ("bioguide_id", "full_name", "party", "state")
+    return p.select(
+        "source", "congress", "bill_type", "bill_number", "title", "introduced_date", told(F.col("sponsor"), *who).alias("sponsor"), each("cosponsors", *who).alias("cosponsors"), each("committees", "name", "chamber").alias("committees"),
+        F.array_join("subjects", ",").alias("subjects"), "summary", each("actions", "date", "text", "type").alias("actions"), told(F.col("latest_action"), "date", "text").alias("latest_action"), "outcome",
+    )
 
 
 # --- texts and passages -----------------------------------------------------------------------------
@@ -398,7 +464,18 @@ def chunk_sentence(spark, d):
     return _chunks(spark, d, "sentence")
 
 
-@query()
+_RECURSIVE = f"""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, {_strip('text')} AS c FROM documents WHERE text IS NOT NULL),
+s AS MATERIALIZED (SELECT doc_id, list_filter(string_split(regexp_replace(c, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\\S')) AS s FROM t),
+r AS (SELECT doc_id, 0 AS i, '' AS held, []::VARCHAR[] AS made FROM s
+UNION ALL SELECT doc_id, i + 1, CASE WHEN len(x) > 220 THEN {_strip('substr(x, last + 1)')} WHEN held <> '' AND len(held) + 1 + len(x) > 220 THEN x ELSE {_strip("held || ' ' || x")} END,
+  CASE WHEN len(x) > 220 THEN list_filter(list_concat([held], list_transform(range(0, last, 220), lambda k: {_strip('substr(x, (k + 1)::BIGINT, 220)')})), lambda y: y <> '') WHEN held <> '' AND len(held) + 1 + len(x) > 220 THEN [held] ELSE [] END
+  FROM (SELECT r.doc_id, r.i, r.held, s.s[r.i + 1] AS x, (len(s.s[r.i + 1]) - 1) // 220 * 220 AS last FROM r JOIN s ON r.doc_id = s.doc_id WHERE r.i < len(s.s))),
+p AS (SELECT doc_id, i, unnest(made) AS piece, unnest(range(len(made))) AS k FROM r UNION ALL SELECT r.doc_id, i + 1, held, 0 FROM r JOIN s ON r.doc_id = s.doc_id WHERE i = len(s.s) AND held <> ''),
+o AS (SELECT doc_id, piece, row_number() OVER w - 1 AS n, lag(piece) OVER w AS prev FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i, k))
+SELECT doc_id, doc_id || '#' || n AS chunk_id, n::INTEGER AS chunk_index, CASE WHEN prev IS NULL THEN piece ELSE {_strip("right(prev, 40) || ' ' || piece")} END AS chunk FROM o"""
+
+
+@query(_RECURSIVE)
 def chunk_recursive(spark, d):
     return _chunks(spark, d, "recursive")
 
@@ -437,6 +514,14 @@ def similarity_threshold(spark, d):
     return _found(spark, d, 0.3).select("doc_id", "chunk_index", "similarity")
 
 
+@query(f"""{_SIM} SELECT 'passages cut for this question' AS index_mode, 'fixed' AS chunk_strategy, 'hashing-tf-512' AS embedder, 512 AS vector_dim, (SELECT array_to_string([round(coalesce(w, 0), 4)::DECIMAL(9, 4) FOR w IN list(w ORDER BY i)], ' ') FROM (SELECT i, w FROM range(8) AS g(i) LEFT JOIN q ON q.bucket = i)) AS preview,
+count(*) FILTER (WHERE similarity >= 0.3) AS chunk_count, count(*) FILTER (WHERE similarity < 0.3) AS dropped_below_threshold FROM found""")
+def search_report(spark, d):
+    p = VectorParams(top_k=50, chunk_strategy="fixed", similarity_threshold=0.3)
+    r = N.search_report(_found(spark, d), TEXT_QUESTION, p)
+    return r.withColumn("preview", F.array_join(F.transform("query_vector_preview", lambda x: x.cast("decimal(9,4)").cast("string")), " ")).drop("query_vector_preview")
+
+
 _QUALITY = "CASE quality WHEN 1 THEN 'became_law' WHEN 0 THEN 'died_in_committee' END"
 
 
@@ -450,12 +535,12 @@ def _outcomes(spark, d):
     return _found(spark, d).join(l, "doc_id", "left")
 
 
-@query("WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(coalesce(list_cosine_similarity(embedding::DOUBLE[], e), 0), 4) AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 20")
+@query("WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(coalesce(list_cosine_similarity(embedding::DOUBLE[], e), 0), 4) AS similarity FROM embeddings, q ORDER BY coalesce(list_cosine_similarity(embedding::DOUBLE[], e), 0) DESC, vec_id LIMIT 20")
 def dense_topk(spark, d):
     e = table(spark, d, "embeddings")
     first = e.where("vec_id = 0").select("embedding").first()
     scored = e.withColumn("similarity", V.cosine(F.col("embedding"), F.lit([float(x) for x in first[0]] if first else []).cast("array<double>")))
-    return V.top_chunks(scored, 20, ["vec_id"]).select("vec_id", "similarity")
+    return V.top_chunks(scored, 20, ["vec_id"], raw=True).select("vec_id", "similarity")
 
 
 @query("WITH n AS (" + _BUCKETS.format(k="doc_id", t="text", f="documents") + "), v AS (SELECT doc_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM n), g AS (SELECT doc_id, unnest(range(0, 8)) AS bucket FROM (SELECT DISTINCT doc_id FROM v)) SELECT doc_id, array_to_string(list(round(coalesce(w, 0), 4)::DECIMAL(9, 4) ORDER BY bucket), ' ') AS preview FROM g LEFT JOIN v USING (doc_id, bucket) GROUP BY doc_id")
@@ -501,6 +586,39 @@ def compare_engines(spark, d):
     return N.compare(_related(spark, d), _found(spark, d), "doc_id")
 
 
+def _trace(spark, events):
+    trace, _ = N.execute(events)
+    done = [(e["engine"], e["index"], e["step"], e.get("rows")) for e in trace if e["phase"] == "done"]
+    return spark.createDataFrame(done, "engine string, place int, step string, n bigint")
+
+
+@query(_SHARED + f""", n AS (SELECT unnest({list(N.GRAPH_STEPS)}) AS step, unnest(range(7))::INTEGER AS place, unnest([NULL, (SELECT count(*) FROM seeds), (SELECT count(*) FROM (SELECT DISTINCT kind, entity FROM links SEMI JOIN seeds USING (bill_id))),
+(SELECT count(*) FROM top), (SELECT count(*) FROM (SELECT DISTINCT kind, entity, bill_id FROM around)), 1, 1]) AS n) SELECT 'graph' AS engine, place, step, n FROM n""")
+def graph_engine(spark, d):
+    """The graph engine from the question to the answer: the rows of each step of its trace."""
+    return _trace(spark, N.graph_engine(cut(links(spark, d)), bills(spark, d), QUESTION))
+
+
+@query(f"""{_SIM}, st AS (SELECT unnest({list(N.VECTOR_STEPS)}) AS step, unnest(range(4))::INTEGER AS place, unnest([(SELECT count(*) FROM found), (SELECT count(*) FROM found WHERE similarity >= 0.3), 1, 1]) AS n) SELECT 'vector' AS engine, place, step, n FROM st""")
+def vector_engine(spark, d):
+    p = VectorParams(top_k=50, chunk_strategy="fixed", similarity_threshold=0.3)
+    return _trace(spark, N.vector_engine(texts(spark, d).withColumn("outcome", F.lit(None).cast("string")), "doc_id", "text", TEXT_QUESTION, p))
+
+
+@query(f"""WITH {BILLS_SQL}, {LINKS_SQL}, b AS (SELECT {_BODY} AS c FROM bills) SELECT 'bills' AS name, count(*) AS n FROM bills UNION ALL SELECT 'links', count(*) FROM links UNION ALL SELECT 'passages', count(*) FROM b WHERE c <> ''
+UNION ALL SELECT 'nodes', (SELECT count(*) FROM bills) + (SELECT count(DISTINCT kind || entity) FROM links) UNION ALL SELECT 'built again', count(*) FROM bills""")
+def index_build(spark, d):
+    """Bills, nodes, links and passages written once, kept when asked for again, and read back."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    nested = _nested(spark, d)
+    I.build_index(nested, path)
+    again = I.build_index(nested, path)
+    index = I.Index(spark, path)
+    counts = [(t, index.count(t)) for t in I.TABLES] + [("built again", again)]
+    index.reset()
+    return spark.createDataFrame(counts, "name string, n bigint")
+
+
 _RETRIEVED = """WITH got AS (SELECT source AS query, doc_id AS item, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
 other AS (SELECT source AS query, doc_id AS item, row_number() OVER (PARTITION BY source ORDER BY n_chars % 97 DESC, doc_id) AS rank FROM documents),
 rel AS (SELECT DISTINCT source AS query, doc_id AS item FROM documents JOIN labels USING (doc_id) WHERE quality = 1),

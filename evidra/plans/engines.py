@@ -1,19 +1,20 @@
-"""A question answered in two ways, by shared links and by similar passages, each as one lazy plan."""
+"""A question answered in two ways, by shared links and by similar passages."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions.records import enactment_rate, outcome_label, verdict
-from evidra.functions.text import chunks
+from evidra.functions.text import OVERLAP, SIZE, chunks
 from evidra.functions.text import keywords as keywords_of
-from evidra.functions.vectors import similarity, top_chunks
+from evidra.functions.vectors import build_embedder, top_chunks
 from evidra.operators.graph import expand, score_candidates, seed_match, subgraph, top_related
+from evidra.operators.lineage import cut
 from evidra.plans.params import GraphParams, VectorParams
 
 GRAPH_STEPS = ("parse_query", "seed_match", "expand_graph", "score_related", "retrieve", "build_context", "answer")
@@ -38,8 +39,9 @@ def question_words(spark, question: str) -> list[str]:
 
 
 def graph_retrieve(links: DataFrame, bills: DataFrame, question: str, p: GraphParams = GraphParams()) -> GraphResult:
+    """All of the graph retrieval at once; it takes half as many seeds as results, three at least."""
     words = question_words(bills.sparkSession, question)
-    seeds = seed_match(bills, words, p.seed_limit)
+    seeds = cut(seed_match(bills, words, max(3, p.top_k // 2)))
     scored = score_candidates(links, bills, seeds, words, p.hops, p.legislator_weight, p.committee_weight, p.subject_weight)
     related = top_related(scored, p.top_k)
     nodes, edges = subgraph(links, bills, seeds, related)
@@ -53,15 +55,47 @@ def passages(texts: DataFrame, key: str, text: str, p: VectorParams = VectorPara
     return cut.withColumn("chunk_id", F.concat(F.col(key).cast("string"), F.lit("#"), F.col("chunk_index").cast("string")))
 
 
+def body(title: Column, summary: Column) -> Column:
+    """What is cut into chunks of a bill: its title and summary, whatever of them there is."""
+    return F.concat_ws(". ", F.nullif(title, F.lit("")), F.nullif(summary, F.lit("")))
+
+
+def lookup(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The row with a key; an error if there is none."""
+    found = df.where(F.col(key) == value).limit(1)
+    if found.isEmpty():
+        raise LookupError(f"no such {key}: {value}")
+    return found
+
+
+def rechunk(bills: DataFrame, bill_id: str, size: int | None = None, overlap: int | None = None, strategy: str | None = None) -> DataFrame:
+    """One bill's chunks as other parameters would cut it: ``bill_id, title, outcome, chunk_id, chunk_index, chunk``. A size of 0
+    or none is the default one, an overlap of 0 is kept."""
+    p = VectorParams(chunk_strategy=strategy or VectorParams.chunk_strategy, chunk_size=size or SIZE, chunk_overlap=OVERLAP if overlap is None else overlap)
+    one = lookup(bills, "bill_id", bill_id).select("bill_id", "title", "outcome", body(F.col("title"), F.col("summary")).alias("text"))
+    return passages(one, "bill_id", "text", p)
+
+
 def vector_retrieve(texts: DataFrame, key: str, text: str, question: str, p: VectorParams = VectorParams(), stored: DataFrame | None = None) -> DataFrame:
     """The passages most similar to a question; ``stored`` passages serve unless the parameters ask for others."""
     if not question.strip():
         raise ValueError("the question is empty")
     found = passages(texts, key, text, p) if stored is None or p.is_custom else stored
-    scored = similarity(found, [key, "chunk_index"], "chunk", question, p.embedder_dim)
+    scored = build_embedder(dim=p.embedder_dim).similarity(found, "chunk", question)
     return top_chunks(scored, p.top_k, [key, "chunk_index"], p.similarity_threshold)
 
 
+def search_report(found: DataFrame, question: str, p: VectorParams = VectorParams(), stored: bool = False) -> DataFrame:
+    """One row about a search, from its top-k before the threshold: ``index_mode, chunk_strategy, embedder, vector_dim,
+    query_vector_preview, chunk_count, dropped_below_threshold``."""
+    e = build_embedder(dim=p.embedder_dim)
+    mode = "stored passages" if stored and not p.is_custom else "passages cut for this question"
+    stays = F.col("similarity") >= p.similarity_threshold
+    counts = found.agg(F.count_if(stays).alias("chunk_count"), F.count_if(~stays).alias("dropped_below_threshold"))
+    shown = F.lit([round(x, 4) for x in e.query(question)[:8]])
+    return counts.select(F.lit(mode).alias("index_mode"), F.lit(p.chunk_strategy).alias("chunk_strategy"), F.lit(e.name).alias("embedder"), F.lit(e.dim).alias("vector_dim"), shown.alias("query_vector_preview"), *counts.columns)
+
+
 # --- contexts and extractive answers, over the few rows retrieved ----------------------------------
 
 
@@ -70,7 +104,7 @@ def _lines(place: Column, line: Column) -> Column:
 
 
 def _percent(rate: Column) -> Column:
-    return F.concat(F.round(rate * 100).cast("int").cast("string"), F.lit("%"))
+    return F.concat(F.bround(rate * 100).cast("int").cast("string"), F.lit("%"))
 
 
 def graph_context(related: DataFrame) -> DataFrame:
@@ -127,14 +161,56 @@ def compare(related: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return g.unionByName(v)
 
 
-def traced(engine: str, steps: dict[str, Callable[[], DataFrame]]) -> Iterator[dict]:
-    """Run named steps and tell the start and the end of each, with rows and time; what a live trace is made of."""
-    for k, (name, make) in enumerate(steps.items()):
-        at = {"engine": engine, "step": name, "index": k}
+class _Run:
+    """Steps of an engine, each a table that is made once; tells the start and the end of each."""
+
+    def __init__(self, engine: str):
+        self.engine, self.tables, self.k = engine, {}, 0
+
+    def step(self, name: str, make, keep: bool = True) -> Iterator[dict]:
+        at = {"engine": self.engine, "step": name, "index": self.k}
+        self.k += 1
         yield at | {"phase": "start"}
         began = time.time()
-        n = make().count()
-        yield at | {"phase": "done", "rows": n, "duration_ms": (time.time() - began) * 1000}
+        made = make()
+        if isinstance(made, DataFrame):
+            made = cut(made)
+            at = at | {"rows": made.count()}
+        self.tables[name] = made
+        yield at | {"phase": "done", "duration_ms": (time.time() - began) * 1000}
+
+
+def graph_engine(links: DataFrame, bills: DataFrame, question: str, p: GraphParams = GraphParams()) -> Iterator[dict]:
+    """The graph engine step by step, as events; the last one holds the tables by step and the answer's row."""
+    run = _Run("graph")
+    t = run.tables
+    yield from run.step("parse_query", lambda: question_words(bills.sparkSession, question))
+    yield from run.step("seed_match", lambda: seed_match(bills, t["parse_query"], p.seed_limit).join(bills.select("bill_id", "title", "outcome"), "bill_id"))
+    yield from run.step("expand_graph", lambda: expand(links, t["seed_match"]))
+    yield from run.step("score_related", lambda: top_related(score_candidates(links, bills, t["seed_match"], t["parse_query"], p.hops, p.legislator_weight, p.committee_weight, p.subject_weight), p.top_k))
+    yield from run.step("retrieve", lambda: subgraph(links, bills, t["seed_match"].select("bill_id", "ordinal", "overlap"), t["score_related"])[1])
+    yield from run.step("build_context", lambda: graph_context(t["score_related"]))
+    yield from run.step("answer", lambda: t["build_context"].select("n", "rate", "verdict", "answer"))
+    yield {"engine": "graph", "phase": "result", "tables": t, "answer": t["answer"].first().asDict()}
+
+
+def vector_engine(texts: DataFrame, key: str, text: str, question: str, p: VectorParams = VectorParams(), stored: DataFrame | None = None, outcome: str = "outcome") -> Iterator[dict]:
+    """The vector engine step by step, as events; ``texts`` has an outcome beside its text, and so have stored passages."""
+    run = _Run("vector")
+    t = run.tables
+    top = VectorParams.from_dict(asdict(p) | {"similarity_threshold": -1.0})
+    yield from run.step("embed_search", lambda: vector_retrieve(texts, key, text, question, top, stored))
+    yield from run.step("retrieve", lambda: t["embed_search"].where(F.col("similarity") >= p.similarity_threshold))
+    yield from run.step("build_context", lambda: vector_context(t["retrieve"], key, outcome))
+    yield from run.step("answer", lambda: t["build_context"].select("n", "answer"))
+    report = search_report(t["embed_search"], question, p, stored is not None)
+    yield {"engine": "vector", "phase": "result", "tables": t | {"report": report}, "answer": t["answer"].first().asDict()}
+
+
+def execute(events: Iterator[dict]) -> tuple[list[dict], dict]:
+    """Run an engine to its end: its trace, and its result."""
+    got = list(events)
+    return got[:-1], got[-1]
 
 
 def settings(graph: GraphParams = GraphParams(), vector: VectorParams = VectorParams()) -> dict:

@@ -13,12 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as bills: the name is the title, the type the subject; congress and outcome follow from the size."""
+    """Parts as bills of none to three subjects: the name is the title, type and brand are subjects; congress and outcome follow
+    from the size."""
     return table(spark, sf_dir, "part").select(
         F.concat(F.lit("B"), F.col("p_partkey").cast("string")).alias("bill_id"),
         F.col("p_partkey").alias("ordinal"),
         F.col("p_name").alias("title"),
-        F.array(F.lower("p_type")).alias("subjects"),
+        F.slice(F.array(F.lower("p_type"), F.lower("p_brand"), F.lit("extra")), F.lit(1), (F.col("p_partkey") % 4).cast("int")).alias("subjects"),
         (113 + F.col("p_size") % 6).cast("string").alias("congress"),
         F.get(F.lit(list(BILL_TYPES)), (F.col("p_partkey") % 8).cast("int")).alias("bill_type"),
         F.col("p_partkey").cast("string").alias("bill_number"),
@@ -40,7 +41,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BILLS_SQL = (
-    "bills AS (SELECT 'B' || p_partkey AS bill_id, p_partkey AS ordinal, p_name AS title, [lower(p_type)] AS subjects, (113 + p_size % 6)::VARCHAR AS congress, "
+    "bills AS (SELECT 'B' || p_partkey AS bill_id, p_partkey AS ordinal, p_name AS title, list_slice([lower(p_type), lower(p_brand), 'extra'], 1, p_partkey % 4) AS subjects, (113 + p_size % 6)::VARCHAR AS congress, "
     f"({list(BILL_TYPES)})[1 + p_partkey % 8] AS bill_type, p_partkey::VARCHAR AS bill_number, ({list(OUTCOMES)})[1 + p_size % 8] AS outcome FROM part)"
 )
 LINKS_SQL = (

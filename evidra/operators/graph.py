@@ -77,7 +77,7 @@ def score_candidates(
     links: DataFrame, bills: DataFrame, seeds: DataFrame, query_words: list[str], hops: int = 1, legislator_weight: float = 2.0, committee_weight: float = 1.0, subject_weight: float = 0.5
 ) -> DataFrame:
     """Connection scores: half for each further hop, and the subjects that the query names."""
-    near = reach(links, seeds, hops).join(bills, "bill_id", "left")
+    near = reach(links, seeds, hops).join(bills.select("bill_id", "ordinal", "title", "outcome", "subjects"), "bill_id", "left")
     subject = F.array_sort(F.array_intersect(F.lit(query_words).cast("array<string>"), F.transform(F.coalesce("subjects", F.array().cast("array<string>")), F.lower)))
     decay = F.pow(F.lit(0.5), F.col("hop") - 1)
     score = decay * (legislator_weight * F.size("legislators") + committee_weight * F.size("committees")) + subject_weight * F.size(subject)

@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import cut, groups, partitions
+from evidra.llm.common import cut, groups, partitions, release
 
 DEPTH = 2
 DIVERGENCE = 12.0
 LEAST = 2
 DISCOUNT = 0.75
-CHUNK_BYTES = 5_000_000
+CHUNK_BYTES = 10_000_000
 BUCKET_BYTES = 16_000_000
 _START, _END = np.uint64(0x51A7), np.uint64(0xE4D)
 #: What the hash of a gram lacks of 64 bits.
@@ -312,6 +312,7 @@ def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         return cut(sent.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInPandas(answered, answer))
 
     first = reply(packed.mapInPandas(counted, fields))
+    release(spark)  # what the chunks sent has been answered
     docs_n = words_n = words_v = 0
     for bucket, n, v in first.where(F.col("kind") == TOTAL).groupBy("bucket").agg(F.sum("n"), F.sum("v")).collect():
         if bucket == 1:
@@ -334,6 +335,8 @@ def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     states = reply(by_chunk(counts).applyInPandas(divergent, fields)).select("kind", "chunk", "bucket", "a")
 
+    release(spark)
+
     def scored(key, d: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(*(d[n].iloc[0] for n in whole))
         c = Counts(chunk, x, docs_n, total_n)

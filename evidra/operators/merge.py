@@ -21,3 +21,9 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
     return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
+def upsert_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph with another batch put in: of a node the last known name counts, an edge counts once."""
+    both = nodes.withColumn("_batch", F.lit(0)).unionByName(new_nodes.withColumn("_batch", F.lit(1)))
+    return latest_known(both, ["label", "key"], "_batch"), edges.unionByName(new_edges).distinct()

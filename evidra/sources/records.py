@@ -37,12 +37,14 @@ def keyed(df: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, *paths: str) -> DataFrame:
-    """The first corpus (a JSON array) that exists, tagged with its place among ``paths``; none gives no rows."""
+    """The first corpus that exists, tagged with its place among ``paths``; none gives no rows. A file is a JSON array, a
+    folder holds what ``write_corpus`` wrote."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for k, p in enumerate(paths):
         at = hadoop(p)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return keyed(spark.read.schema(BILL).option("multiLine", True).json(p)).withColumn("corpus_source", F.lit("ingested" if k == 0 and len(paths) > 1 else "seed"))
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if store.exists(at):
+            return keyed(spark.read.schema(BILL).option("multiLine", not store.getFileStatus(at).isDirectory()).json(p)).withColumn("corpus_source", F.lit("ingested" if k == 0 and len(paths) > 1 else "seed"))
     return keyed(spark.createDataFrame([], BILL)).withColumn("corpus_source", F.lit("none"))
 
 
@@ -100,10 +102,12 @@ def parse_xml(df: DataFrame, xml: str, as_of: str, max_summary: int = 0) -> Data
 
 
 def list_packages(listing: DataFrame, prefix: str, since: str, limit: int | None = None) -> DataFrame:
-    """Packages of a listing ``package_id, last_modified`` with a prefix, changed since a date, at most ``limit``."""
+    """Packages of a listing ``package_id, last_modified`` with a prefix, changed since a date, at most ``limit``: the first by id,
+    so that a limit has one meaning in a table without an order (a top-k, not an early exit)."""
     out = listing.where(F.col("package_id").startswith(prefix) & (F.col("last_modified") >= since))
     return out.orderBy("package_id").limit(limit) if limit else out
 
 
 def write_corpus(df: DataFrame, path: str) -> None:
+    """Overwrite a corpus: a folder of JSON objects, one a line, written by all tasks."""
     df.write.mode("overwrite").json(path)

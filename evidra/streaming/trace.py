@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidra.operators.merge import append_merge, latest
+
 STEPS = 11
 #: The query log, one JSON object a line.
 LOG = T.StructType([T.StructField(c, T.StringType()) for c in ("ts", "query", "graph_answer", "vector_answer", "model", "graph_params", "vector_params")])
@@ -21,10 +23,20 @@ def progress(state: DataFrame, run: str, phase: str, total: int = STEPS) -> Data
     return state.groupBy(run).agg((F.count_if(F.col(phase) == "done") / total).alias("progress"))
 
 
-def interleave(steps: DataFrame, run: str, lane: str, order: str) -> DataFrame:
-    """One timeline g0, v0, g1, v1, ...; a longer lane goes on alone."""
+def interleave(steps: DataFrame, run: str, lane: str, order: str, closing: str | None = None) -> DataFrame:
+    """One timeline g0, v0, g1, v1, ...; a longer lane goes on alone. With ``closing`` a last row ends each run."""
     place = F.row_number().over(Window.partitionBy(run, lane).orderBy(order))
-    return steps.withColumn("step", place).withColumn("at", F.row_number().over(Window.partitionBy(run).orderBy("step", lane)))
+    out = steps.withColumn("step", place).withColumn("at", F.row_number().over(Window.partitionBy(run).orderBy("step", lane)))
+    if closing is None:
+        return out
+    ends = out.groupBy(run).agg((F.max("at") + 1).alias("at")).withColumn(lane, F.lit(closing))
+    return out.unionByName(ends, allowMissingColumns=True)
+
+
+def now_utc():
+    """The time in UTC as ISO text, whatever the session's zone."""
+    text = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(text, F.lit("+00:00"))
 
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -32,23 +44,32 @@ def log_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(LOG).json(path)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    rows.select(*(F.col(f.name).cast("string") if f.name in rows.columns else F.lit(None).cast("string").alias(f.name) for f in LOG)).write.mode("append").json(path)
+def append_log(rows: DataFrame, path: str) -> bool:
+    """Append to the query log, stamped now where rows have no ``ts``. A log that can't be written must not stop an answer: the
+    failure is told by the result."""
+    blank = lambda f: now_utc() if f.name == "ts" else F.lit(None).cast("string")
+    out = rows.select(*(F.col(f.name).cast("string") if f.name in rows.columns else blank(f).alias(f.name) for f in LOG))
+    try:
+        out.write.mode("append").json(path)
+    except Exception:  # of any store
+        return False
+    return True
 
 
-def merge_stream(source: DataFrame, target: str, keys: list[str], checkpoint: str):
-    """Append-merge each micro-batch into the table at ``target``; versions are folders, the last one counts.
+def merge_stream(source: DataFrame, target: str, keys: list[str], order: str, checkpoint: str):
+    """Append-merge each micro-batch into the table at ``target``; of rows of a batch that share a key the last by ``order``
+    counts. Versions are folders, the last one counts, the one before it stays for readers.
 
     A batch that is run again after a failure writes its own version anew.
     """
-    from evidra.operators.merge import append_merge
-
     spark = source.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(keys)
+        new = latest(batch, keys, order)
         if number:
             new = append_merge(spark.read.parquet(f"{target}/version={number - 1}"), new, keys)
         new.write.mode("overwrite").parquet(f"{target}/version={number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/version={number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,7 +1,8 @@
 """Near-duplicate vectors: random-hyperplane sign hashing in several tables, exact cosine verification,
 distributed connected components.
 
-Equal vectors are one class with a count. Each class goes to one bucket in each table. A bucket is one
+Equal vectors are one class with a count. Each class goes to one bucket in each table; bits and tables follow from how
+often the pairs of a sample share a bucket, and from the recall asked for. A bucket is one
 group of a shuffle; one with more than ``BLOCK`` classes is dealt into blocks, and each pair of blocks is
 a group of its own. Within a group all cosines come from one matrix product in double precision. A pair
 counts in the first table that puts both in one bucket, so link counts add up over tables without any
@@ -24,15 +25,37 @@ THRESHOLD = 0.95
 #: Least probability that a pair right at the threshold shares a bucket in some table.
 RECALL = 0.9995
 SEED = 11
+#: Bits of a table at most; vectors of the sample they are chosen by, about; what a row costs in a table, in comparisons.
+MOST_BITS = 32
+SAMPLE = 4000
+ROW_COST = 150
 #: Classes in a group at most.
 BLOCK = 2048
 
 
-def tables_for(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a table, tables): buckets of about 32 rows if spread evenly; tables to reach ``recall``."""
-    bits = min(62, max(4, math.ceil(math.log2(max(n, 1) / 32 + 1))))
+def tables_for(bits: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """How many tables of so many bits reach ``recall`` for a pair right at the threshold."""
     same = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - same))) if same < 1 else 1
+
+
+def bits_for(sample: np.ndarray, n: int, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = SEED) -> int:
+    """The bits of a table that make the search of n vectors cheapest, by how often pairs of a sample share a bucket: vectors
+    around a common mean need more of them than evenly spread ones. The choice bears on the cost only."""
+    if len(sample) < 2:
+        return 4
+    up = sample @ planes(sample.shape[1], MOST_BITS, 4, seed) > 0
+    best = (math.inf, 4)
+    for bits in range(4, MOST_BITS + 1, 2):
+        together = 0.0
+        for t in range(4):
+            key = up[:, t * MOST_BITS : t * MOST_BITS + bits] @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+            _, c = np.unique(key, return_counts=True)
+            together += float((c * (c - 1)).sum()) / (4 * len(sample) * (len(sample) - 1))
+        together = max(together, 2.0**-bits)
+        cost = tables_for(bits, threshold, recall) * (ROW_COST * n + together * n * n)
+        best = min(best, (cost, bits))
+    return best[1]
 
 
 def planes(dim: int, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
@@ -96,7 +119,12 @@ def embedding_neardup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     narrow = df.schema[vec_col].dataType.simpleString() == "array<float>"
     kind = "array<float>" if narrow else "array<double>"
     classes = cut(rows.where("vec is not null").groupBy(F.col("vec").cast(kind).alias("v")).agg(F.min("id").alias("rep"), F.count("*").alias("mult")))
-    bits, tables = tables_for(classes.count(), threshold, recall)
+    n = classes.count()
+    of = max(1, -(-n // SAMPLE))
+    some = [r[0] for r in classes.where(F.pmod(F.xxhash64("rep"), F.lit(of)) == 0).select("v").collect()]
+    length = max((len(v) for v in some), key=[len(v) for v in some].count, default=0)  # the most frequent one
+    bits = bits_for(_unit([v for v in some if len(v) == length]) if length else np.zeros((0, 1)), n, threshold, recall, seed)
+    tables = tables_for(bits, threshold, recall)
 
     def signed(batches):
         for b in batches:

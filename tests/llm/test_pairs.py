@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpus_pipeline import simhash_near_dedup
 from evidra.llm.components import connected_components
-from evidra.llm.op1_embedding import embedding_neardup, op1_embedding_neardup
+from evidra.llm.op1_embedding import bits_for, embedding_neardup, op1_embedding_neardup, signatures, tables_for
 from evidra.llm.op6_simhash import fingerprint, near_edges, op6_simhash_neardup, simhash_neardup
 
 DATA = "/root/testdata/sf0.001"
@@ -167,3 +167,31 @@ def test_dense_ball_is_dealt_into_blocks(spark):
         edges = near_edges(df, leaf=50, block=block)
         got = {i: i for i in range(len(fps))} | {n: c for n, c in connected_components(edges).collect()}
         assert got == want
+
+
+def compared(x, bits):
+    """Pairs that the tables compare, of all ordered pairs."""
+    sigs = signatures(x, bits, tables_for(bits))
+    return sum(float((np.unique(sigs[:, t], return_counts=True)[1] ** 2).sum()) for t in range(sigs.shape[1])) / len(x) ** 2
+
+
+def test_bits_follow_the_vectors():
+    """Vectors around a common mean share buckets more often, and get more bits."""
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    even, mean = unit(r.standard_normal((20_000, 64))), unit(r.standard_normal((20_000, 64)) + 1.0)
+    b1, b2 = bits_for(even[:4000], len(even)), bits_for(mean[:4000], len(mean))
+    assert b2 > b1 and compared(even, b1) < 0.03 and compared(mean, b2) < 0.1
+
+
+def test_embedding_recall_of_every_twentieth(spark):
+    """Links of the rows whose id is divisible by 20, against all rows of sf0.1."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas().sort_values("vec_id")
+    x = np.stack(e["embedding"]).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {r["vec_id"]: r["n_links"] for r in op1_embedding_neardup(spark, "/root/testdata/sf0.1").collect()}
+    rows = np.flatnonzero(e["vec_id"].to_numpy() % 20 == 0)
+    want = ((x[rows] @ x.T) >= 0.95).sum(axis=1) - 1
+    found = np.array([got[i] for i in e["vec_id"].to_numpy()[rows]])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    print("links", want.sum(), "found", found.sum())

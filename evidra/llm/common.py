@@ -42,10 +42,10 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more: it does so when the driver collects garbage,
     and what the first collection frees holds some of what the second one does."""
-    for _ in range(2):
+    for _ in range(3):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+        time.sleep(0.5)
 
 
 def remove(spark: SparkSession, path: str) -> None:

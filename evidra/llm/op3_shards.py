@@ -127,4 +127,5 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", tex
 
 
 def op3_kd_shards(spark, sf_dir: str) -> DataFrame:
+    """``kd_shards`` over all documents, into 16 shards; rows as its docstring says."""
     return kd_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))

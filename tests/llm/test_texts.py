@@ -94,6 +94,49 @@ def test_shards(spark, texts):
     assert max(size.values()) - min(size.values()) <= 3 * max(r["size"] for r in got)
 
 
+def brute_shards(rows, shards):
+    """A k-d tree by definition; rows: (id, size, crc, hash of the id, values). The shard of each id."""
+    spread = lambda some: [max(r[4][d] for r in some) - min(r[4][d] for r in some) for d in range(len(rows[0][4]))]
+    whole, out = spread(rows), {}
+
+    def split(some, first, m):
+        if m == 1 or not some:
+            out.update((r[0], first) for r in some)
+            return
+        width = spread(some)
+        d = max(range(len(width)), key=lambda i: width[i] / (whole[i] or 1.0))
+        low = min(r[4][d] for r in some)
+        place = lambda r: (math.floor((r[4][d] - low) / (width[d] or 1.0) * ((1 << 20) - 1)), r[2] >> 8, (r[3] % (1 << 64)) >> 45)
+        wanted, total = sum(r[1] for r in some) * (m // 2) / m, 0
+        best = (wanted, (-1, -1, -1))  # nothing to the left
+        for c in sorted({place(r) for r in some}):
+            total += sum(r[1] for r in some if place(r) == c)
+            if abs(total - wanted) <= best[0]:  # ties go to the later place
+                best = (abs(total - wanted), c)
+        split([r for r in some if place(r) <= best[1]], first, m // 2)
+        split([r for r in some if place(r) > best[1]], first + m // 2, m - m // 2)
+
+    split(rows, 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards", [2, 5, 8])
+def test_shards_are_a_brute_force_tree(spark, shards):
+    r = random.Random(shards)
+    docs = [(i, "x" * r.choice((1, 5, 60, 300)) + f" {r.randrange(9)}", float(r.randrange(50)), r.random() * 1000) for i in range(160)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, a double, b double")
+    hashes = {x[0]: x[1] for x in df.select("doc_id", F.xxhash64("doc_id")).collect()}
+    rows = [(i, len(t) + 1, zlib.crc32(t.encode()), hashes[i], (float(len(t)), a, b)) for i, t, a, b in docs]
+    got = {x["doc_id"]: x["shard"] for x in kd_shards(df, shards, dims=("a", "b")).collect()}
+    assert got == brute_shards(rows, shards)
+
+
+def test_shards_of_a_target(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), 99).alias("text"), (F.col("id") % 7).alias("n_chars"))
+    got = kd_shards(docs, target_bytes=10_000).groupBy("shard").agg(F.sum("size").alias("size")).collect()
+    assert len(got) == 5 and max(x["size"] for x in got) <= 10_300  # 50,000 bytes in all; a row is 100
+
+
 def test_shards_awkward(spark):
     docs, n = documents(spark)
     assert kd_shards(docs, 4).count() == n and kd_shards(docs, 1).agg(F.max("slot")).first()[0] == n - 1

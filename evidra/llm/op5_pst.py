@@ -272,7 +272,7 @@ def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     packed = cut(rows.mapInArrow(lambda batches: pack(batches, chunk_bytes), "chunk bigint, ids array<string>, lengths binary, words binary, codes binary, size bigint"))
     chunks, size = packed.agg(F.count("*"), F.sum("size")).first()
     buckets = max(8, -(-(size or 0) // BUCKET_BYTES))
-    tasks = max(partitions(spark), -(-chunks // 4))
+    tasks = max(partitions(spark), chunks)
     packed = packed.drop("size")
     fields = "kind int, bucket int, chunk bigint, keys binary, a binary, b binary"
     answer = "kind int, chunk bigint, bucket int, n bigint, v bigint, a binary"
@@ -308,7 +308,7 @@ def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
                 yield pd.DataFrame(held, columns=answer_names)
 
     def reply(sent: DataFrame) -> DataFrame:
-        n = max(partitions(spark), buckets)
+        n = max(partitions(spark), (DEPTH + 1) * buckets)
         return cut(sent.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInPandas(answered, answer))
 
     first = reply(packed.mapInPandas(counted, fields))

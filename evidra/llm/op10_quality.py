@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import cut
+from evidra.llm.common import cut, small_batches
 
 #: Labelled rows that the classifier is fitted on, about; chosen by a hash of the id.
 SAMPLE = 12_000
@@ -147,6 +147,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host: Column, path: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id, host, path, z_<head>``: log odds of each document by its text alone; columns ``keep`` as ``keep0`` and so on."""
     heads = tuple(model["heads"])
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model["words"], np.stack([model["heads"][h][0] for h in heads], 1), np.stack([model["heads"][h][1] for h in heads], 1)))
     kept = [(f"keep{i}", c) for i, c in enumerate(keep)]
     names = ["id", "host", "path", *(k for k, _ in kept), *(f"z_{h}" for h in heads)]

@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.llm.common import small_batches
+
 DROPOUT = 0.1
 SEED = 17
 #: Runs that a task keeps, after which its table is emptied.
@@ -396,21 +398,22 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         coder = pieces(model, dropout, seed)
-        for b in batches:
-            ids_of, texts = b.column(0), b.column(1).to_pylist()
-            a = size = 0
-            for i, t in enumerate(texts, 1):
-                size += len(t or "")
-                if size < TEXTS and i < len(texts):
-                    continue
-                some, names = [t or "" for t in texts[a:i]], ids_of.slice(a, i - a)
+        held, size = [], 0
+        for b in chain(batches, [None]):  # several batches at once, up to TEXTS characters
+            if b is not None and b.num_rows:
+                held.append(b)
+                size += b.column(1).nbytes
+            if held and (b is None or size >= TEXTS):
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                names, some = whole.column(0), [t or "" for t in whole.column(1).to_pylist()]
+                held, size = [], 0
                 ids, n_words = coder.encode(some, names.to_pylist())
                 back = [coder.decode(x) for x in ids]
                 columns = (n_words, [len(x) // 4 for x in ids], map(zlib.crc32, ids), (zlib.crc32(t.encode()) for t in back), (x == t for x, t in zip(back, some)), ids)
                 yield pa.RecordBatch.from_arrays([names, *(pa.array(list(c), f.type) for c, f in zip(columns, schema))], names=["id", *schema.names])
-                a, size = i, 0
         coder._empty()
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(run, f"id {kind}, n_words bigint, n_tokens bigint, ids_crc32 bigint, decoded_crc32 bigint, lossless boolean" + (", ids binary" if with_ids else ""))

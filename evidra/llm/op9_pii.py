@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.llm.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_SPAN = 48
 SEED = 5
@@ -314,6 +316,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     are code points. Null and empty texts have none; a null text stays null when redacted. Rows that repeat
     an id, or have none, are returned each. Other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     weights = docs.sparkSession.sparkContext.broadcast(fit())
     nothing = ([], [])
     kept = [(f"keep{i}", c) for i, c in enumerate((id_col, *keep))]

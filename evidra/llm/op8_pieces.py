@@ -94,7 +94,7 @@ class _Rows:
 class Pieces:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, runs: int = RUNS, block: int = BLOCK):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -130,7 +130,7 @@ class Pieces:
         self.rank[by_score] = np.arange(n)
         self.piece_of = by_score.astype(np.int64)
         self.least = min(_64, int(dropout * (1 << 64)))
-        self.dropout, self.seed = dropout, seed
+        self.dropout, self.seed, self.runs, self.block = dropout, seed, runs, block
         self.pairs = dict(zip(self.keys.tolist(), self.made.tolist()))
         self._empty()
 
@@ -224,7 +224,7 @@ class Pieces:
         a = size = 0
         for i, w in enumerate(words, 1):
             size += len(w)
-            if size >= BLOCK or i == len(words):
+            if size >= self.block or i == len(words):
                 yield a, self._block(words[a:i], None if keys is None else keys[a:i], None if gone is None else gone[a:i])
                 a, size = i, 0
 
@@ -289,7 +289,7 @@ class Pieces:
             edge = now[owner] << 8 | skipped - (np.cumsum(n) - n)[owner]
             edges, of, times = np.unique(edge, return_inverse=True, return_counts=True)
             to = np.array([self.next.get(e, -1) for e in edges.tolist()], np.int64)
-            if len(self.word_of) < RUNS:
+            if len(self.word_of) < self.runs:
                 new = edges[(to < 0) & (times > 1)].tolist()
                 made = [(e, int(starts[e >> 8]) + (e & 255)) for e in new]
                 skips = [(*self.skips[e >> 8], (int(self.merges.data[0][m]), int(self.merges.data[1][m]))) for e, m in made]
@@ -329,9 +329,9 @@ class Pieces:
         cut = [self.words(t) for t in texts]
         counts = list(map(len, cut))
         flat = list(chain.from_iterable(cut))
-        if len(self.word_of) > RUNS:
+        if len(self.word_of) > self.runs:
             self._empty()
-        if len(self.seen) > 2 * RUNS:
+        if len(self.seen) > self.runs:
             self.seen.clear()
         times = Counter(flat)
         new = [w for w in times.keys() - self.known.keys() if len(w) <= LONG and (times[w] > 1 or w in self.seen)]
@@ -377,33 +377,34 @@ class Pieces:
 _open: dict[tuple, Pieces] = {}
 
 
-def pieces(path: str, dropout: float = DROPOUT, seed: int = SEED) -> Pieces:
-    key = (path, dropout, seed)
+def pieces(path: str, dropout: float = DROPOUT, seed: int = SEED, runs: int = RUNS, block: int = BLOCK) -> Pieces:
+    key = (path, dropout, seed, runs, block)
     if key not in _open:
         _open[key] = Pieces(*key)
     return _open[key]
 
 
-def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, with_ids: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, with_ids: bool = False, chars: int = TEXTS, runs: int = RUNS) -> DataFrame:
     """``doc_id, n_words, n_tokens, ids_crc32, decoded_crc32, lossless`` and, if asked for, ``ids`` (32-bit
     little-endian).
 
     ``n_words``: runs of other characters than blanks, and blanks that end a text. ``lossless``: decoding the ids gives
     the text again. A null text is empty and has no ids. Rows that repeat an id, or have none, are encoded each; if
     they repeat the text too, their ids are equal. Words of any length are encoded whole. Other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. ``chars`` of texts are encoded at once, and a task keeps ``runs`` runs: they
+    bear on memory and time only.
     """
     fields = [("n_words", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_crc32", pa.int64()), ("lossless", pa.bool_()), *([("ids", pa.binary())] if with_ids else [])]
     schema = pa.schema(fields)
 
     def run(batches):
-        coder = pieces(model, dropout, seed)
+        coder = pieces(model, dropout, seed, runs, min(BLOCK, chars // 3))
         held, size = [], 0
-        for b in chain(batches, [None]):  # several batches at once, up to TEXTS characters
+        for b in chain(batches, [None]):  # several batches at once, up to ``chars`` bytes
             if b is not None and b.num_rows:
                 held.append(b)
                 size += b.column(1).nbytes
-            if held and (b is None or size >= TEXTS):
+            if held and (b is None or size >= chars):
                 whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 names, some = whole.column(0), [t or "" for t in whole.column(1).to_pylist()]
                 held, size = [], 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidra.llm import op10_quality, op13_divergence, op1_embedding, op2_decontaminate, op3_shards, op4_tokens, op5_pst, op6_simhash, op7_chat, op8_pieces, op9_pii
+from evidra.llm import op10_quality, op11_toxicity, op12_repair, op13_divergence, op1_embedding, op2_decontaminate, op3_shards, op4_tokens, op5_pst, op6_simhash, op7_chat, op8_pieces, op9_pii
 
 QUERIES = {
     "op1_embedding_neardup": op1_embedding.op1_embedding_neardup,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_pieces": op8_pieces.op8_pieces,
     "op9_pii": op9_pii.op9_pii,
     "op10_quality": op10_quality.op10_quality,
+    "op11_toxicity": op11_toxicity.op11_toxicity,
+    "op12_repair": op12_repair.op12_repair,
     "op13_divergence": op13_divergence.op13_divergence,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": op2_decontaminate.SQL,
     "op7_chat_format": op7_chat.SQL,
+    "op12_repair": op12_repair.SQL,
     "op13_divergence": op13_divergence.SQL,
 }

@@ -24,3 +24,9 @@ def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in ``spark.checkpoint.dir``; where a local session names none, as in tests, in a temporary folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

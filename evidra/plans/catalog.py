@@ -686,3 +686,6 @@ def trace_interleave(spark, d):
 @query("SELECT event_id, (props::JSON->>'k')::INTEGER AS k FROM events")
 def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int").getField("k").alias("k"))
+
+
+from evidra.plans import catalog_index  # noqa: E402, F401  it registers its queries here

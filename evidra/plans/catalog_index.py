@@ -7,9 +7,15 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.operators import ivf
+from evidra.functions.vocabulary import STOP_WORDS
+from evidra.operators import ivf, postings
 from evidra.operators.lineage import cut, remove, shared_dir
-from evidra.plans.catalog import query, table
+from evidra.plans import engines as N
+from evidra.plans.catalog import _BL, _BODY, _BUCKETS, ORACLE_SQL, TEXT_QUESTION, _summarised, query, table
+from evidra.plans.evaluation import measures
+from evidra.plans.params import VectorParams
+from evidra.plans.questions import ask
+from evidra.plans.tables import bills, links, texts
 
 #: Of vectors whose id this divides, the nearest ones are asked for.
 EVERY = 20
@@ -42,3 +48,68 @@ SELECT query, id, rank, round(similarity, 4) AS similarity FROM r WHERE rank <=
 def ann_exact(spark, d):
     """The same ones by the exact search, which reads every cell whose bound is high enough."""
     return _nearest(spark, d, exact=True)
+
+
+@query(ORACLE_SQL["cosine_topk"])
+def stored_topk(spark, d):
+    """The rows of ``cosine_topk``, out of stored vectors."""
+    path = _folder(spark, "postings")
+    stored = postings.build(N.passages(texts(spark, d), "doc_id", "text", VectorParams(chunk_strategy="fixed")), path, "doc_id")
+    asked = spark.createDataFrame([(0, TEXT_QUESTION)], "question bigint, text string")
+    found = cut(stored.search(asked, 50))
+    remove(spark, path)
+    return found.select(F.col("key").alias("doc_id"), "chunk_index", "similarity", F.round(1 - F.col("similarity"), 4).alias("distance"))
+
+
+# --- many questions ---------------------------------------------------------------------------------
+
+_ASKED = f"""{_BL}, qs AS (SELECT doc_id AS question, title || ' ' || split_part(coalesce(text, ''), '.', 1) AS t, congress, outcome FROM documents JOIN bills ON ordinal = doc_id % (SELECT count(*) FROM part) WHERE doc_id % {EVERY} = 0),
+w AS (SELECT question, list_filter(list_distinct(regexp_extract_all(lower(t), '[a-z]{{3,}}')), lambda x: NOT list_contains({STOP_WORDS}, x)) AS words FROM qs),
+bw AS (SELECT bill_id, ordinal, list_distinct(list_concat(subjects, list_filter(regexp_extract_all(lower(title), '[a-z]{{3,}}'), lambda x: NOT list_contains({STOP_WORDS}, x)))) AS told FROM bills),
+sd AS (SELECT question, bill_id FROM (SELECT question, bill_id, row_number() OVER (PARTITION BY question ORDER BY len(list_intersect(told, words)) DESC, ordinal) AS n FROM w, bw WHERE len(list_intersect(told, words)) > 0) WHERE n <= 3),
+hubs AS (SELECT DISTINCT question, kind, entity FROM sd JOIN links USING (bill_id)),
+near AS (SELECT question, bill_id, count(*) FILTER (WHERE kind = 'legislator') AS n_leg, count(*) FILTER (WHERE kind = 'committee') AS n_com FROM hubs JOIN links USING (kind, entity) ANTI JOIN sd USING (question, bill_id) GROUP BY question, bill_id),
+sc AS (SELECT question, bill_id AS item, (2 * n_leg + n_com + 0.5 * len(list_intersect(subjects, words)))::DOUBLE AS score FROM near JOIN bills USING (bill_id) JOIN w USING (question)),
+b AS (SELECT bill_id, {_BODY} AS c FROM bills), qn AS ({_BUCKETS.format(k='question', t='t', f='qs')}), bn AS ({_BUCKETS.format(k='bill_id', t='c', f="(SELECT * FROM b WHERE c <> '')")}),
+qv AS (SELECT question, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY question)) AS w FROM qn), bv AS (SELECT bill_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY bill_id)) AS w FROM bn),
+dots AS (SELECT question, bill_id, sum(qv.w * bv.w) AS s FROM qv JOIN bv USING (bucket) GROUP BY question, bill_id),
+vs AS (SELECT question, bill_id AS item, round(coalesce(s, 0), 4) AS score FROM qs CROSS JOIN (SELECT bill_id FROM b WHERE c <> '') LEFT JOIN dots USING (question, bill_id)),
+found AS (SELECT * FROM (SELECT 'graph' AS engine, question, item, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, item)::INTEGER AS rank FROM sc
+UNION ALL SELECT 'vector', question, item, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, item)::INTEGER FROM vs) WHERE rank <= 6)"""
+
+
+def _asked(spark, d):
+    """A question for every twentieth document: a bill's title and the document's first sentence."""
+    b = bills(spark, d)
+    n = b.count()
+    docs = texts(spark, d).where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("question"), (F.col("doc_id") % n).alias("ordinal"), F.substring_index(F.coalesce("text", F.lit("")), ".", 1).alias("said"))
+    return docs.join(b.select("ordinal", "title", "congress", "outcome"), "ordinal").select("question", F.concat_ws(" ", "title", "said").alias("text"), "congress", "outcome")
+
+
+def _answered(spark, d):
+    path = _folder(spark, "postings")
+    b = _summarised(bills(spark, d))
+    told = b.select("bill_id", N.body(F.col("title"), F.col("summary")).alias("text"))
+    stored = postings.build(N.passages(told, "bill_id", "text"), path, "bill_id")
+    asked = cut(_asked(spark, d))
+    found = cut(ask(asked.select("question", "text"), cut(links(spark, d)), b, stored))
+    remove(spark, path)
+    return asked, found
+
+
+@query(_ASKED + " SELECT engine, question, item, round(score, 4) AS score, rank FROM found")
+def many_questions(spark, d):
+    """Both engines' results for all questions, in one plan."""
+    return _answered(spark, d)[1].withColumn("score", F.round("score", 4))
+
+
+@query(_ASKED + """, rel AS (SELECT question, bill_id AS item FROM qs JOIN bills USING (congress, outcome)), size AS (SELECT question, count(*) AS size FROM rel GROUP BY question),
+hit AS (SELECT found.*, CASE WHEN rel.item IS NULL THEN 0 ELSE 1 END AS hit FROM found LEFT JOIN rel ON found.question = rel.question AND found.item = rel.item)
+SELECT engine, question, round(coalesce(avg(hit), 0), 6) AS precision, round(coalesce(sum(hit), 0) / size, 6) AS recall, round(coalesce(1 / min(CASE WHEN hit = 1 THEN rank END), 0), 6) AS reciprocal_rank
+FROM (SELECT * FROM size, (VALUES ('graph'), ('vector')) AS e(engine)) LEFT JOIN hit USING (question, engine) GROUP BY engine, question, size""")
+def question_measures(spark, d):
+    """Measures of both engines for all questions; relevant are the bills of the asked bill's congress and outcome."""
+    asked, found = _answered(spark, d)
+    relevant = asked.join(bills(spark, d).select("bill_id", "congress", "outcome"), ["congress", "outcome"]).select(F.col("question").alias("query"), F.col("bill_id").alias("item"))
+    table, _, _ = measures(found.withColumnRenamed("question", "query").drop("score"), relevant)
+    return table.select("engine", F.col("query").alias("question"), *(F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")))

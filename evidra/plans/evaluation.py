@@ -1,34 +1,39 @@
-"""Both engines against a golden set: measures of each question and their averages."""
+"""Both engines against a golden set: measures of each question and their averages, all questions in one plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.operators.metrics import averages, overlap, retrieval_metrics
-from evidra.plans.engines import graph_retrieve, vector_retrieve
+from evidra.operators import postings
+from evidra.operators.lineage import cut, remove, shared_dir
+from evidra.operators.metrics import averages, dedupe, overlap, retrieval_metrics
 from evidra.plans.params import GraphParams, VectorParams
+from evidra.plans.questions import ask
 
 K = 6
 
 
-def evaluate(golden: DataFrame, links: DataFrame, bills: DataFrame, passages: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
+def measures(found: DataFrame, relevant: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of results ``engine, query, item, rank``: measures by engine and query, the overlap of the engines, and averages by engine. A
+    bill counts at its first place."""
+    one = {e: dedupe(found.where(F.col("engine") == e).drop("engine")) for e in ("graph", "vector")}
+    measured = {e: retrieval_metrics(x, relevant, k) for e, x in one.items()}
+    both = lambda t: t["graph"].withColumn("engine", F.lit("graph")).unionByName(t["vector"].withColumn("engine", F.lit("vector")))
+    return both(measured), overlap(one["graph"], one["vector"]), both({e: averages(m) for e, m in measured.items()})
+
+
+def evaluate(golden: DataFrame, links: DataFrame, bills: DataFrame, passages: DataFrame | postings.PostingFile, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of a golden set ``query, relevant``: measures ``engine, query, precision, recall, reciprocal_rank``, the overlap of the
-    engines ``query, jaccard``, and averages by engine. A golden set is a few questions; each is one search of both."""
-    parts = []
-    for (question,) in golden.select("query").collect():
-        g = graph_retrieve(links, bills, question, GraphParams(top_k=k)).related
-        g = g.select(F.lit("graph").alias("engine"), F.col("bill_id").alias("item"), F.row_number().over(Window.orderBy(F.desc("score"), "bill_id")).alias("rank"))
-        v = vector_retrieve(passages, "bill_id", "chunk", question, VectorParams(top_k=k), stored=passages)
-        v = v.select("bill_id", F.row_number().over(Window.orderBy(F.desc("similarity"), "bill_id", "chunk_index")).alias("rank"))
-        v = v.groupBy(F.col("bill_id").alias("item")).agg(F.min("rank").alias("rank")).select(F.lit("vector").alias("engine"), "item", F.row_number().over(Window.orderBy("rank")).alias("rank"))
-        parts.append(g.union(v).select("engine", F.lit(question).alias("query"), "item", "rank"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    relevant = golden.select("query", F.explode("relevant").alias("item"))
-    one = lambda e: found.where(F.col("engine") == e).drop("engine")
-    measured = {e: retrieval_metrics(one(e), relevant, k) for e in ("graph", "vector")}
-    table = measured["graph"].withColumn("engine", F.lit("graph")).unionByName(measured["vector"].withColumn("engine", F.lit("vector")))
-    means = averages(measured["graph"]).withColumn("engine", F.lit("graph")).unionByName(averages(measured["vector"]).withColumn("engine", F.lit("vector")))
-    return table, overlap(one("graph"), one("vector")), means
+    engines ``query, jaccard``, and averages by engine. Passages are stored ones, or are stored for this call."""
+    path = None
+    if isinstance(passages, DataFrame):
+        path = f"{shared_dir(golden.sparkSession)}/postings-{uuid.uuid4().hex}"
+        passages = postings.build(passages, path, "bill_id")
+    asked = golden.select(F.col("query").alias("question"), F.col("query").alias("text"))
+    found = cut(ask(asked, links, bills, passages, GraphParams(top_k=k), VectorParams(top_k=k)).withColumnRenamed("question", "query").drop("score"))
+    if path:
+        remove(golden.sparkSession, path)
+    return measures(found, golden.select("query", F.explode("relevant").alias("item")), k)

@@ -6,10 +6,10 @@ The log has ``conv_id, turn, seq, kind, role, text``; the fold of a turn:
 * ``message`` and ``regenerate`` set the text anew (a regeneration drops what was streamed before it),
 * ``delta`` appends to it,
 * ``edit`` replaces it, and deltas after it append to the edited text,
-* ``delete`` removes the turn, until a later event sets it again.
+* ``delete`` removes the turn, until a later event sets it again; deltas that come after it are lost with it.
 
-So a turn's text is that of its last setting event and of the deltas after it; its role is the last one
-named. Turns fold one by one, before conversations are put together, so that a long stream is never
+A log may deliver an event twice: events of a turn that are equal in seq, kind, role and text are one. So a turn's text is that of its last
+setting event and of the deltas after it, and there is none if that event is a deletion; its role is the last one named. Turns fold one by one, before conversations are put together, so that a long stream is never
 gathered with the rest of its conversation.
 
 A turn is rendered as ``### role: text</turn>`` and a line end. Inside texts and roles the control
@@ -45,7 +45,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     """Final messages ``conv_id, turn, role, text`` of an event log.
 
     Unknown kinds count as ``message``; a null kind too. A null text is empty, a null role empty unless
-    another event of the turn names one. Ties of seq follow (kind, role, text).
+    another event of the turn names one. Ties of seq follow (kind, role, text), a null seq comes first; events that are equal in all of
+    these count once. Very long texts are folded whole. Other columns are ignored; an empty table gives none.
     """
     rank = F.struct("seq", "kind", "role", "text")
     sets = F.when(~F.col("kind").isin("delta"), rank)
@@ -53,12 +54,14 @@ def fold_events(events: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id", "turn").orderBy(F.col("seq").desc(), F.col("kind").desc(), F.col("role").desc(), F.col("text").desc())
     # events after the last setting one, and that one: none that sets stands above them
     e = e.withColumn("above", F.coalesce(F.sum(F.when(sets.isNotNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    once = F.lag(F.struct("seq", "kind", "role", "text")).over(w).eqNullSafe(F.struct("seq", "kind", "role", "text"))
+    e = e.withColumn("again", once)
     e = e.withColumn("named", F.max_by("role", F.when(F.col("role").isNotNull(), rank)).over(Window.partitionBy("conv_id", "turn")))
-    e = e.where("above = 0")
+    e = e.where("above = 0 and not again")
     parts = F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text")))
     out = e.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("kind") == "delete", 1).otherwise(0)).alias("gone"), F.first("named").alias("role"), parts.alias("parts"))
-    text = F.array_join(F.transform(F.filter("parts", lambda p: p["kind"] != "delete"), lambda p: p["text"]), "")
-    return out.where((F.col("gone") == 0) | (F.size("parts") > 1)).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
+    return out.where("gone = 0").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -82,3 +82,32 @@ def test_pipeline_stages_decide_row_by_row(spark):
     assert left.columns == docs.columns and clear(left) == sorted([(0, leak), (0, clean), (1, leak), (2, clean), (3, near), (3, "something else entirely, of its own"), (5, "")])
     left = run["personal data"](spark, docs, "/root/testdata/sf0.001")
     assert left.columns == docs.columns and clear(left) == clear(docs)
+
+
+def plain_fold(events):
+    """The final turns of a log, one event after the other."""
+    order = lambda e: tuple((x is not None, x if x is not None else 0) for x in (e[2],)) + tuple((x is not None, (x or "").encode()) for x in (e[3] or "message", e[4], e[5] or ""))
+    turns = {}
+    for e in sorted({(c, t, s, k or "message", r, x or "") for c, t, s, k, r, x in events}, key=order):
+        conv, turn, _, kind, role, text = e
+        there, named, said = turns.get((conv, turn), (None, None, ""))
+        if kind == "delta":
+            there, said = there if there is not None else True, said + text
+        else:
+            there, said = kind != "delete", text
+        turns[conv, turn] = (there, role if role is not None else named, said)
+    return {k: (role or "", said) for k, (there, role, said) in turns.items() if there}
+
+
+def test_fold_of_random_logs(spark):
+    """Shuffled order, repeated events, deletions followed by deltas."""
+    import random
+
+    rng = random.Random(11)
+    kinds = ["message", "delta", "delta", "delta", "edit", "regenerate", "delete", None]
+    e = [(rng.randrange(40), rng.randrange(3), rng.choice([None, *range(6)]), rng.choice(kinds), rng.choice([None, "user", "assistant"]), rng.choice([None, "a", "b", " late"])) for _ in range(900)]
+    e += rng.sample(e, 300)
+    rng.shuffle(e)
+    log = spark.createDataFrame(e, "conv_id bigint, turn int, seq int, kind string, role string, text string").repartition(5)
+    got = {(r["conv_id"], r["turn"]): (r["role"], r["text"]) for r in fold_events(log).collect()}
+    assert got == plain_fold(e) and any(k not in got for k in {(x[0], x[1]) for x in e})

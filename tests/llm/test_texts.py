@@ -575,3 +575,30 @@ def test_quality_awkward(spark):
     assert quality(docs, none_yet).where("kept").count() == n
     some = spark.createDataFrame([(0, 1, 0), (1, 0, None), (5, 1, 0), (5, 0, 0), (None, 1, 1), (7, None, None)], "doc_id bigint, quality int, toxic int")
     assert quality(docs, some).count() == n and quality(none(spark), some).count() == 0
+
+
+def test_equal_rows_are_cut_apart(spark):
+    """Rows that nothing tells apart, with a null id and one text, spread over all shards; slots stay gapless and windows small."""
+    from evidra.llm import op3_shards
+
+    for copies, more in ((4000, 0), (3000, 1000)):
+        rows = [(None, "the same text", "en")] * copies + [(i, f"text {i} " * (i % 9), "de") for i in range(more)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("n_chars", F.length("text"))
+        got = op3_shards.kd_shards(df.withColumns({c: F.lit("x") for c in ("place", "node", "part", "c")})).collect()
+        assert len(got) == len(rows)
+        held = {k: [r for r in got if r["shard"] == k] for k in range(16)}
+        sizes = [sum(r["size"] for r in rs) for rs in held.values()]
+        assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in got)
+        assert all(sorted(r["slot"] for r in rs) == list(range(len(rs))) for rs in held.values())
+        if not more:
+            assert {len(rs) for rs in held.values()} == {copies // 16}
+
+
+def test_slots_of_equal_rows_are_numbered_in_parts(spark, monkeypatch):
+    from evidra.llm import op3_shards
+
+    monkeypatch.setattr(op3_shards, "BUCKET_ROWS", 10)
+    df = spark.createDataFrame([(1, "same")] * 700 + [(i, "other") for i in range(300)], "doc_id bigint, text string")
+    got = op3_shards.kd_shards(df).collect()
+    for k in range(16):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))

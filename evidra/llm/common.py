@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,23 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def lean(run):
+    """A task's function whose worker gives its memory back when the task ends: workers are kept for later tasks, and what they have
+    once held would stay with them, beside the memory of the workers of the next stage."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the usual C library on Linux
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of any store that Spark knows."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

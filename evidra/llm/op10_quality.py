@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import cut, small_batches
+from evidra.llm.common import cut, lean, small_batches
 
 #: Labelled rows that the classifier is fitted on, about; chosen by a hash of the id.
 SAMPLE = 12_000
@@ -140,7 +140,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
                 }
             )
 
-    out = texts.join(rows, "id").mapInPandas(features, "hashes binary, shape binary, " + ", ".join(f"{h} double" for h in heads))
+    out = texts.join(rows, "id").mapInPandas(lean(features), "hashes binary, shape binary, " + ", ".join(f"{h} double" for h in heads))
     return [(np.frombuffer(r["hashes"], np.int64), np.frombuffer(r["shape"]), {h: r[h] for h in heads}) for r in out.collect()]
 
 
@@ -175,7 +175,7 @@ def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host: Col
     site = [host.cast("string").alias("host"), path.cast("string").alias("path")]
     rows = docs.select(F.col(id_col).alias("id"), *site, *(F.col(c).alias(k) for k, c in kept), F.col(text_col).alias("text"))
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"z_{h} double" for h in heads]
-    return rows.mapInArrow(run, ", ".join(schema))
+    return rows.mapInArrow(lean(run), ", ".join(schema))
 
 
 def _strength(groups: DataFrame, head: str, mean: float) -> float:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import Labels, cut, groups, partitions
+from evidra.llm.common import Labels, cut, groups, lean, partitions
 from evidra.llm.components import connected_components
 
 SEED = 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, fp bigint")
 
 
 # --- the forest ---------------------------------------------------------------------------------
@@ -173,7 +173,7 @@ def near_edges(classes: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sampl
             a, b = _leaf_edges(g["fp"].to_numpy(np.int64), g["rep"].to_numpy(np.int64), g["own"].to_numpy(bool), radius)
             yield pd.DataFrame({"a": a, "b": b})
 
-    rows = classes.select("fp", "rep").mapInPandas(routed, "tree int, leaf int, fp bigint, rep bigint, own boolean")
+    rows = classes.select("fp", "rep").mapInPandas(lean(routed), "tree int, leaf int, fp bigint, rep bigint, own boolean")
     # a row for each large leaf: no more than the trees have leaves, and they were grown on the sample
     owned = F.sum(F.col("own").cast("int"))
     large = rows.groupBy("tree", "leaf").agg(F.ceil(owned / block).cast("int").alias("blocks")).where("blocks > 1")
@@ -181,7 +181,7 @@ def near_edges(classes: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sampl
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("mine")).otherwise(F.col("blocks") - 1))))
     rows = rows.select("tree", "leaf", "block", "fp", "rep", (F.col("own") & (F.col("block") == F.col("mine"))).alias("own"))
     n = max(partitions(spark), total // (8 * leaf))
-    return rows.repartition(n, "tree", "leaf", "block").sortWithinPartitions("tree", "leaf", "block").mapInPandas(linked, "a bigint, b bigint")
+    return rows.repartition(n, "tree", "leaf", "block").sortWithinPartitions("tree", "leaf", "block").mapInPandas(lean(linked), "a bigint, b bigint")
 
 
 def simhash_neardup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import small_batches
+from evidra.llm.common import lean, small_batches
 
 DROPOUT = 0.1
 SEED = 17
@@ -417,7 +417,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"id {kind}, n_words bigint, n_tokens bigint, ids_crc32 bigint, decoded_crc32 bigint, lossless boolean" + (", ids binary" if with_ids else ""))
+    out = rows.mapInArrow(lean(run), f"id {kind}, n_words bigint, n_tokens bigint, ids_crc32 bigint, decoded_crc32 bigint, lossless boolean" + (", ids binary" if with_ids else ""))
     return out.withColumnRenamed("id", id_col)
 
 

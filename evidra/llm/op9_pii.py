@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import small_batches
+from evidra.llm.common import lean, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_SPAN = 48
@@ -343,7 +343,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     rows = docs.select(*(F.col(c).alias(k) for k, c in kept), F.col(text_col).alias("text"))
     schema = [f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in kept] + [f"{n} {'string' if n in ('base_sha256', 'spans', 'redacted') else 'bigint'}" for n in names[len(kept) :]]
-    out = rows.mapInArrow(run, ", ".join(schema))
+    out = rows.mapInArrow(lean(run), ", ".join(schema))
     return out.withColumnsRenamed(dict(kept))
 
 

@@ -17,9 +17,13 @@ _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 STRATEGIES = ("recursive", "fixed", "sentence", "sliding", "semantic", "whole")
 
 
+#: The characters of Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without white space at both ends (trim takes blanks only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends (trim alone takes blanks only)."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def matches(c: Column, pattern: str) -> Column:

@@ -16,22 +16,36 @@ from evidra.operators.lineage import cut
 HUB_CAP = 40
 
 
-def decompose(bills: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes ``label, key, name`` and edges ``rel_type, src_label, src_key, dst_label, dst_key`` of nested bills.
+#: Properties of nodes beside their name: a legislator's party and state, a committee's chamber, a bill's congress, type, number and outcome.
+PROPERTIES = ("party", "state", "chamber", "congress", "bill_type", "bill_number", "outcome")
 
-    People and committees without a key are left out; edges are distinct.
-    """
 
-    def exploded(rel: str, label: str, items, key: str, name: str) -> DataFrame:
-        rows = bills.select("bill_id", F.explode(items).alias("x")).where(F.coalesce(F.col(f"x.{key}"), F.lit("")) != "")
-        return rows.select(F.lit(rel).alias("rel_type"), F.lit(label).alias("src_label"), F.col(f"x.{key}").alias("src_key"), F.col(f"x.{name}").alias("name"), "bill_id")
+def decompose(bills: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``label, key, name`` and ``PROPERTIES``, and edges ``rel_type, src_label, src_key, dst_label, dst_key``, of nested bills.
 
-    found = exploded("SPONSORED", "Legislator", F.array_compact(F.array("sponsor")), "bioguide_id", "full_name")
-    found = found.union(exploded("COSPONSORED", "Legislator", F.col("cosponsors"), "bioguide_id", "full_name"))
-    found = found.union(exploded("REVIEWED", "Committee", F.col("committees"), "name", "name"))
-    edges = found.select("rel_type", "src_label", "src_key", F.lit("Bill").alias("dst_label"), F.col("bill_id").alias("dst_key")).distinct()
-    nodes = found.groupBy(F.col("src_label").alias("label"), F.col("src_key").alias("key")).agg(F.max("name").alias("name"))
-    return nodes.union(bills.select(F.lit("Bill"), "bill_id", "title").distinct()), edges
+    There is one node for each label and key. People and committees without a key are left out, and each property of theirs has the last
+    value that isn't null, in the order of bills (``ordinal``, or else as they are read) and of their parts in a bill; of bills that share an id
+    the last one counts. Edges are distinct. Properties that ``bills`` doesn't have are null.
+    """
+    if "ordinal" not in bills.columns:
+        bills = bills.withColumn("ordinal", F.monotonically_increasing_id())
+
+    def exploded(rel: str, label: str, items, key: str, name: str, place: int) -> DataFrame:
+        rows = bills.select("bill_id", "ordinal", F.posexplode(items).alias("at", "x")).where(F.coalesce(F.col(f"x.{key}"), F.lit("")) != "")
+        has = rows.schema["x"].dataType.names
+        given = [(F.col(f"x.{p}") if p in has else F.lit(None)).cast("string").alias(p) for p in PROPERTIES]
+        order = F.struct(F.col("ordinal"), F.lit(place).alias("place"), F.col("at"))
+        return rows.select(F.lit(rel).alias("rel_type"), F.lit(label).alias("label"), F.col(f"x.{key}").alias("key"), F.col(f"x.{name}").cast("string").alias("name"), *given, order.alias("order"), "bill_id")
+
+    found = exploded("SPONSORED", "Legislator", F.array_compact(F.array("sponsor")), "bioguide_id", "full_name", 0)
+    found = found.union(exploded("COSPONSORED", "Legislator", F.col("cosponsors"), "bioguide_id", "full_name", 1))
+    found = found.union(exploded("REVIEWED", "Committee", F.array_compact("committees"), "name", "name", 2))
+    edges = found.select("rel_type", F.col("label").alias("src_label"), F.col("key").alias("src_key"), F.lit("Bill").alias("dst_label"), F.col("bill_id").alias("dst_key")).distinct()
+    columns = ("name", *PROPERTIES)
+    nodes = found.groupBy("label", "key").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("order"))).alias(c) for c in columns))
+    given = [(F.col(p) if p in bills.columns else F.lit(None)).cast("string").alias(p) for p in PROPERTIES]
+    own = F.max_by(F.struct(F.col("title").alias("name"), *given), "ordinal").alias("x")
+    return nodes.union(bills.groupBy(F.lit("Bill").alias("label"), F.col("bill_id").alias("key")).agg(own).select("label", "key", *(f"x.{c}" for c in columns))), edges
 
 
 def links_of(edges: DataFrame) -> DataFrame:

@@ -17,13 +17,20 @@ def latest_known(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in cols))
 
 
-def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
+def latest(rows: DataFrame, keys: list[str], order: str, strict: bool = False) -> DataFrame:
+    """The last row of each key. With ``strict`` a key of two rows is an error that names it, raised in the same pass."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+    out = rows.withColumn("_place", place)
+    if strict:
+        named = F.concat_ws(", ", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys))
+        out = out.withColumn("_place", F.when(F.col("_place") > 1, F.raise_error(F.concat(F.lit("more than one row of "), named)).cast("int")).otherwise(F.col("_place")))
+    return out.where("_place = 1").drop("_place")
 
 
 def upsert_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A graph with another batch put in: of a node the last known name counts, an edge counts once."""
+    """A graph with another batch put in: a bill is replaced, with all its properties; of other nodes the last known value of each
+    counts; an edge counts once, and stays."""
     both = nodes.withColumn("_batch", F.lit(0)).unionByName(new_nodes.withColumn("_batch", F.lit(1)))
-    return latest_known(both, ["label", "key"], "_batch"), edges.unionByName(new_edges).distinct()
+    is_bill = F.col("label") == "Bill"
+    bills = latest(both.where(is_bill), ["label", "key"], "_batch").drop("_batch")
+    return bills.unionByName(latest_known(both.where(~is_bill), ["label", "key"], "_batch")), edges.unionByName(new_edges).distinct()

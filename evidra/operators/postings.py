@@ -1,10 +1,10 @@
 """Stored term vectors of passages as an inverted file, and exact top-k search over it with bounds of blocks.
 
-A posting is (bucket, block, passage, weight). Passages of similar greatest weight share blocks of about ``BLOCK`` passages; ``maxima`` has the
-greatest weight of each bucket in each block. A question's bound for a block is the sum of its own weights times these, and no passage of the
-block is more similar. So a search scores the few most promising blocks of each question first, and then only those blocks whose bound reaches
-the k-th similarity so far; all others are never joined. Files are laid out by slices of buckets and sorted by bucket and block: a search reads its
-own buckets only.
+Passages of similar greatest weight share blocks of about ``BLOCK``. A posting list is (bucket, block): the places of the block's passages that
+have the bucket, how often, and the greatest weight among them. A question's bound for a block is the sum of its own weights times these, and no
+passage of the block is more similar. So a search scores the few most promising blocks of each question first, and then only those blocks
+whose bound reaches the k-th similarity so far; the lists of all others are never opened. Lists are laid out in folders by slices of buckets, in order
+of bucket and block: a search reads its own buckets only, and bounds come from a column of their own.
 
 Questions come as a table, so one plan answers one or many.
 """
@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 from evidra.functions.vectors import DIM
 from evidra.operators.lineage import cut
 
-#: Passages of a block, about; folders that buckets are dealt into; bands of greatest weights; blocks that a search scores first.
+#: Passages of a block, about; folders that buckets are dealt into, and the one that names the passages of blocks; bands of greatest weights; blocks that a search scores first.
 BLOCK = 1024
 SLICES = 32
+MEMBERS = -1
 BANDS = 32
 FIRST = 4
 #: Similarities count to so many places; passages that share nothing with a question have 0.
@@ -37,85 +39,140 @@ _STEP = 1000
 _TOKEN = re.compile("[a-z0-9]+")
 
 
-def vectors(df: DataFrame, keys: list[str], text: str, dim: int = DIM) -> DataFrame:
-    """``keys, buckets, weights``: damped counts by md5 bucket, of unit length; empty arrays for a text without tokens. The same vectors
-    as ``embed`` makes, one row for each text and nothing shuffled."""
+def counted(df: DataFrame, keys: list[str], text: str, dim: int = DIM) -> DataFrame:
+    """``keys, buckets, counts, norm``: a text's tokens by md5 bucket and the length of its damped counts; empty arrays for a text without
+    tokens. One row for each text, nothing is shuffled."""
 
     def run(batches):
         known: dict[str, int] = {}
+        damped = [0.0, *((1 + math.log(c)) ** 2 for c in range(1, 1000))]
         for b in (whole.slice(a, _STEP) for whole in batches for a in range(0, whole.num_rows, _STEP)):
-            buckets, weights = [], []
+            buckets, counts, norms = [], [], []
             for t in b.column(len(keys)).to_pylist():
                 tokens = _TOKEN.findall((t or "").lower())
                 for x in set(tokens).difference(known):
                     known[x] = int.from_bytes(hashlib.md5(x.encode()).digest(), "big") % dim
                 n = Counter(map(known.__getitem__, tokens))
-                w = [1 + math.log(c) for c in n.values()]
-                norm = math.sqrt(math.fsum(x * x for x in w))
+                c = list(n.values())
                 buckets.append(list(n))
-                weights.append([x / norm for x in w])
+                counts.append(c)
+                norms.append(math.sqrt(sum(damped[x] if x < 1000 else (1 + math.log(x)) ** 2 for x in c)))
             if len(known) > TOKENS:
                 known.clear()
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(buckets, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=[*keys, "buckets", "weights"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(norms)], names=[*keys, "buckets", "counts", "norm"])
 
     rows = df.select(*keys, F.col(text).cast("string").alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kept}, buckets array<int>, weights array<double>")
+    return rows.mapInArrow(run, f"{kept}, buckets array<int>, counts array<int>, norm double")
+
+
+def vectors(df: DataFrame, keys: list[str], text: str, dim: int = DIM) -> DataFrame:
+    """``keys, buckets, weights``: damped counts of unit length, the same vectors as ``embed`` makes."""
+    w = F.transform("counts", lambda c: (1 + F.log(c)) / F.col("norm"))
+    return counted(df, keys, text, dim).select(*keys, "buckets", w.alias("weights"))
 
 
 def _terms(v: DataFrame, keys: list[str], weight: str) -> DataFrame:
     return v.select(*keys, F.explode(F.arrays_zip("buckets", "weights")).alias("t")).select(*keys, F.col("t.buckets").alias("bucket"), F.col("t.weights").alias(weight))
 
 
+def _lists(batches):
+    """Of rows in order of their block: a row for each of its buckets, and one that names its passages."""
+    names = ["slice", "bucket", "block", "at", "n", "most", "keys", "chunks", "norms"]
+    held, block = [], None
+
+    def closed():
+        rows = pa.Table.from_batches(held)
+        buckets, counts = (rows.column(c).combine_chunks() for c in ("buckets", "counts"))
+        sizes = np.asarray(buckets.value_lengths())
+        at, norms = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), rows.column("norm").to_numpy()
+        bucket, n = buckets.flatten().to_numpy(), counts.flatten().to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        bucket, n, at = bucket[order], n[order], at[order]
+        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        most = np.maximum.reduceat((1 + np.log(n)) / norms[at], edges)
+        own, k = bucket[edges], len(edges)
+        offsets = pa.array(np.append(edges, len(bucket)), pa.int32())
+        key, whole = rows.column("key").combine_chunks(), pa.array([0, len(sizes)], pa.int32())
+        none = lambda t: pa.nulls(k, pa.list_(t))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own % SLICES, pa.int32()), pa.array(own, pa.int32()), pa.array([block] * k, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32())), pa.array(most), none(key.type), none(pa.int32()), none(pa.float64())],
+            names=names,
+        )
+        one = lambda v, t: pa.array([v], t)
+        passages = [pa.ListArray.from_arrays(whole, x) for x in (key, rows.column("chunk_index").combine_chunks().cast(pa.int32()), pa.array(norms))]
+        yield pa.RecordBatch.from_arrays([one(MEMBERS, pa.int32()), one(MEMBERS, pa.int32()), one(block, pa.int32()), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())), one(0.0, pa.float64()), *passages], names=names)
+
+    for b in batches:
+        blocks = b.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            if lo == hi:
+                continue
+            if held and block != int(blocks[lo]):
+                yield from closed()
+                held = []
+            block = int(blocks[lo])
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield from closed()
+
+
 def build(passages: DataFrame, path: str, key: str, text: str = "chunk", dim: int = DIM, block: int = BLOCK) -> PostingFile:
-    """Store the vectors of passages (``key, chunk_index`` name one each) under ``path``: tables ``passages``, ``postings`` and ``maxima``.
+    """Store the vectors of passages (``key, chunk_index`` name one each) under ``path``: tables ``vectors`` and ``lists``.
 
-    A passage without tokens has no postings and is similar to nothing. No passages give an empty file.
+    A passage without tokens is in no list and similar to nothing. No passages give an empty file.
     """
     spark = passages.sparkSession
-    passages.write.mode("overwrite").parquet(f"{path}/passages")
-    v = cut(vectors(spark.read.parquet(f"{path}/passages").withColumnRenamed(key, "key"), ["key", "chunk_index"], text, dim))
-    v = v.where(F.size("buckets") > 0).withColumn("peak", F.array_max("weights"))
-    bands = max(1, min(BANDS, v.count() // block))
-    cuts = v.approxQuantile("peak", [i / bands for i in range(1, bands)], 0.005) if bands > 1 else []  # a number for each band
-    deep = max(1, -(-v.count() // (block * bands)))
-    band = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("peak")))
-    rows = v.withColumn("block", band * deep + F.pmod(F.xxhash64("key", "chunk_index"), F.lit(deep)).cast("int"))
-    rows = _terms(rows, ["block", "key", "chunk_index"], "w").withColumn("slice", F.col("bucket") % SLICES)
-    laid = rows.repartitionByRange("slice", "bucket", "block").sortWithinPartitions("slice", "bucket", "block")
-    laid.write.mode("overwrite").partitionBy("slice").parquet(f"{path}/postings")
-    found = PostingFile(spark, path, key, dim)
-    found.postings().groupBy("bucket", "block").agg(F.max("w").alias("most")).write.mode("overwrite").parquet(f"{path}/maxima")
-    return found
+    counted(passages.withColumnRenamed(key, "key"), ["key", "chunk_index"], text, dim).write.mode("overwrite").parquet(f"{path}/vectors")
+    v = spark.read.parquet(f"{path}/vectors").where(F.size("buckets") > 0)
+    peak = (1 + F.log(F.array_max("counts"))) / F.col("norm")
+    n = v.count()
+    bands = max(1, min(BANDS, n // block))
+    cuts = v.select(peak.alias("peak")).approxQuantile("peak", [i / bands for i in range(1, bands)], 0.005) if bands > 1 else []  # a number for each band
+    deep = max(1, -(-n // (block * bands)))
+    band = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= peak))
+    rows = v.select((band * deep + F.pmod(F.xxhash64("key", "chunk_index"), F.lit(deep))).cast("int").alias("block"), "key", "chunk_index", "buckets", "counts", "norm")
+    kind = v.schema["key"].dataType.simpleString()
+    lists = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_lists, f"slice int, bucket int, block int, at array<int>, n array<int>, most double, keys array<{kind}>, chunks array<int>, norms array<double>")
+    lists.sortWithinPartitions("slice", "bucket", "block").write.mode("overwrite").partitionBy("slice").parquet(f"{path}/lists")
+    return PostingFile(spark, path, kind, dim)
 
 
 @dataclass
 class PostingFile:
-    """Postings of ``dim`` buckets stored at ``path``; ``key`` names the passages' first column of theirs."""
+    """Posting lists of ``dim`` buckets stored at ``path``; ``kind`` is the type of the passages' keys."""
 
     spark: SparkSession
     path: str
-    key: str
+    kind: str
     dim: int = DIM
 
-    def passages(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/passages")
+    def vectors(self) -> DataFrame:
+        return self.spark.read.schema(f"key {self.kind}, chunk_index int, buckets array<int>, counts array<int>, norm double").parquet(f"{self.path}/vectors")
+
+    def lists(self) -> DataFrame:
+        return self.spark.read.schema(f"bucket int, block int, at array<int>, n array<int>, most double, keys array<{self.kind}>, chunks array<int>, norms array<double>, slice int").parquet(f"{self.path}/lists")
 
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+    def asked(self, terms: DataFrame) -> DataFrame:
+        """The lists of the buckets that are asked for."""
+        buckets = sorted(r["bucket"] for r in terms.select("bucket").distinct().collect())  # no more than ``dim``
+        return self.lists().where(F.col("slice").isin(sorted({b % SLICES for b in buckets})) & F.col("bucket").isin(buckets))
 
     def bounds(self, terms: DataFrame) -> DataFrame:
         """``question, block, bound``: no passage of the block is more similar to the question."""
-        maxima = self.spark.read.parquet(f"{self.path}/maxima")
-        return terms.join(maxima, "bucket").groupBy("question", "block").agg(F.sum(F.col("q") * F.col("most")).alias("bound"))
+        most = self.asked(terms).select("bucket", "block", "most")
+        return terms.join(most, "bucket").groupBy("question", "block").agg(F.sum(F.col("q") * F.col("most")).alias("bound"))
 
     def scores(self, blocks: DataFrame, terms: DataFrame) -> DataFrame:
         """``question, key, chunk_index, similarity`` of the passages that share a bucket with the question, in these blocks."""
-        asked = [r["bucket"] for r in terms.select("bucket").distinct().collect()]  # no more than ``dim``
-        read = self.postings().where(F.col("slice").isin(sorted({b % SLICES for b in asked})) & F.col("bucket").isin(sorted(asked))).drop("slice")
         wanted = blocks.select("question", "block").join(terms, "question")
-        hits = read.join(wanted, ["bucket", "block"])
-        return hits.groupBy("question", "key", "chunk_index").agg(F.round(F.sum(F.col("q") * F.col("w")), PLACES).alias("similarity"))
+        hits = self.asked(terms).select("bucket", "block", "at", "n").join(wanted, ["bucket", "block"])
+        hits = hits.select("question", "block", "q", F.explode(F.arrays_zip("at", "n")).alias("x"))
+        dots = hits.groupBy("question", "block", F.col("x.at").alias("at")).agg(F.sum(F.col("q") * (1 + F.log("x.n"))).alias("dot"))
+        named = self.lists().where(F.col("slice") == MEMBERS).join(blocks.select("block").distinct(), "block", "left_semi")
+        named = named.select("block", F.posexplode(F.arrays_zip("keys", "chunks", "norms")).alias("at", "p")).select("block", "at", F.col("p.keys").alias("key"), F.col("p.chunks").alias("chunk_index"), "p.norms")
+        return dots.join(named, ["block", "at"]).select("question", "key", "chunk_index", F.round(F.col("dot") / F.col("norms"), PLACES).alias("similarity"))
 
     def search(self, questions: DataFrame, k: int = 6, first: int = FIRST) -> DataFrame:
         """``questions``: question, text. ``question, key, chunk_index, similarity, rank``: the k most similar passages of each, by similarity to
@@ -133,10 +190,11 @@ class PostingFile:
         rest = rest.where(F.round(F.col("bound") + 1e-9, PLACES) >= F.coalesce("least", F.lit(0.0)))
         found = cut(best(found.unionByName(self.scores(rest, terms))))
         short = q.select("question").join(found.where("similarity > 0").groupBy("question").agg(F.count("*").alias("n")), "question", "left").where(F.coalesce("n", F.lit(0)) < k).select("question")
-        key = next(f for f in found.schema if f.name == "key").dataType.simpleString()
-        lead = [(r[0], r[1]) for r in self.passages().select(self.key, "chunk_index").orderBy(self.key, "chunk_index").limit(2 * k).collect()] if short.limit(1).collect() else []
-        if lead:
-            rows = F.array(*(F.struct(F.lit(a).cast(key).alias("key"), F.lit(b).alias("chunk_index")) for a, b in lead))
-            zeros = short.select("question", F.explode(rows).alias("p")).select("question", "p.key", "p.chunk_index").join(found, ["question", "key", "chunk_index"], "left_anti")
+        if not short.isEmpty():
+            lead = self.vectors().select("key", "chunk_index").orderBy("key", "chunk_index").limit(2 * k).collect()
+            place = lambda r: F.struct(F.lit(r["key"]).cast(self.kind).alias("key"), F.lit(r["chunk_index"]).alias("chunk_index"))
+            lead = F.array(*map(place, lead)).cast(f"array<struct<key:{self.kind},chunk_index:int>>")
+            zeros = short.select("question", F.explode(lead).alias("p")).select("question", "p.key", "p.chunk_index")
+            zeros = zeros.join(found, ["question", "key", "chunk_index"], "left_anti")
             found = best(found.drop("rank").unionByName(zeros.withColumn("similarity", F.lit(0.0))))
         return found.select("question", "key", "chunk_index", "similarity", "rank")

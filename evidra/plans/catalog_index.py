@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions.vocabulary import STOP_WORDS
+from evidra.operators import graph as G
 from evidra.operators import ivf, postings
+from evidra.operators import merge as M
 from evidra.operators.lineage import cut, remove, shared_dir
 from evidra.plans import engines as N
+from evidra.plans import index as I
 from evidra.plans.catalog import _BL, _BODY, _BUCKETS, ORACLE_SQL, TEXT_QUESTION, _summarised, query, table
 from evidra.plans.evaluation import measures
 from evidra.plans.params import VectorParams
 from evidra.plans.questions import ask
-from evidra.plans.tables import bills, links, texts
+from evidra.plans.tables import BILLS_SQL, bills, links, texts
 
 #: Of vectors whose id this divides, the nearest ones are asked for.
 EVERY = 20
@@ -113,3 +116,61 @@ def question_measures(spark, d):
     relevant = asked.join(bills(spark, d).select("bill_id", "congress", "outcome"), ["congress", "outcome"]).select(F.col("question").alias("query"), F.col("bill_id").alias("item"))
     table, _, _ = measures(found.withColumnRenamed("question", "query").drop("score"), relevant)
     return table.select("engine", F.col("query").alias("question"), *(F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")))
+
+
+# --- merges -----------------------------------------------------------------------------------------
+
+
+def _batch(spark, d, k: int):
+    """Two batches of nested bills that overlap: the second has other titles, none for some, and knows other things of people."""
+    b = _summarised(bills(spark, d)).where("ordinal % 3 <> 0" if k == 0 else "ordinal % 4 = 0")
+    if k:
+        b = b.withColumn("title", F.when(F.col("ordinal") % 8 != 0, F.upper("title")))
+    line = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("B"), F.col("l_partkey").cast("string")).alias("bill_id"))
+    line = line.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    order, text = F.col("l_orderkey"), lambda x: F.lit(x).cast("string")
+    person = F.struct(
+        F.concat(F.lit("O"), order.cast("string")).alias("bioguide_id"),
+        F.when(order % (2 + k) == 0, F.concat(F.lit(("Rep. ", "Sen. ")[k]), order.cast("string"))).alias("full_name"),
+        F.when(order % 5 == k, "D").alias("party"),
+        text("OH").alias("state"),
+    )
+    panel = F.struct(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("name"), F.when(F.col("o_custkey") % 2 == k, ("House", "Senate")[k]).alias("chamber"))
+    nested = line.groupBy("bill_id").agg(F.collect_set(person).alias("cosponsors"), F.collect_set(panel).alias("committees"))
+    none = F.lit(None).cast("struct<bioguide_id:string,full_name:string,party:string,state:string>")
+    return b.join(nested, "bill_id", "left").withColumn("sponsor", none)
+
+
+_BATCHES = f"""WITH {BILLS_SQL}, s AS (SELECT *, CASE WHEN ordinal % 5 = 1 THEN '' WHEN ordinal % 5 > 1 THEN 'About ' || lower(title) END AS summary FROM bills),
+b0 AS (SELECT bill_id, title, summary, outcome, ordinal FROM s WHERE ordinal % 3 <> 0), b1 AS (SELECT bill_id, CASE WHEN ordinal % 8 <> 0 THEN upper(title) END AS title, summary, outcome, ordinal FROM s WHERE ordinal % 4 = 0),
+b AS (SELECT * FROM b1 UNION ALL SELECT * FROM b0 WHERE bill_id NOT IN (SELECT bill_id FROM b1)),
+l AS (SELECT l_orderkey AS o, o_custkey AS c, 'B' || l_partkey AS bill_id, l_partkey % 3 <> 0 AS first, l_partkey % 4 = 0 AS second FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_partkey % 3 <> 0 OR l_partkey % 4 = 0),
+people AS (SELECT 'O' || o AS key, coalesce(CASE WHEN bool_or(second) AND o % 3 = 0 THEN 'Sen. ' || o END, CASE WHEN bool_or(first) AND o % 2 = 0 THEN 'Rep. ' || o END) AS name,
+  CASE WHEN (bool_or(second) AND o % 5 = 1) OR (bool_or(first) AND o % 5 = 0) THEN 'D' END AS property, count(DISTINCT bill_id) AS n FROM l GROUP BY o),
+panels AS (SELECT 'C' || c AS key, 'C' || c AS name, CASE WHEN bool_or(second) AND c % 2 = 1 THEN 'Senate' WHEN bool_or(first) AND c % 2 = 0 THEN 'House' END AS property, count(DISTINCT bill_id) AS n FROM l GROUP BY c)"""
+
+
+@query(_BATCHES + """ SELECT 'Bill' AS label, bill_id AS key, title AS name, outcome AS property FROM b UNION ALL SELECT 'Legislator', key, name, property FROM people UNION ALL SELECT 'Committee', key, name, property FROM panels""")
+def graph_upsert(spark, d):
+    """A graph and another batch: bills replaced, what is known of others kept."""
+    nodes, _ = M.upsert_graph(*G.decompose(_batch(spark, d, 0)), *G.decompose(_batch(spark, d, 1)))
+    property_ = F.when(F.col("label") == "Bill", F.col("outcome")).when(F.col("label") == "Legislator", F.col("party")).otherwise(F.col("chamber"))
+    return nodes.select("label", "key", "name", property_.alias("property"))
+
+
+@query(_BATCHES + f""" SELECT 'bill' AS label, bill_id AS key, title AS name, outcome AS property, 1 AS n FROM b UNION ALL SELECT 'person', key, name, property, n FROM people UNION ALL SELECT 'committee', key, name, property, n FROM panels
+UNION ALL SELECT 'passage', bill_id || '#0', concat_ws('. ', nullif(title, ''), nullif(summary, '')), NULL, 0 FROM b WHERE concat_ws('. ', nullif(title, ''), nullif(summary, '')) <> ''""")
+def index_upsert(spark, d):
+    """A stored index after two batches, the second of them delivered twice."""
+    path = _folder(spark, "index")
+    store = I.store_of(spark, path)
+    for k in (0, 1, 1):
+        I.upsert_index(store, _batch(spark, d, k), k)
+    n = store.table("edges").groupBy(F.col("src_key").alias("key")).agg(F.count_distinct("dst_key").alias("n"))
+    node = lambda name, label, prop: store.table(name).join(n, "key").select(F.lit(label).alias("label"), "key", "name", F.col(prop).alias("property"), "n")
+    rows = store.table("bills").select(F.lit("bill").alias("label"), F.col("bill_id").alias("key"), F.col("title").alias("name"), F.col("outcome").alias("property"), F.lit(1).cast("bigint").alias("n"))
+    rows = rows.unionByName(node("people", "person", "party")).unionByName(node("committees", "committee", "chamber"))
+    told = store.table("passages").select(F.lit("passage").alias("label"), F.concat_ws("#", "bill_id", "chunk_index").alias("key"), F.col("chunk").alias("name"), F.lit(None).cast("string").alias("property"), F.lit(0).cast("bigint").alias("n"))
+    found = cut(rows.unionByName(told))
+    remove(spark, path)
+    return found

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions.records import subjects
+from evidra.operators import postings
 from evidra.operators.graph import decompose, links_of
+from evidra.operators.lineage import cut
 from evidra.plans.engines import body, passages
 from evidra.plans.params import VectorParams
+from evidra.sources.snapshots import Rule, Store
 
 TABLES = ("bills", "nodes", "links", "passages")
 
@@ -69,3 +72,36 @@ def build_index(bills: DataFrame, path: str, p: VectorParams = VectorParams(), r
     texts = rich.select("bill_id", "title", "outcome", body(F.col("title"), F.col("summary")).alias("text"))
     passages(texts, "bill_id", "text", p).write.mode("overwrite").parquet(f"{path}/passages")
     return index.count("bills")
+
+
+#: Tables of an index that batches of bills are merged into, and how. Passages and their vectors follow their bill.
+RULES = {
+    "bills": Rule("replace", ("bill_id",), order="ordinal"),
+    "people": Rule("known", ("key",)),
+    "committees": Rule("known", ("key",)),
+    "edges": Rule("set", ("rel_type", "src_key", "dst_key"), by=("dst_key",)),
+    "passages": Rule("group", ("chunk_index",), by=("bill_id",)),
+}
+
+
+def store_of(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, RULES)
+
+
+def upsert_index(store: Store, bills: DataFrame, number: int | None = None, source: str = "bills", p: VectorParams = VectorParams()) -> bool:
+    """Merge a batch of nested bills into a stored index: bills are replaced, with their passages and the passages' vectors; people and
+    committees keep what is known of them; edges are a set and stay. False for a batch that was merged before.
+
+    All tables change in one version; only the parts that hold the batch's keys are written anew.
+    """
+    rich = cut(enrich(bills))
+    nodes, edges = decompose(rich)
+    kind = lambda label: nodes.where(F.col("label") == label).drop("label")
+    texts = rich.select("bill_id", body(F.col("title"), F.col("summary")).alias("text"))
+    found = cut(passages(texts, "bill_id", "text", p).select("bill_id", "chunk_index", "chunk"))
+    vectors = postings.vectors(found, ["bill_id", "chunk_index"], "chunk", p.embedder_dim)
+    rows = found.join(vectors, ["bill_id", "chunk_index"])
+    # a bill that has no passages any more is named, so that the stored ones go
+    rows = rich.select("bill_id").distinct().join(rows, "bill_id", "left")
+    flat = rich.select("bill_id", "ordinal", "title", "summary", "outcome", "subjects", *(c for c in ("congress", "bill_type", "bill_number") if c in rich.columns))
+    return store.merge({"bills": flat, "people": kind("Legislator"), "committees": kind("Committee"), "edges": edges, "passages": rows}, source, number)

@@ -62,7 +62,7 @@ def build(vectors: DataFrame, path: str, id_col: str, vector_col: str, cells: in
     centres = np.zeros((0, dim))
     if n:
         some = v.where(F.size("vector") == dim).where(F.pmod(F.xxhash64("id", "vector"), F.lit(max(1, -(-n // sample)))) == 0).select(array_to_vector("vector").alias("features"))
-        fit = KMeans(k=min(MOST_CELLS, cells or max(2, round(n**0.5))), seed=7, maxIter=10).fit(some if some.count() else v.where(F.size("vector") == dim).limit(1).select(array_to_vector("vector").alias("features")))
+        fit = KMeans(k=max(2, min(MOST_CELLS, cells or round(n**0.5))), seed=7, maxIter=10).fit(some if some.count() else v.where(F.size("vector") == dim).limit(1).select(array_to_vector("vector").alias("features")))
         centres = np.array(fit.clusterCenters())
         length = np.linalg.norm(centres, axis=1, keepdims=True)
         centres = np.where(length > 0, centres / np.where(length > 0, length, 1), 0.0)

@@ -130,9 +130,13 @@ def build(passages: DataFrame, path: str, key: str, text: str = "chunk", dim: in
     n = v.count()
     bands = max(1, min(BANDS, n // block))
     cuts = v.select(peak.alias("peak")).approxQuantile("peak", [i / bands for i in range(1, bands)], 0.005) if bands > 1 else []  # a number for each band
-    deep = max(1, -(-n // (block * bands)))
     band = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= peak))
-    rows = v.select((band * deep + F.pmod(F.xxhash64("key", "chunk_index"), F.lit(deep))).cast("int").alias("block"), "key", "chunk_index", "buckets", "counts", "norm")
+    v = v.withColumn("band", band)
+    sizes = {r["band"]: r["count"] for r in v.groupBy("band").count().collect()}  # a row for each band
+    deep = [max(1, -(-sizes.get(i, 0) // block)) for i in range(bands)]
+    start = [sum(deep[:i]) for i in range(bands)]
+    of = lambda x: F.get(F.lit(x).cast("array<int>"), F.col("band"))
+    rows = v.select((of(start) + F.pmod(F.xxhash64("key", "chunk_index"), of(deep))).cast("int").alias("block"), "key", "chunk_index", "buckets", "counts", "norm")
     kind = v.schema["key"].dataType.simpleString()
     lists = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_lists, f"slice int, bucket int, block int, at array<int>, n array<int>, most double, keys array<{kind}>, chunks array<int>, norms array<double>")
     lists.sortWithinPartitions("slice", "bucket", "block").write.mode("overwrite").partitionBy("slice").parquet(f"{path}/lists")

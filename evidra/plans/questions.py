@@ -22,13 +22,27 @@ def with_words(questions: DataFrame) -> DataFrame:
     return questions.select("question", keywords(F.col("text")).alias("words"))
 
 
+def _profile():
+    """What a bill is found by: its subjects and the keywords of its title."""
+    return F.array_distinct(F.array_union(F.transform("subjects", F.lower), keywords(F.col("title"))))
+
+
+def lead_of(bills: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``question, words`` of the leading questions, and ``question, lead`` of all: questions with the same words that any bill has are
+    answered alike by the graph, so one of them is asked for all."""
+    known = bills.select(F.explode(_profile()).alias("word")).distinct()
+    asked = with_words(questions).select("question", F.explode("words").alias("word")).join(known, "word", "left_semi")
+    asked = cut(asked.groupBy("question").agg(F.array_sort(F.collect_set("word")).alias("words")))
+    leads = asked.groupBy("words").agg(F.min("question").alias("lead"))
+    return leads.select(F.col("lead").alias("question"), "words"), asked.join(leads, "words").select("question", "lead")
+
+
 def seeds_of(bills: DataFrame, words: DataFrame, limit: int = 3) -> DataFrame:
     """``question, bill_id, ordinal, overlap``: as ``seed_match`` finds them, for each question.
 
     Bills with the same words tie, and the first ``limit`` of them by ordinal are all that can be chosen, so words are joined with these only.
     """
-    of = F.array_sort(F.array_distinct(F.array_union(F.transform("subjects", F.lower), keywords(F.col("title")))))
-    b = bills.select(of.alias("profile"), "bill_id", "ordinal").where(F.size("profile") > 0)
+    b = bills.select(F.array_sort(_profile()).alias("profile"), "bill_id", "ordinal").where(F.size("profile") > 0)
     first = b.withColumn("n", F.row_number().over(Window.partitionBy("profile").orderBy("ordinal"))).where(F.col("n") <= limit).drop("n")
     first = cut(first)
     told = first.select("profile").distinct().withColumn("word", F.explode("profile"))
@@ -69,9 +83,11 @@ def ask(questions: DataFrame, links: DataFrame, bills: DataFrame, stored: Postin
 
     Blank questions, and those without keywords, have no related bills; each has its passages. No questions give no rows.
     """
-    words = cut(with_words(questions))
+    words, leads = lead_of(bills, questions)
+    words = cut(words)
     seeds = cut(seeds_of(bills, words, max(3, graph.top_k // 2)))
-    related = related_of(links, bills, words, seeds, graph).select(F.lit("graph").alias("engine"), "question", "item", "score", "rank")
+    related = related_of(links, bills, words, seeds, graph).withColumnRenamed("question", "lead")
+    related = leads.join(related, "lead").select(F.lit("graph").alias("engine"), "question", "item", "score", "rank")
     found = stored.search(questions, vector.top_k).where(F.col("similarity") >= vector.similarity_threshold)
     found = found.select(F.lit("vector").alias("engine"), "question", F.col("key").alias("item"), F.col("similarity").alias("score"), "rank")
     return related.unionByName(found)

@@ -12,8 +12,9 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.operators.lineage import cut, remove
@@ -25,6 +26,13 @@ PARTS = 32
 KEPT = 2
 
 
+def _without(old: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows whose keys, nulls included, are not among those of a batch."""
+    gone = rows.select(*(F.col(k).alias(f"_gone{i}") for i, k in enumerate(keys))).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_gone{i}")) for i, k in enumerate(keys)]
+    return old.join(gone, reduce(Column.__and__, same), "left_anti")
+
+
 @dataclass(frozen=True)
 class Rule:
     """How rows of a batch meet stored ones. ``keys`` name a row; ``by`` the columns that parts follow (``keys`` if not given).
@@ -63,9 +71,9 @@ class Rule:
             by = list(self.by or self.keys)
             rows = latest(new, [*by, *(k for k in keys if k not in by)], "_order").drop("_order")
             rows = rows.where(" and ".join(f"`{k}` is not null" for k in keys))
-            return rows if old is None else old.join(new.select(*by).distinct(), by, "left_anti").unionByName(rows)
+            return rows if old is None else _without(old, new, by).unionByName(rows)
         rows = latest(new, keys, "_order", self.strict).drop("_order")
-        return rows if old is None else old.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
+        return rows if old is None else _without(old, rows, keys).unionByName(rows)
 
 
 @dataclass

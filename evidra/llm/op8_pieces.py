@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -384,6 +385,16 @@ def pieces(path: str, dropout: float = DROPOUT, seed: int = SEED, runs: int = RU
     return _open[key]
 
 
+def _sliced(batches, size: int):
+    """Batches in parts of about ``size`` bytes of text; a longer text is a part of its own."""
+    for b in batches:
+        ends, a = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)), 0
+        while a < b.num_rows:
+            k = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+            yield b.slice(a, k - a)
+            a = k
+
+
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, with_ids: bool = False, chars: int = TEXTS, runs: int = RUNS) -> DataFrame:
     """``doc_id, n_words, n_tokens, ids_crc32, decoded_crc32, lossless`` and, if asked for, ``ids`` (32-bit
     little-endian).
@@ -400,10 +411,10 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def run(batches):
         coder = pieces(model, dropout, seed, runs, min(BLOCK, chars // 3))
         held, size = [], 0
-        for b in chain(batches, [None]):  # several batches at once, up to ``chars`` bytes
+        for b in chain(_sliced(batches, chars), [None]):  # a part of a batch, or several, about ``chars`` bytes at once
             if b is not None and b.num_rows:
                 held.append(b)
-                size += b.column(1).nbytes
+                size += pc.sum(pc.binary_length(b.column(1))).as_py() or 0  # a part's own bytes
             if held and (b is None or size >= chars):
                 whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 names, some = whole.column(0), [t or "" for t in whole.column(1).to_pylist()]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidra.operators.merge import append_merge, latest
+from evidra.sources.snapshots import PARTS, Rule, Store
 
 STEPS = 11
 #: The query log, one JSON object a line.
@@ -56,20 +56,18 @@ def append_log(rows: DataFrame, path: str) -> bool:
     return True
 
 
-def merge_stream(source: DataFrame, target: str, keys: list[str], order: str, checkpoint: str):
-    """Append-merge each micro-batch into the table at ``target``; of rows of a batch that share a key the last by ``order``
-    counts. Versions are folders, the last one counts, the one before it stays for readers.
+def merge_stream(source: DataFrame, target: str, keys: list[str], order: str, checkpoint: str, name: str = "rows", parts: int = PARTS):
+    """Append-merge each micro-batch into a table of the store at ``target``; of rows of a batch that share a key the last by
+    ``order`` counts, and ``order`` is stored beside them.
 
-    A batch that is run again after a failure writes its own version anew.
+    Each batch is one version of the store, under its number: a batch that runs again after a failure finds its number in the manifest and
+    does nothing, or, if the failure was before that, merges as if for the first time. Only the parts that hold keys of the batch are
+    written, so a batch costs what it touches. The last two versions stay for readers.
     """
-    spark = source.sparkSession
+    store = Store(source.sparkSession, target, {name: Rule("replace", tuple(keys), order="_latest", parts=parts)})
 
     def put(batch: DataFrame, number: int) -> None:
-        new = latest(batch, keys, order)
-        if number:
-            new = append_merge(spark.read.parquet(f"{target}/version={number - 1}"), new, keys)
-        new.write.mode("overwrite").parquet(f"{target}/version={number}")
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/version={number - 2}")
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        if store.merge({name: batch.withColumn("_latest", F.col(order))}, checkpoint, number):
+            store.vacuum()
 
     return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,9 @@ from evidra.operators.graph import decompose
 from evidra.operators.merge import append_merge, upsert_graph
 from evidra.sources.records import keyed, list_packages, parse_xml, read_corpus, read_golden, write_corpus
 from evidra.sources.seed import golden, seed_bills
+from evidra.sources.snapshots import Store
 from evidra.streaming import trace as T
+from evidra.streaming.state import PROVIDER, steps_of
 
 
 def test_corpus_round_trip_and_fallback(spark, tmp_path):
@@ -81,8 +83,64 @@ def test_merge_stream(spark, tmp_path):
     for k, rows in enumerate(([(1, "a", 1), (2, "b", 1), (1, "c", 2), (1, "b", 0)], [(2, "d", 3), (3, "e", 1)], [(3, "f", 2)])):
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("id", "v", "at"), r))) for r in rows))
         T.merge_stream(source, f"{tmp_path}/t", ["id"], "at", f"{tmp_path}/c").awaitTermination(120)
-    last = max(tmp_path.glob("t/version=*"))
-    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(str(last)).collect()) == [(1, "c"), (2, "d"), (3, "f")] and len(list(tmp_path.glob("t/version=*"))) == 2
+    store = Store(spark, f"{tmp_path}/t", {})
+    assert sorted((r["id"], r["v"]) for r in store.table("rows").collect()) == [(1, "c"), (2, "d"), (3, "f")] and store.versions() == [1, 2]
+
+
+def test_merge_stream_of_a_batch_that_runs_again(spark, tmp_path):
+    """A batch that was merged, but whose end the stream has not noted, runs again and changes nothing; what is written follows the batch."""
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema("id int, v string, at int").json(f"{tmp_path}/in")
+    rows = [(i, "a" * 50, 0) for i in range(20_000)]
+    for k, batch in enumerate((rows, [(3, "b", 1), (20_001, "c", 1)])):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("id", "v", "at"), r))) for r in batch))
+        T.merge_stream(source, f"{tmp_path}/t", ["id"], "at", f"{tmp_path}/c").awaitTermination(120)
+    store = Store(spark, f"{tmp_path}/t", {})
+    files = {p: p.stat().st_size for p in (tmp_path / "t" / "data").rglob("*.parquet")}
+    size = lambda version: sum(n for p, n in files.items() if f"/{version}-" in str(p))
+    assert 0 < size(1) < size(0) / 8
+    was, seen = store.manifest(), rows_of(store.table("rows"))
+    last = max((tmp_path / "c" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for p in (last, last.with_name(f".{last.name}.crc")):  # as if the driver had died before it noted the batch
+        p.unlink(missing_ok=True)
+    T.merge_stream(source, f"{tmp_path}/t", ["id"], "at", f"{tmp_path}/c").awaitTermination(120)
+    assert store.manifest() == was and rows_of(store.table("rows")) == seen and len(seen) == 20_001
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.select("id", "v", "at").collect()))
+
+
+def test_state_that_ends(spark, tmp_path):
+    """Late events, a restart and the end of idle keys; until then the state is the one of a table."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    try:
+        (tmp_path / "in").mkdir()
+        schema = "engine string, step string, n int, phase string, rows string, at timestamp"
+        batches = [
+            [("g", "a", 2, "done", None, "10:00"), ("g", "b", 3, "start", "1", "10:01")],
+            [("g", "a", 1, "start", "5", "09:58"), ("g", "b", 4, "done", None, "10:02")],  # the first of them is late
+            [("h", "a", 9, "start", None, "12:30")],
+            [("g", "a", 0, "gone", "7", "09:00"), ("h", "a", 10, "done", "2", "12:31")],  # too late
+            [("h", "b", 1, "start", None, "12:32")],
+        ]
+        got = []
+        for k, rows in enumerate(batches):
+            lines = [json.dumps(dict(zip(("engine", "step", "n", "phase", "rows"), r)) | {"at": f"2025-01-01T{r[5]}:00Z"}) for r in rows]
+            (tmp_path / "in" / f"{k}.json").write_text("\n".join(lines))
+            stream = steps_of(spark.readStream.schema(schema).json(f"{tmp_path}/in"), ["engine", "step"], "n", ["phase", "rows"], "at")
+            out = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: got.append([tuple(r) for r in df.collect()]))
+            out.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(180)  # a restart each time
+        sent = [r for b in got for r in b]
+        states = {r[:2]: r[2:4] for r in sent}
+        before = spark.read.schema(schema).json([f"{tmp_path}/in/{k}.json" for k in (0, 1)])
+        table = T.merge_state(before, ["engine", "step"], "n", ["phase", "rows"]).collect()
+        first_two = {r[:2]: r[2:4] for r in sent if r[0] == "g" and not r[4]}
+        assert first_two == {(r["engine"], r["step"]): (r["phase"], r["rows"]) for r in table} == {("g", "a"): ("done", "5"), ("g", "b"): ("done", "1")}
+        assert sorted(r[:4] for r in sent if r[4]) == [("g", "a", "done", "5"), ("g", "b", "done", "1")]
+        assert states["h", "a"] == ("done", "2") and not any("gone" in r for r in sent)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
 def test_state_of_a_stream(spark, tmp_path):

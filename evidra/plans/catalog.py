@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evidra.functions import records as R
 from evidra.functions import text as X
 from evidra.functions import vectors as V
+from evidra.functions.table_functions import register as register_chunks
 from evidra.functions.vocabulary import BILL_TYPES, OUTCOMES, POLICY_AREAS, STOP_WORDS
 from evidra.operators import graph as G
 from evidra.operators import merge as M
@@ -384,6 +385,11 @@ CASE WHEN ordinal % 2 = 0 THEN 'Sx|Rep. x|D|OH,Sy|Rep. y|D|OH' ELSE '' END AS co
 CASE WHEN ordinal % 3 = 0 THEN 'became_law' WHEN congress::INTEGER < 119 THEN 'died_in_committee' ELSE 'pending_in_committee' END AS outcome FROM bills WHERE ordinal % 10 <> 9""")
 def xml_parse(spark, d):
     """Bills written as XML in the later or the earlier layout, every tenth one broken, and parsed again."""
+    return _told(S.parse_xml(_documents(spark, d), "xml", AS_OF))
+
+
+def _documents(spark, d):
+    """``source, xml``: every bill as a document."""
     b, even = bills(spark, d), F.col("ordinal") % 2 == 0
     tag = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *inner, F.lit(f"</{name}>"))
     item = lambda *inner: tag("item", *inner)
@@ -404,7 +410,11 @@ def xml_parse(spark, d):
         tag("congress", F.col("congress")), tag("title", F.col("title")), tag("introducedDate", F.lit("2023-03-15")), tag("sponsors", person(k)), tag("actions", acts), tag("latestAction", tag("actionDate", F.lit("2024-01-10")), tag("text", law))
     )
     xml = F.concat(F.lit("<billStatus><bill>"), common, F.when(even, later).otherwise(earlier), F.when(F.col("ordinal") % 10 == 9, "<").otherwise("</bill></billStatus>"))
-    p = S.parse_xml(b.select(F.col("bill_id").alias("source"), xml.alias("xml")), "xml", AS_OF)
+    return b.select(F.col("bill_id").alias("source"), xml.alias("xml"))
+
+
+def _told(p):
+    """Parsed bills, flat."""
     told = lambda x, *names: F.concat_ws("|", *(F.coalesce(x[n], F.lit("")) for n in names))
     each = lambda c, *names: F.array_join(F.transform(c, lambda x: told(x, *names)), ",")
     who = ("bioguide_id", "full_name", "party", "state")
@@ -480,11 +490,33 @@ def chunk_recursive(spark, d):
     return _chunks(spark, d, "recursive")
 
 
-@query()
+_SEMANTIC = f"""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, {_strip('text')} AS c FROM documents WHERE text IS NOT NULL),
+s AS MATERIALIZED (SELECT doc_id, c, list_filter(string_split(regexp_replace(c, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\\S')) AS s FROM t WHERE c <> ''),
+u AS MATERIALIZED (SELECT doc_id, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM s WHERE len(s) > 1),
+n AS (SELECT doc_id, i, bucket, 1 + ln(count(*)) AS w FROM (SELECT doc_id, i, (('0x' || md5(unnest(regexp_extract_all(lower(x), '[a-z0-9]+'))))::UHUGEINT % 256)::INTEGER AS bucket FROM u) GROUP BY ALL),
+m AS (SELECT doc_id, i, map_from_entries(list((bucket, w))) AS m, sqrt(sum(w * w)) AS norm FROM n GROUP BY doc_id, i),
+v AS MATERIALIZED (SELECT doc_id, i, x, list_transform(range(256), lambda b: coalesce(m[b::INTEGER] / norm, 0::DOUBLE)) AS v FROM u LEFT JOIN m USING (doc_id, i)),
+r AS (SELECT doc_id, i, x AS held, v AS centre, NULL::VARCHAR AS made FROM v WHERE i = 1
+UNION ALL SELECT doc_id, i, CASE WHEN ok THEN held || ' ' || x ELSE x END, CASE WHEN ok THEN list_transform(range(1, 257), lambda k: (centre[k] + v[k]) / 2) ELSE v END, CASE WHEN NOT ok THEN held END
+  FROM (SELECT v.doc_id, v.i, v.x, v.v, r.held, r.centre, len(r.held) + len(v.x) + 1 <= 220 AND coalesce(nullif(list_cosine_similarity(r.centre, v.v), 'NaN'::DOUBLE), 0) >= 0.12 AS ok FROM r JOIN v ON v.doc_id = r.doc_id AND v.i = r.i + 1)),
+p AS (SELECT doc_id, i, made AS piece FROM r WHERE made IS NOT NULL UNION ALL SELECT r.doc_id, i + 1, held FROM r JOIN s ON r.doc_id = s.doc_id WHERE i = len(s.s) UNION ALL SELECT doc_id, 1, c FROM s WHERE len(s) <= 1),
+o AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM p)
+SELECT doc_id, doc_id || '#' || k AS chunk_id, k::INTEGER AS chunk_index, piece AS chunk FROM o"""
+
+
+@query(_SEMANTIC)
 def chunk_semantic(spark, d):
     return _chunks(spark, d, "semantic")
 
 
+@query(_SEMANTIC)
+def chunk_table(spark, d):
+    """The semantic chunker as a table function in SQL."""
+    register_chunks(spark)
+    texts(spark, d).createOrReplaceTempView("chunk_table_texts")
+    return spark.sql("SELECT d.doc_id, concat(d.doc_id, '#', c.chunk_index) AS chunk_id, c.chunk_index, c.chunk FROM chunk_table_texts d, LATERAL chunks(d.text, 'semantic') c")
+
+
 _BUCKETS = "SELECT {k}, (('0x' || md5(token))::UHUGEINT % 512)::INTEGER AS bucket, 1 + ln(count(*)) AS w FROM (SELECT {k}, unnest(regexp_extract_all(lower({t}), '[a-z0-9]+')) AS token FROM {f}) GROUP BY ALL"
 
 

@@ -14,11 +14,13 @@ from evidra.operators import merge as M
 from evidra.operators.lineage import cut, remove, shared_dir
 from evidra.plans import engines as N
 from evidra.plans import index as I
-from evidra.plans.catalog import _BL, _BODY, _BUCKETS, ORACLE_SQL, TEXT_QUESTION, _summarised, query, table
+from evidra.plans.catalog import _BL, _BODY, _BUCKETS, AS_OF, ORACLE_SQL, TEXT_QUESTION, _documents, _summarised, _told, query, table
 from evidra.plans.evaluation import measures
 from evidra.plans.params import VectorParams
 from evidra.plans.questions import ask
 from evidra.plans.tables import BILLS_SQL, bills, links, texts
+from evidra.sources.listing import read_listing, write_listing
+from evidra.sources.xml_files import scan_xml
 
 #: Of vectors whose id this divides, the nearest ones are asked for.
 EVERY = 20
@@ -174,3 +176,31 @@ def index_upsert(spark, d):
     found = cut(rows.unionByName(told))
     remove(spark, path)
     return found
+
+
+# --- files ------------------------------------------------------------------------------------------
+
+
+@query(ORACLE_SQL["xml_parse"])
+def xml_scan(spark, d):
+    """The documents of ``xml_parse`` in files of many, scanned by row tag; files of broken ones beside them."""
+    path = _folder(spark, "xml")
+    docs = _documents(spark, d)
+    fine = F.col("xml").endswith("</billStatus>")
+    docs.where(fine).select("xml").write.text(f"{path}/bills")
+    docs.where(~fine).select("xml").write.text(f"{path}/broken")
+    found = cut(scan_xml(spark, f"{path}/*", AS_OF).withColumn("source", F.concat(F.lit("B"), "bill_number")))
+    remove(spark, path)
+    return _told(found)
+
+
+@query(ORACLE_SQL["package_listing"])
+def listing_pages(spark, d):
+    """The listing of ``package_listing`` as pages, of which only those are read that can hold what is asked for."""
+    path = _folder(spark, "listing")
+    o = table(spark, d, "orders")
+    name = F.concat(F.lit("PKG-"), (113 + F.col("o_orderkey") % 6).cast("string"), F.lit("-"), F.col("o_orderkey").cast("string"))
+    write_listing(o.select(name.alias("package_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("last_modified")), path)
+    found = cut(read_listing(spark, path, "PKG-115", "1997-01-01").select("package_id", "last_modified"))
+    remove(spark, path)
+    return found.orderBy("package_id").limit(500)

@@ -52,15 +52,29 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GOLDEN).option("multiLine", True).json(path)
 
 
+def _root(xml: str) -> Column:
+    return F.from_xml(F.col(xml), f"bill {XML}, _broken string", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"})
+
+
+def parsed(document: Column | str) -> Column:
+    """Whether a document (its text's name, or what it parsed to) is well-formed and has a bill."""
+    x = _root(document) if isinstance(document, str) else document
+    return x.isNotNull() & x["_broken"].isNull() & x["bill"].isNotNull()
+
+
 def parse_xml(df: DataFrame, xml: str, as_of: str, max_summary: int = 0) -> DataFrame:
     """Bill records of XML documents; those that don't parse, or have no bill, are dropped.
 
     Of two places for a field the later layout's goes first. ``as_of`` (a date) decides whether a congress
     has ended; ``max_summary`` cuts summaries, 0 leaves them.
     """
-    root = F.from_xml(F.col(xml), f"bill {XML}, _broken string", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"})
     # columns beside the document stay
-    b = df.withColumn("_x", root).where("_x is not null and _x._broken is null and _x.bill is not null").withColumn("_b", F.col("_x.bill"))
+    b = df.withColumn("_x", _root(xml)).where(parsed(F.col("_x"))).withColumn("_b", F.col("_x.bill"))
+    return bills_of(b, df.columns, as_of, max_summary)
+
+
+def bills_of(b: DataFrame, kept: list[str], as_of: str, max_summary: int = 0) -> DataFrame:
+    """Bill records of parsed documents ``_b``, beside the columns ``kept``."""
 
     def text(*paths: str) -> Column:
         return F.coalesce(*(strip(F.nullif(F.col(f"_b.{p}"), F.lit(""))) for p in paths))
@@ -84,7 +98,7 @@ def parse_xml(df: DataFrame, xml: str, as_of: str, max_summary: int = 0) -> Data
     acts = F.coalesce(F.col("_b.actions.item"), empty("array<struct<actionDate:string,text:string,type:string>>"))
     said = F.array_join(F.transform(acts, lambda x: F.coalesce(x["text"], F.lit(""))), " ")
     return b.select(
-        *df.columns,
+        *kept,
         text("congress").alias("congress"),
         text("type", "billType").alias("bill_type"),
         text("number", "billNumber").alias("bill_number"),

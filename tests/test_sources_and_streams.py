@@ -1,16 +1,22 @@
 """Scans, sinks, the query log and the streams."""
 
+import itertools
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from evidra.functions.table_functions import register
+from evidra.functions.text import STRATEGIES, chunks
 from evidra.operators.graph import decompose
 from evidra.operators.merge import append_merge, upsert_graph
+from evidra.sources.listing import Listing, read_listing, write_listing
 from evidra.sources.records import keyed, list_packages, parse_xml, read_corpus, read_golden, write_corpus
 from evidra.sources.seed import golden, seed_bills
 from evidra.sources.snapshots import Store
 from evidra.streaming import trace as T
+from evidra.sources.xml_files import broken_xml, documents, scan_xml
 from evidra.streaming.state import PROVIDER, steps_of
 
 
@@ -160,3 +166,83 @@ def test_interleaved_lanes_and_the_end(spark):
     steps = spark.createDataFrame([(1, "graph", 0), (1, "graph", 1), (1, "vector", 0)], "run int, lane string, k int")
     got = [(r["at"], r["lane"]) for r in T.interleave(steps, "run", "lane", "k", closing="end").orderBy("at").collect()]
     assert got == [(1, "graph"), (2, "vector"), (3, "graph"), (4, "end")]
+
+
+def bill_xml(n, more=""):
+    return f"<billStatus>\n<bill><congress>118</congress>\n<type>HR</type><number>{n}</number><title>T{n}{more}</title>\n</bill></billStatus>"
+
+
+def test_xml_files(spark, tmp_path):
+    """Many documents in a file and a file for one, on one line or many; broken ones are told with their file, and lose no others."""
+    (tmp_path / "many.xml").write_text("<?xml version='1.0'?>\n<bills>\n" + "\n".join(bill_xml(i) for i in range(300)) + "\n</bills>\n")
+    (tmp_path / "one.xml").write_text(bill_xml(1000).replace("\n", ""))
+    cut_off, malformed, other = "<billStatus><bill><number>7</number><", "<billStatus><bill><number>8</bill></billStatus>", "<billStatus><law/></billStatus>"
+    (tmp_path / "broken.xml").write_text("\n".join([bill_xml(2000), cut_off, bill_xml(2001), malformed, bill_xml(2002), other, bill_xml(2003), cut_off]))
+    (tmp_path / "empty.xml").write_text("")
+    (tmp_path / "none.xml").write_text("<bills/>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert documents(spark, str(tmp_path)).rdd.getNumPartitions() > 5  # the large file is split
+        got = scan_xml(spark, str(tmp_path), "2025-06-30").collect()
+        assert sorted(int(r["bill_number"]) for r in got) == [*range(300), 1000, 2000, 2001, 2002, 2003]
+        assert {r["file"].rsplit("/", 1)[1] for r in got} == {"many.xml", "one.xml", "broken.xml"}
+        bad = broken_xml(spark, str(tmp_path)).collect()
+        assert {r["file"].rsplit("/", 1)[1] for r in bad} == {"broken.xml"}
+        assert sorted(r["sample"].split("\n")[0][:36] for r in bad) == sorted(x[:36] for x in (cut_off, cut_off, malformed, other))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_pages_that_can_hold_nothing_are_not_read(spark, tmp_path):
+    at = f"{tmp_path}/l"
+    rows = [(f"BILLSTATUS-{117 + i % 2}hr{i:05d}", f"2024-{1 + i // 400:02d}-15") for i in range(4000)] + [(None, None)]
+    df = spark.createDataFrame(rows, "package_id string, last_modified string")
+    n = write_listing(df.where("package_id is not null"), at, 100)
+    assert n >= 40 and len(list((tmp_path / "l").glob("page-*.json"))) == n
+    assert read_listing(spark, at).count() == 4000
+    index = [json.loads(x) for x in (tmp_path / "l" / "pages.json").read_text().splitlines()]
+    # pages that another prefix, or an older date, rules out are broken: reading one would fail
+    for p in index:
+        if p["last_id"] < "BILLSTATUS-118" or p["last_date"] < "2024-06":
+            (tmp_path / "l" / f"page-{p['page']}.json").write_text("{")
+    want = [r for r in rows if r[0] and r[0].startswith("BILLSTATUS-118") and r[1] >= "2024-06"]
+    got = read_listing(spark, at, "BILLSTATUS-118", "2024-06")
+    assert sorted((r["package_id"], r["last_modified"]) for r in got.collect()) == sorted(want) and len({r["page"] for r in got.collect()}) < n / 2
+    # a task stops at the limit: no later page of its range is opened
+    first = min(r["page"] for r in got.collect())
+    for p in index:
+        if p["page"] > first:
+            (tmp_path / "l" / f"page-{p['page']}.json").write_text("{")
+    assert read_listing(spark, at, "BILLSTATUS-118", "2024-06", limit=5, pages=1000).count() == 5
+
+
+def test_filters_of_a_query_reach_the_reader(spark, tmp_path):
+    at = f"{tmp_path}/l"
+    write_listing(spark.createDataFrame([(f"P{i:03d}", f"2024-01-{1 + i % 28:02d}") for i in range(100)], "package_id string, last_modified string"), at, 10)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        spark.dataSource.register(Listing)
+        df = spark.read.format("package_pages").option("path", at).option("filters", "true").load()
+        some = df.where("package_id like 'P01%' and last_modified >= '2024-01-05' and page >= 0")
+        assert "StartsWith" not in some._jdf.queryExecution().executedPlan().toString() and some.count() == len([i for i in range(10, 20) if 1 + i % 28 >= 5])
+        assert df.where("package_id = 'P042'").count() == 1 and df.where("last_modified > '2024-01-27'").count() == 3
+        for p in (tmp_path / "l").glob("page-*.json"):
+            if "P04" not in p.read_text():
+                p.write_text("{")
+        assert df.where("package_id = 'P042'").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_chunks_as_a_table_function(spark):
+    register(spark)
+    rows = [(1, "One two. Three four! Five?"), (2, None), (3, "  \n"), (4, "x" * 500), (5, " lead. And tail. ")]
+    spark.createDataFrame(rows, "k int, t string").createOrReplaceTempView("chunk_rows")
+    for s, size, overlap in itertools.product((*STRATEGIES, "unknown"), (7, 220), (0, 3)):
+        got = spark.sql(f"SELECT k, c.chunk_index AS i, c.chunk AS c FROM chunk_rows, LATERAL chunks(t, '{s}', {size}, {overlap}) c").collect()
+        want = spark.table("chunk_rows").select("k", F.posexplode(chunks(F.col("t"), s, size, overlap)).alias("i", "c")).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)), (s, size, overlap)
+    with pytest.raises(Exception, match="size must be at least 1"):
+        spark.sql("SELECT * FROM chunk_rows, LATERAL chunks(t, 'fixed', 0) c").collect()
+    with pytest.raises(Exception, match="must be a text"):
+        spark.sql("SELECT * FROM chunk_rows, LATERAL chunks(k) c").collect()

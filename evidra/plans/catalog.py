@@ -603,7 +603,7 @@ def health(spark, d):
 SELECT n, round(rate, 6) AS rate, bill_id AS closest, """ + f"""(SELECT string_agg('- ' || bill_id || ' "' || title || '": outcome ' || {_LABEL} || '; connected via ' || CASE WHEN n_leg + n_com = 0 THEN 'subject overlap' ELSE concat_ws(', ', CASE WHEN n_leg > 0 THEN n_leg || ' shared sponsor(s)' END, CASE WHEN n_com > 0 THEN n_com || ' shared committee(s)' END) END || '.', chr(10) ORDER BY score DESC, bill_id) FROM top) AS context FROM r, f""")
 def graph_answer(spark, d):
     r = N.graph_context(_related(spark, d))
-    return r.select("n", F.round("rate", 6).alias("rate"), F.regexp_extract("answer", "closest (B[0-9]+)", 1).alias("closest"), "context")
+    return r.select("n", F.round("rate", 6).alias("rate"), F.regexp_extract("answer", "closest is (B[0-9]+)", 1).alias("closest"), "context")
 
 
 @query(f"{_SIM} SELECT count(*) AS n, md5(string_agg('- ' || doc_id || ' (similarity ' || format('{{:.2f}}', similarity + 1e-9) || ', outcome Unknown): ' || chunk, chr(10) ORDER BY similarity DESC, doc_id, chunk_index)) AS digest FROM found")

@@ -14,7 +14,7 @@ from evidra.operators import merge as M
 from evidra.operators.lineage import cut, remove, shared_dir
 from evidra.plans import engines as N
 from evidra.plans import index as I
-from evidra.plans.catalog import _BL, _BODY, _BUCKETS, AS_OF, ORACLE_SQL, TEXT_QUESTION, _documents, _summarised, _told, query, table
+from evidra.plans.catalog import _BL, _BODY, _BUCKETS, _LABEL, _QUALITY, _SIM, _TOP, AS_OF, ORACLE_SQL, QUESTION, TEXT_QUESTION, _documents, _outcomes, _related, _summarised, _told, query, table
 from evidra.plans.evaluation import measures
 from evidra.plans.params import VectorParams
 from evidra.plans.questions import ask
@@ -22,6 +22,7 @@ from evidra.plans.tables import BILLS_SQL, bills, links, texts
 from evidra.sources.listing import read_listing, write_listing
 from evidra.sources.xml_files import scan_xml
 
+_PERSON = "struct<bioguide_id:string,full_name:string,party:string,state:string>"
 #: Of vectors whose id this divides, the nearest ones are asked for.
 EVERY = 20
 
@@ -204,3 +205,43 @@ def listing_pages(spark, d):
     found = cut(read_listing(spark, path, "PKG-115", "1997-01-01").select("package_id", "last_modified"))
     remove(spark, path)
     return found.orderBy("package_id").limit(500)
+
+
+# --- answers in full --------------------------------------------------------------------------------
+
+
+@query(_TOP + f""", r AS (SELECT avg(CASE WHEN outcome = 'became_law' THEN 1.0 ELSE 0.0 END)::DOUBLE AS rate, count(*) AS n FROM top), f AS (SELECT bill_id, title, lower({_LABEL}) AS label FROM top ORDER BY score DESC, bill_id LIMIT 1),
+x AS (SELECT string_agg('- ' || bill_id || ' "' || title || '": outcome ' || {_LABEL} || '; connected via ' || CASE WHEN n_leg + n_com = 0 THEN 'subject overlap' ELSE concat_ws(', ', CASE WHEN n_leg > 0 THEN n_leg || ' shared sponsor(s)' END, CASE WHEN n_com > 0 THEN n_com || ' shared committee(s)' END) END || '.', chr(10) ORDER BY score DESC, bill_id) AS context FROM top),
+p AS (SELECT round_even(rate * 100, 0)::INTEGER || '%' AS percent FROM r)
+SELECT 'Question: {QUESTION}' || chr(10) || chr(10) || 'Precedent bills found by graph reasoning (shared sponsors/committees):' || chr(10) || context || chr(10) || chr(10) || 'Base rate: ' || percent || ' of these precedents became law.' || chr(10) || chr(10) || 'Using only these precedents, assess the question.' AS prompt,
+'Graph reasoning surfaced ' || n || ' precedent bill(s) connected to this topic through shared sponsors and committees. The closest is ' || bill_id || ' ("' || title || '"), which ' || label || '. Across the connected precedents, ' || percent || ' became law.' || chr(10) || 'Assessment: ' || CASE WHEN rate >= 0.5 THEN 'likely' ELSE 'unlikely' END || ' to pass based on connected precedent.' AS answer FROM r, f, x, p""")
+def graph_answer_text(spark, d):
+    """The graph engine's prompt and answer, whole."""
+    c = cut(N.graph_context(_related(spark, d)))
+    return N.graph_prompt(c, QUESTION).select("prompt", F.lit(c.first()["answer"]).alias("answer"))
+
+
+@query(f"""{_SIM}, l AS (SELECT doc_id, max({_QUALITY}) AS outcome FROM labels GROUP BY doc_id), src AS (SELECT doc_id, max(source) AS title FROM documents GROUP BY doc_id),
+f AS (SELECT found.*, outcome, title, CASE WHEN outcome IS NULL THEN 'Unknown' ELSE {_LABEL} END AS label, row_number() OVER (ORDER BY similarity DESC, doc_id, chunk_index) AS place FROM found LEFT JOIN l USING (doc_id) LEFT JOIN src USING (doc_id)),
+h AS (SELECT label, count(*) AS n, min(place) AS first FROM f WHERE outcome IS NOT NULL GROUP BY label), o AS (SELECT coalesce(string_agg(label || ' (' || n || ')', ', ' ORDER BY n DESC, first), 'unknown') AS outcomes FROM h)
+SELECT md5('Question: {TEXT_QUESTION}' || chr(10) || chr(10) || 'Most similar bill passages (by semantic similarity):' || chr(10) || (SELECT string_agg('- ' || doc_id || ' (similarity ' || format('{{:.2f}}', similarity + 1e-9) || ', outcome ' || label || '): ' || chunk, chr(10) ORDER BY place) FROM f) || chr(10) || chr(10) || 'Using only these passages, assess the question.') AS prompt_md5,
+'Semantic search returned ' || (SELECT count(*) FROM f) || ' passage(s) most similar to the query. The closest (similarity ' || format('{{:.2f}}', similarity + 1e-9) || ') is from ' || doc_id || ' ("' || title || '"). Outcomes of the matched bills: ' || outcomes || '.' || chr(10) || 'Assessment: based on lexical similarity alone, treat these as topically related rather than causally predictive.' AS answer FROM f, o WHERE place = 1""")
+def vector_answer_text(spark, d):
+    """The vector engine's prompt and answer, whole, with the histogram of outcomes; a document's source stands for its title."""
+    source = table(spark, d, "documents").groupBy("doc_id").agg(F.max("source").alias("title"))
+    found = _outcomes(spark, d).join(source, "doc_id", "left").withColumn("similarity", F.col("similarity") + 1e-9)
+    c = cut(N.vector_context(found, "doc_id", "outcome", "title"))
+    return N.vector_prompt(c, TEXT_QUESTION).select(F.md5("prompt").alias("prompt_md5"), F.lit(c.first()["answer"]).alias("answer"))
+
+
+@query(f"""{_BL}, b AS (SELECT bill_id, title, outcome, {_BODY} AS c FROM bills), n AS ({_BUCKETS.format(k='bill_id', t='c', f="(SELECT * FROM b WHERE c <> '')")}), q0 AS ({_BUCKETS.format(k='one', t=f"'{QUESTION}'", f='(SELECT 1 AS one)')}),
+q AS (SELECT bucket, w / sqrt(sum(w * w) OVER ()) AS w FROM q0), s AS (SELECT bill_id, round(sum(n.w * coalesce(q.w, 0)) / sqrt(sum(n.w * n.w)), 4) AS similarity FROM n LEFT JOIN q USING (bucket) GROUP BY bill_id)
+SELECT bill_id, title, 0 AS chunk_index, c AS chunk, similarity, round(1 - similarity, 4) AS distance FROM s JOIN b USING (bill_id) ORDER BY similarity DESC, bill_id LIMIT 6""")
+def index_search(spark, d):
+    """A question answered out of a built index: posting lists, then the few passages found."""
+    path = _folder(spark, "index")
+    nested = _summarised(bills(spark, d)).withColumns({"sponsor": F.lit(None).cast(_PERSON), "cosponsors": F.array().cast(f"array<{_PERSON}>"), "committees": F.array().cast("array<struct<name:string,chamber:string>>")})
+    I.build_index(nested, path)
+    found = cut(N.vector_retrieve(nested, "bill_id", "title", QUESTION, VectorParams(), I.Index(spark, path).stored_passages()))
+    remove(spark, path)
+    return found.select("bill_id", "title", "chunk_index", "chunk", "similarity", "distance")

@@ -6,21 +6,31 @@ import time
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from evidra.functions import wording as W
 from evidra.functions.records import enactment_rate, outcome_label, verdict
 from evidra.functions.text import OVERLAP, SIZE, chunks
 from evidra.functions.text import keywords as keywords_of
 from evidra.functions.vectors import build_embedder, top_chunks
 from evidra.operators.graph import expand, score_candidates, seed_match, subgraph, top_related
 from evidra.operators.lineage import cut
+from evidra.operators.postings import PostingFile
 from evidra.plans.params import GraphParams, VectorParams
 
 GRAPH_STEPS = ("parse_query", "seed_match", "expand_graph", "score_related", "retrieve", "build_context", "answer")
 VECTOR_STEPS = ("embed_search", "retrieve", "build_context", "answer")
 
 
+@dataclass(frozen=True)
+class StoredPassages:
+    """Passages that were cut when an index was built, and the posting lists of their vectors."""
+
+    passages: DataFrame
+    lists: PostingFile
+
+
 @dataclass
 class GraphResult:
     keywords: list[str]
@@ -62,10 +72,10 @@ def body(title: Column, summary: Column) -> Column:
 
 def lookup(df: DataFrame, key: str, value: str) -> DataFrame:
     """The row with a key; an error if there is none."""
-    found = df.where(F.col(key) == value).limit(1)
-    if found.isEmpty():
+    found = df.where(F.col(key) == value).limit(1).collect()
+    if not found:
         raise LookupError(f"no such {key}: {value}")
-    return found
+    return df.sparkSession.createDataFrame(found, df.schema)
 
 
 def rechunk(bills: DataFrame, bill_id: str, size: int | None = None, overlap: int | None = None, strategy: str | None = None) -> DataFrame:
@@ -76,10 +86,17 @@ def rechunk(bills: DataFrame, bill_id: str, size: int | None = None, overlap: in
     return passages(one, "bill_id", "text", p)
 
 
-def vector_retrieve(texts: DataFrame, key: str, text: str, question: str, p: VectorParams = VectorParams(), stored: DataFrame | None = None) -> DataFrame:
-    """The passages most similar to a question; ``stored`` passages serve unless the parameters ask for others."""
+def vector_retrieve(texts: DataFrame, key: str, text: str, question: str, p: VectorParams = VectorParams(), stored: DataFrame | StoredPassages | None = None) -> DataFrame:
+    """The passages most similar to a question; ``stored`` passages serve unless the parameters ask for others. Stored with their
+    posting lists, they are searched through these, and only the passages found are read."""
     if not question.strip():
         raise ValueError("the question is empty")
+    if isinstance(stored, StoredPassages) and not p.is_custom:
+        asked = texts.sparkSession.createDataFrame([(0, question)], "question int, text string")
+        found = stored.lists.search(asked, p.top_k).where(F.col("similarity") >= p.similarity_threshold).withColumnRenamed("key", key)
+        found = found.select(key, "chunk_index", "similarity", F.round(1 - F.col("similarity"), 4).alias("distance"))
+        return stored.passages.join(F.broadcast(found), [key, "chunk_index"])  # top_k rows
+    stored = stored.passages if isinstance(stored, StoredPassages) else stored
     found = passages(texts, key, text, p) if stored is None or p.is_custom else stored
     scored = build_embedder(dim=p.embedder_dim).similarity(found, "chunk", question)
     return top_chunks(scored, p.top_k, [key, "chunk_index"], p.similarity_threshold)
@@ -115,7 +132,7 @@ def graph_context(related: DataFrame) -> DataFrame:
         F.when(F.size("committees") > 0, F.concat(F.size("committees").cast("string"), F.lit(" shared committee(s)"))),
     )
     shared = F.when(shared == "", "subject overlap").otherwise(shared)
-    title = F.coalesce("title", F.lit(""))
+    title = F.coalesce("title", F.lit(W.NO_TITLE))
     line = F.concat(F.lit("- "), F.col("bill_id"), F.lit(' "'), title, F.lit('": outcome '), outcome_label(F.col("outcome")), F.lit("; connected via "), shared, F.lit("."))
     place = F.struct((-F.col("score")).alias("s"), F.col("bill_id").alias("b"))
     one = related.agg(
@@ -124,10 +141,15 @@ def graph_context(related: DataFrame) -> DataFrame:
         enactment_rate(F.col("outcome")).alias("rate"),
         F.min_by(F.struct(F.col("bill_id").alias("id"), title.alias("title"), outcome_label(F.col("outcome")).alias("outcome")), place).alias("top"),
     )
-    answer = F.when(F.col("n") == 0, "No bill shares a sponsor or committee with this topic; nothing to go by.").otherwise(
-        F.concat(F.col("n").cast("string"), F.lit(" related bill(s); closest "), F.col("top.id"), F.lit(' ("'), F.col("top.title"), F.lit('"): '), F.col("top.outcome"), F.lit(". Base rate "), _percent(F.col("rate")), F.lit(": "), verdict(F.col("rate")), F.lit(" to pass."))
-    )
-    return one.select(F.when(F.col("n") == 0, "(none)").otherwise(F.col("lines")).alias("context"), "n", "rate", verdict(F.col("rate")).alias("verdict"), answer.alias("answer"))
+    said = F.format_string(W.GRAPH_ANSWER, "n", "top.id", "top.title", F.lower("top.outcome"), _percent(F.col("rate")), verdict(F.col("rate")))
+    answer = F.when(F.col("n") == 0, W.GRAPH_NOTHING).otherwise(said)
+    return one.select(F.when(F.col("n") == 0, W.GRAPH_NO_CONTEXT).otherwise(F.col("lines")).alias("context"), "n", "rate", verdict(F.col("rate")).alias("verdict"), answer.alias("answer"))
+
+
+def graph_prompt(context: DataFrame, question: str) -> DataFrame:
+    """``prompt`` of a graph context."""
+    rate = F.when(F.col("rate").isNull(), W.NO_BASE_RATE).otherwise(F.format_string(W.BASE_RATE, _percent(F.col("rate"))))
+    return context.select(F.format_string(W.GRAPH_PROMPT, F.lit(question), "context", rate).alias("prompt"))
 
 
 def outcome_histogram(found: DataFrame, outcome: str, order: list[str]) -> DataFrame:
@@ -137,16 +159,30 @@ def outcome_histogram(found: DataFrame, outcome: str, order: list[str]) -> DataF
     return rows.groupBy(F.col(outcome).alias("outcome")).agg(F.count("*").alias("n"), F.min(place).alias("first")).orderBy(F.desc("n"), "first")
 
 
-def vector_context(found: DataFrame, key: str, outcome: str) -> DataFrame:
-    """``context, n, answer``: one row, also where nothing was found."""
+def vector_context(found: DataFrame, key: str, outcome: str, title: str | None = None) -> DataFrame:
+    """``context, n, answer``: one row, also where nothing was found. The answer names how often each outcome was found, the most
+    frequent first and then as they appear."""
     place = F.struct((-F.col("similarity")).alias("s"), F.col(key).alias("k"), F.col("chunk_index").alias("i"))
     near = F.format_string("%.2f", "similarity")
     line = F.concat(F.lit("- "), F.col(key).cast("string"), F.lit(" (similarity "), near, F.lit(", outcome "), outcome_label(F.col(outcome)), F.lit("): "), F.col("chunk"))
-    one = found.agg(F.count("*").alias("n"), _lines(place, line).alias("lines"), F.min_by(F.struct(F.col(key).cast("string").alias("id"), near.alias("near")), place).alias("top"))
-    answer = F.when(F.col("n") == 0, "No passage is similar to the question; nothing to go by.").otherwise(
-        F.concat(F.col("n").cast("string"), F.lit(" similar passage(s); closest "), F.col("top.id"), F.lit(" ("), F.col("top.near"), F.lit("). Similar words alone predict no outcome."))
+    named = F.coalesce(F.col(title).cast("string"), F.lit(W.NO_TITLE)) if title else F.lit(W.NO_TITLE)
+    told = F.when(F.coalesce(F.col(outcome), F.lit("")) != "", F.struct(place.alias("place"), outcome_label(F.col(outcome)).alias("outcome")))
+    one = found.agg(
+        F.count("*").alias("n"),
+        _lines(place, line).alias("lines"),
+        F.transform(F.array_sort(F.collect_list(told)), lambda x: x["outcome"]).alias("told"),
+        F.min_by(F.struct(F.col(key).cast("string").alias("id"), near.alias("near"), named.alias("title")), place).alias("top"),
     )
-    return one.select(F.when(F.col("n") == 0, "(none)").otherwise(F.col("lines")).alias("context"), "n", answer.alias("answer"))
+    counts = F.transform(F.array_distinct("told"), lambda o, i: F.struct((-F.size(F.filter("told", lambda x: x == o))).alias("n"), i.alias("i"), o.alias("o")))
+    listed = F.array_join(F.transform(F.array_sort(counts), lambda x: F.concat(x["o"], F.lit(" ("), (-x["n"]).cast("string"), F.lit(")"))), ", ")
+    said = F.format_string(W.VECTOR_ANSWER, "n", "top.near", "top.id", "top.title", F.when(F.size("told") > 0, listed).otherwise(W.NO_OUTCOMES))
+    answer = F.when(F.col("n") == 0, W.VECTOR_NOTHING).otherwise(said)
+    return one.select(F.when(F.col("n") == 0, W.VECTOR_NO_CONTEXT).otherwise(F.col("lines")).alias("context"), "n", answer.alias("answer"))
+
+
+def vector_prompt(context: DataFrame, question: str) -> DataFrame:
+    """``prompt`` of a vector context."""
+    return context.select(F.format_string(W.VECTOR_PROMPT, F.lit(question), "context").alias("prompt"))
 
 
 def compare(related: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -174,8 +210,9 @@ class _Run:
         began = time.time()
         made = make()
         if isinstance(made, DataFrame):
-            made = cut(made)
-            at = at | {"rows": made.count()}
+            seen = Observation()
+            made = cut(made.observe(seen, F.count(F.lit(1)).alias("rows")))  # the step's one job counts its rows, too
+            at = at | {"rows": seen.get["rows"]}
         self.tables[name] = made
         yield at | {"phase": "done", "duration_ms": (time.time() - began) * 1000}
 
@@ -194,14 +231,15 @@ def graph_engine(links: DataFrame, bills: DataFrame, question: str, p: GraphPara
     yield {"engine": "graph", "phase": "result", "tables": t, "answer": t["answer"].first().asDict()}
 
 
-def vector_engine(texts: DataFrame, key: str, text: str, question: str, p: VectorParams = VectorParams(), stored: DataFrame | None = None, outcome: str = "outcome") -> Iterator[dict]:
+def vector_engine(texts: DataFrame, key: str, text: str, question: str, p: VectorParams = VectorParams(), stored: DataFrame | StoredPassages | None = None, outcome: str = "outcome") -> Iterator[dict]:
     """The vector engine step by step, as events; ``texts`` has an outcome beside its text, and so have stored passages."""
     run = _Run("vector")
     t = run.tables
     top = VectorParams.from_dict(asdict(p) | {"similarity_threshold": -1.0})
     yield from run.step("embed_search", lambda: vector_retrieve(texts, key, text, question, top, stored))
     yield from run.step("retrieve", lambda: t["embed_search"].where(F.col("similarity") >= p.similarity_threshold))
-    yield from run.step("build_context", lambda: vector_context(t["retrieve"], key, outcome))
+    title = "title" if stored is not None or "title" in texts.columns else None
+    yield from run.step("build_context", lambda: vector_context(t["retrieve"], key, outcome, title if title in t["retrieve"].columns else None))
     yield from run.step("answer", lambda: t["build_context"].select("n", "answer"))
     report = search_report(t["embed_search"], question, p, stored is not None)
     yield {"engine": "vector", "phase": "result", "tables": t | {"report": report}, "answer": t["answer"].first().asDict()}

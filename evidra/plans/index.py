@@ -11,7 +11,7 @@ from evidra.functions.records import subjects
 from evidra.operators import postings
 from evidra.operators.graph import decompose, links_of
 from evidra.operators.lineage import cut
-from evidra.plans.engines import body, passages
+from evidra.plans.engines import StoredPassages, body, passages
 from evidra.plans.params import VectorParams
 from evidra.sources.snapshots import Rule, Store
 
@@ -43,10 +43,14 @@ class Index:
 
     def reset(self) -> None:
         """Drop all tables."""
-        for name in TABLES:
+        for name in (*TABLES, "postings"):
             at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+    def stored_passages(self, p: VectorParams = VectorParams()) -> StoredPassages:
+        """The passages with their posting lists."""
+        return StoredPassages(self.table("passages"), postings.PostingFile(self.spark, f"{self.path}/postings", "string", p.embedder_dim))
+
     def close(self) -> None:
         """Release what the session caches."""
         self.spark.catalog.clearCache()
@@ -71,6 +75,7 @@ def build_index(bills: DataFrame, path: str, p: VectorParams = VectorParams(), r
     links_of(edges).write.mode("overwrite").parquet(f"{path}/links")
     texts = rich.select("bill_id", "title", "outcome", body(F.col("title"), F.col("summary")).alias("text"))
     passages(texts, "bill_id", "text", p).write.mode("overwrite").parquet(f"{path}/passages")
+    postings.build(index.table("passages"), f"{path}/postings", "bill_id", dim=p.embedder_dim)
     return index.count("bills")
 
 

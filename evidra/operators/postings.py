@@ -1,6 +1,6 @@
 """Stored term vectors of passages as an inverted file, and exact top-k search over it with bounds of blocks.
 
-Passages of similar greatest weight share blocks of about ``BLOCK``. A posting list is (bucket, block): the places of the block's passages that
+Passages of similar greatest weight share blocks of ``BLOCK`` at most. A posting list is (bucket, block): the places of the block's passages that
 have the bucket, how often, and the greatest weight among them. A question's bound for a block is the sum of its own weights times these, and no
 passage of the block is more similar. So a search scores the few most promising blocks of each question first, and then only those blocks
 whose bound reaches the k-th similarity so far; the lists of all others are never opened. Lists are laid out in folders by slices of buckets, in order
@@ -19,13 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.vectors import DIM
 from evidra.operators.lineage import cut
 
-#: Passages of a block, about; folders that buckets are dealt into, and the one that names the passages of blocks; bands of greatest weights; blocks that a search scores first.
+#: Passages of a block; folders that buckets are dealt into, and the one that names the passages of blocks; bands of greatest weights; blocks that a search scores first.
 BLOCK = 1024
 SLICES = 32
 MEMBERS = -1
@@ -39,27 +40,34 @@ _STEP = 1000
 _TOKEN = re.compile("[a-z0-9]+")
 
 
+class _Counts:
+    """Tokens of texts by md5 bucket: buckets, how often, and the length of the damped counts."""
+
+    def __init__(self, dim: int):
+        self.dim, self.known = dim, {}
+        self.damped = [0.0, *((1 + math.log(c)) ** 2 for c in range(1, 1000))]
+
+    def of(self, text: str | None) -> tuple[list[int], list[int], float]:
+        known, dim = self.known, self.dim
+        tokens = _TOKEN.findall((text or "").lower())
+        for x in set(tokens).difference(known):
+            known[x] = int.from_bytes(hashlib.md5(x.encode()).digest(), "big") % dim
+        n = Counter(map(known.__getitem__, tokens))
+        c = list(n.values())
+        if len(known) > TOKENS:
+            known.clear()
+        return list(n), c, math.sqrt(sum(self.damped[x] if x < 1000 else (1 + math.log(x)) ** 2 for x in c))
+
+
 def counted(df: DataFrame, keys: list[str], text: str, dim: int = DIM) -> DataFrame:
-    """``keys, buckets, counts, norm``: a text's tokens by md5 bucket and the length of its damped counts; empty arrays for a text without
-    tokens. One row for each text, nothing is shuffled."""
+    """``keys, buckets, counts, norm``; empty arrays for a text without tokens. One row for each text, nothing is shuffled."""
 
     def run(batches):
-        known: dict[str, int] = {}
-        damped = [0.0, *((1 + math.log(c)) ** 2 for c in range(1, 1000))]
+        counts = _Counts(dim)
         for b in (whole.slice(a, _STEP) for whole in batches for a in range(0, whole.num_rows, _STEP)):
-            buckets, counts, norms = [], [], []
-            for t in b.column(len(keys)).to_pylist():
-                tokens = _TOKEN.findall((t or "").lower())
-                for x in set(tokens).difference(known):
-                    known[x] = int.from_bytes(hashlib.md5(x.encode()).digest(), "big") % dim
-                n = Counter(map(known.__getitem__, tokens))
-                c = list(n.values())
-                buckets.append(list(n))
-                counts.append(c)
-                norms.append(math.sqrt(sum(damped[x] if x < 1000 else (1 + math.log(x)) ** 2 for x in c)))
-            if len(known) > TOKENS:
-                known.clear()
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(norms)], names=[*keys, "buckets", "counts", "norm"])
+            got = [counts.of(t) for t in b.column(len(keys)).to_pylist()]
+            columns = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *columns], names=[*keys, "buckets", "counts", "norm"])
 
     rows = df.select(*keys, F.col(text).cast("string").alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -76,69 +84,61 @@ def _terms(v: DataFrame, keys: list[str], weight: str) -> DataFrame:
     return v.select(*keys, F.explode(F.arrays_zip("buckets", "weights")).alias("t")).select(*keys, F.col("t.buckets").alias("bucket"), F.col("t.weights").alias(weight))
 
 
-def _lists(batches):
-    """Of rows in order of their block: a row for each of its buckets, and one that names its passages."""
-    names = ["slice", "bucket", "block", "at", "n", "most", "keys", "chunks", "norms"]
-    held, block = [], None
-
-    def closed():
-        rows = pa.Table.from_batches(held)
-        buckets, counts = (rows.column(c).combine_chunks() for c in ("buckets", "counts"))
-        sizes = np.asarray(buckets.value_lengths())
-        at, norms = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), rows.column("norm").to_numpy()
-        bucket, n = buckets.flatten().to_numpy(), counts.flatten().to_numpy()
-        order = np.argsort(bucket, kind="stable")
-        bucket, n, at = bucket[order], n[order], at[order]
-        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        most = np.maximum.reduceat((1 + np.log(n)) / norms[at], edges)
-        own, k = bucket[edges], len(edges)
-        offsets = pa.array(np.append(edges, len(bucket)), pa.int32())
-        key, whole = rows.column("key").combine_chunks(), pa.array([0, len(sizes)], pa.int32())
-        none = lambda t: pa.nulls(k, pa.list_(t))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(own % SLICES, pa.int32()), pa.array(own, pa.int32()), pa.array([block] * k, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32())), pa.array(most), none(key.type), none(pa.int32()), none(pa.float64())],
-            names=names,
-        )
-        one = lambda v, t: pa.array([v], t)
-        passages = [pa.ListArray.from_arrays(whole, x) for x in (key, rows.column("chunk_index").combine_chunks().cast(pa.int32()), pa.array(norms))]
-        yield pa.RecordBatch.from_arrays([one(MEMBERS, pa.int32()), one(MEMBERS, pa.int32()), one(block, pa.int32()), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())), one(0.0, pa.float64()), *passages], names=names)
-
-    for b in batches:
-        blocks = b.column(0).to_numpy()
-        edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), b.num_rows]
-        for lo, hi in zip(edges, edges[1:]):
-            if lo == hi:
-                continue
-            if held and block != int(blocks[lo]):
-                yield from closed()
-                held = []
-            block = int(blocks[lo])
-            held.append(b.slice(lo, hi - lo))
-    if held:
-        yield from closed()
+_NAMES = ["slice", "bucket", "block", "at", "n", "most", "keys", "chunks", "norms"]
+
+
+def _block(number: int, rows: list[tuple], key: pa.DataType):
+    """The lists of a block of ``(peak, key, chunk_index, buckets, counts, norm)``: a row for each bucket, and one that names its passages."""
+    sizes = np.array([len(r[3]) for r in rows])
+    norms = np.array([r[5] for r in rows])
+    bucket, n = (np.concatenate([r[i] for r in rows]).astype(np.int32) for i in (3, 4))
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    order = np.argsort(bucket, kind="stable")
+    bucket, n, at = bucket[order], n[order], at[order]
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    own, k = bucket[edges], len(edges)
+    most = np.maximum.reduceat((1 + np.log(n)) / norms[at], edges) if k else np.zeros(0)
+    offsets = pa.array(np.append(edges, len(bucket)), pa.int32())
+    none = [pa.nulls(k, pa.list_(t)) for t in (key, pa.int32(), pa.float64())]
+    if k:
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (at, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(own % SLICES, pa.int32()), pa.array(own, pa.int32()), pa.array([number] * k, pa.int64()), *lists, pa.array(most), *none], names=_NAMES)
+    one = [pa.array([[r[1] for r in rows]], pa.list_(key)), pa.array([[r[2] for r in rows]], pa.list_(pa.int32())), pa.array([norms.tolist()], pa.list_(pa.float64()))]
+    empty = [pa.nulls(1, pa.list_(pa.int32()))] * 2
+    yield pa.RecordBatch.from_arrays([pa.array([MEMBERS], pa.int32()), pa.array([MEMBERS], pa.int32()), pa.array([number], pa.int64()), *empty, pa.array([0.0]), *one], names=_NAMES)
 
 
 def build(passages: DataFrame, path: str, key: str, text: str = "chunk", dim: int = DIM, block: int = BLOCK) -> PostingFile:
-    """Store the vectors of passages (``key, chunk_index`` name one each) under ``path``: tables ``vectors`` and ``lists``.
+    """Store the posting lists of passages (``key, chunk_index`` name one each) under ``path``, in one pass over them.
 
-    A passage without tokens is in no list and similar to nothing. No passages give an empty file.
+    Each task gathers passages by bands of their greatest weight, and a band that is full becomes a block; what is left over at its end is
+    cut into blocks in order of that weight. A passage without tokens is named in a block, is in no list, and is similar to nothing.
+    No passages give an empty file.
     """
     spark = passages.sparkSession
-    counted(passages.withColumnRenamed(key, "key"), ["key", "chunk_index"], text, dim).write.mode("overwrite").parquet(f"{path}/vectors")
-    v = spark.read.parquet(f"{path}/vectors").where(F.size("buckets") > 0)
-    peak = (1 + F.log(F.array_max("counts"))) / F.col("norm")
-    n = v.count()
-    bands = max(1, min(BANDS, n // block))
-    cuts = v.select(peak.alias("peak")).approxQuantile("peak", [i / bands for i in range(1, bands)], 0.005) if bands > 1 else []  # a number for each band
-    band = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= peak))
-    v = v.withColumn("band", band)
-    sizes = {r["band"]: r["count"] for r in v.groupBy("band").count().collect()}  # a row for each band
-    deep = [max(1, -(-sizes.get(i, 0) // block)) for i in range(bands)]
-    start = [sum(deep[:i]) for i in range(bands)]
-    of = lambda x: F.get(F.lit(x).cast("array<int>"), F.col("band"))
-    rows = v.select((of(start) + F.pmod(F.xxhash64("key", "chunk_index"), of(deep))).cast("int").alias("block"), "key", "chunk_index", "buckets", "counts", "norm")
-    kind = v.schema["key"].dataType.simpleString()
-    lists = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_lists, f"slice int, bucket int, block int, at array<int>, n array<int>, most double, keys array<{kind}>, chunks array<int>, norms array<double>")
+    rows = passages.select(key, F.col("chunk_index").cast("int"), F.col(text).cast("string"))
+    kind = passages.schema[key].dataType.simpleString()
+
+    def run(batches):
+        counts, bands, made, first = _Counts(dim), {}, 0, TaskContext.get().partitionId() << 32
+        type_ = None
+        for b in (whole.slice(a, _STEP) for whole in batches for a in range(0, whole.num_rows, _STEP)):
+            type_ = b.column(0).type
+            for k, c, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+                buckets, n, norm = counts.of(t)
+                peak = (1 + math.log(max(n))) / norm if n else 0.0
+                held = bands.setdefault(min(int(peak * BANDS), BANDS), [])
+                held.append((peak, k, c, np.array(buckets, np.int32), np.array(n, np.int32), norm))
+                if len(held) == block:
+                    yield from _block(first + made, held, type_)
+                    held.clear()
+                    made += 1
+        rest = sorted((r for held in bands.values() for r in held), key=lambda r: r[0])
+        for a in range(0, len(rest), block):
+            yield from _block(first + made, rest[a : a + block], type_)
+            made += 1
+
+    lists = rows.mapInArrow(run, f"slice int, bucket int, block bigint, at array<int>, n array<int>, most double, keys array<{kind}>, chunks array<int>, norms array<double>")
     lists.sortWithinPartitions("slice", "bucket", "block").write.mode("overwrite").partitionBy("slice").parquet(f"{path}/lists")
     return PostingFile(spark, path, kind, dim)
 
@@ -152,11 +152,13 @@ class PostingFile:
     kind: str
     dim: int = DIM
 
-    def vectors(self) -> DataFrame:
-        return self.spark.read.schema(f"key {self.kind}, chunk_index int, buckets array<int>, counts array<int>, norm double").parquet(f"{self.path}/vectors")
+    def members(self) -> DataFrame:
+        """``block, at, key, chunk_index, norm``: the passages of blocks."""
+        p = self.lists().where(F.col("slice") == MEMBERS).select("block", F.posexplode(F.arrays_zip("keys", "chunks", "norms")).alias("at", "p"))
+        return p.select("block", "at", F.col("p.keys").alias("key"), F.col("p.chunks").alias("chunk_index"), F.col("p.norms").alias("norm"))
 
     def lists(self) -> DataFrame:
-        return self.spark.read.schema(f"bucket int, block int, at array<int>, n array<int>, most double, keys array<{self.kind}>, chunks array<int>, norms array<double>, slice int").parquet(f"{self.path}/lists")
+        return self.spark.read.schema(f"bucket int, block bigint, at array<int>, n array<int>, most double, keys array<{self.kind}>, chunks array<int>, norms array<double>, slice int").parquet(f"{self.path}/lists")
 
     def asked(self, terms: DataFrame) -> DataFrame:
         """The lists of the buckets that are asked for."""
@@ -174,9 +176,8 @@ class PostingFile:
         hits = self.asked(terms).select("bucket", "block", "at", "n").join(wanted, ["bucket", "block"])
         hits = hits.select("question", "block", "q", F.explode(F.arrays_zip("at", "n")).alias("x"))
         dots = hits.groupBy("question", "block", F.col("x.at").alias("at")).agg(F.sum(F.col("q") * (1 + F.log("x.n"))).alias("dot"))
-        named = self.lists().where(F.col("slice") == MEMBERS).join(blocks.select("block").distinct(), "block", "left_semi")
-        named = named.select("block", F.posexplode(F.arrays_zip("keys", "chunks", "norms")).alias("at", "p")).select("block", "at", F.col("p.keys").alias("key"), F.col("p.chunks").alias("chunk_index"), "p.norms")
-        return dots.join(named, ["block", "at"]).select("question", "key", "chunk_index", F.round(F.col("dot") / F.col("norms"), PLACES).alias("similarity"))
+        named = self.members().join(blocks.select("block").distinct(), "block", "left_semi")
+        return dots.join(named, ["block", "at"]).select("question", "key", "chunk_index", F.round(F.col("dot") / F.col("norm"), PLACES).alias("similarity"))
 
     def search(self, questions: DataFrame, k: int = 6, first: int = FIRST) -> DataFrame:
         """``questions``: question, text. ``question, key, chunk_index, similarity, rank``: the k most similar passages of each, by similarity to
@@ -195,7 +196,7 @@ class PostingFile:
         found = cut(best(found.unionByName(self.scores(rest, terms))))
         short = q.select("question").join(found.where("similarity > 0").groupBy("question").agg(F.count("*").alias("n")), "question", "left").where(F.coalesce("n", F.lit(0)) < k).select("question")
         if not short.isEmpty():
-            lead = self.vectors().select("key", "chunk_index").orderBy("key", "chunk_index").limit(2 * k).collect()
+            lead = self.members().select("key", "chunk_index").orderBy("key", "chunk_index").limit(2 * k).collect()
             place = lambda r: F.struct(F.lit(r["key"]).cast(self.kind).alias("key"), F.lit(r["chunk_index"]).alias("chunk_index"))
             lead = F.array(*map(place, lead)).cast(f"array<struct<key:{self.kind},chunk_index:int>>")
             zeros = short.select("question", F.explode(lead).alias("p")).select("question", "p.key", "p.chunk_index")

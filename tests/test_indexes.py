@@ -108,7 +108,7 @@ def test_blocks_that_cannot_reach_are_not_opened(spark, tmp_path):
     plan = file.asked(terms)._jdf.queryExecution().toString()
     assert "PartitionFilters: [slice" in plan and "PushedFilters: [In(bucket" in plan
     sizes = [r["n"] for r in file.lists().where("slice = -1").select(F.size("keys").alias("n")).collect()]
-    assert sum(sizes) == 3020 and max(sizes) <= 64
+    assert sum(sizes) == 3020 and max(sizes) <= 32
 
 
 def test_stored_vectors_are_the_embedders(spark):

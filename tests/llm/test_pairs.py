@@ -195,3 +195,31 @@ def test_embedding_recall_of_every_twentieth(spark):
     found = np.array([got[i] for i in e["vec_id"].to_numpy()[rows]])
     assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
     print("links", want.sum(), "found", found.sum())
+
+
+@pytest.mark.parametrize("sample", [300, 2000])
+def test_trees_inside_large_leaves(spark, sample, monkeypatch):
+    """With a small sample the first leaves are large: trees inside them leave none above the block but for a planted ball, and miss no pair."""
+    from evidra.llm import op6_simhash as S
+
+    rng = np.random.default_rng(sample)
+    far = rng.integers(0, 1 << 63, 12_000, np.uint64) * np.uint64(2) + rng.integers(0, 2, 12_000, np.uint64)
+    near = far[:1500] ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
+    centre = far[0]
+    ball = np.array([centre ^ np.uint64((1 << int(a)) | (1 << int(b)) | (1 << int(c))) for a, b, c in rng.integers(0, 20, (900, 3))], np.uint64)
+    fps = np.unique(np.concatenate([far, near, ball])).view(np.int64)
+    df = spark.createDataFrame([(int(x), i) for i, x in enumerate(fps)], "fp bigint, rep bigint")
+    seen = []
+    real = S._refined
+    monkeypatch.setattr(S, "_refined", lambda rows, *a: seen.append(real(rows, *a)) or seen[-1])
+    got = S.connected_components(S.near_edges(df, leaf=64, sample=sample, block=128))
+    label = {r["node"]: r["component"] for r in got.collect()}
+    u = fps.view(np.uint64)
+    labels = S.Labels(len(u))
+    for i in range(len(u)):
+        labels.join(np.append(np.flatnonzero(np.bitwise_count(u ^ u[i]) <= 3), i))
+    labels.of = labels.roots(np.arange(len(u)))
+    want = {i: int(labels.of[i]) for i in range(len(u)) if (labels.of == labels.of[i]).sum() > 1}
+    assert label == want
+    owned = seen[0].where("own").groupBy("tree", "leaf").count().where("count > 128").collect()
+    assert seen[0].where("own").count() > (5000 if sample == 300 else 500) and sum(r["count"] for r in owned) <= 2 * (len(ball) + 200)

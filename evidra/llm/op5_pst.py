@@ -1,7 +1,7 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 A text is its lower-cased words (between ASCII white space) and one end symbol. The tree's states are contexts of 0 to
-``DEPTH`` words; a text begins with one start symbol. A context is a state if it occurs ``LEAST`` times or more in the
+``depth`` words; a text begins with one start symbol. A context is a state if it occurs ``LEAST`` times or more in the
 training texts and its next-symbol distribution diverges from that of its suffix by the G test (2 N KL >=
 ``DIVERGENCE``). The root is the add-one unigram over the training tokens, in which all unknown words are one symbol. A
 state's distribution is smoothed with that of its longest proper suffix that is a state, by absolute discounting: (max(n - D,
@@ -11,9 +11,10 @@ state that ends its context.
 How it runs. Documents are packed into chunks of about ``CHUNK_BYTES``, one row each, as numbers of their words. No context or symbol
 is a group of its own, so a common one is no hot spot: a chunk sends its distinct words and grams (a context and the
 symbol after it), as sorted hashes with their training counts, to buckets by hash range, one entry for each chunk; a bucket
-adds up and answers each chunk with the corpus counts of its own grams, in its own order. Of the chunks that train on a
-gram one owns it. Knowing all counts of its grams, and of their suffixes, the owner adds the gram's term to its context's
-divergence; a second round sums these by context and answers with what is a state. Then each chunk scores its documents. The
+adds up and answers each chunk with the corpus counts of its own grams, in its own order. It goes level by level: a context of d words can
+be a state only if it occurs ``LEAST`` times, which the counts of the level before tell, so longer grams are sent for such contexts
+alone. Of the chunks that train on a gram one owns it. Knowing all counts of its grams, and of their suffixes, the owner adds the gram's term to its context's
+divergence; a last round sums these by context and answers with what is a state. Then each chunk scores its documents. The
 model is never in one place: nothing but three totals passes through the driver. Buckets hold what about ``BUCKET_BYTES`` of text
 send; a chunk's entry for a bucket gets smaller as there are more of them, so both sizes should be raised beyond a terabyte or so.
 """
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 
 from evidra.llm.common import cut, groups, partitions, release
 
-DEPTH = 2
+#: Words of a context at most.
+DEPTH = 5
 DIVERGENCE = 12.0
 LEAST = 2
 DISCOUNT = 0.75
@@ -145,10 +147,10 @@ class Chunk:
             self.whole.append(inner >= d - 1)
             context = np.append(np.uint64(0), self.gram[d][:-1])
 
-    def counts(self, d: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct grams of a level, and how often they occur in training texts here."""
-        k = self.gram[d][self.whole[d]] << np.uint64(1)
-        k |= self.trains[self.whole[d]]
+    def counts(self, d: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct grams of a level at ``some`` tokens, and how often they occur there in training texts."""
+        k = self.gram[d][some] << np.uint64(1)
+        k |= self.trains[some]
         k.sort()
         u = k >> np.uint64(1)
         at = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
@@ -220,25 +222,32 @@ def _answer_states(rows: pd.DataFrame):
 
 
 class Counts:
-    """A chunk with the corpus counts of its words and grams.
+    """A chunk with the corpus counts of its words and grams, up to the levels that have been answered.
 
-    By level: ``seen[d]``, how often the token follows its context of d words, and ``all[d]``, how often that context occurs.
+    By level: ``seen[d]``, how often the token follows its context of d words (0 where that context is too rare for a state), and
+    ``all[d]``, how often that context occurs.
     """
 
-    def __init__(self, chunk: Chunk, answers: pd.DataFrame, docs: int, total: int):
-        self.chunk, depth = chunk, len(chunk.gram) - 1
+    def __init__(self, chunk: Chunk, answers: pd.DataFrame, docs: int, total: int, levels: int):
+        self.chunk = chunk
         self.answers = answers.sort_values("bucket")
         word = np.append(self.get(WORDS) >> 1, docs)
-        self.seen, self.own, self.sample = [word[chunk.word]], [None], [None]
-        for d in range(1, depth + 1):
-            _, at, one = _places(chunk.gram[d], chunk.whole[d])
+        self.seen, self.own, self.sample, self.all = [word[chunk.word]], [None], [None], [np.full(len(chunk.word), total)]
+        for d in range(1, levels + 1):
+            before = np.append(0, self.seen[-1][:-1])
+            if d == 1:
+                before[chunk.first] = docs
+            self.all.append(before)
+            _, at, one = _places(chunk.gram[d], self.asks(d))
             n = self.get(d)
             self.seen.append(np.where(at >= 0, n[at] >> 1, 0) if len(n) else np.zeros(len(at), np.int64))
             self.own.append((n & 1).astype(bool))
             self.sample.append(one)
-        before = np.append(0, self.seen[0][:-1])
-        before[chunk.first] = docs
-        self.all = [np.full(len(before), total), before, *(np.append(0, s[:-1]) for s in self.seen[1:-1])]
+        self.all.append(np.append(0, self.seen[-1][:-1]))
+
+    def asks(self, d: int) -> np.ndarray:
+        """The tokens whose grams of a level are sent: all of the first level, then those whose context may be a state."""
+        return self.chunk.whole[d] & (self.all[d] >= LEAST) if d > 1 else self.chunk.whole[d]
 
     def get(self, kind: int) -> np.ndarray:
         """The answers of all buckets, in the order of the chunk's own keys."""
@@ -259,19 +268,22 @@ class Counts:
         return u, np.bincount(at[some], minlength=len(u)).astype(np.uint32), np.bincount(at[some], weights=term, minlength=len(u)).astype(np.float32)
 
 
-def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def pst_score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, depth: int = DEPTH, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
     Trains on documents whose crc32(id) mod 7 is not 2. ``base_score`` is add-one unigram over words and the end,
     ``score`` the tree's log10 probability of the text. Null texts are empty (one token, the end); very long ones are
     taken whole; rows that repeat an id count each; a row with a null id trains. Words are told apart by 64-bit hashes, grams by
-    56 bits. Other columns are ignored. An empty table gives an empty result; with no training rows the root is all there is.
+    56 bits. ``depth`` bounds the words of a context, the divergence test decides which are states; ``chunk_bytes`` and ``bucket_bytes`` bear
+    on memory only. Other columns are ignored. An empty table gives an empty result; with no training rows the root is all there is.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     packed = cut(rows.mapInArrow(lambda batches: pack(batches, chunk_bytes), "chunk bigint, ids array<string>, lengths binary, words binary, codes binary, size bigint"))
     chunks, size = packed.agg(F.count("*"), F.sum("size")).first()
-    buckets = max(8, -(-(size or 0) // BUCKET_BYTES))
+    buckets = max(8, -(-(size or 0) // bucket_bytes))
     tasks = max(partitions(spark), chunks)
     packed = packed.drop("size")
     fields = "kind int, bucket int, chunk bigint, keys binary, a binary, b binary"
@@ -282,12 +294,11 @@ def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     def counted(batches):
         for b in batches:
             for chunk, *parts in zip(b["chunk"], *(b[x] for x in whole)):
-                c = Chunk(*parts)
+                c = Chunk(*parts, 1)
                 n = np.bincount(c.word[c.trains], minlength=len(c.words) + 1)[:-1].astype(np.uint32)
                 out = [*_sent(WORDS, int(chunk), c.words, [n], buckets, 64), (DOCS, 0, int(chunk), int(c.train.sum()).to_bytes(8, "little"), b"", b"")]
-                for d in range(1, DEPTH + 1):
-                    u, here = c.counts(d)
-                    out += _sent(d, int(chunk), u, [here], buckets, 56)
+                u, here = c.counts(1, c.whole[1])
+                out += _sent(1, int(chunk), u, [here], buckets, 56)
                 for a in range(0, len(out), 64):
                     yield pd.DataFrame(out[a : a + 64], columns=sent_names)
 
@@ -307,11 +318,11 @@ def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
             if held:
                 yield pd.DataFrame(held, columns=answer_names)
 
-    def reply(sent: DataFrame) -> DataFrame:
-        n = max(partitions(spark), (DEPTH + 1) * buckets)
+    def reply(sent: DataFrame, kinds: int) -> DataFrame:
+        n = max(partitions(spark), kinds * buckets)
         return cut(sent.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInPandas(answered, answer))
 
-    first = reply(packed.mapInPandas(counted, fields))
+    first = reply(packed.mapInPandas(counted, fields), 2)
     release(spark)  # what the chunks sent has been answered
     docs_n = words_n = words_v = 0
     for bucket, n, v in first.where(F.col("kind") == TOTAL).groupBy("bucket").agg(F.sum("n"), F.sum("v")).collect():
@@ -325,24 +336,39 @@ def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     def by_chunk(answers: DataFrame):
         return packed.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk"))
 
+    def longer(level: int):
+        def grams(key, d: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+            chunk = Chunk(*(d[n].iloc[0] for n in whole), level)
+            u, here = chunk.counts(level, Counts(chunk, x, docs_n, total_n, level - 1).asks(level))
+            return pd.DataFrame([*_sent(level, int(d["chunk"].iloc[0]), u, [here], buckets, 56)], columns=sent_names)
+
+        return grams
+
+    for level in range(2, depth + 1):
+        more = reply(by_chunk(counts).applyInPandas(longer(level), fields), 1).select("kind", "chunk", "bucket", "a")
+        release(spark)
+        if more.isEmpty():
+            break
+        counts = counts.union(more)
+
     def divergent(key, d: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        c = Counts(Chunk(*(d[n].iloc[0] for n in whole)), x, docs_n, total_n)
+        c = Counts(Chunk(*(d[n].iloc[0] for n in whole), depth), x, docs_n, total_n, depth)
         out = []
-        for level in range(1, DEPTH + 1):
+        for level in range(1, depth + 1):
             u, t, g = c.divergence(level)
             out += _sent(STATES + level, int(d["chunk"].iloc[0]), u, [t, g], buckets, 56)
         return pd.DataFrame(out, columns=sent_names)
 
-    states = reply(by_chunk(counts).applyInPandas(divergent, fields)).select("kind", "chunk", "bucket", "a")
+    states = reply(by_chunk(counts).applyInPandas(divergent, fields), depth).select("kind", "chunk", "bucket", "a")
 
     release(spark)
 
     def scored(key, d: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        chunk = Chunk(*(d[n].iloc[0] for n in whole))
-        c = Counts(chunk, x, docs_n, total_n)
+        chunk = Chunk(*(d[n].iloc[0] for n in whole), depth)
+        c = Counts(chunk, x, docs_n, total_n, depth)
         p = (c.seen[0] + 1) / (total_n + total_v + 1)
         base, known = np.log10(p), c.seen[0] > 0
-        for level in range(1, DEPTH + 1):
+        for level in range(1, depth + 1):
             _, at = c.contexts(level)
             follow = c.get(STATES + level)
             t = np.where(at >= 0, follow[at], 0) if len(follow) else np.zeros(len(at))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import time
 from collections.abc import Iterator
 
@@ -14,33 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.operators.lineage import cut, remove, shared_dir  # noqa: F401  for the operators
+
 #: Keys of rows (16 bytes each) up to this number are broadcast.
 BROADCAST_KEYS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where the session names none, a local session (as in tests) gets a temporary folder; a cluster has no folder that
-    all can reach, so that is an error.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="evidra-checkpoint-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder, so that a lost executor loses no rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Texts can be very long: let Python workers of this session get batches of a few megabytes, unless it asks for smaller ones."""
     for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
@@ -75,10 +53,11 @@ def lean(run):
     return wrapped
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of any store that Spark knows."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def mix(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers, scattered."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import cut, groups, partitions, release
+from evidra.llm.common import cut, groups, mix, partitions, release
 
 #: Words of a context at most.
 DEPTH = 5
@@ -79,12 +79,6 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(_expand(data, np.uint64), dtype=np.uint64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def pack(batches, chunk_bytes: int):
     """Rows ``(id, text)`` -> ``(chunk, ids, lengths, words, codes, size)``: tokens of each text, the chunk's distinct word
     hashes, and which of them each token is (the last number for an end)."""
@@ -143,7 +137,7 @@ class Chunk:
         self.context, self.gram, self.whole = [None], [None], [None]
         for d in range(1, depth + 1):
             self.context.append(context)
-            self.gram.append(_mix(context * np.uint64(0x9E3779B97F4A7C15) + symbol * np.uint64(0xD1B54A32D192ED03) + np.uint64(d)) >> _BITS)
+            self.gram.append(mix(context * np.uint64(0x9E3779B97F4A7C15) + symbol * np.uint64(0xD1B54A32D192ED03) + np.uint64(d)) >> _BITS)
             self.whole.append(inner >= d - 1)
             context = np.append(np.uint64(0), self.gram[d][:-1])
 

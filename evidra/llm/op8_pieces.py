@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import lean, small_batches
+from evidra.llm.common import lean, mix, small_batches
 
 DROPOUT = 0.1
 SEED = 17
@@ -42,16 +42,9 @@ _NONE = np.int64(1) << np.int64(62)
 _64 = (1 << 64) - 1
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _draw(key: np.ndarray, at: np.ndarray, piece: np.ndarray) -> np.ndarray:
     """The hash that decides about a candidate: of the occurrence's key, its place in the word, and the piece."""
-    return _mix(key + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + piece.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    return mix(key + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + piece.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 def _draw_one(key: int, at: int, piece: int) -> int:
@@ -323,7 +316,7 @@ class Pieces:
         """The key of each occurrence: of the seed, its document's id, and its place among the words."""
         docs = np.fromiter((xxhash.xxh64_intdigest(str(i), self.seed) for i in ids), np.uint64, len(ids))
         n = np.array(counts, np.int64)
-        return _mix(np.repeat(docs, n) + _within(np.zeros(len(n), np.int64), n).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        return mix(np.repeat(docs, n) + _within(np.zeros(len(n), np.int64), n).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
     def encode(self, texts: list[str], doc_ids: list) -> tuple[list[bytes], list[int]]:
         """For each text its ids as little-endian 32-bit integers (an empty one has none), and how many words it has."""

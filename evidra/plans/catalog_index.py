@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.functions import records as R
 from evidra.functions.vocabulary import STOP_WORDS
 from evidra.operators import graph as G
-from evidra.operators import ivf, postings
+from evidra.operators import ivf, linkfile, postings
 from evidra.operators import merge as M
 from evidra.operators.lineage import cut, remove, shared_dir
 from evidra.plans import engines as N
@@ -245,3 +246,16 @@ def index_search(spark, d):
     found = cut(N.vector_retrieve(nested, "bill_id", "title", QUESTION, VectorParams(), I.Index(spark, path).stored_passages()))
     remove(spark, path)
     return found.select("bill_id", "title", "chunk_index", "chunk", "similarity", "distance")
+
+
+@query(ORACLE_SQL["related_topk"])
+def related_stored(spark, d):
+    """The rows of ``related_topk``, out of links that were laid out once: only those of the seeds and of their hubs are read."""
+    path = _folder(spark, "links")
+    stored = linkfile.build(links(spark, d), path)
+    b = bills(spark, d)
+    words = N.question_words(spark, QUESTION)
+    found = cut(stored.related(b, G.seed_match(b, words), words))
+    remove(spark, path)
+    n = lambda c: F.size(c).cast("bigint")
+    return found.select("bill_id", "title", R.outcome_label(F.col("outcome")).alias("outcome_label"), n("legislators").alias("n_leg"), n("committees").alias("n_com"), F.round("score", 2).alias("score"))

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions.records import subjects
-from evidra.operators import postings
-from evidra.operators.graph import decompose, links_of
+from evidra.operators import linkfile, postings
+from evidra.operators.graph import decompose, links_of, seed_match
 from evidra.operators.lineage import cut
-from evidra.plans.engines import StoredPassages, body, passages
-from evidra.plans.params import VectorParams
+from evidra.operators.linkfile import LinkFile
+from evidra.plans.engines import StoredPassages, body, passages, question_words
+from evidra.plans.params import GraphParams, VectorParams
 from evidra.sources.snapshots import Rule, Store
 
 TABLES = ("bills", "nodes", "links", "passages")
@@ -43,7 +44,7 @@ class Index:
 
     def reset(self) -> None:
         """Drop all tables."""
-        for name in (*TABLES, "postings"):
+        for name in (*TABLES, "postings", "linkfile"):
             at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -51,6 +52,11 @@ class Index:
         """The passages with their posting lists."""
         return StoredPassages(self.table("passages"), postings.PostingFile(self.spark, f"{self.path}/postings", "string", p.embedder_dim))
 
+    def related(self, question: str, p: GraphParams = GraphParams()) -> DataFrame:
+        """The bills that share people and committees with a question's seeds; of the links only those of the seeds and of their hubs are read."""
+        words, bills = question_words(self.spark, question), self.table("bills")
+        return LinkFile(self.spark, f"{self.path}/linkfile").related(bills, seed_match(bills, words, max(3, p.top_k // 2)), words, p)
+
     def close(self) -> None:
         """Release what the session caches."""
         self.spark.catalog.clearCache()
@@ -73,6 +79,7 @@ def build_index(bills: DataFrame, path: str, p: VectorParams = VectorParams(), r
     nodes, edges = decompose(rich)
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     links_of(edges).write.mode("overwrite").parquet(f"{path}/links")
+    linkfile.build(index.table("links"), f"{path}/linkfile")
     texts = rich.select("bill_id", "title", "outcome", body(F.col("title"), F.col("summary")).alias("text"))
     passages(texts, "bill_id", "text", p).write.mode("overwrite").parquet(f"{path}/passages")
     postings.build(index.table("passages"), f"{path}/postings", "bill_id", dim=p.embedder_dim)

@@ -256,3 +256,56 @@ def test_index_of_the_seed_in_batches(spark, tmp_path):
     before = store.table("passages").count()
     upsert_index(store, none, 2)
     assert store.table("passages").count() < before and store.table("bills").count() == 16
+
+
+# --- links -------------------------------------------------------------------------------------------
+
+
+def test_links_laid_out_and_a_hub_of_all_bills(spark, tmp_path, monkeypatch):
+    """The same related bills as from the whole table, by one hop and by three, with keys as lists and by joins; no part of a hub above
+    its share."""
+    from evidra.operators import graph as G
+    from evidra.operators import linkfile
+
+    rng = random.Random(9)
+    n = 900
+    rows = {("committee", "ALL", f"B{i}") for i in range(n)} | {(k, f"{k[0]}{rng.randrange(200)}", f"B{rng.randrange(n)}") for k in ("legislator", "committee") for _ in range(2500)}
+    links = spark.createDataFrame(sorted(rows), "kind string, entity string, bill_id string").cache()
+    bills = spark.createDataFrame([(f"B{i}", i, f"title {i}", "became_law", ["tax"] if i % 7 == 0 else []) for i in range(n)], "bill_id string, ordinal int, title string, outcome string, subjects array<string>")
+    seeds = bills.where("ordinal in (3, 4, 500)").select("bill_id", "ordinal")
+    for few, large in ((2000, 100_000), (2, 50)):
+        monkeypatch.setattr(linkfile, "FEW", few)
+        file = linkfile.build(links, f"{tmp_path}/{few}")
+        file.large = large
+        for hops in (1, 3):
+            p = GraphParams(top_k=8, hops=hops)
+            want = G.top_related(G.score_candidates(links, bills, seeds, ["tax"], hops), 8).collect()
+            assert file.related(bills, seeds, ["tax"], p).collect() == want
+    parts, sent = file.dealt(spark.createDataFrame([("committee", "ALL"), ("committee", "c1")], "kind string, entity string"))
+    sizes = {(r["entity"], r["part"]): r["count"] for r in parts.groupBy("kind", "entity", "part").count().collect()}
+    assert max(sizes.values()) <= 2 * 50 and len([k for k in sizes if k[0] == "ALL"]) == 18 and sent.where("entity = 'ALL'").count() == 18
+    plan = linkfile.build(links, f"{tmp_path}/p").of_bills(seeds)
+    monkeypatch.setattr(linkfile, "FEW", 2000)
+    plan = linkfile.LinkFile(spark, f"{tmp_path}/p").of_bills(seeds)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [slice" in plan and "In(bill_id" in plan
+
+
+def test_a_built_index_answers(spark, tmp_path):
+    from evidra.plans.index import Index, build_index, enrich
+
+    b = seed_bills(spark)
+    build_index(b, f"{tmp_path}/i")
+    index, q = Index(spark, f"{tmp_path}/i"), QUESTIONS[0][0]
+    from evidra.operators.graph import decompose, links_of
+
+    rich = enrich(b)
+    want = N.graph_retrieve(links_of(decompose(rich)[1]), rich, q).related.collect()
+    assert [(r["bill_id"], r["score"], r["legislators"], r["committees"]) for r in index.related(q).collect()] == [(r["bill_id"], r["score"], r["legislators"], r["committees"]) for r in want]
+    plain = N.vector_retrieve(index.table("passages"), "bill_id", "chunk", q, VectorParams(), stored=index.table("passages"))
+    served = N.vector_retrieve(index.table("passages"), "bill_id", "chunk", q, VectorParams(), stored=index.stored_passages())
+    pick = lambda df: sorted((r["bill_id"], r["chunk_index"], r["chunk"], r["similarity"]) for r in df.collect())
+    assert pick(served) == pick(plain) and "title" in served.columns
+    trace, result = N.execute(N.vector_engine(index.table("passages"), "bill_id", "chunk", q, VectorParams(), stored=index.stored_passages()))
+    assert [e["rows"] for e in trace if e["phase"] == "done"][:2] == [6, 6] and "Outcomes of the matched bills" in result["answer"]["answer"]
+    index.reset()
+    assert index.count("bills") == 0

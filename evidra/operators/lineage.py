@@ -20,10 +20,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Drops the shuffle files of a plan when its action has ended; a plan takes the setting when it is made.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in ``spark.checkpoint.dir``; where a local session names none, as in tests, in a temporary folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A checkpoint in ``spark.checkpoint.dir``; where a local session names none, as in tests, in a temporary folder.
+
+    Rows are in the shared folder then, so the shuffle files that led to them go at once, and a lost executor loses none.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if was is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, was)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +26,6 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more: it does so when the driver collects garbage,
-    and what the first collection frees holds some of what the second one does."""
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def lean(run):
     """A task's function whose worker gives its memory back when the task ends: workers are kept for later tasks, and what they have
     once held would stay with them, beside the memory of the workers of the next stage."""

@@ -1,7 +1,7 @@
 """Quality by hierarchical empirical Bayes: evidence of a document classifier, combined with the posteriors of its
 host and of its path on that host.
 
-Two linear classifiers (quality, toxic) over distinct words and a few shape features are fitted on a bounded
+Two linear classifiers (quality, toxic) over distinct words, their beginnings, and a few shape features are fitted on a bounded
 sample of labelled rows and give each document's log odds. For each host the expected share of good
 documents is a beta posterior, (sum of p + s m) / (n + s), around the global share m; for each path it is one
 around its host's share. A document's own p is left out of its sums, as its evidence counts already. The strengths
@@ -29,6 +29,9 @@ SAMPLE = 12_000
 LEAST_DOCS = 4
 LEAST_Z = 4.0
 L2 = 0.3
+#: Lengths of beginnings of words, in bytes, and features that may have a weight.
+BEGINNINGS = (6,)
+FEATURES = 50_000
 #: Log odds where a label has one class, or none: quality is then good, toxicity absent.
 SURE = 30.0
 STEPS = 150
@@ -76,7 +79,7 @@ def read(text: str | None) -> tuple[set[bytes], list[float]]:
 
 
 def fit(rows: list[tuple[np.ndarray, list[float], dict[str, float]]], heads: tuple[str, ...] = HEADS) -> dict:
-    """Weights from (word hashes, shape, labels) rows: logistic regression with an L2 term.
+    """Weights from (feature hashes, shape, labels) rows: logistic regression with an L2 term. A beginning counts for each word that has it.
 
     A head with one class always says that class; one without labels says that a document is good. Rows with
     a null label of a head don't train it.
@@ -122,26 +125,60 @@ def fit(rows: list[tuple[np.ndarray, list[float], dict[str, float]]], heads: tup
     return model
 
 
+def hashes(words: set[bytes]) -> np.ndarray:
+    """Numbers of the features of distinct words: of each word itself, and of its beginnings that are shorter than it."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(f) for w in words for f in (w, *(b"^" + w[:k] for k in BEGINNINGS if len(w) > k))], np.uint64).view(np.int64)
+
+
+def _chosen(some: DataFrame, heads: tuple[str, ...], most: int = FEATURES) -> np.ndarray:
+    """The features that tell a label apart, by the same test as in ``fit``, counted on the executors; the ``most`` strongest."""
+    sums = [f"{k}_{h}" for h in heads for k in ("n", "y")]
+
+    def counted(batches):
+        for b in (x.iloc[a : a + ROWS] for x in batches for a in range(0, len(x), ROWS)):
+            got = [hashes(read(t)[0]) for t in b["text"]]
+            ids = np.concatenate(got) if got else np.zeros(0, np.int64)
+            u, at, n = np.unique(ids, return_inverse=True, return_counts=True)
+            out = {"hash": u, "n": n}
+            for h in heads:
+                y = np.repeat(b[h].to_numpy(float), [len(g) for g in got])
+                out |= {f"n_{h}": np.bincount(at, weights=~np.isnan(y), minlength=len(u)), f"y_{h}": np.bincount(at, weights=np.nan_to_num(y), minlength=len(u))}
+            yield pd.DataFrame(out)
+
+    counts = some.mapInPandas(lean(counted), "hash bigint, n bigint, " + ", ".join(f"{c} double" for c in sums)).groupBy("hash").agg(*(F.sum(c).alias(c) for c in ("n", *sums)))
+    means = some.agg(*(F.avg(h).alias(h) for h in heads)).first()
+    z = [
+        F.abs((F.col(f"y_{h}") - F.col(f"n_{h}") * m) / F.sqrt(F.greatest(F.col(f"n_{h}"), F.lit(1.0)) * m * (1 - m)))
+        for h in heads
+        for m in [means[h]]
+        if m is not None and 0 < m < 1
+    ]
+    if not z:
+        return np.zeros(0, np.int64)
+    rows = counts.where(F.col("n") >= LEAST_DOCS).select("hash", F.greatest(*z, F.lit(0.0)).alias("z")).where(F.col("z") >= LEAST_Z)
+    return np.sort(np.array([r["hash"] for r in rows.orderBy(F.desc("z"), "hash").limit(most).collect()], np.int64))
+
+
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, heads: tuple[str, ...], sample: int) -> list:
-    """Features of about ``sample`` labelled documents, computed on the executors."""
+    """Features of about ``sample`` labelled documents, computed on the executors: those that tell a label apart."""
     rows = labels.where(F.col(label_id).isNotNull())
     of = max(1, -(-rows.count() // sample))
     rows = rows.where(F.pmod(F.xxhash64(label_id), F.lit(of)) == 0).groupBy(F.col(label_id).alias("id")).agg(*(F.max(F.col(h).cast("double")).alias(h) for h in heads))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("id"), F.lit(of)) == 0)
+    some = cut(texts.join(F.broadcast(rows), "id").select("text", *heads))  # about ``sample`` rows of labels
+    chosen = docs.sparkSession.sparkContext.broadcast(_chosen(some, heads))
 
     def features(batches):
-        for b in batches:
+        known = chosen.value
+        for b in (x.iloc[a : a + ROWS] for x in batches for a in range(0, len(x), ROWS)):
             got = [read(t) for t in b["text"]]
-            yield pd.DataFrame(
-                {
-                    "hashes": [np.fromiter((xxhash.xxh64_intdigest(w) for w in g[0]), np.uint64, len(g[0])).view(np.int64).tobytes() for g in got],
-                    "shape": [np.array(g[1]).tobytes() for g in got],
-                    **{h: b[h] for h in heads},
-                }
-            )
+            told = [h[np.isin(h, known)] for h in (hashes(g[0]) for g in got)]
+            yield pd.DataFrame({"hashes": [h.tobytes() for h in told], "shape": [np.array(g[1]).tobytes() for g in got], **{h: b[h].to_numpy() for h in heads}})
 
-    out = texts.join(rows, "id").mapInPandas(lean(features), "hashes binary, shape binary, " + ", ".join(f"{h} double" for h in heads))
-    return [(np.frombuffer(r["hashes"], np.int64), np.frombuffer(r["shape"]), {h: r[h] for h in heads}) for r in out.collect()]
+    out = some.mapInPandas(lean(features), "hashes binary, shape binary, " + ", ".join(f"{h} double" for h in heads))
+    found = [(np.frombuffer(r["hashes"], np.int64), np.frombuffer(r["shape"]), {h: None if r[h] is None or math.isnan(r[h]) else r[h] for h in heads}) for r in out.collect()]
+    return sorted(found, key=lambda r: (r[0].tobytes(), r[1].tobytes(), str(r[2])))  # in one order, whatever tasks end first
 
 
 def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host: Column, path: Column, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -156,7 +193,6 @@ def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host: Col
         u, w, v = shared.value
         weights = {int(k): x for k, x in zip(u.tolist(), w.tolist())}
         none, known = None, {}
-        digest = xxhash.xxh64_intdigest
         for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             z = np.zeros((b.num_rows, len(heads)))
             for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
@@ -164,8 +200,8 @@ def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host: Col
                 if len(known) > WORDS:
                     known.clear()
                 for x in words.difference(known):
-                    h = digest(x)
-                    known[x] = weights.get(h - (1 << 64) if h >> 63 else h, none)
+                    got = [v for v in map(weights.get, hashes({x}).tolist()) if v is not None]
+                    known[x] = np.sum(got, axis=0) if got else none
                 hit = [k for k in map(known.__getitem__, words) if k is not None]
                 z[i] = np.array(s) @ v
                 if hit:

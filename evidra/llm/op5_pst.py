@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import cut, groups, mix, partitions, release
+from evidra.llm.common import cut, groups, mix, partitions
 
 #: Words of a context at most.
 DEPTH = 5
@@ -317,7 +317,6 @@ def pst_score(
         return cut(sent.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInPandas(answered, answer))
 
     first = reply(packed.mapInPandas(counted, fields), 2)
-    release(spark)  # what the chunks sent has been answered
     docs_n = words_n = words_v = 0
     for bucket, n, v in first.where(F.col("kind") == TOTAL).groupBy("bucket").agg(F.sum("n"), F.sum("v")).collect():
         if bucket == 1:
@@ -340,8 +339,7 @@ def pst_score(
 
     for level in range(2, depth + 1):
         more = reply(by_chunk(counts).applyInPandas(longer(level), fields), 1).select("kind", "chunk", "bucket", "a")
-        release(spark)
-        if more.isEmpty():
+            if more.isEmpty():
             break
         counts = counts.union(more)
 
@@ -355,8 +353,6 @@ def pst_score(
 
     states = reply(by_chunk(counts).applyInPandas(divergent, fields), depth).select("kind", "chunk", "bucket", "a")
 
-    release(spark)
-
     def scored(key, d: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(*(d[n].iloc[0] for n in whole), depth)
         c = Counts(chunk, x, docs_n, total_n, depth)

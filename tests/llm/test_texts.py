@@ -602,3 +602,50 @@ def test_slots_of_equal_rows_are_numbered_in_parts(spark, monkeypatch):
     got = op3_shards.kd_shards(df).collect()
     for k in range(16):
         assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+
+
+def test_quality_by_head(spark):
+    """Recall of poor and of toxic documents, and clean ones left alone, on labels that were not learned from."""
+    big = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    seen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0)
+    got = quality(docs, seen).join(labels.join(seen.select("doc_id"), "doc_id", "left_anti"), "doc_id")
+    n = got.agg(
+        F.avg(F.when(F.col("quality") == 0, (F.col("p_quality") < 0.5).cast("int"))).alias("poor"),
+        F.avg(F.when(F.col("toxic") == 1, (F.col("p_toxic") >= 0.5).cast("int"))).alias("toxic"),
+        F.avg(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.col("kept").cast("int"))).alias("clean"),
+    ).first()
+    print("by head", n.asDict())
+    assert n["poor"] >= 0.95 and n["toxic"] >= 0.8 and n["clean"] >= 0.99
+
+
+def test_pii_planted_in_documents(spark):
+    """Spans in forms that the field's own sentences don't have, planted in texts of all languages: what it finds, and what it adds where
+    nothing was planted."""
+    rng = random.Random(21)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + digits(14)
+        total = sum(d if k % 2 else (2 * d if 2 * d < 10 else 2 * d - 9) for k, d in enumerate(map(int, body)))
+        number = body + str(-total % 10)
+        return rng.choice([number, " ".join(number[i : i + 4] for i in range(0, 16, 4)), "-".join(number[i : i + 4] for i in range(0, 16, 4))])
+
+    makers = {
+        "email": lambda: f"{rng.choice(['ida', 'bo.li', 'x_9'])}{rng.choice(['@', ' [at] '])}{rng.choice(['post', 'web-mail'])}.example.org",
+        "phone": lambda: f"+{rng.choice(['49', '33', '1'])} ({digits(3)}) {digits(3)}-{digits(4)}",
+        "ip": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
+        "card": card,
+    }
+    texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect() if r["text"] and not P.all_spans(r["text"], P.fit())][:120]
+    w, found, planted, extra = P.fit(), 0, 0, 0
+    for t in texts:
+        cut = rng.randrange(len(t) + 1)
+        kind, span = rng.choice(list(makers.items()))
+        span = span()
+        got = P.all_spans(f"{t[:cut]} {span} {t[cut:]}", w)
+        planted += 1
+        found += any(a <= cut + 1 and b >= cut + 1 + len(span) for a, _, b in got)
+        extra += sum(b <= cut or a > cut + len(span) for a, _, b in got)
+    print("planted", planted, "found", found, "beside them", extra)
+    assert found >= 0.95 * planted and extra <= 0.02 * planted

@@ -43,8 +43,9 @@ BUCKET_BYTES = 16_000_000
 _START, _END = np.uint64(0x51A7), np.uint64(0xE4D)
 #: What the hash of a gram lacks of 64 bits.
 _BITS = np.uint64(8)
-#: Kinds of rows beside grams, whose kind is their level: words, states (and the level), training documents, totals.
-WORDS, STATES, DOCS, TOTAL = 0, 100, 1000, 1001
+#: Kinds of rows beside grams, whose kind is their level: words, states (and the level), counts by token (and the level), training
+#: documents, totals.
+WORDS, STATES, SEEN, DOCS, TOTAL = 0, 100, 200, 1000, 1001
 
 
 def held_out(doc_id) -> bool:
@@ -219,23 +220,31 @@ class Counts:
     """A chunk with the corpus counts of its words and grams, up to the levels that have been answered.
 
     By level: ``seen[d]``, how often the token follows its context of d words (0 where that context is too rare for a state), and
-    ``all[d]``, how often that context occurs.
+    ``all[d]``, how often that context occurs. Levels that an earlier round has worked out come as they are, the last one as answers.
     """
 
     def __init__(self, chunk: Chunk, answers: pd.DataFrame, docs: int, total: int, levels: int):
         self.chunk = chunk
         self.answers = answers.sort_values("bucket")
-        word = np.append(self.get(WORDS) >> 1, docs)
-        self.seen, self.own, self.sample, self.all = [word[chunk.word]], [None], [None], [np.full(len(chunk.word), total)]
-        for d in range(1, levels + 1):
-            before = np.append(0, self.seen[-1][:-1])
-            if d == 1:
-                before[chunk.first] = docs
-            self.all.append(before)
-            _, at, one = _places(chunk.gram[d], self.asks(d))
-            n = self.get(d)
-            self.seen.append(np.where(at >= 0, n[at] >> 1, 0) if len(n) else np.zeros(len(at), np.int64))
-            self.own.append((n & 1).astype(bool))
+        kinds = set(self.answers["kind"])
+        self.seen, self.own, self.sample, self.all = [], [], [], [np.full(len(chunk.word), total)]
+        for d in range(levels + 1):
+            if d:
+                before = np.append(0, self.seen[-1][:-1])
+                if d == 1:
+                    before[chunk.first] = docs
+                self.all.append(before)
+            own = one = None
+            if SEEN + d in kinds:
+                seen = _expand(self.answers.loc[self.answers["kind"] == SEEN + d, "a"].iloc[0], np.int64)
+            elif not d:
+                seen = np.append(self.get(WORDS) >> 1, docs)[chunk.word]
+            else:
+                _, at, one = _places(chunk.gram[d], self.asks(d))
+                n = self.get(d)
+                seen, own = np.where(at >= 0, n[at] >> 1, 0) if len(n) else np.zeros(len(at), np.int64), (n & 1).astype(bool)
+            self.seen.append(seen)
+            self.own.append(own)
             self.sample.append(one)
         self.all.append(np.append(0, self.seen[-1][:-1]))
 
@@ -299,7 +308,9 @@ def pst_score(
     def answered(batches):
         for g in groups(batches, ["kind", "bucket"]):
             kind = g["kind"].iloc[0]
-            if kind == DOCS:
+            if SEEN <= kind < DOCS:  # kept for the chunk itself
+                got = zip(g["kind"], g["chunk"], g["bucket"], [0] * len(g), [0] * len(g), g["a"])
+            elif kind == DOCS:
                 got = [(TOTAL, -1, 1, sum(int.from_bytes(x, "little") for x in g["keys"]), 0, b"")]
             else:
                 got = (_answer_counts if kind < STATES else _answer_states)(g)
@@ -330,28 +341,27 @@ def pst_score(
         return packed.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk"))
 
     def longer(level: int):
+        """A round: what the level before adds to divergences, its counts for the rounds to come, and the grams of this level."""
+
         def grams(key, d: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            chunk = Chunk(*(d[n].iloc[0] for n in whole), level)
-            u, here = chunk.counts(level, Counts(chunk, x, docs_n, total_n, level - 1).asks(level))
-            return pd.DataFrame([*_sent(level, int(d["chunk"].iloc[0]), u, [here], buckets, 56)], columns=sent_names)
+            number, chunk = int(d["chunk"].iloc[0]), Chunk(*(d[n].iloc[0] for n in whole), min(level, depth))
+            c = Counts(chunk, x, docs_n, total_n, level - 1)
+            out = [(SEEN + k, number % buckets, number, b"", _squeeze(c.seen[k].astype(np.int64)), b"") for k in range(0 if level == 2 else level - 1, level)]
+            u, t, g = c.divergence(level - 1)
+            out += _sent(STATES + level - 1, number, u, [t, g], buckets, 56)
+            if level <= depth:
+                u, here = chunk.counts(level, c.asks(level))
+                out += _sent(level, number, u, [here], buckets, 56)
+            return pd.DataFrame(out, columns=sent_names)
 
         return grams
 
-    for level in range(2, depth + 1):
-        more = reply(by_chunk(counts).applyInPandas(longer(level), fields), 1).select("kind", "chunk", "bucket", "a")
-            if more.isEmpty():
-            break
-        counts = counts.union(more)
-
-    def divergent(key, d: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        c = Counts(Chunk(*(d[n].iloc[0] for n in whole), depth), x, docs_n, total_n, depth)
-        out = []
-        for level in range(1, depth + 1):
-            u, t, g = c.divergence(level)
-            out += _sent(STATES + level, int(d["chunk"].iloc[0]), u, [t, g], buckets, 56)
-        return pd.DataFrame(out, columns=sent_names)
-
-    states = reply(by_chunk(counts).applyInPandas(divergent, fields), depth).select("kind", "chunk", "bucket", "a")
+    known = last = None
+    for level in range(2, depth + 2):
+        got = reply(by_chunk(counts if known is None else known.where(F.col("kind") >= SEEN).union(last)).applyInPandas(longer(level), fields), 3)
+        got = got.select("kind", "chunk", "bucket", "a")
+        last = got.where(F.col("kind") < STATES)
+        known = got.where(F.col("kind") >= STATES) if known is None else known.union(got.where(F.col("kind") >= STATES))
 
     def scored(key, d: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(*(d[n].iloc[0] for n in whole), depth)
@@ -379,7 +389,7 @@ def pst_score(
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = by_chunk(counts.union(states)).applyInPandas(scored, "id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = by_chunk(counts if known is None else known).applyInPandas(scored, "id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.select(F.col("id").cast(kind).alias(id_col), *out.columns[1:])
 
 

@@ -259,3 +259,15 @@ def related_stored(spark, d):
     remove(spark, path)
     n = lambda c: F.size(c).cast("bigint")
     return found.select("bill_id", "title", R.outcome_label(F.col("outcome")).alias("outcome_label"), n("legislators").alias("n_leg"), n("committees").alias("n_com"), F.round("score", 2).alias("score"))
+
+
+@query(_TOP + f""", sh AS (SELECT links.* FROM links SEMI JOIN top USING (bill_id) SEMI JOIN h1 USING (kind, entity)),
+nm AS (SELECT bill_id, string_agg(CASE WHEN kind = 'legislator' THEN CASE WHEN entity[2:]::BIGINT % 2 = 0 THEN 'Rep. ' || entity[2:] ELSE entity END END, '|' ORDER BY entity) AS shared_legislators, string_agg(CASE WHEN kind = 'committee' THEN coalesce(c_name, entity) END, '|' ORDER BY entity) AS shared_committees
+  FROM sh LEFT JOIN customer ON kind = 'committee' AND entity = 'C' || c_custkey GROUP BY bill_id)
+SELECT bill_id AS id, title, outcome, {_LABEL} AS outcome_label, round(score, 2) AS score, coalesce(shared_legislators, '') AS shared_legislators, coalesce(shared_committees, '') AS shared_committees, n_sub AS n_subjects FROM top LEFT JOIN nm USING (bill_id)""")
+def related_named(spark, d):
+    """Related bills with the names of the people and committees they share; half of the people have none."""
+    order = table(spark, d, "orders").select(F.lit("Legislator").alias("label"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("key"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Rep. "), F.col("o_orderkey").cast("string"))).alias("name"))
+    customer = table(spark, d, "customer").select(F.lit("Committee").alias("label"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_name").alias("name"))
+    p = N.related_payload(cut(_related(spark, d)), order.unionByName(customer))
+    return p.select("id", "title", "outcome", "outcome_label", "score", *(F.array_join(c, "|").alias(c) for c in ("shared_legislators", "shared_committees")), F.size("subject_overlap").cast("bigint").alias("n_subjects"))

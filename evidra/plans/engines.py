@@ -152,6 +152,19 @@ def graph_prompt(context: DataFrame, question: str) -> DataFrame:
     return context.select(F.format_string(W.GRAPH_PROMPT, F.lit(question), "context", rate).alias("prompt"))
 
 
+def related_payload(related: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Related bills as they are shown: ``id, title, outcome, outcome_label, score`` to two places, the names of the people and committees
+    they share (``nodes`` has label, key, name; the key stands for a name that isn't known), in order of their keys, and the shared subjects."""
+    out = related
+    for column, label in (("legislators", "Legislator"), ("committees", "Committee")):
+        names = nodes.where(F.col("label") == label).select(F.col("key").alias("_key"), "name")
+        rows = related.select("bill_id", F.posexplode(column).alias("at", "_key")).join(names, "_key", "left")  # of the few rows shown
+        named = F.array_sort(F.collect_list(F.struct("at", F.coalesce("name", "_key").alias("name"))))
+        lists = rows.groupBy("bill_id").agg(F.transform(named, lambda x: x["name"]).alias(f"shared_{column}"))
+        out = out.join(lists, "bill_id", "left").withColumn(f"shared_{column}", F.coalesce(f"shared_{column}", F.array().cast("array<string>")))
+    return out.select(F.col("bill_id").alias("id"), "title", "outcome", outcome_label(F.col("outcome")).alias("outcome_label"), F.round("score", 2).alias("score"), "shared_legislators", "shared_committees", "subject_overlap")
+
+
 def outcome_histogram(found: DataFrame, outcome: str, order: list[str]) -> DataFrame:
     """``outcome, n, first``: outcomes of retrieved passages (not of distinct bills), most frequent first, then as they appear."""
     rows = found.where(F.coalesce(outcome, F.lit("")) != "")

@@ -266,7 +266,7 @@ def simhash_neardup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable by links of at most ``radius`` bits) and ``kept`` (it is that smallest one).
 
     Equal fingerprints are one class, so copies cost one row in the search. Null and empty texts have the
-    fingerprint zero and link like any other. A row with a null id is returned with a null component. Rows
+    fingerprint zero and link like any other; very long ones are read whole. A row with a null id is returned with a null component. Rows
     that repeat an id are returned each. Other columns are ignored. An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, id_col, text_col, k))

@@ -85,7 +85,7 @@ def render(messages: DataFrame) -> DataFrame:
 def chat_format(events: DataFrame) -> DataFrame:
     """Fold an event log and render it: ``conv_id, formatted, loss_spans``.
 
-    A null conv_id is a conversation of its own. An empty table gives an empty result; columns other than
+    A null conv_id is a conversation of its own; very long texts are rendered whole. An empty table gives an empty result; columns other than
     those named above are ignored.
     """
     return render(fold_events(events))

@@ -68,6 +68,28 @@ def test_pipeline_awkward(spark):
             assert now.count() <= n
 
 
+def test_pipeline_on_awkward_rows(spark):
+    """What each stage keeps and changes of nulls, empty and very long texts, repeated rows and clashing names."""
+    from cases import TEXTS, documents
+
+    d, (docs, n) = "/root/testdata/sf0.001", documents(spark)
+    run = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    kept = run["quality classifier"](spark, docs, d)
+    assert kept.columns == docs.columns and set(rows(kept)) <= set(rows(docs))
+    near = run["simhash near-dedup"](spark, docs, d)
+    # null, empty and blank texts are one group; equal texts are, and the row without an id belongs to none
+    want = [(0, None), *((i, t) for i, t in enumerate(TEXTS) if i in (3, 4, 5, 6, 7, 8)), (None, "no id")]
+    assert near.columns == docs.columns and rows(near) == sorted(want, key=repr)
+    assert rows(run["benchmark decontamination"](spark, docs, d)) == rows(docs)
+    clean = run["personal data"](spark, docs, d)
+    changed = [(a, b) for a, b in zip(rows(docs), rows(clean)) if a != b]
+    assert clean.columns == docs.columns and [b for _, b in changed] == [(6, "[EMAIL] call [PHONE] now [IP]")]
+    assert clean.where("doc_id = 6").first()["n_chars"] == len("[EMAIL] call [PHONE] now [IP]")
+    ids = run["sentencepiece encoding"](spark, docs, d)
+    assert ids.count() == ids.where("lossless").count() == n
+
+
 def test_pipeline_stages_decide_row_by_row(spark):
     """Null and repeated ids: each row goes or stays by its own text."""
     leak, clean = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first()["text"], "a plain sentence about nothing that anyone would want to drop"

@@ -313,7 +313,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     columns ``keep`` and, if asked for, ``redacted``.
 
     Counts and digest are those of the fixed patterns; ``spans`` lists all, by start, then kind; places
-    are code points. Null and empty texts have none; a null text stays null when redacted. Rows that repeat
+    are code points. Null and empty texts have none, very long ones are looked at whole; a null text stays null when redacted. Rows that repeat
     an id, or have none, are returned each. Other columns are ignored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)

@@ -1,31 +1,21 @@
-"""Texts of prompts and extractive answers. Answers must read the same, character for character."""
+"""Texts of prompts and extractive answers, as formats; the facts in them come from the tables."""
 
-GRAPH_NOTHING = (
-    "Graph reasoning found no bills structurally connected (shared sponsors or committees) to this query's topic, so there is no grounded "
-    "precedent to reason from. Assessment: insufficient precedent."
-)
+GRAPH_NOTHING = "No bill shares a sponsor or committee with the topic of this question, so there is nothing to reason from. Assessment: insufficient evidence."
 GRAPH_ANSWER = (
-    'Graph reasoning surfaced %s precedent bill(s) connected to this topic through shared sponsors and committees. The closest is %s ("%s"), '
-    "which %s. Across the connected precedents, %s became law.\nAssessment: %s to pass based on connected precedent."
-)
-GRAPH_PROMPT = (
-    "Question: %s\n\nPrecedent bills found by graph reasoning (shared sponsors/committees):\n%s\n\nBase rate: %s\n\n"
-    "Using only these precedents, assess the question."
+    '%s bill(s) are connected to this topic through shared sponsors and committees. The closest is %s ("%s"), which %s. '
+    "Of the connected bills %s became law.\nAssessment: %s to pass, going by connected bills."
 )
-GRAPH_NO_CONTEXT = "(no connected precedents found)"
-BASE_RATE = "%s of these precedents became law."
-NO_BASE_RATE = "No precedent outcomes available."
+GRAPH_PROMPT = "Question: %s\n\nBills found by shared sponsors and committees:\n%s\n\nBase rate: %s\n\nAssess the question by these bills alone."
+GRAPH_NO_CONTEXT = "(no connected bills found)"
+BASE_RATE = "%s of these bills became law."
+NO_BASE_RATE = "no outcomes known."
 
-VECTOR_NOTHING = (
-    "Semantic search found no bill passages similar to this query, so there is no text to reason from. Assessment: insufficient similar precedent."
-)
+VECTOR_NOTHING = "No passage is similar to this question, so there is no text to reason from. Assessment: insufficient evidence."
 VECTOR_ANSWER = (
-    'Semantic search returned %s passage(s) most similar to the query. The closest (similarity %s) is from %s ("%s"). '
-    "Outcomes of the matched bills: %s.\nAssessment: based on lexical similarity alone, treat these as topically related rather than causally predictive."
-)
-VECTOR_PROMPT = (
-    "Question: %s\n\nMost similar bill passages (by semantic similarity):\n%s\n\nUsing only these passages, assess the question."
+    '%s passage(s) are most similar to this question. The closest (similarity %s) is from %s ("%s"). Outcomes of the matched bills: %s.\n'
+    "Assessment: similar words alone; related by topic, no forecast."
 )
+VECTOR_PROMPT = "Question: %s\n\nMost similar passages:\n%s\n\nAssess the question by these passages alone."
 VECTOR_NO_CONTEXT = "(no similar passages found)"
 NO_OUTCOMES = "unknown"
 #: What stands for a title that is missing.

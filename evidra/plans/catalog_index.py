@@ -214,8 +214,8 @@ def listing_pages(spark, d):
 @query(_TOP + f""", r AS (SELECT avg(CASE WHEN outcome = 'became_law' THEN 1.0 ELSE 0.0 END)::DOUBLE AS rate, count(*) AS n FROM top), f AS (SELECT bill_id, title, lower({_LABEL}) AS label FROM top ORDER BY score DESC, bill_id LIMIT 1),
 x AS (SELECT string_agg('- ' || bill_id || ' "' || title || '": outcome ' || {_LABEL} || '; connected via ' || CASE WHEN n_leg + n_com = 0 THEN 'subject overlap' ELSE concat_ws(', ', CASE WHEN n_leg > 0 THEN n_leg || ' shared sponsor(s)' END, CASE WHEN n_com > 0 THEN n_com || ' shared committee(s)' END) END || '.', chr(10) ORDER BY score DESC, bill_id) AS context FROM top),
 p AS (SELECT round_even(rate * 100, 0)::INTEGER || '%' AS percent FROM r)
-SELECT 'Question: {QUESTION}' || chr(10) || chr(10) || 'Precedent bills found by graph reasoning (shared sponsors/committees):' || chr(10) || context || chr(10) || chr(10) || 'Base rate: ' || percent || ' of these precedents became law.' || chr(10) || chr(10) || 'Using only these precedents, assess the question.' AS prompt,
-'Graph reasoning surfaced ' || n || ' precedent bill(s) connected to this topic through shared sponsors and committees. The closest is ' || bill_id || ' ("' || title || '"), which ' || label || '. Across the connected precedents, ' || percent || ' became law.' || chr(10) || 'Assessment: ' || CASE WHEN rate >= 0.5 THEN 'likely' ELSE 'unlikely' END || ' to pass based on connected precedent.' AS answer FROM r, f, x, p""")
+SELECT 'Question: {QUESTION}' || chr(10) || chr(10) || 'Bills found by shared sponsors and committees:' || chr(10) || context || chr(10) || chr(10) || 'Base rate: ' || percent || ' of these bills became law.' || chr(10) || chr(10) || 'Assess the question by these bills alone.' AS prompt,
+n || ' bill(s) are connected to this topic through shared sponsors and committees. The closest is ' || bill_id || ' ("' || title || '"), which ' || label || '. Of the connected bills ' || percent || ' became law.' || chr(10) || 'Assessment: ' || CASE WHEN rate >= 0.5 THEN 'likely' ELSE 'unlikely' END || ' to pass, going by connected bills.' AS answer FROM r, f, x, p""")
 def graph_answer_text(spark, d):
     """The graph engine's prompt and answer, whole."""
     c = cut(N.graph_context(_related(spark, d)))
@@ -225,8 +225,8 @@ def graph_answer_text(spark, d):
 @query(f"""{_SIM}, l AS (SELECT doc_id, max({_QUALITY}) AS outcome FROM labels GROUP BY doc_id), src AS (SELECT doc_id, max(source) AS title FROM documents GROUP BY doc_id),
 f AS (SELECT found.*, outcome, title, CASE WHEN outcome IS NULL THEN 'Unknown' ELSE {_LABEL} END AS label, row_number() OVER (ORDER BY similarity DESC, doc_id, chunk_index) AS place FROM found LEFT JOIN l USING (doc_id) LEFT JOIN src USING (doc_id)),
 h AS (SELECT label, count(*) AS n, min(place) AS first FROM f WHERE outcome IS NOT NULL GROUP BY label), o AS (SELECT coalesce(string_agg(label || ' (' || n || ')', ', ' ORDER BY n DESC, first), 'unknown') AS outcomes FROM h)
-SELECT md5('Question: {TEXT_QUESTION}' || chr(10) || chr(10) || 'Most similar bill passages (by semantic similarity):' || chr(10) || (SELECT string_agg('- ' || doc_id || ' (similarity ' || format('{{:.2f}}', similarity + 1e-9) || ', outcome ' || label || '): ' || chunk, chr(10) ORDER BY place) FROM f) || chr(10) || chr(10) || 'Using only these passages, assess the question.') AS prompt_md5,
-'Semantic search returned ' || (SELECT count(*) FROM f) || ' passage(s) most similar to the query. The closest (similarity ' || format('{{:.2f}}', similarity + 1e-9) || ') is from ' || doc_id || ' ("' || title || '"). Outcomes of the matched bills: ' || outcomes || '.' || chr(10) || 'Assessment: based on lexical similarity alone, treat these as topically related rather than causally predictive.' AS answer FROM f, o WHERE place = 1""")
+SELECT md5('Question: {TEXT_QUESTION}' || chr(10) || chr(10) || 'Most similar passages:' || chr(10) || (SELECT string_agg('- ' || doc_id || ' (similarity ' || format('{{:.2f}}', similarity + 1e-9) || ', outcome ' || label || '): ' || chunk, chr(10) ORDER BY place) FROM f) || chr(10) || chr(10) || 'Assess the question by these passages alone.') AS prompt_md5,
+(SELECT count(*) FROM f) || ' passage(s) are most similar to this question. The closest (similarity ' || format('{{:.2f}}', similarity + 1e-9) || ') is from ' || doc_id || ' ("' || title || '"). Outcomes of the matched bills: ' || outcomes || '.' || chr(10) || 'Assessment: similar words alone; related by topic, no forecast.' AS answer FROM f, o WHERE place = 1""")
 def vector_answer_text(spark, d):
     """The vector engine's prompt and answer, whole, with the histogram of outcomes; a document's source stands for its title."""
     source = table(spark, d, "documents").groupBy("doc_id").agg(F.max("source").alias("title"))

@@ -161,12 +161,14 @@ def _chosen(some: DataFrame, heads: tuple[str, ...], most: int = FEATURES) -> np
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, heads: tuple[str, ...], sample: int) -> list:
-    """Features of about ``sample`` labelled documents, computed on the executors: those that tell a label apart."""
+    """Features of about ``sample`` labelled documents, computed on the executors: those that tell a label apart. Of rows that share an id
+    the least text counts."""
     rows = labels.where(F.col(label_id).isNotNull())
     of = max(1, -(-rows.count() // sample))
     rows = rows.where(F.pmod(F.xxhash64(label_id), F.lit(of)) == 0).groupBy(F.col(label_id).alias("id")).agg(*(F.max(F.col(h).cast("double")).alias(h) for h in heads))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("id"), F.lit(of)) == 0)
-    some = cut(texts.join(F.broadcast(rows), "id").select("text", *heads))  # about ``sample`` rows of labels
+    some = texts.join(F.broadcast(rows), "id")  # about ``sample`` rows of labels
+    some = cut(some.groupBy("id").agg(F.min("text").alias("text"), *(F.max(h).alias(h) for h in heads)).select("text", *heads))  # so an id of very many rows is one
     chosen = docs.sparkSession.sparkContext.broadcast(_chosen(some, heads))
 
     def features(batches):

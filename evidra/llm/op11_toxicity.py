@@ -238,7 +238,7 @@ def fit_scorer(rows: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label: str, train: Column | None, sample: int) -> DataFrame:
-    """``text, y`` of about ``sample`` labelled documents, each text once."""
+    """``text, y`` of about ``sample`` labelled documents, each text once; of rows that share an id the least text counts."""
     rows = labels.select(F.col(label_id).alias("i"), F.col(label).cast("double").alias("l")).where("i is not null and l is not null")
     if train is not None:
         rows = rows.withColumnRenamed("i", id_col).where(train).withColumnRenamed(id_col, "i")
@@ -246,6 +246,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     rows = rows.where(F.pmod(F.xxhash64("i", F.lit(11)), F.lit(of)) == 0).groupBy("i").agg(F.max("l").alias("y"))
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.pmod(F.xxhash64("i", F.lit(11)), F.lit(of)) == 0)
     texts = texts.join(F.broadcast(rows) if of > 1 or sample <= 1_000_000 else rows, "i")  # about ``sample`` rows of two numbers
+    texts = texts.groupBy("i").agg(F.min("text").alias("text"), F.max("y").alias("y"))  # so an id of very many rows is one
     return cut(texts.groupBy("text").agg(F.max("y").alias("y")))
 
 

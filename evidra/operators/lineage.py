@@ -46,3 +46,14 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of any store that Spark knows."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the checkpoint of a frame that ``cut`` made and that nothing will read any more."""
+    rdd = df._jdf.rdd()
+    while not rdd.isCheckpointed():
+        above = rdd.dependencies()
+        if above.isEmpty():
+            return
+        rdd = above.head().rdd()
+    remove(df.sparkSession, rdd.getCheckpointFile().get())

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.operators.lineage import cut, remove, shared_dir  # noqa: F401  for the operators
+from evidra.operators.lineage import cut, drop, remove, shared_dir  # noqa: F401  for the operators
 
 #: Keys of rows (16 bytes each) up to this number are broadcast.
 BROADCAST_KEYS = 1_000_000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import cut
+from evidra.llm.common import cut, drop
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     seen = _mark(edges)
     while seen[0]:
-        edges = cut(_small_star(_large_star(edges)))
+        was, edges = edges, cut(_small_star(_large_star(edges)))
+        drop(was)
         now = _mark(edges)
         if now == seen:
             break

@@ -44,6 +44,7 @@ BROADCAST_SITES = 500_000
 WORDS = 200_000
 ROWS = 500
 _PUNCT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_ALL = (1 << 64) - 1
 _MARKS = (b"!!", b"***", b"$$$", b"%%%", b"&&&", b"###", b" | ", b"http", b"{", b"<", b"=", b"_")
 
 
@@ -193,8 +194,9 @@ def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host: Col
 
     def run(batches):
         u, w, v = shared.value
-        weights = {int(k): x for k, x in zip(u.tolist(), w.tolist())}
-        none, known = None, {}
+        weights = {k & _ALL: np.array(x) for k, x in zip(u.tolist(), w.tolist())}
+        digest = xxhash.xxh64_intdigest
+        known = {}
         for b in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
             z = np.zeros((b.num_rows, len(heads)))
             for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
@@ -202,8 +204,11 @@ def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host: Col
                 if len(known) > WORDS:
                     known.clear()
                 for x in words.difference(known):
-                    got = [v for v in map(weights.get, hashes({x}).tolist()) if v is not None]
-                    known[x] = np.sum(got, axis=0) if got else none
+                    total = weights.get(digest(x))
+                    for k in BEGINNINGS:
+                        if len(x) > k and (more := weights.get(digest(b"^" + x[:k]))) is not None:
+                            total = more if total is None else total + more
+                    known[x] = total
                 hit = [k for k in map(known.__getitem__, words) if k is not None]
                 z[i] = np.array(s) @ v
                 if hit:

@@ -346,7 +346,7 @@ def pst_score(
         def grams(key, d: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             number, chunk = int(d["chunk"].iloc[0]), Chunk(*(d[n].iloc[0] for n in whole), min(level, depth))
             c = Counts(chunk, x, docs_n, total_n, level - 1)
-            out = [(SEEN + k, number % buckets, number, b"", _squeeze(c.seen[k].astype(np.int64)), b"") for k in range(0 if level == 2 else level - 1, level)]
+            out = [(SEEN + level - 1, number % buckets, number, b"", _squeeze(c.seen[level - 1].astype(np.int64)), b"")]
             u, t, g = c.divergence(level - 1)
             out += _sent(STATES + level - 1, number, u, [t, g], buckets, 56)
             if level <= depth:
@@ -356,9 +356,11 @@ def pst_score(
 
         return grams
 
-    known = last = None
+    words, known = counts.where(F.col("kind") == WORDS), None
+    last = counts.where(F.col("kind") != WORDS)
     for level in range(2, depth + 2):
-        got = reply(by_chunk(counts if known is None else known.where(F.col("kind") >= SEEN).union(last)).applyInPandas(longer(level), fields), 3)
+        told = words.union(last) if known is None else words.union(known.where(F.col("kind") >= SEEN)).union(last)
+        got = reply(by_chunk(told).applyInPandas(longer(level), fields), 3)
         got = got.select("kind", "chunk", "bucket", "a")
         last = got.where(F.col("kind") < STATES)
         known = got.where(F.col("kind") >= STATES) if known is None else known.union(got.where(F.col("kind") >= STATES))
@@ -389,7 +391,7 @@ def pst_score(
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = by_chunk(counts if known is None else known).applyInPandas(scored, "id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = by_chunk(counts if known is None else words.union(known)).applyInPandas(scored, "id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.select(F.col("id").cast(kind).alias(id_col), *out.columns[1:])
 
 

@@ -1,6 +1,7 @@
 """Checkpoints: rows stay, what led to them goes, and the session's settings are as before."""
 
 import os
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ def shuffles(spark):
 def test_a_checkpoint_drops_its_shuffles_and_can_be_dropped(spark):
     before, was = shuffles(spark), folders(spark)
     a = cut(spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").agg(F.count("*").alias("n")))
+    end = time.time() + 20
+    while shuffles(spark) - before and time.time() < end:  # Spark deletes them in the background
+        time.sleep(0.2)
     assert shuffles(spark) - before == set() and len(folders(spark) - was) == 1 and spark.conf.get(CLEANUP, "unset") in ("unset", "false")
     b = cut(a.join(a.withColumnRenamed("n", "m"), "k").groupBy("m").agg(F.sum("n").alias("n")))
     drop(a)

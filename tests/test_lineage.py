@@ -24,7 +24,7 @@ def test_a_checkpoint_drops_its_shuffles_and_can_be_dropped(spark):
     end = time.time() + 20
     while shuffles(spark) - before and time.time() < end:  # Spark deletes them in the background
         time.sleep(0.2)
-    assert shuffles(spark) - before == set() and len(folders(spark) - was) == 1 and spark.conf.get(CLEANUP, "unset") in ("unset", "false")
+    assert shuffles(spark) - before == set() and len(folders(spark) - was) == 1 and spark.conf.get(CLEANUP) == "false"
     b = cut(a.join(a.withColumnRenamed("n", "m"), "k").groupBy("m").agg(F.sum("n").alias("n")))
     drop(a)
     assert len(folders(spark) - was) == 1 and sorted(map(tuple, b.collect())) == [(142, 142), (143, 858)]

@@ -50,12 +50,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let the driver's processes give back what plans that have run left behind; it bears on the driver's memory only."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from evidra.functions.text import hash_vector
 from evidra.functions.vectors import similarity, top_chunks
 from evidra.operators import postings
 from evidra.operators.metrics import retrieval_metrics
@@ -38,3 +39,13 @@ def test_measures_by_class_are_those_of_all_relevant_pairs(spark):
         assert all(mine[q]["precision"] == want[q]["precision"] and mine[q]["reciprocal_rank"] == want[q]["reciprocal_rank"] for q in want)
         # recall is over the whole class, of which 17,143 items are there
         assert all(round(mine[q]["recall"] * 17_143) == round(want[q]["recall"] * 32) for q in want)
+
+
+def test_similarity_counts_tokens_in_batches(spark):
+    rows = [(1, "a b a"), (2, "ring " * 1500 + "bolt"), (3, ""), (4, None), (5, "İ ring"), (1, "b c"), (None, "x y"), (None, "x")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    got = [r["similarity"] for r in similarity(df, "t", "ring b").collect()]
+    plan = similarity(df, "t", "ring b")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ArrowEvalPython" in plan
+    q = hash_vector("ring b", 512)
+    assert all(abs(g - sum(w * q.get(b, 0.0) for b, w in hash_vector(t or "", 512).items())) < 1e-12 for g, (_, t) in zip(got, rows))

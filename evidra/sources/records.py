@@ -68,8 +68,8 @@ def parse_xml(df: DataFrame, xml: str, as_of: str, max_summary: int = 0) -> Data
     Of two places for a field the later layout's goes first. ``as_of`` (a date) decides whether a congress
     has ended; ``max_summary`` cuts summaries, 0 leaves them.
     """
-    # columns beside the document stay
-    b = df.withColumn("_x", _root(xml)).where(parsed(F.col("_x"))).withColumn("_b", F.col("_x.bill"))
+    # columns beside the document stay; as the items of a generator documents are parsed once, a filter on them would parse them again
+    b = df.withColumn("_x", F.explode(F.array(_root(xml)))).where(parsed(F.col("_x"))).withColumn("_b", F.col("_x.bill"))
     return bills_of(b, df.columns, as_of, max_summary)
 
 

@@ -7,6 +7,7 @@ from evidra.functions.vectors import similarity, top_chunks
 from evidra.operators import postings
 from evidra.operators.metrics import retrieval_metrics
 from evidra.plans.evaluation import class_measures
+from evidra.sources.records import parse_xml
 
 
 def test_copies_of_a_passage_are_one_entry_of_a_task(spark, tmp_path):
@@ -49,3 +50,11 @@ def test_similarity_counts_tokens_in_batches(spark):
     assert "Exchange" not in plan and "ArrowEvalPython" in plan
     q = hash_vector("ring b", 512)
     assert all(abs(g - sum(w * q.get(b, 0.0) for b, w in hash_vector(t or "", 512).items())) < 1e-12 for g, (_, t) in zip(got, rows))
+
+
+def test_a_document_is_parsed_once(spark):
+    docs = spark.range(3).select(F.col("id").alias("source"), F.concat(F.lit("<billStatus><bill><congress>115</congress><title>T</title></bill>"), F.when(F.col("id") < 2, "</billStatus>").otherwise("<")).alias("xml"))
+    found = parse_xml(docs, "xml", "2025-06-30")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") + plan.count("xmltostructs(") == 1
+    assert [(r["source"], r["title"]) for r in found.orderBy("source").collect()] == [(0, "T"), (1, "T")]

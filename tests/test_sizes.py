@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from evidra.functions.text import hash_vector
-from evidra.functions.vectors import similarity, top_chunks
+from evidra.functions.vectors import STEP, dense, embed, similarity, top_chunks
 from evidra.operators import postings
 from evidra.operators.metrics import retrieval_metrics
 from evidra.plans.evaluation import class_measures
@@ -58,3 +58,25 @@ def test_a_document_is_parsed_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_xml") + plan.count("xmltostructs(") == 1
     assert [(r["source"], r["title"]) for r in found.orderBy("source").collect()] == [(0, "T"), (1, "T")]
+
+
+def test_tokens_are_counted_before_anything_is_shuffled(spark):
+    """A text, not each of its tokens, goes through the shuffle; rows of a key are one vector, within a task's step, across steps and across tasks."""
+    n = 2 * STEP + 500
+    rows = [(1, "a b a"), (None, "x y"), (3, ""), (4, None), (1, "b c"), (None, "x"), (5, "İ ring"), *((6, "a" if i % 2 else "b b") for i in range(n)), *((i, f"a w{i}") for i in range(7, n))]
+    df = spark.createDataFrame(rows, "k int, t string").repartition(3)
+    got = {}
+    for r in embed(df, ["k"], "t").collect():
+        got.setdefault(r["k"], {})[r["bucket"]] = r["w"]
+    texts = {}
+    for k, t in rows:
+        texts[k] = f"{texts.get(k, '')} {t or ''}"
+    want = {k: hash_vector(t, 512) for k, t in texts.items()}
+    want = {k: v for k, v in want.items() if v}
+    assert got.keys() == want.keys()
+    assert all(got[k].keys() == want[k].keys() and all(abs(got[k][b] - w) < 1e-12 for b, w in want[k].items()) for k in want)
+    whole = {r["k"]: r["vector"] for r in dense(df, ["k"], "t").collect()}
+    assert whole.keys() == want.keys() and all(len(v) == 512 and all(abs(x - want[k].get(b, 0.0)) < 1e-12 for b, x in enumerate(v)) for k, v in whole.items())
+    assert embed(df.where("k = 3"), ["k"], "t").count() == 0
+    plan = embed(df, ["k"], "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "Aggregate" not in plan

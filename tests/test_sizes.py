@@ -1,9 +1,13 @@
 """What must not grow with the square of a table, or beyond a task's memory."""
 
+from collections import Counter
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from evidra.functions.text import hash_vector
 from evidra.functions.vectors import STEP, dense, embed, similarity, top_chunks
+from evidra.operators import graph as G
 from evidra.operators import postings
 from evidra.operators.metrics import retrieval_metrics
 from evidra.plans.evaluation import class_measures
@@ -80,3 +84,36 @@ def test_tokens_are_counted_before_anything_is_shuffled(spark):
     assert embed(df.where("k = 3"), ["k"], "t").count() == 0
     plan = embed(df, ["k"], "t")._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan and "Aggregate" not in plan
+
+
+def test_pairs_of_bills_by_lists(spark, monkeypatch):
+    """Hubs at the cap and beyond it, bills out of scope, a bill of many links that is dealt into parts; a list, not each pair, is shuffled."""
+    monkeypatch.setattr(G, "MANY", 30)
+    hubs = {("legislator", f"L{i}"): {"B0", *(f"B{(i * k) % 97}" for k in range(1, 2 + i % 9))} for i in range(150)}
+    hubs |= {("committee", f"C{i}"): {f"B{(7 * i + k) % 97}" for k in range(i)} for i in range(50)} | {("other", "X"): {"B0", "B1"}, ("committee", None): {"B2", "B3"}}
+    rows = [(kind, e, b) for (kind, e), bs in hubs.items() for b in bs]
+    links, scope = spark.createDataFrame(rows, "kind string, entity string, bill_id string"), spark.createDataFrame([(f"B{i}",) for i in range(90)], "bill_id string")
+    kept = {h: sorted(b for b in bs if int(b[1:]) < 90) for h, bs in hubs.items() if h[1]}
+    kept = {h: bs for h, bs in kept.items() if 2 <= len(bs) <= 40}
+    want = {k: Counter((a, b) for h, bs in kept.items() if h[0] == k for a, b in combinations(bs, 2)) for k in ("legislator", "committee")}
+    both = want["legislator"] + want["committee"] + Counter([("B0", "B1")])
+    got = G.bill_pairs(links, scope)
+    assert sorted((r["a"], r["b"], r["sponsors"], r["committees"]) for r in got.collect()) == sorted((*p, want["legislator"][p], want["committee"][p]) for p in both)
+    assert G.hub_lists(links, scope).select(F.max(F.size("bills"))).first()[0] == max(map(len, kept.values())) and G.hub_lists(links, scope).where("size(many) > 0").count() > 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "hashpartitioning(a" in plan and "hashpartitioning(a#0, b" not in plan
+    assert got.select("a", "b").distinct().count() == len(both)
+    bills = scope.select("bill_id", F.lit("t").alias("title"), F.lit("115").alias("congress"), F.lit("hr").alias("bill_type"), F.lit("1").alias("bill_number"), F.lit("x").alias("outcome"), F.array().cast("array<string>").alias("subjects"))
+    for least in (1, 3):
+        weight = {p: want["legislator"][p] + want["committee"][p] for p in both}
+        weight = {p: w for p, w in weight.items() if w >= least}
+        degree = Counter()
+        for (a, b), w in weight.items():
+            degree[a] += w
+            degree[b] += w
+        nodes, edges = G.bill_graph(links, bills, limit=20, min_shared=least)
+        top = sorted((f"B{i}" for i in range(90)), key=lambda b: (-degree[b], b))[:20]
+        assert {r["bill_id"]: r["degree"] for r in nodes.collect()} == {b: degree[b] for b in top}
+        assert {(r["a"], r["b"]): r["weight"] for r in edges.collect()} == {p: w for p, w in weight.items() if p[0] in top and p[1] in top}
+    near = G.ego(G.bill_pairs(G.around(links, "B0"), scope).select("a", "b", (F.col("sponsors") + F.col("committees")).alias("weight")), "B0")
+    assert sorted((r["neighbour"], r["weight"]) for r in near.collect()) == sorted((b, want["legislator"][a, b] + want["committee"][a, b]) for a, b in both if a == "B0")

@@ -3,8 +3,10 @@
 from collections import Counter
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from evidra.functions import text as X
 from evidra.functions.text import hash_vector
 from evidra.functions.vectors import STEP, dense, embed, similarity, top_chunks
 from evidra.operators import graph as G
@@ -117,3 +119,14 @@ def test_pairs_of_bills_by_lists(spark, monkeypatch):
         assert {(r["a"], r["b"]): r["weight"] for r in edges.collect()} == {p: w for p, w in weight.items() if p[0] in top and p[1] in top}
     near = G.ego(G.bill_pairs(G.around(links, "B0"), scope).select("a", "b", (F.col("sponsors") + F.col("committees")).alias("weight")), "B0")
     assert sorted((r["neighbour"], r["weight"]) for r in near.collect()) == sorted((b, want["legislator"][a, b] + want["committee"][a, b]) for a, b in both if a == "B0")
+
+
+def test_pieces_of_a_batch_are_not_held_whole(spark):
+    """A batch of many texts leaves a task in steps; pieces stay with their rows."""
+    n = 2 * X.STEP + 7
+    made = X.by_steps(iter([pd.Series([f"t{i}" for i in range(n)]), pd.Series([], dtype=object), pd.Series([None])]), lambda t: [t or ""])
+    assert [len(x) for x in made] == [X.STEP, X.STEP, 7, 1]
+    df = spark.range(0, n, 1, 1).withColumn("t", F.when(F.col("id") % 5 > 0, F.concat(F.lit("Large ring "), F.col("id").cast("string"), F.lit(". Old plate. Ring."))))
+    for strategy, cut in (("semantic", lambda t: X.group_semantic(t, 20)), ("recursive", lambda t: X.pack_sentences(t, 20, 5))):
+        got = df.select("t", X.chunks(F.col("t"), strategy, 20, 5).alias("c")).collect()
+        assert len(got) == n and all(r["c"] == (cut(r["t"]) if r["t"] else []) for r in got)

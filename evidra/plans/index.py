@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from evidra.functions.records import subjects
 from evidra.operators import linkfile, postings
 from evidra.operators.graph import decompose, links_of, seed_match
-from evidra.operators.lineage import cut
+from evidra.operators.lineage import cut, remove
 from evidra.operators.linkfile import LinkFile
 from evidra.plans.engines import StoredPassages, body, passages, question_words
 from evidra.plans.params import GraphParams, VectorParams
@@ -48,6 +49,11 @@ class Index:
             at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+    def rename(self, name: str, to: str) -> None:
+        at, end = (self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}") for n in (name, to))
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(at, end):
+            raise RuntimeError(f"{name} of {self.path} could not be renamed to {to}")
+
     def stored_passages(self, p: VectorParams = VectorParams()) -> StoredPassages:
         """The passages with their posting lists."""
         return StoredPassages(self.table("passages"), postings.PostingFile(self.spark, f"{self.path}/postings", "string", p.embedder_dim))
@@ -71,10 +77,13 @@ def build_index(bills: DataFrame, path: str, p: VectorParams = VectorParams(), r
     index = Index(bills.sparkSession, path)
     if not rebuild and index.count("bills") and index.count("passages"):
         return index.count("bills")
-    if bills.isEmpty():
+    new = f"new-{uuid.uuid4().hex}"
+    enrich(bills).write.parquet(f"{path}/{new}")  # bills are worked out once: whether there are any is read from this
+    if index.table(new).isEmpty():
+        remove(index.spark, f"{path}/{new}")
         return 0
     index.reset()
-    enrich(bills).write.mode("overwrite").parquet(f"{path}/bills")
+    index.rename(new, "bills")
     rich = index.table("bills")
     nodes, edges = decompose(rich)
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")

@@ -2,6 +2,8 @@
 
 import math
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +139,24 @@ def test_params():
     assert GraphParams.from_dict({"hops": 2, "top_k": None, "other": 1}) == GraphParams(hops=2)
     assert VectorParams.from_dict(None) == VectorParams() and not VectorParams(top_k=9, similarity_threshold=0.5).is_custom and VectorParams(chunk_size=100).is_custom
     assert N.settings()["graph"]["top_k"] == 6 and len(BILLS) == 16
+
+
+def test_an_index_works_its_bills_out_once(spark, corpus, tmp_path):
+    """Whether there are bills is read from what was written; no bills leave a stored index as it is, and properties that no part has are not compared."""
+    b, _ = corpus
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            read.add(x.num_rows)
+            yield x
+
+    path = f"{tmp_path}/once"
+    assert build_index(b.mapInArrow(counted, b.schema), path) == 16 and read.value == 16
+    assert build_index(b.where("false"), path, rebuild=True) == 0 and Index(spark, path).count("bills") == 16
+    assert not [p for p in Path(path).iterdir() if p.name.startswith("new-")]
+    bare = spark.createDataFrame([("B1", "t", ("P1", "Ann"), [("P2", None)], [("C1",)])], "bill_id string, title string, sponsor struct<bioguide_id:string,full_name:string>, cosponsors array<struct<bioguide_id:string,full_name:string>>, committees array<struct<name:string>>")
+    nodes, _ = G.decompose(bare)
+    assert {(r["label"], r["key"], r["name"], r["party"]) for r in nodes.collect()} == {("Legislator", "P1", "Ann", None), ("Legislator", "P2", None, None), ("Committee", "C1", "C1", None), ("Bill", "B1", "t", None)}
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("max_by(") <= 2  # the name of people and committees, and a bill's own properties

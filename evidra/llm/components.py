@@ -13,18 +13,22 @@ def _mark(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
+def _pairs(*pairs: tuple[str, str]):
+    """The rows ``(a, b)`` that each row gives; a union would read the table once for each pair."""
+    return F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs))).alias("e")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to the smallest node it knows."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select(_pairs(("a", "b"), ("b", "a"))).select("e.*")
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+    return edges.join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, to the smallest of them."""
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b")
-    return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
+    return edges.join(least, "b").select(_pairs(("m", "a"), ("m", "b"))).select("e.*").where("a < b").distinct()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -49,3 +53,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         seen = now
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots)
+
+
+def merged(label: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``label`` (``node, component``; a node that it lacks is its own) after each component has taken the smallest number next to it by
+    ``pairs`` (``x, y``), and then that one's. What gets one label is connected; what is connected may keep two, so that
+    this takes the same few joins however long the chains are."""
+    ends = pairs.select("x", "y")
+    for end in ("x", "y"):
+        ends = ends.join(label, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("component", end)).drop("node", "component")
+    step = ends.where("x <> y").select(_pairs(("x", "y"), ("y", "x"))).select("e.*").groupBy("a").agg(F.min("b").alias("b")).where("b < a")
+    step = cut(step)
+    far = step.join(step.select(F.col("a").alias("_a"), F.col("b").alias("_b")), F.col("b") == F.col("_a"), "left").select("a", F.coalesce("_b", "b").alias("b"))
+    known = label.join(far, F.col("component") == F.col("a"), "left").select("node", F.coalesce("b", "component").alias("component"))
+    found = cut(known.union(far.join(label, F.col("a") == F.col("node"), "left_anti").select("a", "b")))
+    drop(step)
+    return found

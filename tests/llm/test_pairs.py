@@ -6,7 +6,8 @@ from cases import documents, none
 from pyspark.sql import functions as F
 
 from corpus_pipeline import simhash_near_dedup
-from evidra.llm.components import connected_components
+from evidra.llm import near_sets
+from evidra.llm.components import connected_components, merged
 from evidra.llm.op1_embedding import bits_for, embedding_neardup, op1_embedding_neardup, signatures, tables_for
 from evidra.llm.op6_simhash import fingerprint, near_edges, op6_simhash_neardup, simhash_neardup
 
@@ -36,6 +37,39 @@ def test_components_of_random_graphs(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_merged_labels_are_connected(spark):
+    r = random.Random(2)
+    old, new = ([(r.randrange(200), r.randrange(200)) for _ in range(90)] for _ in range(2))
+    new += [(300, 301), (5, 302)]  # nodes without a label are their own
+    frame = lambda links, names: spark.createDataFrame(links, names)
+    label = merged(connected_components(frame(old, "a bigint, b bigint")), frame(new, "x bigint, y bigint"))
+    got = {x["node"]: x["component"] for x in label.collect()}
+    assert len(got) == label.count()
+    exact = components(range(400), old + new)
+    assert all(exact[n] == exact[c] and c <= n for n, c in got.items())
+    before = components(range(400), old)
+    assert sum(got.get(n, n) == exact[n] for n in range(400)) > sum(before[n] == exact[n] for n in range(400))
+
+
+def test_components_are_not_worked_out_each_turn(spark, monkeypatch):
+    # texts that share a passage, and few of which are alike: each turn asks about pairs
+    r, calls = random.Random(3), []
+    shared = " ".join(f"s{i}" for i in range(30))
+    line = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    texts = [f"{shared} {line()}" for _ in range(60)]
+    texts += [f"{t} {line()[:8]}" for t in texts[:6]]
+    monkeypatch.setattr(near_sets, "connected_components", lambda *a: calls.append(a) or connected_components(*a))
+    monkeypatch.setattr(near_sets, "ALL_PAIRS", 8)
+    monkeypatch.setattr(near_sets, "_heavier", lambda known, classes: known)
+    monkeypatch.setattr(near_sets, "_common", lambda *a: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x["doc_id"]: x["component_id"] for x in near_sets.set_neardup(df).collect()}
+    sets = [near_sets.shingles(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if near_sets.similar(sets[a], sets[b])]
+    assert got == components(range(len(texts)), links) and len(links) >= 6
+    assert len(calls) <= 2
+
+
 def brute_vectors(rows, least=0.95):
     good = {i: np.array(v, float) for i, v in rows if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = list(good)

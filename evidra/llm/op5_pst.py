@@ -12,7 +12,7 @@ How it runs. Documents are packed into chunks of about ``CHUNK_BYTES``, one row
 is a group of its own, so a common one is no hot spot: a chunk sends its distinct words and grams (a context and the
 symbol after it), as sorted hashes with their training counts, to buckets by hash range, one entry for each chunk; a bucket
 adds up and answers each chunk with the corpus counts of its own grams, in its own order. It goes level by level: a context of d words can
-be a state only if it occurs ``LEAST`` times, which the counts of the level before tell, so longer grams are sent for such contexts
+be a state only if it occurs ``LEAST`` times and less often than its suffix, which the counts of the level before tell, so longer grams are sent for such contexts
 alone. Of the chunks that train on a gram one owns it. Knowing all counts of its grams, and of their suffixes, the owner adds the gram's term to its context's
 divergence; a last round sums these by context and answers with what is a state. Then each chunk scores its documents. The
 model is never in one place: nothing but three totals passes through the driver. Buckets hold what about ``BUCKET_BYTES`` of text
@@ -22,11 +22,11 @@ send; a chunk's entry for a bucket gets smaller as there are more of them, so bo
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +80,22 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(_expand(data, np.uint64), dtype=np.uint64)
 
 
+def _split(texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """How many words each text has, the distinct words, and the number of each word in turn; words as ``tokens`` cuts them."""
+    n, seen, codes = [np.zeros(0, np.int32)], {}, [np.zeros(0, np.int64)]
+    for a in range(0, len(texts), 500):
+        part = pa.array([(t or "").encode("utf-8", "replace") for t in texts[a : a + 500]], pa.large_binary()).cast(pa.large_string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(part))
+        flat = lists.flatten()
+        full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # a text may begin or end with white space
+        ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+        n.append(np.diff(np.append(0, np.cumsum(full))[ends]).astype(np.int32))
+        coded = flat.filter(pa.array(full, pa.bool_())).cast(pa.large_binary()).dictionary_encode()
+        own = np.fromiter((seen.setdefault(w, len(seen)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        codes.append(own[coded.indices.to_numpy()])
+    return np.concatenate(n), list(seen), np.concatenate(codes)
+
+
 def pack(batches, chunk_bytes: int):
     """Rows ``(id, text)`` -> ``(chunk, ids, lengths, words, codes, size)``: tokens of each text, the chunk's distinct word
     hashes, and which of them each token is (the last number for an end)."""
@@ -90,15 +106,14 @@ def pack(batches, chunk_bytes: int):
     schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.string())), ("lengths", pa.binary()), ("words", pa.binary()), ("codes", pa.binary()), ("size", pa.int64())])
 
     def made():
-        n = np.fromiter(map(len, texts), np.int32, len(texts)) + np.int32(1)
-        distinct = list(set(chain.from_iterable(texts)))
-        words, place = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct)), return_inverse=True)
-        at = dict(zip(distinct, place.tolist()))
-        codes = np.full(int(n.sum()), len(words), np.uint32)
-        inside = np.ones(len(codes), bool)
+        n, distinct, codes = _split(texts)
+        words, place = np.unique(np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct)), return_inverse=True)
+        n += np.int32(1)
+        every = np.full(int(n.sum()), len(words), np.uint32)
+        inside = np.ones(len(every), bool)
         inside[np.cumsum(n) - 1] = False
-        codes[inside] = np.fromiter(map(at.__getitem__, chain.from_iterable(texts)), np.uint32, int(inside.sum()))
-        row = (first + k, ids, _squeeze(n), _pack_keys(words), _squeeze(codes), size)
+        every[inside] = place.astype(np.uint32)[codes]
+        row = (first + k, ids, _squeeze(n), _pack_keys(words), _squeeze(every), size)
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
     for b in batches:
@@ -106,7 +121,7 @@ def pack(batches, chunk_bytes: int):
             part = b.slice(a, 500)
             for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 ids.append(i)
-                texts.append(tokens(t))
+                texts.append(t)
                 size += len(t or "") + 1
                 if size >= chunk_bytes:
                     yield made()
@@ -236,21 +251,28 @@ class Counts:
                 self.all.append(before)
             own = one = None
             if SEEN + d in kinds:
-                seen = _expand(self.answers.loc[self.answers["kind"] == SEEN + d, "a"].iloc[0], np.int64)
+                seen = _expand(self.answers.loc[self.answers["kind"] == SEEN + d, "a"].iloc[0], np.uint32 if total < 1 << 32 else np.int64).astype(np.int64)
             elif not d:
                 seen = np.append(self.get(WORDS) >> 1, docs)[chunk.word]
             else:
                 _, at, one = _places(chunk.gram[d], self.asks(d))
                 n = self.get(d)
                 seen, own = np.where(at >= 0, n[at] >> 1, 0) if len(n) else np.zeros(len(at), np.int64), (n & 1).astype(bool)
+                if d > 1:
+                    seen = np.where(self.same(d), self.seen[d - 1], seen)
             self.seen.append(seen)
             self.own.append(own)
             self.sample.append(one)
         self.all.append(np.append(0, self.seen[-1][:-1]))
 
     def asks(self, d: int) -> np.ndarray:
-        """The tokens whose grams of a level are sent: all of the first level, then those whose context may be a state."""
-        return self.chunk.whole[d] & (self.all[d] >= LEAST) if d > 1 else self.chunk.whole[d]
+        """The tokens whose grams of a level are sent: all of the first level, then those whose context may be a state. A context that
+        occurs as often as its suffix is followed by the same symbols: it diverges by nothing, and counts are those of the suffix."""
+        return self.chunk.whole[d] & (self.all[d] >= LEAST) & (self.all[d] != self.all[d - 1]) if d > 1 else self.chunk.whole[d]
+
+    def same(self, d: int) -> np.ndarray:
+        """The tokens whose context of a level is frequent and occurs as often as its suffix."""
+        return self.chunk.whole[d] & (self.all[d] >= LEAST) & (self.all[d] == self.all[d - 1])
 
     def get(self, kind: int) -> np.ndarray:
         """The answers of all buckets, in the order of the chunk's own keys."""
@@ -258,7 +280,8 @@ class Counts:
 
     def contexts(self, d: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct contexts of a level that are frequent enough, and the place of each token's among them."""
-        u, at, _ = _places(self.chunk.context[d] >> (_BITS if d == 1 else np.uint64(0)), self.chunk.whole[d] & (self.all[d] >= LEAST))
+        may = self.asks(d) & (self.all[d] >= LEAST)
+        u, at, _ = _places(self.chunk.context[d] >> (_BITS if d == 1 else np.uint64(0)), may)
         return u, at
 
     def divergence(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -346,7 +369,7 @@ def pst_score(
         def grams(key, d: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             number, chunk = int(d["chunk"].iloc[0]), Chunk(*(d[n].iloc[0] for n in whole), min(level, depth))
             c = Counts(chunk, x, docs_n, total_n, level - 1)
-            out = [(SEEN + level - 1, number % buckets, number, b"", _squeeze(c.seen[level - 1].astype(np.int64)), b"")]
+            out = [(SEEN + level - 1, number % buckets, number, b"", _squeeze(c.seen[level - 1].astype(np.uint32 if total_n < 1 << 32 else np.int64)), b"")]
             u, t, g = c.divergence(level - 1)
             out += _sent(STATES + level - 1, number, u, [t, g], buckets, 56)
             if level <= depth:

@@ -9,9 +9,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from cases import TEXTS, documents, none
 from pyspark.sql import functions as F
 
+from evidra.llm import op5_pst
 from evidra.llm import op9_pii as P
 from evidra.llm.op2_decontaminate import decontaminate, drop_contaminated
 from evidra.llm.op3_shards import kd_shards, op3_kd_shards
@@ -276,6 +278,30 @@ def test_pst_score_is_a_brute_force_tree(spark):
         assert states > 50 and all(math.isclose(got[i], s, rel_tol=1e-6) for (i, _), s in zip(docs, want))
 
 
+def test_pst_splits_as_tokens():
+    texts = [None, "", " ", "a", "  A b\t\n\x0b\x0c\r c ", "\u00a0x\u2003Y \u00c4", "x\x1cy", "\x00 b", *(["Q q"] * 600), "end "]
+    n, words, codes = op5_pst._split(texts)
+    want = [op5_pst.tokens(t) for t in texts]
+    assert n.tolist() == [len(t) for t in want] and [words[c] for c in codes] == [w for t in want for w in t] and len(set(words)) == len(words)
+
+
+def test_pst_sends_no_context_that_occurs_as_often_as_its_suffix():
+    # one passage in 20 texts: only "again" occurs more often than the two words that end with it
+    texts = ["the same passage again and again in many texts"] * 20
+    ids = [str(i) for i in range(len(texts))]
+    n, words, codes = op5_pst._split(texts)
+    hashes, place = np.unique(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), return_inverse=True)
+    every = np.concatenate([np.append(place[codes[a : a + n[0]]], len(hashes)) for a in range(0, len(codes), n[0])]).astype(np.uint32)
+    chunk = op5_pst.Chunk(ids, op5_pst._squeeze(n + np.int32(1)), op5_pst._pack_keys(hashes), op5_pst._squeeze(every), 2)
+    c = op5_pst.Counts.__new__(op5_pst.Counts)
+    train = int(chunk.train.sum())
+    c.chunk, often = chunk, np.where(chunk.word == chunk.word[3], 2 * train, train)
+    before = np.append(0, often[:-1])
+    c.all = [None, before, np.where(before > train, train, before)]
+    asked = c.asks(2)
+    assert asked.any() and asked.sum() == (before > train).sum() == 40  # only what follows "again"
+
+
 def test_pst_is_better_on_new_texts(spark):
     for sf in ("0.001", "0.01", "0.1"):
         tree, base = op5_pst_score(spark, f"/root/testdata/sf{sf}").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()

@@ -70,6 +70,25 @@ def test_components_are_not_worked_out_each_turn(spark, monkeypatch):
     assert len(calls) <= 2
 
 
+def test_a_large_group_of_near_copies_is_not_squared(spark, monkeypatch):
+    # copies that are alike only if they have few edits between them: all are like the base, or like nothing
+    r, asked = random.Random(4), []
+    base, texts = [f"b{i}" for i in range(150)], []
+    for i in range(500):
+        w = list(base)
+        for j in range(r.randrange(7)):
+            w[r.randrange(150)] = f"x{i}-{j}"
+        texts.append(" ".join(w))
+    verified = near_sets._verified
+    monkeypatch.setattr(near_sets, "_verified", lambda pairs, *a: asked.append(pairs.distinct().count()) or verified(pairs, *a))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x["doc_id"]: x["component_id"] for x in near_sets.set_neardup(df).collect()}
+    sets = [near_sets.shingles(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if near_sets.similar(sets[a], sets[b])]
+    assert got == components(range(len(texts)), links) and len(set(got.values())) > 50
+    assert sum(asked) < 10 * len(texts)
+
+
 def brute_vectors(rows, least=0.95):
     good = {i: np.array(v, float) for i, v in rows if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = list(good)

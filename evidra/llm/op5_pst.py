@@ -13,7 +13,7 @@ is a group of its own, so a common one is no hot spot: a chunk sends its distinc
 symbol after it), as sorted hashes with their training counts, to buckets by hash range, one entry for each chunk; a bucket
 adds up and answers each chunk with the corpus counts of its own grams, in its own order. It goes level by level: a context of d words can
 be a state only if it occurs ``LEAST`` times and less often than its suffix, which the counts of the level before tell, so longer grams are sent for such contexts
-alone. Of the chunks that train on a gram one owns it. Knowing all counts of its grams, and of their suffixes, the owner adds the gram's term to its context's
+alone. Chunks are dealt out once, and each round's answers come to where they are. Of the chunks that train on a gram one owns it. Knowing all counts of its grams, and of their suffixes, the owner adds the gram's term to its context's
 divergence; a last round sums these by context and answers with what is a state. Then each chunk scores its documents. The
 model is never in one place: nothing but three totals passes through the driver. Buckets hold what about ``BUCKET_BYTES`` of text
 send; a chunk's entry for a bucket gets smaller as there are more of them, so both sizes should be raised beyond a terabyte or so.
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import cut, groups, mix, partitions
+from evidra.llm.common import cut, drop, groups, mix, partitions
 
 #: Words of a context at most.
 DEPTH = 5
@@ -61,14 +61,20 @@ def _squeeze(x: np.ndarray) -> bytes:
     """Numbers as compressed bytes, all first bytes first."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+    bits = x.view(f"u{x.itemsize}")
+    return zstandard.ZstdCompressor(level=1).compress(b"".join((bits >> bits.dtype.type(8 * i)).astype(np.uint8).tobytes() for i in range(x.itemsize)))
 
 
 def _expand(data: bytes, kind) -> np.ndarray:
     import zstandard
 
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    parts = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    bits = parts[0].astype(f"u{size}")
+    for i in range(1, size):
+        if parts[i].any():
+            bits |= parts[i].astype(bits.dtype) << bits.dtype.type(8 * i)
+    return bits.view(kind)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -281,8 +287,17 @@ class Counts:
     def contexts(self, d: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct contexts of a level that are frequent enough, and the place of each token's among them."""
         may = self.asks(d) & (self.all[d] >= LEAST)
-        u, at, _ = _places(self.chunk.context[d] >> (_BITS if d == 1 else np.uint64(0)), may)
-        return u, at
+        if d > 1:
+            u, at, _ = _places(self.chunk.context[d], may)
+            return u, at
+        # a context of one word is the word before, or the start, so nothing is sorted but the words
+        keys, place = np.unique(np.append(self.chunk.words, _START) >> _BITS, return_inverse=True)
+        before = np.append(0, self.chunk.word[:-1])
+        before[self.chunk.first] = len(place) - 1
+        at = place[before]
+        some = np.zeros(len(keys), bool)
+        some[at[may]] = True
+        return keys[some], np.where(may, (np.cumsum(some) - 1)[at], -1)
 
     def divergence(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(context, different symbols, G) of what the grams that this chunk owns add to their contexts."""
@@ -307,11 +322,12 @@ def pst_score(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    packed = cut(rows.mapInArrow(lambda batches: pack(batches, chunk_bytes), "chunk bigint, ids array<string>, lengths binary, words binary, codes binary, size bigint"))
-    chunks, size = packed.agg(F.count("*"), F.sum("size")).first()
+    made = cut(rows.mapInArrow(lambda batches: pack(batches, chunk_bytes), "chunk bigint, ids array<string>, lengths binary, words binary, codes binary, size bigint"))
+    chunks, size = made.agg(F.count("*"), F.sum("size")).first()
     buckets = max(8, -(-(size or 0) // bucket_bytes))
     tasks = max(partitions(spark), chunks)
-    packed = packed.drop("size")
+    packed = cut(made.drop("size").repartition(tasks, "chunk").sortWithinPartitions("chunk"), dealt=True)
+    drop(made)
     fields = "kind int, bucket int, chunk bigint, keys binary, a binary, b binary"
     answer = "kind int, chunk bigint, bucket int, n bigint, v bigint, a binary"
     sent_names, answer_names = ["kind", "bucket", "chunk", "keys", "a", "b"], ["kind", "chunk", "bucket", "n", "v", "a"]
@@ -361,7 +377,7 @@ def pst_score(
     counts = first.where(F.col("kind") < STATES).select("kind", "chunk", "bucket", "a")
 
     def by_chunk(answers: DataFrame):
-        return packed.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk"))
+        return packed.groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk"))
 
     def longer(level: int):
         """A round: what the level before adds to divergences, its counts for the rounds to come, and the grams of this level."""

@@ -278,6 +278,26 @@ def test_pst_score_is_a_brute_force_tree(spark):
         assert states > 50 and all(math.isclose(got[i], s, rel_tol=1e-6) for (i, _), s in zip(docs, want))
 
 
+def test_pst_deals_chunks_out_once(spark):
+    df = spark.createDataFrame([(i, f"a b {i % 7} c {i % 3} a b") for i in range(60)], "doc_id bigint, text string")
+    plan = pst_score(df, chunk_bytes=200)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1  # the answers go to where the chunks are
+
+
+def test_pst_contexts_of_one_word_are_those_that_a_sort_finds():
+    texts = [" ".join(f"w{(i * j) % 11}" for j in range(30)) for i in range(40)]
+    n, words, codes = op5_pst._split(texts)
+    hashes, place = np.unique(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), return_inverse=True)
+    every = np.concatenate([np.append(place[codes[a : a + n[0]]], len(hashes)) for a in range(0, len(codes), n[0])]).astype(np.uint32)
+    c = op5_pst.Counts.__new__(op5_pst.Counts)
+    c.chunk = op5_pst.Chunk([str(i) for i in range(40)], op5_pst._squeeze(n + np.int32(1)), op5_pst._pack_keys(hashes), op5_pst._squeeze(every), 1)
+    c.all = [None, np.where(np.append(0, c.chunk.word[:-1]) % 3, LEAST, LEAST - 1)]  # some are too rare
+    c.all[1][c.chunk.first] = LEAST
+    keys, at = c.contexts(1)
+    want, place, _ = op5_pst._places(c.chunk.context[1] >> op5_pst._BITS, c.all[1] >= LEAST)
+    assert (keys == want).all() and (at == place).all() and (at < 0).any()
+
+
 def test_pst_splits_as_tokens():
     texts = [None, "", " ", "a", "  A b\t\n\x0b\x0c\r c ", "\u00a0x\u2003Y \u00c4", "x\x1cy", "\x00 b", *(["Q q"] * 600), "end "]
     n, words, codes = op5_pst._split(texts)

@@ -31,3 +31,11 @@ def test_a_checkpoint_drops_its_shuffles_and_can_be_dropped(spark):
     drop(b)
     assert folders(spark) - was == set()
     drop(spark.range(3))  # not a checkpoint: nothing to delete
+
+
+def test_checkpoint_keeps_how_rows_are_dealt_out(spark):
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    rows = cut(spark.range(50).repartition(5, "id").sortWithinPartitions("id"), dealt=True)
+    plan = lambda df: df.groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange " not in plan(rows) and spark.conf.get("spark.sql.adaptive.enabled") == was
+    assert rows.groupBy("id").count().count() == 50

@@ -88,7 +88,7 @@ def _unpack_keys(data: bytes) -> np.ndarray:
 
 def _split(texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """How many words each text has, the distinct words, and the number of each word in turn; words as ``tokens`` cuts them."""
-    n, seen, codes = [np.zeros(0, np.int32)], {}, [np.zeros(0, np.int64)]
+    n, words, codes, size = [np.zeros(0, np.int32)], [pa.array([], pa.large_binary())], [np.zeros(0, np.int64)], 0
     for a in range(0, len(texts), 500):
         part = pa.array([(t or "").encode("utf-8", "replace") for t in texts[a : a + 500]], pa.large_binary()).cast(pa.large_string())
         lists = pc.ascii_split_whitespace(pc.ascii_lower(part))
@@ -97,9 +97,11 @@ def _split(texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray
         ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
         n.append(np.diff(np.append(0, np.cumsum(full))[ends]).astype(np.int32))
         coded = flat.filter(pa.array(full, pa.bool_())).cast(pa.large_binary()).dictionary_encode()
-        own = np.fromiter((seen.setdefault(w, len(seen)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        codes.append(own[coded.indices.to_numpy()])
-    return np.concatenate(n), list(seen), np.concatenate(codes)
+        codes.append(coded.indices.to_numpy() + size)
+        words.append(coded.dictionary)
+        size += len(coded.dictionary)
+    once = pa.concat_arrays(words).dictionary_encode()
+    return np.concatenate(n), once.dictionary.to_pylist(), once.indices.to_numpy()[np.concatenate(codes)]
 
 
 def pack(batches, chunk_bytes: int):
@@ -136,6 +138,17 @@ def pack(batches, chunk_bytes: int):
         yield made()
 
 
+def _grams(context: np.ndarray, symbol: np.ndarray, d: int) -> np.ndarray:
+    """Hashes of contexts of d words and the symbols after them, in parts that a cache holds."""
+    out = np.empty(len(context), np.uint64)
+    for a in range(0, len(out), 1 << 14):
+        part = context[a : a + (1 << 14)] * np.uint64(0x9E3779B97F4A7C15)
+        part += symbol[a : a + (1 << 14)] * np.uint64(0xD1B54A32D192ED03)
+        part += np.uint64(d)
+        out[a : a + (1 << 14)] = mix(part) >> _BITS
+    return out
+
+
 class Chunk:
     """The tokens of a chunk's documents, one after the other.
 
@@ -159,7 +172,7 @@ class Chunk:
         self.context, self.gram, self.whole = [None], [None], [None]
         for d in range(1, depth + 1):
             self.context.append(context)
-            self.gram.append(mix(context * np.uint64(0x9E3779B97F4A7C15) + symbol * np.uint64(0xD1B54A32D192ED03) + np.uint64(d)) >> _BITS)
+            self.gram.append(_grams(context, symbol, d))
             self.whole.append(inner >= d - 1)
             context = np.append(np.uint64(0), self.gram[d][:-1])
 

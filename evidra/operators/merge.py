@@ -11,15 +11,16 @@ def append_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"))
 
 
-def latest_known(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row for each key; each column has its last value that isn't null."""
-    cols = [c for c in rows.columns if c not in (*keys, order)]
-    return rows.groupBy(*keys).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in cols))
+def latest_known(rows: DataFrame, keys: list[str], order: str, dealt: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each key; each column has its last value that isn't null. Rows that were dealt out by columns which follow from
+    the key, ``dealt``, are not dealt out again."""
+    cols = [c for c in rows.columns if c not in (*dealt, *keys, order)]
+    return rows.groupBy(*keys, *dealt).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in cols))
 
 
-def latest(rows: DataFrame, keys: list[str], order: str, strict: bool = False) -> DataFrame:
-    """The last row of each key. With ``strict`` a key of two rows is an error that names it, raised in the same pass."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+def latest(rows: DataFrame, keys: list[str], order: str, strict: bool = False, dealt: tuple[str, ...] = ()) -> DataFrame:
+    """The last row of each key. With ``strict`` a key of two rows is an error that names it, raised in the same pass. ``dealt`` as above."""
+    place = F.row_number().over(Window.partitionBy(*keys, *dealt).orderBy(F.desc(order)))
     out = rows.withColumn("_place", place)
     if strict:
         named = F.concat_ws(", ", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions.records import subjects
 from evidra.operators import linkfile, postings
-from evidra.operators.graph import decompose, links_of, seed_match
+from evidra.operators.graph import decompose, edges_of, links_of, occurrences, seed_match
 from evidra.operators.lineage import cut, remove
 from evidra.operators.linkfile import LinkFile
 from evidra.plans.engines import StoredPassages, body, passages, question_words
@@ -98,8 +98,8 @@ def build_index(bills: DataFrame, path: str, p: VectorParams = VectorParams(), r
 #: Tables of an index that batches of bills are merged into, and how. Passages and their vectors follow their bill.
 RULES = {
     "bills": Rule("replace", ("bill_id",), order="ordinal"),
-    "people": Rule("known", ("key",)),
-    "committees": Rule("known", ("key",)),
+    "people": Rule("known", ("key",), order="order"),
+    "committees": Rule("known", ("key",), order="order"),
     "edges": Rule("set", ("rel_type", "src_key", "dst_key"), by=("dst_key",)),
     "passages": Rule("group", ("chunk_index",), by=("bill_id",)),
 }
@@ -113,16 +113,18 @@ def upsert_index(store: Store, bills: DataFrame, number: int | None = None, sour
     """Merge a batch of nested bills into a stored index: bills are replaced, with their passages and the passages' vectors; people and
     committees keep what is known of them; edges are a set and stay. False for a batch that was merged before.
 
-    All tables change in one version; only the parts that hold the batch's keys are written anew.
+    All tables change in one version; only the parts that hold the batch's keys are written anew. The store tells what counts of those
+    that share a key, so people, committees and edges go to it as they occur.
     """
+    if store.passed(source, number):  # before anything of the batch is worked out
+        return False
     rich = cut(enrich(bills))
-    nodes, edges = decompose(rich)
-    kind = lambda label: nodes.where(F.col("label") == label).drop("label")
+    found = occurrences(rich)
+    kind = lambda label, *properties: found.where(F.col("label") == label).select("key", "name", *properties, "order")
     texts = rich.select("bill_id", body(F.col("title"), F.col("summary")).alias("text"))
-    found = cut(passages(texts, "bill_id", "text", p).select("bill_id", "chunk_index", "chunk"))
-    vectors = postings.vectors(found, ["bill_id", "chunk_index"], "chunk", p.embedder_dim)
-    rows = found.join(vectors, ["bill_id", "chunk_index"])
+    rows = postings.vectors(passages(texts, "bill_id", "text", p), ["bill_id", "chunk_index", "chunk"], "chunk", p.embedder_dim)
     # a bill that has no passages any more is named, so that the stored ones go
-    rows = rich.select("bill_id").distinct().join(rows, "bill_id", "left")
+    rows = rows.unionByName(rich.select("bill_id"), allowMissingColumns=True)
     flat = rich.select("bill_id", "ordinal", "title", "summary", "outcome", "subjects", *(c for c in ("congress", "bill_type", "bill_number") if c in rich.columns))
-    return store.merge({"bills": flat, "people": kind("Legislator"), "committees": kind("Committee"), "edges": edges, "passages": rows}, source, number)
+    people, committees = kind("Legislator", "party", "state"), kind("Committee", "chamber")
+    return store.merge({"bills": flat, "people": people, "committees": committees, "edges": edges_of(found), "passages": rows}, source, number)

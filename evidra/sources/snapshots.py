@@ -17,11 +17,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.operators.lineage import cut, remove
+from evidra.operators.lineage import remove
 from evidra.operators.merge import latest, latest_known
 
 #: Parts of a table unless it is declared with others; each should fit a task.
 PARTS = 32
+#: Columns that rows are dealt out by: the part, and shares of it.
+DEALT = ("part", "_share")
 #: Versions whose files stay when old ones are removed.
 KEPT = 2
 
@@ -56,24 +58,42 @@ class Rule:
     def part(self):
         return F.pmod(F.xxhash64(*(self.by or self.keys)), F.lit(self.parts)).cast("int")
 
-    def met(self, old: DataFrame | None, new: DataFrame) -> DataFrame:
-        """Rows after a batch; ``new`` has ``_order``."""
-        keys = list(self.keys)
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows dealt out by ``part``, and by ``_share`` where the session has more tasks than the table has parts. What is then grouped by
+        both and a key needs no other shuffle, nor does a write by part. Tasks are as many as the session has: those that are put together to
+        one a core hold too much each."""
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        share = F.pmod(F.hash(*(self.by or self.keys)), F.lit(-(-tasks // self.parts)))
+        return rows.withColumn("part", self.part()).withColumn("_share", share).repartition(tasks, *DEALT)
+
+    def single(self, new: DataFrame) -> DataFrame:
+        """What counts of a batch: one row for each key, dealt out, without ``order``; of a set all rows. Of those that tie in ``order`` the
+        greatest counts, or where columns count by themselves always the same."""
+        keys, columns = list(self.keys), [c for c in new.columns if c != self.order]
         if self.kind == "set":
-            new = new.drop("_order")
-            return (new if old is None else old.unionByName(new)).dropDuplicates()
+            return self.dealt(new.select(*columns))
+        plain = [F.col(c) for c in sorted(columns) if new.schema[c].dataType.typeName() != "map"]
+        order = F.struct(F.col(self.order), F.xxhash64(*plain)) if self.kind == "known" and self.order else F.struct(*([F.col(self.order)] if self.order else []), *plain)
+        rows = self.dealt(new).withColumn("_order", order).select(*DEALT, *columns, "_order")
         if self.kind == "known":
-            both = new if old is None else old.withColumn("_order", F.struct(F.lit(0).alias("b"), F.lit(None).cast(new.schema["_order"].dataType).alias("o"))).unionByName(
-                new.withColumn("_order", F.struct(F.lit(1).alias("b"), F.col("_order").alias("o")))
-            )
-            return latest_known(both, keys, "_order")
+            return latest_known(rows, keys, "_order", DEALT)
         if self.kind == "group":
-            by = list(self.by or self.keys)
-            rows = latest(new, [*by, *(k for k in keys if k not in by)], "_order").drop("_order")
-            rows = rows.where(" and ".join(f"`{k}` is not null" for k in keys))
-            return rows if old is None else _without(old, new, by).unionByName(rows)
-        rows = latest(new, keys, "_order", self.strict).drop("_order")
-        return rows if old is None else _without(old, rows, keys).unionByName(rows)
+            keys = [*self.by, *(k for k in keys if k not in self.by)]
+        return latest(rows, keys, "_order", self.strict, DEALT).drop("_order")
+
+    def met(self, old: DataFrame | None, rows: DataFrame) -> DataFrame:
+        """Stored rows after those of a batch, which ``single`` gave or which were read again; they have their ``part``."""
+        keys, by = list(self.keys), list(self.by or self.keys)
+        named = " and ".join(f"`{k}` is not null" for k in keys)
+        if old is None and (self.kind != "set" or "_share" in rows.columns):
+            return rows.dropDuplicates() if self.kind == "set" else rows.where(named) if self.kind == "group" else rows
+        rows = rows.drop(*DEALT)
+        if self.kind == "set":
+            return self.dealt(rows if old is None else old.unionByName(rows)).dropDuplicates()
+        if self.kind == "known":
+            return latest_known(self.dealt(old.withColumn("_order", F.lit(0)).unionByName(rows.withColumn("_order", F.lit(1)))), keys, "_order", DEALT)
+        stays = _without(old, rows, by if self.kind == "group" else keys)
+        return self.dealt(stays.unionByName(rows.where(named) if self.kind == "group" else rows))
 
 
 @dataclass
@@ -127,10 +147,23 @@ class Store:
             raise LookupError(f"no rows have been merged into {name}")
         return rows
 
+    def passed(self, source: str, number: int | None) -> bool:
+        """Whether a batch of this number was merged before."""
+        return number is not None and number <= self.manifest()["batches"].get(source, -1)
+
+    def _write(self, rows: DataFrame, at: str) -> list[int]:
+        """The parts that rows were written to, in a folder each."""
+        rows.drop("_share").write.partitionBy("part").parquet(at)
+        at, fs = self._at(at)
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        return [int(n.removeprefix("part=")) for n in names if n.startswith("part=")]
+
     def merge(self, batches: dict[str, DataFrame], source: str = "", number: int | None = None) -> bool:
         """Merge a batch of each table, all in one version. False, and nothing done, for a number that the source has passed.
 
-        Tables that get no rows stay as they are. Rows of a batch without an ``order`` of their rule tie, and the greatest counts.
+        A batch is worked out once: into a table without rows its own are written as they count; else they are written aside, which tells
+        the parts that they touch, and met with the stored rows of those. Tables that get no rows stay as they are. Rows of a batch without
+        an ``order`` of their rule tie, and the greatest counts.
         """
         was = self.manifest()
         if number is not None and number <= was["batches"].get(source, -1):
@@ -138,25 +171,27 @@ class Store:
         now = {"version": was["version"] + 1, "batches": was["batches"] | ({source: number} if number is not None else {}), "tables": json.loads(json.dumps(was["tables"]))}
         for name, batch in batches.items():
             rule = self.rules[name]
-            new = batch.withColumn("_part", rule.part())
-            columns = sorted(c for c in batch.columns if c != rule.order)
-            order = F.struct(*([F.col(rule.order)] if rule.order else []), *(F.col(c) for c in columns if new.schema[c].dataType.typeName() != "map"))
-            new = cut(new.withColumn("_order", order).drop(*([rule.order] if rule.order else [])))
-            touched = [r[0] for r in new.select("_part").distinct().collect()]  # no more than the table has parts
-            if not touched:
+            at, generation = f"{self.path}/data/{name}", f"{now['version']}-{uuid.uuid4().hex[:8]}"
+            rows, aside = rule.single(batch), None
+            touched = []
+            if was["tables"].get(name, {}).get("files"):
+                aside = f"{at}/{generation}-batch"
+                touched = self._write(rows, aside)
+                rows = self.spark.read.schema(rows.drop(*DEALT).schema).parquet(aside)
+                if not touched:
+                    remove(self.spark, aside)
+                    continue
+            met = rule.met(self._rows(was, name, touched) if touched else None, rows)
+            written = self._write(met, f"{at}/{generation}")
+            if not written and not touched:
                 continue
-            old = self._rows(was, name, touched)
-            met = rule.met(old, new.drop("_part")).withColumn("part", rule.part())
-            generation = f"{now['version']}-{uuid.uuid4().hex[:8]}"
-            met.repartition("part").write.partitionBy("part").parquet(f"{self.path}/data/{name}/{generation}")
             held = now["tables"].setdefault(name, {"files": {}})
-            held["schema"] = met.drop("part").schema.toDDL()
-            at, fs = self._at(f"{self.path}/data/{name}/{generation}")
-            written = {int(s.getPath().getName().removeprefix("part=")) for s in fs.listStatus(at) if s.getPath().getName().startswith("part=")}
+            held["schema"] = met.drop(*DEALT).schema.toDDL()
             for p in touched:
                 held["files"].pop(str(p), None)
-                if p in written:
-                    held["files"][str(p)] = generation
+            held["files"] |= {str(p): generation for p in written}
+            if aside:
+                remove(self.spark, aside)
         self._put(now)
         return True
 

@@ -258,6 +258,35 @@ def test_index_of_the_seed_in_batches(spark, tmp_path):
     assert store.table("passages").count() < before and store.table("bills").count() == 16
 
 
+def test_a_batch_is_worked_out_once_and_dealt_once(spark, tmp_path):
+    """A batch that comes again is not worked out at all, one into an empty table is shuffled once, one into a filled table once more with the
+    stored rows; a task's share of a part stays small."""
+    b = seed_bills(spark)
+    store = store_of(spark, f"{tmp_path}/i")
+    upsert_index(store, b, 0)
+    broken = b.withColumn("title", F.raise_error(F.lit("worked out")).cast("string"))
+    assert upsert_index(store, broken, 0) is False
+    worked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for x in batches:
+            worked.add(x.num_rows)
+            yield x
+
+    rows = spark.range(0, 3000, 1, 4).select((F.col("id") % 500).cast("int").alias("id"), F.concat(F.lit("v"), F.col("id") % 7).alias("v"), F.col("id").cast("int").alias("at"))
+    for name, rule in RULES.items():
+        new = rows.select("id", (F.col("at") % 3).alias("i"), "v") if name == "g" else rows.select("id", "v") if name == "s" else rows
+        two = Store(spark, f"{tmp_path}/{name}", RULES)
+        first = rule.met(None, rule.single(new))
+        assert first._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+        for n in range(2):
+            worked.value = 0
+            two.merge({name: new.mapInArrow(seen, new.schema)}, "x", n)
+            assert worked.value == 3000
+        assert rows_of(two.table(name)) == rows_of(first.drop("part", "_share"))
+        assert not [p for p in Path(f"{tmp_path}/{name}/data/{name}").iterdir() if p.name.endswith("-batch")]
+
+
 # --- links -------------------------------------------------------------------------------------------
 
 

@@ -121,6 +121,29 @@ def test_pairs_of_bills_by_lists(spark, monkeypatch):
     assert sorted((r["neighbour"], r["weight"]) for r in near.collect()) == sorted((b, want["legislator"][a, b] + want["committee"][a, b]) for a, b in both if a == "B0")
 
 
+def test_neighbours_are_sets(spark):
+    """Each node's set, whole: edges that come twice or both ways, loops, groups, and nodes whose rows go on over many batches."""
+    edges = [("b", "a"), ("a", "b"), ("a", "b"), ("a", "c"), ("d", "d"), ("e", None)]
+    groups = spark.createDataFrame([(list(e),) for e in edges] + [(["c", "b", "f"],), ([],), (None,)], "bills array<string>")
+    want = {"a": ["b", "c"], "b": ["a", "c", "f"], "c": ["a", "b", "f"], "f": ["b", "c"]}
+    assert {r["node"]: r["neighbours"] for r in G.neighbours(groups).collect()} == want
+    lists = [[f"B{(i * k) % 211}" for k in range(1, 3 + i % 9)] + ["B0"] for i in range(400)]
+    want = {}
+    for x in lists:
+        for n in x:
+            want.setdefault(n, set()).update(x)
+    want = {n: sorted(x - {n}) for n, x in want.items() if x - {n}}
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (was, "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = G.neighbours(spark.createDataFrame([(x,) for x in lists], "bills array<string>"))
+            assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+            assert {r["node"]: r["neighbours"] for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
 def test_pieces_of_a_batch_are_not_held_whole(spark):
     """A batch of many texts leaves a task in steps; pieces stay with their rows."""
     n = 2 * X.STEP + 7
